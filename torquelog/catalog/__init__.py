@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from torquelog.catalog import cleaning  # noqa: F401
+from torquelog.catalog import classes, cleaning, keywords, records  # noqa: F401
 from torquelog.catalog.registry import COVERS, ORACLES, QUERIES, Build
 
 
