@@ -41,9 +41,8 @@ def _(spark, sf):
     "group_keywords_spanning_rows",
     "K4 A1 W2",
     f"""WITH {TOKENS},
-        s AS (SELECT source, flatten(list(w ORDER BY doc_id)) AS w FROM d GROUP BY source),
-        g AS ({sql.gram_rows("s", "source", "w")}),
-        c AS (SELECT source, n, gram, count(*) AS cnt FROM g GROUP BY ALL),
+        g AS ({sql.spanning_gram_rows("d", "source", "doc_id", "w")}),
+        c AS (SELECT source, n, gram, count(*) AS cnt FROM g WHERE gram IS NOT NULL GROUP BY ALL),
         r AS ({ranked_sql("c", "source, n", 50)})
         SELECT source, n, gram, cnt, CAST(rank AS INTEGER) AS rank FROM r""",
 )
@@ -193,13 +192,10 @@ def _(spark, sf):
 def assigned_sql(span: bool = False) -> str:
     known = f"""k AS (SELECT doc_id, source, {sql.keyword_tokens(sql.clean_asset("text"))} AS w
                  FROM documents WHERE source <> 'src0')"""
-    rows = "k"
+    grams = sql.gram_rows("k", "source", "w")
     if span:
-        known += (
-            ", ks AS (SELECT source, flatten(list(w ORDER BY doc_id)) AS w FROM k GROUP BY source)"
-        )
-        rows = "ks"
-    return f"""{known}, gg AS ({sql.gram_rows(rows, "source", "w")}), {VECTORS},
+        grams = sql.spanning_gram_rows("k", "source", "doc_id", "w")
+    return f"""{known}, gg AS (SELECT * FROM ({grams}) WHERE gram IS NOT NULL), {VECTORS},
       o AS (SELECT doc_id, {sql.keyword_tokens(sql.one_line("text"))} AS w
             FROM documents WHERE source = 'src0'),
       og AS ({sql.gram_rows("o", "doc_id", "w")}),

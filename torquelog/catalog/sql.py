@@ -135,6 +135,17 @@ def gram_rows(relation: str, keep: str, column: str, sizes: tuple[int, ...] = (1
     )
 
 
+def spanning_gram_rows(relation: str, group: str, key: str, column: str) -> str:
+    """One row (group, n, gram) per n-gram of the group's rows read as one text in key order."""
+    return f"""
+      SELECT {group}, unnest([1, 2, 3]) AS n, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3])
+        AS gram
+      FROM (SELECT {group}, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3
+            FROM (SELECT {group}, {key}, unnest({column}) AS word,
+                    generate_subscripts({column}, 1) AS pos FROM {relation})
+            WINDOW o AS (PARTITION BY {group} ORDER BY {key}, pos))"""
+
+
 def language(expr: str) -> str:
     counts = {
         name: f"len(list_filter({words(expr)}, lambda t: t IN {listed(profile)}))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from torquelog.functions import ngrams
 from torquelog.operators.keywords import gram_rows
 from torquelog.operators.ranking import top_k
-from torquelog.runtime import lookup_join, materialize
+from torquelog.runtime import lookup_join, materialize, once
 
 
 def keyword_group_lift(df: DataFrame, key: str, group: str, tokens: str, least: int = 5) -> DataFrame:
@@ -98,7 +98,7 @@ def forward_chain(
     )
     matched = ngrams.matched_phrases(F.col(tokens), list(phrase_rules))
     facts = F.array_sort(F.array_distinct(F.flatten(F.transform(matched, lambda p: table[p]))))
-    return records.withColumn("facts", facts).where(F.size("facts") > 0)
+    return once(records, "facts", facts).where(F.size("facts") > 0)
 
 
 def _closure(fact: str, rules: dict[str, str]) -> list[str]:

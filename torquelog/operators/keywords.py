@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from torquelog.functions import ngrams
 from torquelog.operators.ranking import following_heads, top_k
-from torquelog.runtime import by_key, lookup_join
+from torquelog.runtime import by_key, lookup_join, once
 
 SIZES = (1, 2, 3)
 FEATURES = 50
@@ -36,8 +36,7 @@ def group_keywords(
     """
     longest = max(sizes)
     if span_rows and longest > 1:
-        rows = df.where(F.size(tokens) > 0)
-        rows = following_heads(rows, group, key, tokens, longest - 1)
+        rows = following_heads(df.select(group, key, tokens), group, key, tokens, longest - 1)
         per_size = F.array(
             *[
                 F.struct(
@@ -123,5 +122,5 @@ def set_keywords(df: DataFrame, key: str, tokens: str, n: int = 1, k: int = 10)
 
 def phrase_matches(df: DataFrame, tokens: str, phrases: list[str]) -> DataFrame:
     """Rows holding at least one phrase, with the sorted list of those found. No shuffle."""
-    found = df.withColumn("matched", ngrams.matched_phrases(F.col(tokens), phrases))
+    found = once(df, "matched", ngrams.matched_phrases(F.col(tokens), phrases))
     return found.where(F.size("matched") > 0)

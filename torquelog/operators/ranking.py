@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from torquelog.runtime import key_ranges, lookup_join
+from torquelog.runtime import key_ranges, lookup_join, materialize, once
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -82,25 +82,27 @@ def stratified_split(
 def following_heads(df: DataFrame, group: str, key: str, tokens: str, count: int) -> DataFrame:
     """Column ``_tail``: the first ``count`` tokens after the row, in its group, by key order.
 
-    Rows without tokens must be dropped before. The ordered windows run per (group, key range); the
-    range boundaries are bridged through one small row per (group, range).
+    Rows without tokens are dropped. The ordered windows run per (group, key range); the range
+    boundaries are bridged through one small row per (group, range), found from the heads alone.
     """
     empty = F.array().cast("array<string>")
-    rows = df.withColumn("_b", key_ranges(df, key)).withColumn(
-        "_head", F.slice(F.col(tokens), 1, count)
-    )
+    ranged = once(df.withColumn("_b", key_ranges(df, key)), tokens, F.col(tokens))
+    rows = ranged.where(F.size(tokens) > 0).withColumn("_head", F.slice(tokens, 1, count))
     inside = Window.partitionBy(group, "_b").orderBy(key)
-    ahead = [F.coalesce(F.lead("_head", i).over(inside), empty) for i in range(1, count + 1)]
-    rows = rows.withColumn("_near", F.slice(F.concat(*ahead), 1, count)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    # the first tokens of a range come from its first rows
-    starts = rows.where("_first").select(
-        group, "_b", F.slice(F.concat("_head", "_near"), 1, count).alias("_start")
+
+    def ahead(column: str, window: WindowSpec) -> Column:
+        later = [F.coalesce(F.lead(column, i).over(window), empty) for i in range(1, count + 1)]
+        return F.slice(F.concat(*later), 1, count)
+
+    firsts = top_k(rows.select(group, "_b", key, "_head"), [group, "_b"], [F.col(key)], count)
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "_head")))
+    starts = firsts.groupBy(group, "_b").agg(
+        F.slice(F.flatten(F.transform(in_order, lambda x: x["_head"])), 1, count).alias("_start")
     )
-    order = Window.partitionBy(group).orderBy("_b")
-    later = [F.coalesce(F.lead("_start", i).over(order), empty) for i in range(1, count + 1)]
-    bridge = starts.select(group, "_b", F.slice(F.concat(*later), 1, count).alias("_next"))
+    starts = materialize(starts)
+    ranges = Window.partitionBy(group).orderBy("_b")
+    bridge = starts.select(group, "_b", ahead("_start", ranges).alias("_next"))
+    rows = rows.withColumn("_near", ahead("_head", inside))
     joined = lookup_join(rows, bridge, [group, "_b"], "left")
     tail = F.slice(F.concat("_near", F.coalesce("_next", empty)), 1, count)
-    return joined.withColumn("_tail", tail).drop("_b", "_head", "_near", "_first", "_next")
+    return joined.withColumn("_tail", tail).drop("_b", "_head", "_near", "_next")

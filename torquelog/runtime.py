@@ -38,6 +38,16 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and lambdas read but never recompute.
+
+    The optimizer copies the definition of a projected column into the filters and lambdas that use
+    it; the output of a generator it leaves alone. The generator here yields exactly one row.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a local one only for local masters."""
     context = spark.sparkContext
