@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from torquelog.catalog import classes, cleaning, keywords, records  # noqa: F401
+from torquelog.catalog import (  # noqa: F401
+    classes,
+    cleaning,
+    described,
+    keywords,
+    learning,
+    records,
+)
 from torquelog.catalog.registry import COVERS, ORACLES, QUERIES, Build
 
 

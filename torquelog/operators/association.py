@@ -64,14 +64,17 @@ def code_cooccurrence(df: DataFrame, group: str, code: str, least: int = 1) -> D
 
 
 def trend(df: DataFrame, ts: str, category: str, unit: str = "month") -> DataFrame:
-    """Records per period and category, with the change against the category's previous period."""
+    """Records per period and category, with the change against the category's previous period.
+
+    Before its first period a category counts as 0.
+    """
     period = F.date_format(F.date_trunc(unit, F.col(ts)), "yyyy-MM-dd")
     counts = df.groupBy(period.alias("period"), F.col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("records")
     )
     order = Window.partitionBy("category").orderBy("period")
     return counts.withColumn(
-        "change", F.col("records") - F.lag("records").over(order)
+        "change", F.col("records") - F.lag("records", 1, 0).over(order)
     )
 
 

@@ -98,7 +98,7 @@ def neighbour_pairs(
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.withColumn("other", each).select(label, "block", "other", key, vector)
     right = rows.withColumn("mine", each).select(
-        label, F.col("mine").alias("block"), F.col("block").alias("other"), key, vector
+        *[F.col(c).alias(f"_{c}") for c in (label, "mine", "block", key, vector)]
     )
     key_type = df.schema[key].dataType.simpleString()
 
@@ -106,11 +106,11 @@ def neighbour_pairs(
         columns = ["key", "neighbour", "distance"]
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in columns})
-        b = b.sort_values(key)  # ties go to the smaller key
+        b = b.sort_values(f"_{key}")  # ties go to the smaller key
         x = np.vstack(a[vector].to_numpy()).astype("float64")
-        y = np.vstack(b[vector].to_numpy()).astype("float64")
+        y = np.vstack(b[f"_{vector}"].to_numpy()).astype("float64")
         squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        ids, others = a[key].to_numpy(), b[key].to_numpy()
+        ids, others = a[key].to_numpy(), b[f"_{key}"].to_numpy()
         squared[ids[:, None] == others[None, :]] = np.inf
         take = min(k, squared.shape[1])
         best = np.argsort(squared, axis=1, kind="stable")[:, :take]
@@ -126,7 +126,7 @@ def neighbour_pairs(
 
     partial = (
         left.groupBy(label, "block", "other")
-        .cogroup(right.groupBy(label, "block", "other"))
+        .cogroup(right.groupBy(f"_{label}", "_mine", "_block"))
         .applyInPandas(compare, f"key {key_type}, neighbour {key_type}, distance double")
     )
     ranked = Window.partitionBy("key").orderBy(F.round("distance", 9), "neighbour")

@@ -47,9 +47,9 @@ def feature_stages(column: str, max_features: int = MAX_FEATURES, stop: bool = T
 
 
 def _labelled(df: DataFrame, label: str) -> StringIndexer:
-    """Alphabetical label numbers; classes unseen in training are kept apart, not dropped."""
+    """Alphabetical label numbers. Only training rows pass through it, so none is unseen."""
     return StringIndexer(
-        inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"
+        inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error"
     )
 
 
@@ -115,3 +115,33 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def train_two_stage(
+    df: DataFrame, column: str, system: str, part: str, kind: str = "logistic", **options
+) -> tuple[PipelineModel, dict[str, PipelineModel]]:
+    """A system model and, for each system, a model of its parts. One fit per system."""
+    first = train(df, column, system, kind, **options)
+    second = {}
+    for name in label_names(first):
+        rows = df.where(F.col(system) == name)
+        if rows.select(part).distinct().limit(2).count() > 1:
+            second[name] = train(rows, column, part, kind, **options)
+    return first, second
+
+
+def score_two_stage(
+    df: DataFrame, models: tuple[PipelineModel, dict[str, PipelineModel]], column: str
+) -> DataFrame:
+    """Predicted system and, inside it, the predicted part (null for systems of one part)."""
+    first, second = models
+    staged = score(df, first, column).withColumnRenamed("predicted", "system")
+    staged = staged.drop("top_predictions")
+    rest = staged.where(F.col("system").isNull() | ~F.col("system").isin(list(second)))
+    result = rest.withColumn("part", F.lit(None).cast("string"))
+    for name, model in second.items():
+        chosen = score(staged.where(F.col("system") == name), model, column)
+        result = result.unionByName(
+            chosen.withColumnRenamed("predicted", "part").drop("top_predictions")
+        )
+    return result
