@@ -17,6 +17,13 @@ def tokens(spark, sf, *keep):
     return df.select("doc_id", *keep, ngrams.keyword_tokens(F.col("text")).alias("tokens"))
 
 
+def shown(keywords_column):
+    return F.array_join(
+        F.transform(keywords_column, lambda x: F.concat_ws(":", x["word"], x["freq"].cast("string"))),
+        ", ",
+    )
+
+
 TOKENS = f"d AS (SELECT doc_id, source, lang, {sql.keyword_tokens('text')} AS w FROM documents)"
 
 
@@ -60,26 +67,28 @@ RECORD_KEYWORDS = f"""{TOKENS}, g AS ({sql.gram_rows("d", "doc_id", "w")}),
     "record_keywords",
     "K5 W2 W6 F5",
     f"""WITH {RECORD_KEYWORDS}
-        SELECT doc_id, n, string_agg(gram || ':' || CAST(cnt AS VARCHAR), ', ' ORDER BY rank) AS keywords
-        FROM r GROUP BY doc_id, n""",
+        SELECT e.doc_id, e.n,
+          coalesce(string_agg(gram || ':' || CAST(cnt AS VARCHAR), ', ' ORDER BY rank), '') AS keywords
+        FROM (SELECT doc_id, unnest([1, 2, 3]) AS n FROM d) e
+        LEFT JOIN r ON r.doc_id = e.doc_id AND r.n = e.n GROUP BY ALL""",
 )
 def _(spark, sf):
-    found = keywords.record_keywords(tokens(spark, sf), "doc_id", "tokens")
-    lists = keywords.keyword_lists(found, ["doc_id", "n"])
-    shown = F.transform("keywords", lambda x: F.concat_ws(":", x["word"], x["freq"].cast("string")))
-    return lists.select("doc_id", "n", F.array_join(shown, ", ").alias("keywords"))
+    lists = keywords.record_keyword_lists(tokens(spark, sf), "doc_id", "tokens")
+    return lists.withColumn("keywords", shown("keywords"))
 
 
 @register(
     "record_keywords_plain",
     "K6 W6 T17",
     f"""WITH {RECORD_KEYWORDS}
-        SELECT doc_id, n, string_agg(gram, ', ' ORDER BY rank) AS keywords FROM r GROUP BY doc_id, n""",
+        SELECT e.doc_id, e.n, coalesce(string_agg(gram, ', ' ORDER BY rank), '') AS keywords
+        FROM (SELECT doc_id, unnest([1, 2, 3]) AS n FROM d) e
+        LEFT JOIN r ON r.doc_id = e.doc_id AND r.n = e.n GROUP BY ALL""",
 )
 def _(spark, sf):
-    found = keywords.record_keywords(tokens(spark, sf), "doc_id", "tokens")
-    lists = keywords.keyword_lists(found, ["doc_id", "n"], with_counts=False)
-    return lists.select("doc_id", "n", F.array_join("keywords", ", ").alias("keywords"))
+    lists = keywords.record_keyword_lists(tokens(spark, sf), "doc_id", "tokens")
+    words = keywords.words_only("keywords")
+    return lists.select("doc_id", "n", F.array_join(words, ", ").alias("keywords"))
 
 
 @register(
@@ -235,13 +244,6 @@ def assigned(spark, sf, **options):
     )
 
 
-def shown(keywords_column):
-    return F.array_join(
-        F.transform(keywords_column, lambda x: F.concat_ws(":", x["word"], x["freq"].cast("string"))),
-        ", ",
-    )
-
-
 @register(
     "assign_categories",
     "K9 K10 J6 W4 K8 K5",
@@ -326,7 +328,9 @@ def _(spark, sf):
         g AS ({sql.gram_rows("d", "doc_id", "w")}),
         c AS (SELECT doc_id, n, gram, count(*) AS cnt FROM g GROUP BY ALL),
         r AS ({ranked_sql("c", "doc_id, n", 50)})
-        SELECT doc_id, n, string_agg(gram, ', ' ORDER BY rank) AS keywords FROM r GROUP BY doc_id, n""",
+        SELECT e.doc_id, e.n, coalesce(string_agg(gram, ', ' ORDER BY rank), '') AS keywords
+        FROM (SELECT doc_id, unnest([1, 2, 3]) AS n FROM d) e
+        LEFT JOIN r ON r.doc_id = e.doc_id AND r.n = e.n GROUP BY ALL""",
 )
 def _(spark, sf):
     cases = reports.phone_cases(notes(spark, sf), "note", PHRASES)

@@ -28,7 +28,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def distinct_sorted(grams: Column) -> Column:
     """All different n-grams of the row, alphabetically, joined by a comma."""
-    return F.array_join(F.array_sort(F.array_distinct(grams)), ", ")
+    return F.array_join(F.sort_array(F.array_distinct(grams)), ", ")
 
 
 def all_ngrams(tokens: Column, sizes: tuple[int, ...]) -> Column:
@@ -43,4 +43,4 @@ def matched_phrases(tokens: Column, phrases: list[str]) -> Column:
     sizes = sorted({len(p.split(" ")) for p in phrases})
     grams = F.flatten(F.array(*[ngrams(tokens, n) for n in sizes]))
     wanted = F.array(*[F.lit(p) for p in sorted(set(phrases))])
-    return F.array_sort(F.array_intersect(wanted, grams))
+    return F.sort_array(F.array_intersect(wanted, grams))

@@ -17,14 +17,18 @@ def keyword_group_lift(df: DataFrame, key: str, group: str, tokens: str, least:
     (group, word, records, lift), for words in at least ``least`` records of the group.
     """
     present = df.select(key, group, F.explode(F.array_distinct(tokens)).alias("word"))
-    pairs = present.groupBy(group, "word").agg(F.count(F.lit(1)).alias("records"))
-    totals = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("in_group"))
+    pairs = materialize(present.groupBy(group, "word").agg(F.count(F.lit(1)).alias("records")))
+    totals = materialize(
+        df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("in_group"))
+    )
     overall = pairs.where(F.col(group).isNotNull()).groupBy("word").agg(
         F.sum("records").alias("with_word")
     )
-    everything = df.where(F.col(group).isNotNull()).count()
+    everything = totals.agg(F.sum("in_group")).first()[0] or 0
     frequent = pairs.where(F.col("records") >= least)
-    joined = lookup_join(lookup_join(frequent, totals, [group]), overall, ["word"])
+    joined = lookup_join(
+        lookup_join(frequent, totals, [group], ready=True), overall, ["word"]
+    )
     lift = F.col("records") * F.lit(everything) / (F.col("in_group") * F.col("with_word"))
     return joined.select(group, "word", "records", F.round(lift, 6).alias("lift"))
 

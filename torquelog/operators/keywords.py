@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from torquelog.functions import ngrams
@@ -60,56 +60,99 @@ def group_keywords(
 
 
 def record_counts(
-    df: DataFrame, key: str, tokens: str, sizes: tuple[int, ...] = SIZES
+    df: DataFrame, keep: list[str], tokens: str, sizes: tuple[int, ...] = SIZES
 ) -> DataFrame:
-    """(key, n, gram, cnt) per record. One exchange on the key serves every later step."""
-    grams = gram_rows(by_key(df.select(key, tokens), key), [key], tokens, sizes)
-    return grams.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """(keep..., n, counts) with the record's n-grams as an array of structs (neg, gram).
+
+    ``neg`` is the negated count, so the natural order is by count, then gram. Equal n-grams are
+    counted as runs of the sorted array: the record is one row, so nothing is shuffled.
+    """
+    sized = df.select(*keep, F.inline(ngrams.all_ngrams(F.col(tokens), sizes)))
+    ordered = once(sized, "grams", F.sort_array("grams"))
+    count = F.size("grams")
+    ends = F.filter(
+        F.sequence(F.lit(1), count),
+        lambda i: (i == count) | (F.get("grams", i - 1) != F.get("grams", i)),
+    )
+    none = F.array().cast("array<int>")
+    ordered = once(ordered, "ends", F.when(count > 0, ends).otherwise(none))
+    counts = F.transform(
+        "ends",
+        lambda end, i: F.struct(
+            (F.coalesce(F.get("ends", i - 1), F.lit(0)) - end).cast("long").alias("neg"),
+            F.get("grams", end - 1).alias("gram"),
+        ),
+    )
+    return ordered.select(*keep, "n", counts.alias("counts"))
+
+
+def record_keyword_lists(
+    df: DataFrame, key: str, tokens: str, sizes: tuple[int, ...] = SIZES, k: int = FEATURES
+) -> DataFrame:
+    """Top ``k`` n-grams per record and n: (key, n, keywords) as structs (word, freq). Map-only."""
+    counts = record_counts(df, [key], tokens, sizes)
+    best = F.slice(F.sort_array("counts"), 1, k)
+    named = F.transform(
+        best, lambda x: F.struct(x["gram"].alias("word"), (-x["neg"]).alias("freq"))
+    )
+    return counts.select(key, "n", named.alias("keywords"))
 
 
 def record_keywords(
     df: DataFrame, key: str, tokens: str, sizes: tuple[int, ...] = SIZES, k: int = FEATURES
 ) -> DataFrame:
-    """Top ``k`` n-grams per record and n: (key, n, gram, cnt, rank)."""
-    counts = record_counts(df, key, tokens, sizes)
-    return top_k(counts, [key, "n"], [F.desc("cnt"), F.col("gram")], k)
+    """Top ``k`` n-grams per record and n as rows (key, n, gram, cnt, rank). Map-only."""
+    lists = record_keyword_lists(df, key, tokens, sizes, k)
+    rows = lists.select(key, "n", F.posexplode("keywords").alias("pos", "kw"))
+    return rows.select(
+        key, "n", F.col("kw.word").alias("gram"), F.col("kw.freq").alias("cnt"),
+        (F.col("pos") + 1).alias("rank"),
+    )
 
 
-def keyword_lists(keywords: DataFrame, keys: list[str], with_counts: bool = True) -> DataFrame:
-    """Ranked keywords as one array per key (at most k entries): structs (word, freq) or words."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "gram", "cnt")))
-    if with_counts:
-        packed = F.transform(
-            ordered, lambda x: F.struct(x["gram"].alias("word"), x["cnt"].alias("freq"))
-        )
-    else:
-        packed = F.transform(ordered, lambda x: x["gram"])
-    return keywords.groupBy(*keys).agg(packed.alias("keywords"))
+def words_only(keywords: str) -> Column:
+    """The words of a keyword array, without their counts."""
+    return F.transform(keywords, lambda x: x["word"])
 
 
 def record_top_grams(df: DataFrame, key: str, tokens: str, n: int = 2, k: int = 10) -> DataFrame:
     """Top n-grams of each record with their weight in the record's unit-length vector.
 
     A record is its own corpus here, so every n-gram has the same inverse frequency and the weight
-    is ``count / sqrt(sum of squared counts)``.
+    is ``count / sqrt(sum of squared counts)``. Map-only.
     """
-    counts = record_counts(df, key, tokens, (n,))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
-    best = top_k(counts, [key], [F.desc("cnt"), F.col("gram")], k)
-    return best.join(norms, key).select(
-        key, "gram", F.round(F.col("cnt") / F.col("norm"), 6).alias("weight"), "rank"
+    counts = once(
+        record_counts(df, [key], tokens, (n,)), "counts", F.sort_array("counts")
+    )
+    squares = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x["neg"] * x["neg"])
+    rows = counts.select(
+        key, F.sqrt(squares).alias("norm"), F.posexplode(F.slice("counts", 1, k)).alias("pos", "c")
+    )
+    return rows.select(
+        key,
+        F.col("c.gram").alias("gram"),
+        F.round(-F.col("c.neg") / F.col("norm"), 6).alias("weight"),
+        (F.col("pos") + 1).alias("rank"),
     )
 
 
 def corpus_weights(df: DataFrame, key: str, tokens: str, n: int = 1) -> DataFrame:
-    """(key, gram, weight): smooth-idf TF-IDF with unit length per record."""
-    counts = record_counts(df, key, tokens, (n,)).drop("n")
+    """(key, gram, weight): smooth-idf TF-IDF with unit length per record.
+
+    Two passes: document frequencies, then weights. The exchange on the record key at the start also
+    serves the length of each record's vector.
+    """
+    counts = record_counts(by_key(df.select(key, tokens), key), [key], tokens, (n,))
+    rows = counts.select(key, F.inline("counts"))
     records = df.where(F.col(key).isNotNull()).count()
-    frequency = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    idf = frequency.select("gram", (F.log((1 + records) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = lookup_join(counts, idf, ["gram"]).withColumn("w", F.col("cnt") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    # the frequencies need no key, so their pass reads the records where they are
+    seen = record_counts(df, [key], tokens, (n,)).select(F.explode("counts.gram").alias("gram"))
+    idf = seen.groupBy("gram").agg(
+        (F.log(F.lit(1 + records) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
+    )
+    raw = lookup_join(rows, idf, ["gram"]).withColumn("w", -F.col("neg") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "gram", (F.col("w") / length).alias("weight"))
 
 
 def set_keywords(df: DataFrame, key: str, tokens: str, n: int = 1, k: int = 10) -> DataFrame:

@@ -99,7 +99,6 @@ def following_heads(df: DataFrame, group: str, key: str, tokens: str, count: int
     starts = firsts.groupBy(group, "_b").agg(
         F.slice(F.flatten(F.transform(in_order, lambda x: x["_head"])), 1, count).alias("_start")
     )
-    starts = materialize(starts)
     ranges = Window.partitionBy(group).orderBy("_b")
     bridge = starts.select(group, "_b", ahead("_start", ranges).alias("_next"))
     rows = rows.withColumn("_near", ahead("_head", inside))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from torquelog.functions import text
@@ -10,12 +10,6 @@ from torquelog.operators.ranking import top_k
 from torquelog.runtime import lookup_join, materialize
 
 
-def _word_counts(keywords: DataFrame, keys: list[str]) -> DataFrame:
-    """Keyword lists read again as single words: (keys..., word, tf)."""
-    words = keywords.select(*keys, F.explode(text.words(F.col("gram"))).alias("word"))
-    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def category_vectors(keywords: DataFrame, group: str, other: str | None = "Other") -> DataFrame:
     """Unit TF-IDF vectors of the keyword documents: (group, n, word, idf, weight).
 
@@ -23,7 +17,8 @@ def category_vectors(keywords: DataFrame, group: str, other: str | None = "Other
     materialised because its document count enters every weight.
     """
     lists = keywords if other is None else keywords.where(F.col(group) != other)
-    counts = materialize(_word_counts(lists, [group, "n"]))
+    words = lists.select(group, "n", F.explode(text.words(F.col("gram"))).alias("word"))
+    counts = materialize(words.groupBy(group, "n", "word").agg(F.count(F.lit(1)).alias("tf")))
     documents = counts.select(group, "n").distinct().count()
     idf = counts.groupBy("word").agg(
         (F.log(F.lit(1 + documents) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
@@ -40,33 +35,33 @@ def closest_category(
 ) -> DataFrame:
     """Best category of each keyword list by cosine: (key, n, group, score).
 
-    Each query word meets only the categories that hold it. Ties go to the alphabetically first
+    ``keywords`` has one row (key, n, keywords) per list, empty lists included. Each query word meets only the categories that hold it. Ties go to the alphabetically first
     category, lists without any shared word to ``unknown`` with score 0.
     """
     entries = vectors.groupBy("word").agg(
         F.first("idf").alias("idf"),
         F.collect_list(F.struct(group, F.col("n").alias("m"), "weight")).alias("entries"),
     )
-    query = _word_counts(keywords, [key, "n"])
+    asked = F.flatten(F.transform("keywords", lambda x: text.words(x["word"])))
+    query = keywords.select(key, "n", F.explode(asked).alias("word"))
+    query = query.groupBy(key, "n", "word").agg(F.count(F.lit(1)).alias("tf"))
     hits = lookup_join(query, entries, ["word"]).withColumn("q", F.col("tf") * F.col("idf"))
-    norms = hits.groupBy(key, "n").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
+    length = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy(key, "n")))
+    hits = hits.withColumn("q", F.col("q") / length)
     dots = (
         hits.select(key, "n", "q", F.inline("entries"))
         .groupBy(key, "n", group, "m")
-        .agg(F.sum(F.col("q") * F.col("weight")).alias("dot"))
-    )
-    scored = dots.join(norms, [key, "n"]).select(
-        key, "n", group, F.round(F.col("dot") / F.col("norm"), 9).alias("score")
+        .agg(F.round(F.sum(F.col("q") * F.col("weight")), 9).alias("score"))
     )
-    best = scored.groupBy(key, "n").agg(
+    best = dots.groupBy(key, "n").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), F.col(group))).alias("b")
     )
-    asked = keywords.select(key, "n").distinct()
-    return asked.join(best, [key, "n"], "left").select(
+    return keywords.join(best, [key, "n"], "left").select(
         key,
         "n",
         F.coalesce(F.col(f"b.{group}"), F.lit(unknown)).alias(group),
         F.round(F.coalesce(-F.col("b.neg"), F.lit(0.0)), 6).alias("score"),
+        "keywords",
     )
 
 

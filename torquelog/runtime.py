@@ -86,17 +86,22 @@ def lookup_join(
     right: DataFrame,
     on: list[str],
     how: str = "inner",
+    ready: bool = False,
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join a large ``left`` to a side that is usually small.
 
-    The right side is broadcast once its size is checked. Beyond the bound the join shuffles, with
-    the left rows of a hot key salted over ``salts`` tasks and the right side repeated per salt.
-    Only the left side is split, so every left-preserving join type stays exact.
+    The right side is materialised, so that checking its size and joining it compute it once; say
+    ``ready`` when it is a stored table. It is broadcast when its size is within the bound. Beyond
+    the bound the join shuffles, with the left rows of a hot key salted over ``salts`` tasks and the
+    right side repeated per salt. Only the left side is split, so every left-preserving join type
+    stays exact.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the left side whole, not for how={how!r}")
+    if not ready:
+        right = materialize(right)
     if fits(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     return salted_join(left, right, on, how, salts)
