@@ -232,15 +232,14 @@ def assigned_sql(span: bool = False) -> str:
 
 
 def records(spark, sf):
-    """Documents as work orders; the rows of one source have no category yet."""
+    """Documents as work orders; the rows of one source stand for those without a category."""
     df = load(spark, sf, "documents", "doc_id")
-    category = F.when(F.col("source") == "src0", "Other").otherwise(F.col("source"))
-    return df.select("doc_id", category.alias("category"), F.col("text").alias("description"))
+    return df.select("doc_id", "source", "text")
 
 
 def assigned(spark, sf, **options):
     return reports.assigned_categories(
-        records(spark, sf), "doc_id", "category", "description", **options
+        records(spark, sf), "doc_id", "source", "text", other="src0", **options
     )
 
 
@@ -270,8 +269,8 @@ def _(spark, sf):
         FROM documents LEFT JOIN (SELECT * FROM assigned WHERE n = 1) a USING (doc_id)""",
 )
 def _(spark, sf):
-    done = reports.relabel(records(spark, sf), assigned(spark, sf), "doc_id", "category")
-    return done.select("doc_id", "category")
+    done = reports.relabel(records(spark, sf), assigned(spark, sf), "doc_id", "source")
+    return done.select("doc_id", F.col("source").alias("category"))
 
 
 @register(

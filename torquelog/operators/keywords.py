@@ -146,7 +146,8 @@ def corpus_weights(df: DataFrame, key: str, tokens: str, n: int = 1) -> DataFram
     rows = counts.select(key, F.inline("counts"))
     records = df.where(F.col(key).isNotNull()).count()
     # the frequencies need no key, so their pass reads the records where they are
-    seen = record_counts(df, [key], tokens, (n,)).select(F.explode("counts.gram").alias("gram"))
+    grams = F.array_distinct(ngrams.ngrams(F.col(tokens), n))
+    seen = df.select(F.explode(grams).alias("gram"))
     idf = seen.groupBy("gram").agg(
         (F.log(F.lit(1 + records) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
     )
