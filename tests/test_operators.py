@@ -18,7 +18,7 @@ from torquelog.operators import (
     vocabulary,
 )
 from torquelog.plans import reports
-from torquelog.runtime import fits, lookup_join, salted_join
+from torquelog.runtime import fits, hot_keys, lookup_join, salted_join
 
 
 def rows(df, *columns):
@@ -92,7 +92,17 @@ def test_salted_join_equals_plain_join(spark, how):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("zz", 4)], "k string, v int")
     want = left.join(right, ["k"], how)
     assert rows(salted_join(left, right, ["k"], how), *want.columns) == rows(want, *want.columns)
-    assert rows(lookup_join(left, right, ["k"], how, max_rows=1), *want.columns) == rows(want, *want.columns)
+    for hot in ([], ['{"k":"hot"}'], ['{"k":"nowhere"}']):
+        got = salted_join(left, right, ["k"], how, hot)
+        assert rows(got, *want.columns) == rows(want, *want.columns)
+    for everything in (False, True):
+        got = lookup_join(left, right, ["k"], how, max_rows=1, salt_all=everything)
+        assert rows(got, *want.columns) == rows(want, *want.columns)
+
+
+def test_hot_keys(spark):
+    df = spark.createDataFrame([(i if i % 3 else 0,) for i in range(3000)], "k int")
+    assert hot_keys(df, ["k"], sample=1.0) == ['{"k":0}']
 
 
 def test_lookup_join_refuses_other_kinds(spark):
@@ -370,7 +380,7 @@ def test_phone_cases_and_notes_without_part(spark):
 def test_group_text_pieces_join_to_the_whole(spark):
     data = [(i, "A" if i % 3 else "b", f"t{i}") for i in range(50)] + [(60, "b", " "), (61, None, "x")]
     df = spark.createDataFrame(data, "id int, g string, t string")
-    pieces = reports.group_text(df, "g", "id", "t").orderBy("g", "piece").collect()
+    pieces = reports.group_text(df, "g", "id", "t", span=7).orderBy("g", "piece").collect()
     for g in ("a", "b"):
         whole = " ".join(r["text"] for r in pieces if r["g"] == g)
         assert whole == " ".join(t for _, name, t in data if name and name.lower() == g and t.strip())

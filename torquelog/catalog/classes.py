@@ -20,8 +20,7 @@ from torquelog.runtime import load
        FROM documents WHERE trim(text) <> '' GROUP BY ALL""",
 )
 def _(spark, sf):
-    piece = F.expr("doc_id div 500")
-    df = reports.group_text(load(spark, sf, "documents"), "source", "doc_id", "text", piece)
+    df = reports.group_text(load(spark, sf, "documents"), "source", "doc_id", "text", span=500)
     return df.withColumn("text", F.md5("text"))
 
 

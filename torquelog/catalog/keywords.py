@@ -9,7 +9,7 @@ from torquelog.catalog.registry import register
 from torquelog.functions import ngrams, text
 from torquelog.operators import keywords, similarity
 from torquelog.plans import reports
-from torquelog.runtime import load, materialize
+from torquelog.runtime import load
 
 
 def tokens(spark, sf, *keep):
@@ -282,7 +282,7 @@ def _(spark, sf):
         FROM assigned GROUP BY doc_id""",
 )
 def _(spark, sf):
-    matrix = reports.keyword_matrix(materialize(assigned(spark, sf)), "doc_id")
+    matrix = reports.keyword_matrix(assigned(spark, sf), "doc_id")
     return matrix.select(
         "doc_id",
         *[shown(f"keywords_{n}").alias(f"keywords_{n}") for n in (1, 2, 3)],

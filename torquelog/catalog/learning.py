@@ -10,13 +10,13 @@ from torquelog.catalog.registry import register
 from torquelog.functions import ngrams
 from torquelog.operators import classes, learning, metrics
 from torquelog.operators.ranking import stratified_split
-from torquelog.runtime import load, materialize, scratch_path
+from torquelog.runtime import load, scratch_path
 
 
 def training_set(spark, sf):
     """Documents in the role of solution texts; their language is the system to predict."""
     df = load(spark, sf, "documents", "doc_id").select("doc_id", "lang", "source", "text")
-    return materialize(stratified_split(df, "doc_id", "lang"))
+    return stratified_split(df, "doc_id", "lang")
 
 
 def rows_of(df, split: str):
@@ -48,7 +48,7 @@ def _(spark, sf):
     tokens = ngrams.keyword_tokens(F.col("text"))
     df = load(spark, sf, "documents", "doc_id").select("doc_id", "lang", tokens.alias("tokens"))
     df = df.select("doc_id", "lang", F.array_join("tokens", " ").alias("keywords"))
-    df = materialize(stratified_split(df, "doc_id", "lang"))
+    df = stratified_split(df, "doc_id", "lang")
     model = learning.train(
         rows_of(df, "train"), "keywords", "lang", "logistic", stop=False, maxIter=50
     )

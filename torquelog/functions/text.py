@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ ASCII_PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 PUNCTUATION = ASCII_PUNCTUATION.replace("'", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _delete(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
@@ -262,11 +267,13 @@ def language(text: Column, profiles: Mapping[str, list[str]] = lexicons.LANGUAGE
 
     Ties go to the alphabetically first language.
     """
-    tokens = words(text)
 
-    def score(name: str) -> Column:
+    def score(tokens: Column, name: str) -> Column:
         hits = F.size(F.filter(tokens, lambda t: t.isin(profiles[name])))
         return F.struct((-hits).alias("misses"), F.lit(name).alias("lang"))
 
-    best = F.array_min(F.array(*[score(name) for name in sorted(profiles)]))
-    return F.when(best["misses"] < 0, best["lang"])
+    def best(tokens: Column) -> Column:
+        return F.array_min(F.array(*[score(tokens, name) for name in sorted(profiles)]))
+
+    winner = let(words(text), best)
+    return let(winner, lambda b: F.when(b["misses"] < 0, b["lang"]))

@@ -140,7 +140,7 @@ def enrich(
         F.count(F.lit(1)).alias("uses")
     )
     index = top_k(uses, ["gram"], [F.desc("uses"), F.col(resource)], k)
-    return lookup_join(keywords.select(key, "gram"), index, ["gram"]).select(
+    return lookup_join(keywords.select(key, "gram"), index, ["gram"], salt_all=True).select(
         key, "gram", resource, "uses", "rank"
     )
 
@@ -151,6 +151,6 @@ def gazetteer(df: DataFrame, key: str, tokens: str, entries: DataFrame, sizes: t
         F.count(F.lit(1)).alias("mentions")
     )
     dim = entries.select(F.col("entity").alias("gram"), "kind").distinct()
-    return lookup_join(grams, dim, ["gram"]).select(
+    return lookup_join(grams, dim, ["gram"], salt_all=True).select(
         key, F.col("gram").alias("entity"), "kind", "mentions"
     )

@@ -63,7 +63,7 @@ def upsample(
     ``hash(label, i, seed) mod rows``, so the result is the same on every run. Only classes below
     ``least`` rows are numbered, so no window holds more rows than that.
     """
-    sizes = class_counts(df, label)
+    sizes = materialize(class_counts(df, label))
     small = sizes.where(F.col("rows") < least)
     large = sizes.where(F.col("rows") >= least)
     majority = only(df, large, [label])
@@ -89,7 +89,7 @@ def neighbour_pairs(
     task compares one pair of blocks with a matrix product and keeps ``k`` per row, and the partial
     lists merge per row. No pair of rows is ever written out beyond those lists.
     """
-    sizes = class_counts(df, label).withColumn(
+    sizes = class_counts(df, label).select(label, "rows").withColumn(
         "blocks", F.ceil(F.col("rows") / block_rows).cast("int")
     )
     rows = lookup_join(df.select(key, label, vector), sizes, [label]).withColumn(
@@ -147,7 +147,8 @@ def smote(
     numbers. Classes of one row have no neighbour and are left as they are. The largest class, the
     hot one, needs no draws, so its rows are never compared.
     """
-    sizes = class_counts(df.where(F.col(label).isNotNull()), label).where(F.col("rows") > 1)
+    sizes = materialize(class_counts(df.where(F.col(label).isNotNull()), label))
+    sizes = sizes.where(F.col("rows") > 1)
     limits = sizes.agg(F.max("rows"), F.min("rows")).first()
     if limits[0] is None:
         return df.select(label, F.lit(0).alias("draw"), vector).limit(0)

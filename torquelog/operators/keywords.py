@@ -151,7 +151,7 @@ def corpus_weights(df: DataFrame, key: str, tokens: str, n: int = 1) -> DataFram
     idf = seen.groupBy("gram").agg(
         (F.log(F.lit(1 + records) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
     )
-    raw = lookup_join(rows, idf, ["gram"]).withColumn("w", -F.col("neg") * F.col("idf"))
+    raw = lookup_join(rows, idf, ["gram"], salt_all=True).withColumn("w", -F.col("neg") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "gram", (F.col("w") / length).alias("weight"))
 

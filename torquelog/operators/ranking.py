@@ -46,7 +46,7 @@ def random_split(df: DataFrame, key: str, parts: int = 5, seed: int = 42) -> Dat
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
-def row_numbers(df: DataFrame, group: str, order: Column, tie: str, pieces: int = 256) -> DataFrame:
+def row_numbers(df: DataFrame, group: str, order: Column, tie: str, pieces: int = 4096) -> DataFrame:
     """``row_number`` per group by a hash in [0, 2^32), without one task per group.
 
     The hash range is cut into ``pieces``; rows are numbered inside (group, piece) and shifted by the
@@ -70,13 +70,37 @@ def row_numbers(df: DataFrame, group: str, order: Column, tie: str, pieces: int
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42
+    df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42,
+    pieces: int = 4096,
 ) -> DataFrame:
-    """Column ``split`` with exactly ``round(share * rows)`` test rows in every class."""
-    numbered = row_numbers(df.where(F.col(label).isNotNull()), label, hash_share(key, seed), key)
-    wanted = F.floor(F.col("group_rows") * test_share + 0.5)
-    split = F.when(F.col("row_number") <= wanted, "test").otherwise("train")
-    return numbered.withColumn("split", split).drop("row_number", "group_rows")
+    """Column ``split`` with exactly ``round(share * rows)`` test rows in every class.
+
+    The test rows of a class are those with the smallest key hashes. A histogram of the hashes tells
+    in which piece of the hash range a class's last test row lies; only the rows of that piece are
+    ordered, to find that row. The split itself compares each row with it and shuffles nothing.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    hashed = rows.select(F.col(label), F.col(key), hash_share(key, seed).alias("_h")).withColumn(
+        "_p", F.floor(F.col("_h") / (2**32 // pieces)).cast("int")
+    )
+    sizes = hashed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    up_to = Window.partitionBy(label).orderBy("_p")
+    wanted = F.floor(F.sum("_c").over(Window.partitionBy(label)) * test_share + 0.5)
+    placed = sizes.select(
+        label, "_p", (F.sum("_c").over(up_to) - F.col("_c")).alias("_before"), "_c",
+        wanted.alias("_wanted"),
+    )
+    last = placed.where("_before < _wanted and _wanted <= _before + _c").select(
+        label, "_p", (F.col("_wanted") - F.col("_before")).alias("_need")
+    )
+    inside = Window.partitionBy(label, "_p").orderBy("_h", key)
+    edge = lookup_join(hashed, last, [label, "_p"]).withColumn("_r", F.row_number().over(inside))
+    cuts = edge.where("_r = _need").select(
+        label, F.struct(F.col("_h"), F.col(key).alias("_k")).alias("_cut")
+    )
+    mine = F.struct(hash_share(key, seed).alias("_h"), F.col(key).alias("_k"))
+    split = F.when(mine <= F.col("_cut"), "test").otherwise("train")
+    return lookup_join(rows, cuts, [label], "left").withColumn("split", split).drop("_cut")
 
 
 def following_heads(df: DataFrame, group: str, key: str, tokens: str, count: int) -> DataFrame:

@@ -45,7 +45,7 @@ def closest_category(
     asked = F.flatten(F.transform("keywords", lambda x: text.words(x["word"])))
     query = keywords.select(key, "n", F.explode(asked).alias("word"))
     query = query.groupBy(key, "n", "word").agg(F.count(F.lit(1)).alias("tf"))
-    hits = lookup_join(query, entries, ["word"]).withColumn("q", F.col("tf") * F.col("idf"))
+    hits = lookup_join(query, entries, ["word"], salt_all=True).withColumn("q", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy(key, "n")))
     hits = hits.withColumn("q", F.col("q") / length)
     dots = (

@@ -75,10 +75,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` is proven small enough to broadcast. Reads at most ``max_rows + 1`` rows."""
-    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
-    rows, used = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    return rows <= max_rows and used <= max_bytes
+    """True when ``df`` is proven small enough to broadcast. Counts first, sizes only if few."""
+    if df.count() > max_rows:
+        return False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    return (size or 0) <= max_bytes
 
 
 def lookup_join(
@@ -88,15 +89,16 @@ def lookup_join(
     how: str = "inner",
     ready: bool = False,
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    salt_all: bool = False,
 ) -> DataFrame:
     """Equi-join a large ``left`` to a side that is usually small.
 
     The right side is materialised, so that checking its size and joining it compute it once; say
     ``ready`` when it is a stored table. It is broadcast when its size is within the bound. Beyond
-    the bound the join shuffles, with the left rows of a hot key salted over ``salts`` tasks and the
-    right side repeated per salt. Only the left side is split, so every left-preserving join type
-    stays exact.
+    the bound the join shuffles and salts the left rows: those of hot keys, or with ``salt_all``
+    those of every key, for a left side so much larger (words of a corpus against a vocabulary) that
+    repeating the right side costs less than another look at the left one. Only the left side is
+    split, so every left-preserving join type stays exact.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the left side whole, not for how={how!r}")
@@ -104,15 +106,41 @@ def lookup_join(
         right = materialize(right)
     if fits(right, max_rows):
         return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, how, salts)
+    return salted_join(left, right, on, how, None if salt_all else hot_keys(left, on))
+
+
+def hot_keys(df: DataFrame, on: list[str], share: float = 0.005, sample: float = 0.01) -> list:
+    """Keys that hold about ``share`` of the rows or more, by a sample; at most ``2 / share``.
+
+    A missed key costs time, never rows: the salted join is exact for any choice of hot keys.
+    """
+    keys = F.to_json(F.struct(*on))
+    counted = df.sample(sample, seed=42).groupBy(keys.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(10, int(total * share))
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n")).limit(int(2 / share))
+    return [row["k"] for row in top.collect()]
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    hot: list | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffle join whose hot left keys are spread over ``salts`` partitions."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Shuffle join with the rows of the ``hot`` keys (None: of all keys) spread over partitions."""
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is not None:
+        if not hot:
+            return left.join(right, on, how)
+        is_hot = F.to_json(F.struct(*on)).isin(hot)
+        salt = F.when(is_hot, salt).otherwise(F.lit(0))
+        every = F.when(is_hot, every).otherwise(F.array(F.lit(0)))
+    salted = left.withColumn("_salt", salt)
+    repeated = right.withColumn("_salt", F.explode(every))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
