@@ -107,9 +107,9 @@ def _(spark, sf):
     df = load(spark, sf, "documents", "doc_id")
     return df.select(
         "doc_id",
-        F.size(text.words(F.col("text"))).alias("words"),
+        F.size(text.words(F.col("text"))).cast("long").alias("words"),
         F.md5(F.array_join(text.words(F.col("text")), " ")).alias("word_text"),
-        F.size(text.pieces(F.col("text"))).alias("pieces"),
+        F.size(text.pieces(F.col("text"))).cast("long").alias("pieces"),
     )
 
 

@@ -111,8 +111,35 @@ def _(spark, sf):
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
-@register("smote_balanced", "M6 U2")
+PICK = "CAST(('0x' || substr(md5({} || '-{}'), 1, 8)) AS BIGINT)"
+
+
+@register(
+    "smote_balanced",
+    "M6 U2",
+    f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        p AS (SELECT a.vec_id, b.vec_id AS neighbour,
+                row_number() OVER (PARTITION BY a.vec_id
+                  ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id) AS rank
+              FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY rank <= 5),
+        h AS (SELECT vec_id, count(*) AS have FROM p GROUP BY vec_id),
+        c AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+        m AS (SELECT label, n, (SELECT max(n) FROM c) - n AS missing FROM c),
+        r AS (SELECT vec_id, label, n, missing, row_number() OVER (PARTITION BY label
+                ORDER BY {PICK.format("CAST(vec_id AS VARCHAR)", 42)}, vec_id) AS rn
+              FROM e JOIN m USING (label) WHERE missing > 0),
+        t AS (SELECT *, unnest(generate_series(1, missing // n + CASE WHEN rn <= missing % n THEN 1 ELSE 0 END))
+              AS turn FROM r),
+        d AS (SELECT *, rn + (turn - 1) * n AS draw, CAST(vec_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id
+              FROM t),
+        k AS (SELECT d.*, {PICK.format("id", 42)} % have + 1 AS rank,
+                {PICK.format("id", 43)} / 4294967296.0 AS share FROM d JOIN h USING (vec_id))
+        SELECT k.label, CAST(draw AS BIGINT) AS draw, k.vec_id, p.neighbour,
+          round(list_sum(a.v) + (list_sum(b.v) - list_sum(a.v)) * share, 6) AS total
+        FROM k JOIN p ON k.vec_id = p.vec_id AND k.rank = p.rank
+        JOIN e a ON a.vec_id = k.vec_id JOIN e b ON b.vec_id = p.neighbour""",
+)
 def _(spark, sf):
-    df = vectors(spark, sf)
-    made = classes.smote(df, "vec_id", "label", "v", k=5)
-    return made.select("label", "draw", "vec_id", "neighbour", F.size("v").alias("dims"))
+    made = classes.smote(vectors(spark, sf), "vec_id", "label", "v", k=5)
+    total = F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6)
+    return made.select("label", "draw", "vec_id", "neighbour", total.alias("total"))

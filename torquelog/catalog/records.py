@@ -59,7 +59,7 @@ def _(spark, sf):
         "p_partkey",
         "part_info",
         F.array_join("keywords", " ").alias("keywords"),
-        F.size("keywords").alias("n"),
+        F.size("keywords").cast("long").alias("n"),
     )
 
 

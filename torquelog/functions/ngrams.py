@@ -10,7 +10,9 @@ from torquelog.functions import lexicons, text
 
 def keyword_tokens(value: Column) -> Column:
     """Word tokens without keyword stop words: the tokens n-grams are formed from."""
-    return F.filter(text.words(value), lambda t: ~t.isin(lexicons.STOP_KEYWORDS))
+    return text.each(
+        "filter", text.words(value), f"t NOT IN {text.literals(lexicons.STOP_KEYWORDS)}"
+    )
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -41,6 +41,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def literal(value: str) -> str:
+    """A string as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values: Iterable[str]) -> str:
+    """A list of strings as the right side of ``IN``; at least one literal, so never empty."""
+    return "(" + ", ".join(literal(v) for v in [*values] or [""]) + ")"
+
+
+def each(function: str, tokens: Column, body: str) -> Column:
+    """``filter`` or ``transform`` over an array with a SQL lambda on ``t``.
+
+    Word lists of hundreds of entries go to the parser as one text; building them literal by literal
+    costs more than the query itself on small inputs. ``IN`` of a long list is a hash lookup.
+    """
+    return F.call_function(function, tokens, F.expr(f"t -> {body}"))
+
+
 def _delete(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
@@ -106,23 +125,26 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
+def keep_listed(tokens: Column, listed: Iterable[str]) -> Column:
+    """Tokens that are in ``listed``, in their order."""
+    return each("filter", tokens, f"t IN {literals(listed)}")
+
+
 def drop_words(tokens: Column, stop: Iterable[str]) -> Column:
-    """Tokens whose lower-case form is not in ``stop`` (a hash lookup per token)."""
-    stop = list(stop)
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(stop))
+    """Tokens whose lower-case form is not in ``stop``."""
+    return each("filter", tokens, f"lower(t) NOT IN {literals(stop)}")
 
 
-def replace_words(tokens: Column, table: Mapping[str, str], lower: bool = False) -> Column:
-    """Replace tokens found in a small dictionary. For a dictionary table see ``expand_words``."""
-    pairs = {k: v for k, v in table.items() if k}
-    keys = list(pairs)
-    lookup = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+def _swap(table: Mapping[str, str], token: str) -> str:
+    """SQL: the table's value for a token, else null. The map is read only on a hit."""
+    entries = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items())
+    return f"WHEN {token} IN {literals(table)} THEN element_at(map({entries}), {token})"
 
-    def swap(token: Column) -> Column:
-        probe = F.lower(token) if lower else token
-        return F.when(probe.isin(keys), lookup[probe]).otherwise(token)
 
-    return F.transform(tokens, swap)
+def replace_words(tokens: Column, table: Mapping[str, str]) -> Column:
+    """Replace tokens found in a small dictionary. For a dictionary table see ``expand_words``."""
+    entries = {k: v for k, v in table.items() if k}
+    return each("transform", tokens, f"CASE {_swap(entries, 't')} ELSE t END") if entries else tokens
 
 
 def _join(tokens: Column) -> Column:
@@ -152,19 +174,23 @@ LEMMA_RULES = (
 )
 
 
-def lemma(token: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Column:
-    """Dictionary lemma of a lower-case token, else the first suffix rule that fits."""
-    keys = list(table)
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    result = F.when(token.isin(keys), lookup[token])
-    for ending, pattern, replacement in LEMMA_RULES:
-        fits = token.endswith(ending) & token.rlike(pattern)  # the cheap test spares the pattern
-        result = result.when(fits, F.regexp_replace(token, pattern, replacement))
-    return result.otherwise(token)
+def _lemma(token: str, table: Mapping[str, str]) -> str:
+    cases = [_swap(table, token)]
+    for ending, pattern, replacement in LEMMA_RULES:  # the cheap test spares the pattern
+        cases.append(
+            f"WHEN endswith({token}, {literal(ending)}) AND {token} RLIKE {literal(pattern)} "
+            f"THEN regexp_replace({token}, {literal(pattern)}, {literal(replacement)})"
+        )
+    return f"CASE {' '.join(cases)} ELSE {token} END"
+
+
+def lemmas(tokens: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Column:
+    """Dictionary lemma of each lower-case token, else the first suffix rule that fits."""
+    return each("transform", tokens, _lemma("t", table))
 
 
 def lemmatize(text: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Column:
-    return _join(F.transform(split_space(text), lambda t: lemma(t, table)))
+    return _join(lemmas(split_space(text), table))
 
 
 VERB_SUFFIX = r"^\p{L}{2,}(ing|ed|ize|ify)$"
@@ -178,12 +204,11 @@ def part_of_speech(
 ) -> Column:
     """Struct of ``actions`` (verbs) and ``observations`` (nouns), by lexicon, then by suffix."""
     verbs, nouns = list(verbs), list(nouns)
-    known = verbs + nouns
+    known = literals(verbs + nouns)
 
     def pick(listed: list[str], suffix: str) -> Column:
-        return F.filter(
-            tokens, lambda t: t.isin(listed) | (~t.isin(known) & t.rlike(suffix))
-        )
+        guess = f"t NOT IN {known} AND t RLIKE {literal(suffix)}"
+        return each("filter", tokens, f"t IN {literals(listed)} OR ({guess})")
 
     return F.struct(
         pick(verbs, VERB_SUFFIX).alias("actions"), pick(nouns, NOUN_SUFFIX).alias("observations")
@@ -221,18 +246,13 @@ def _finish(tokens: Column, stop: Iterable[str], lemmas: bool) -> Column:
         for word, full in _one_pass(lexicons.ACRONYMS, lexicons.CONTRACTIONS).items()
     }
     swapped = replace_words(tokens, table)
-    kept = F.filter(swapped, lambda t: (t != "") & ~F.lower(t).isin(stop))
+    kept = each("filter", swapped, f"t <> '' AND lower(t) NOT IN {literals(stop)}")
     if not lemmas:
         return _join(kept)
     # an expansion of several words is one element so far; its words are lemmatised one by one
-    return _join(
-        F.transform(
-            kept,
-            lambda t: F.when(
-                t.contains(" "), _join(F.transform(F.split(t, " "), lambda w: lemma(w)))
-            ).otherwise(lemma(t)),
-        )
-    )
+    single, inner = _lemma("t", lexicons.LEMMAS), _lemma("w", lexicons.LEMMAS)
+    several = f"array_join(transform(split(t, ' '), w -> {inner}), ' ')"
+    return _join(each("transform", kept, f"IF(contains(t, ' '), {several}, {single})"))
 
 
 def valid_serial(value: Column) -> Column:
@@ -253,8 +273,7 @@ def bare_code(code: Column) -> Column:
 
 def attach_code_prefix(tokens: Column, bare_codes: Iterable[str]) -> Column:
     """Put the ``E`` back in front of tokens that are bare error numbers."""
-    bare_codes = list(bare_codes)
-    return F.transform(tokens, lambda t: F.when(t.isin(bare_codes), F.concat(F.lit("E"), t)).otherwise(t))
+    return each("transform", tokens, f"IF(t IN {literals(bare_codes)}, concat('E', t), t)")
 
 
 def blank(text: Column) -> Column:
@@ -269,7 +288,7 @@ def language(text: Column, profiles: Mapping[str, list[str]] = lexicons.LANGUAGE
     """
 
     def score(tokens: Column, name: str) -> Column:
-        hits = F.size(F.filter(tokens, lambda t: t.isin(profiles[name])))
+        hits = F.size(keep_listed(tokens, profiles[name]))
         return F.struct((-hits).alias("misses"), F.lit(name).alias("lang"))
 
     def best(tokens: Column) -> Column:
