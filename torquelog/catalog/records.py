@@ -9,7 +9,7 @@ from torquelog.catalog.registry import register
 from torquelog.functions import lexicons, text
 from torquelog.operators import joins, records, vocabulary
 from torquelog.operators.ranking import first_per_key
-from torquelog.runtime import load, materialize, scratch_path
+from torquelog.runtime import load, scratch_path
 from torquelog.sources import files
 
 # ---------------------------------------------------------------------------------------- sources
@@ -315,7 +315,7 @@ def _(spark, sf):
         "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"),
         text.words(F.col("text")).alias("tokens"),
     )
-    words = materialize(asset_vocabulary(spark, sf))
+    words = asset_vocabulary(spark, sf)
     bare = vocabulary.bare_error_codes(vocabulary.error_codes(error_lists(spark, sf), "Error Code"))
     kept = vocabulary.correct_codes(df, "id", "tokens", words, bare)
     return kept.select("conv_id", "turn", F.array_join("tokens", " ").alias("kept"))
@@ -346,30 +346,31 @@ def _(spark, sf):
     )
 
 
+# DuckDB's levenshtein counts bytes, so the check gives every accented letter one byte first.
+ACCENTED = "áéíóúàèìòùâêîôûäëïöüãõñçßæœ"
+ONE_BYTE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*"
+
+
 @register(
     "similar_words",
     "T18",
-    f"""WITH a AS (SELECT DISTINCT unnest(list_filter({sql.words("text")},
-              lambda t: regexp_full_match(t, '[a-z]+'))) AS word FROM benchmark),
-        v AS (SELECT match FROM (SELECT unnest(list_filter({sql.words("text")},
-              lambda t: regexp_full_match(t, '[a-z]+'))) AS match FROM documents)
+    f"""WITH a AS (SELECT DISTINCT unnest({sql.words("text")}) AS word FROM benchmark),
+        v AS (SELECT match FROM (SELECT unnest({sql.words("text")}) AS match FROM documents)
               GROUP BY match HAVING count(*) >= 5),
-        s AS (SELECT word, match, 1 - levenshtein(word, match) / greatest(length(word), length(match))
-              AS score FROM a JOIN v ON abs(length(word) - length(match)) <= 0.2 * greatest(length(word), length(match)) + 1),
+        s AS (SELECT word, match, 1 - levenshtein(translate(word, '{ACCENTED}', '{ONE_BYTE}'),
+                translate(match, '{ACCENTED}', '{ONE_BYTE}')) / greatest(length(word), length(match)) AS score
+              FROM a JOIN v
+              ON abs(length(word) - length(match)) <= 0.2 * greatest(length(word), length(match)) + 1),
         r AS (SELECT word, match, round(score, 6) AS score,
               row_number() OVER (PARTITION BY word ORDER BY round(score, 6) DESC, match) AS rank
               FROM s WHERE round(score, 6) >= 0.8)
         SELECT word, match, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""",
 )
 def _(spark, sf):
-    def plain(table, key):
-        tokens = F.filter(text.words(F.col("text")), lambda t: t.rlike("^[a-z]+\\z"))
-        return load(spark, sf, table, key), tokens
-
-    asked, asked_tokens = plain("benchmark", "item_id")
-    corpus, corpus_tokens = plain("documents", "doc_id")
-    words = asked.select(F.explode(asked_tokens).alias("word"))
-    known = materialize(vocabulary.frequent_words(corpus, corpus_tokens))
+    asked = load(spark, sf, "benchmark", "item_id")
+    words = asked.select(F.explode(text.words(F.col("text"))).alias("word"))
+    corpus = load(spark, sf, "documents", "doc_id")
+    known = vocabulary.frequent_words(corpus, text.words(F.col("text")))
     return vocabulary.similar_words(words, known, 0.8, 3)
 
 

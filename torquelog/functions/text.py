@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from torquelog.functions import lexicons
 
+# The patterns below say what each cleaning step deletes or keeps.
 # Unicode white space, spelled out because \s is ASCII-only in the regex engine.
 SPACE = (
     r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
