@@ -124,10 +124,11 @@ def test_ngrams(spark, n):
     ]
 
 
-def test_phrases_hold_stop_words(spark):
+@pytest.mark.parametrize("scan", [0, 200])
+def test_phrases_hold_stop_words(spark, scan):
     got = run(
         spark,
-        lambda c: ngrams.matched_phrases(text.words(c), ["by phone", "phone", "phone call"]),
+        lambda c: ngrams.matched_phrases(text.words(c), ["by phone", "phone", "phone call"], scan),
         "Resolved by phone.", "phones by call", "a phone call",
     )
     assert got == [["by phone", "phone"], [], ["phone", "phone call"]]

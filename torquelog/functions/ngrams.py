@@ -40,9 +40,21 @@ def all_ngrams(tokens: Column, sizes: tuple[int, ...]) -> Column:
     )
 
 
-def matched_phrases(tokens: Column, phrases: list[str]) -> Column:
-    """Phrases that occur in the token array, sorted."""
-    sizes = sorted({len(p.split(" ")) for p in phrases})
+def matched_phrases(tokens: Column, phrases: list[str], scan: int = 200) -> Column:
+    """Phrases that occur as whole tokens in the token array, sorted.
+
+    A short phrase list is searched in the joined text; a long one is intersected with the n-grams,
+    whose cost does not depend on the number of phrases.
+    """
+    ordered = sorted(set(phrases))
+    if len(ordered) <= scan:
+        wanted = F.split(F.lit("\n".join(ordered)), "\n")
+
+        def search(padded: Column) -> Column:
+            return F.filter(wanted, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))
+
+        return text.let(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), search)
+    sizes = sorted({len(p.split(" ")) for p in ordered})
     grams = F.flatten(F.array(*[ngrams(tokens, n) for n in sizes]))
-    wanted = F.array(*[F.lit(p) for p in sorted(set(phrases))])
+    wanted = F.split(F.lit("\n".join(ordered)), "\n")
     return F.sort_array(F.array_intersect(wanted, grams))

@@ -37,16 +37,16 @@ def code_cooccurrence(df: DataFrame, group: str, code: str, least: int = 1) -> D
     """Code pairs seen in the same group: (code_a, code_b, groups, lift), code_a < code_b.
 
     Groups shrink to their distinct codes first, so a hot group is bounded by the code list, and
-    pairs are counted inside the task that forms them.
+    pairs are counted inside the task that forms them. A code in fewer than ``least`` groups cannot
+    be in a counted pair and is left out before pairs are formed.
     """
-    sets = df.where(F.col(code).isNotNull()).groupBy(group).agg(
-        F.array_sort(F.collect_set(code)).alias("codes")
-    )
-    sets = materialize(sets)
-    total = sets.count()
-    single = sets.select(F.explode("codes").alias("code")).groupBy("code").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    seen = df.where(F.col(code).isNotNull()).select(group, F.col(code).alias("code"))
+    codes = materialize(seen.distinct())
+    total = codes.select(group).distinct().count()
+    single = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    single = materialize(single)
+    kept = lookup_join(codes, single.select("code"), ["code"], "left_semi", ready=True)
+    sets = kept.groupBy(group).agg(F.sort_array(F.collect_set("code")).alias("codes"))
     rest = F.transform(
         F.col("codes"),
         lambda c, i: F.struct(
@@ -54,7 +54,8 @@ def code_cooccurrence(df: DataFrame, group: str, code: str, least: int = 1) -> D
         ),
     )
     pairs = (
-        sets.select(F.inline(rest))
+        once(sets, "codes", F.col("codes"))
+        .select(F.inline(rest))
         .select("code_a", F.explode("later").alias("code_b"))
         .groupBy("code_a", "code_b")
         .agg(F.count(F.lit(1)).alias("groups"))
@@ -62,7 +63,7 @@ def code_cooccurrence(df: DataFrame, group: str, code: str, least: int = 1) -> D
     )
     a = single.select(F.col("code").alias("code_a"), F.col("n").alias("n_a"))
     b = single.select(F.col("code").alias("code_b"), F.col("n").alias("n_b"))
-    joined = lookup_join(lookup_join(pairs, a, ["code_a"]), b, ["code_b"])
+    joined = lookup_join(lookup_join(pairs, a, ["code_a"], ready=True), b, ["code_b"], ready=True)
     lift = F.col("groups") * F.lit(total) / (F.col("n_a") * F.col("n_b"))
     return joined.select("code_a", "code_b", "groups", F.round(lift, 6).alias("lift"))
 
@@ -145,12 +146,13 @@ def enrich(
     )
 
 
-def gazetteer(df: DataFrame, key: str, tokens: str, entries: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+def gazetteer(
+    df: DataFrame, key: str, tokens: str, entries: DataFrame, sizes: tuple[int, ...]
+) -> DataFrame:
     """Dictionary entities in text: (key, entity, kind, mentions)."""
-    grams = gram_rows(df.select(key, tokens), [key], tokens, sizes).groupBy(key, "gram").agg(
-        F.count(F.lit(1)).alias("mentions")
-    )
+    grams = gram_rows(df.select(key, tokens), [key], tokens, sizes)
     dim = entries.select(F.col("entity").alias("gram"), "kind").distinct()
-    return lookup_join(grams, dim, ["gram"], salt_all=True).select(
-        key, F.col("gram").alias("entity"), "kind", "mentions"
+    found = lookup_join(grams, dim, ["gram"], salt_all=True)
+    return found.groupBy(key, F.col("gram").alias("entity"), "kind").agg(
+        F.count(F.lit(1)).alias("mentions")
     )

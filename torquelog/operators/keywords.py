@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from torquelog.functions import ngrams
+from torquelog.functions import ngrams, text
 from torquelog.operators.ranking import following_heads, top_k
 from torquelog.runtime import by_key, lookup_join, once
 
@@ -37,22 +37,14 @@ def group_keywords(
     longest = max(sizes)
     if span_rows and longest > 1:
         rows = following_heads(df.select(group, key, tokens), group, key, tokens, longest - 1)
-        per_size = F.array(
-            *[
-                F.struct(
-                    F.lit(n).alias("n"),
-                    (F.concat(F.col(tokens), F.slice("_tail", 1, n - 1)) if n > 1 else F.col(tokens))
-                    .alias("_t"),
-                )
-                for n in sizes
-            ]
-        )
-        rows = rows.select(group, F.inline(per_size))
-        choose = None
-        for n in sizes:
-            made = ngrams.ngrams(F.col("_t"), n)
-            choose = F.when(F.col("n") == n, made) if choose is None else choose.when(F.col("n") == n, made)
-        grams = rows.select(group, "n", F.explode(choose).alias("gram"))
+
+        def made(n: int) -> Column:
+            read_on = F.concat(F.col(tokens), F.slice("_tail", 1, n - 1)) if n > 1 else F.col(tokens)
+            grams = text.let(read_on, lambda t: ngrams.ngrams(t, n))
+            return F.struct(F.lit(n).alias("n"), grams.alias("grams"))
+
+        rows = rows.select(group, F.inline(F.array(*[made(n) for n in sizes])))
+        grams = rows.select(group, "n", F.explode("grams").alias("gram"))
     else:
         grams = gram_rows(df, [group], tokens, sizes)
     counts = grams.groupBy(group, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))

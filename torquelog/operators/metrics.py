@@ -18,33 +18,36 @@ def _ratio(a, b):
 
 def _per_class(df: DataFrame, label: str, prediction: str, labels: DataFrame | None) -> DataFrame:
     cells = confusion(df, label, prediction)
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("rows")).otherwise(0)
     # each cell counts for its label's row total and its prediction's column total
     sides = cells.select(
         F.inline(
             F.array(
                 F.struct(
                     F.col("label"),
-                    F.when(F.col("label") == F.col("prediction"), F.col("rows")).otherwise(0).alias("hit"),
+                    hit.alias("hit"),
                     F.col("rows").alias("actual"),
-                    F.lit(0).cast("long").alias("predicted"),
+                    zero.alias("predicted"),
                 ),
                 F.struct(
                     F.col("prediction").alias("label"),
-                    F.lit(0).cast("long").alias("hit"),
-                    F.lit(0).cast("long").alias("actual"),
+                    zero.alias("hit"),
+                    zero.alias("actual"),
                     F.col("rows").alias("predicted"),
                 ),
             )
         )
     )
     if labels is not None:
-        zero = F.lit(0).cast("long")
         named = labels.select(
             labels.columns[0], zero.alias("hit"), zero.alias("actual"), zero.alias("predicted")
         ).toDF("label", "hit", "actual", "predicted")
         sides = sides.unionByName(named)
     sums = sides.where(F.col("label").isNotNull()).groupBy("label").agg(
-        F.sum("hit").alias("hit"), F.sum("actual").alias("support"), F.sum("predicted").alias("predicted")
+        F.sum("hit").alias("hit"),
+        F.sum("actual").alias("support"),
+        F.sum("predicted").alias("predicted"),
     )
     precision = _ratio(F.col("hit"), F.col("predicted"))
     recall = _ratio(F.col("hit"), F.col("support"))

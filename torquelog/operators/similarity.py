@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ def closest_category(
 ) -> DataFrame:
     """Best category of each keyword list by cosine: (key, n, group, score).
 
-    ``keywords`` has one row (key, n, keywords) per list, empty lists included. Each query word meets only the categories that hold it. Ties go to the alphabetically first
-    category, lists without any shared word to ``unknown`` with score 0.
+    ``keywords`` has one row (key, n, keywords) per list, empty lists included. Each query word meets
+    only the categories that hold it. Ties go to the alphabetically first category, lists without any
+    shared word to ``unknown`` with score 0. Partition ``keywords`` by key before (``by_key``): the
+    word counts, the lengths and the scores of a record then need no further exchange.
     """
     entries = vectors.groupBy("word").agg(
         F.first("idf").alias("idf"),
@@ -45,7 +49,8 @@ def closest_category(
     asked = F.flatten(F.transform("keywords", lambda x: text.words(x["word"])))
     query = keywords.select(key, "n", F.explode(asked).alias("word"))
     query = query.groupBy(key, "n", "word").agg(F.count(F.lit(1)).alias("tf"))
-    hits = lookup_join(query, entries, ["word"], salt_all=True).withColumn("q", F.col("tf") * F.col("idf"))
+    hits = lookup_join(query, entries, ["word"], salt_all=True)
+    hits = hits.withColumn("q", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy(key, "n")))
     hits = hits.withColumn("q", F.col("q") / length)
     dots = (
@@ -76,7 +81,8 @@ def nearest_vectors(
 
     def score(query: list[float]) -> Column:
         size = sum(x * x for x in query) ** 0.5
-        values = F.array(*[F.lit(float(x) / (size or 1.0)) for x in query])
+        unit = json.dumps([float(x) / (size or 1.0) for x in query])
+        values = F.from_json(F.lit(unit), "array<double>")  # folded to one constant
         products = F.zip_with(vector, values, lambda a, b: a * b)
         return F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / F.col("_len")
 

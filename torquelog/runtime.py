@@ -150,7 +150,8 @@ def key_ranges(df: DataFrame, key: str, buckets: int | None = None) -> Column:
     The edges are fixed as literals, so a retried task sees the same buckets. Used to split ordered
     windows of hot groups: no (group, bucket) holds more rows than one bucket.
     """
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(max(parts, 8), 1024)
     shares = [i / buckets for i in range(1, buckets)]
     if not shares:
         return F.lit(0)
