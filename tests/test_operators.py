@@ -300,6 +300,50 @@ def test_record_keywords(spark):
             assert [(k["word"], k["freq"]) for k in got[i, n]] == best
 
 
+def test_exact_case_counts(spark):
+    note = "Download the error log, Log in to USB and log out. The USB error"
+    df = spark.createDataFrame([(1, note)], "id int, x string")
+    got = {r["n"]: r["keywords"] for r in keywords.exact_case_lists(df, "id", "x").collect()}
+    assert [tuple(k) for k in got[1]] == [("error", 2), ("log", 2), ("download", 0), ("usb", 0)]
+    assert {k["freq"] for k in got[2]} == {0}
+    assert [k["word"] for k in got[2]] == sorted(k["word"] for k in got[2])
+
+
+def test_asset_report(spark):
+    recs = spark.createDataFrame(
+        [
+            ("w1", "0000000000001", "0000000000001:Other:latch hinge bent", "p1", 1.0),
+            ("w2", "x", "1: Fan :blade noise motor", None, None),
+            ("w3", "x", "1:Other:the blade makes noise", "unknown", 2.0),
+            ("w4", "x", "1:Other:nothing alike", None, 2.0),
+        ],
+        "wo string, asset_name string, work_description string, part_name string, quantity double",
+    )
+    parts = spark.createDataFrame([("p1", "Door", 1)], "part_name string, system string, pos int")
+    vocab = spark.createDataFrame([(w,) for w in "latch hinge bent blade noise motor".split()], "word string")
+    for words in (None, vocab):
+        got = reports.asset_report(
+            recs, "wo", parts, "pos", ["quantity"], ["asset_name", "work_description"], words
+        )
+        assert rows(got, "wo", "category", "quantity") == [
+            ("w1", "Door", 1), ("w2", "Fan", 0), ("w3", "Fan", 2), ("w4", "Unknown", 2),
+        ]
+
+
+def test_incident_report(spark):
+    df = spark.createDataFrame(
+        [(1, "P1", "Replaced the door, door hinge on 10/10/23 ab"), (2, None, None)],
+        "id int, part string, summary string",
+    )
+    got = {r["id"]: r for r in reports.incident_report(df, "id", "summary", ["part"]).collect()}
+    one = got[1]
+    assert one["cleaned"] == "replac door door hinge"  # "ab" is short and rare
+    assert one["observations"] == ["door", "door"]
+    assert one["keywords_2"] == "door door, door hinge, replac door"
+    assert [x["word"] for x in one["significant"]][:2] == ["10 10", "10 23"]
+    assert got[2]["keywords_1"] in (None, "")
+
+
 def test_null_text_keeps_its_row(spark):
     df = spark.createDataFrame([(1, None), (2, "oven door")], "id int, x string")
     tokens = df.select("id", text.words(F.col("x")).alias("t"))

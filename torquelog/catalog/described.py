@@ -112,13 +112,8 @@ def nearest(spark, sf, k=5):
     df = load(spark, sf, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
-    means = df.select("label", F.posexplode("v").alias("pos", "value")).groupBy("label", "pos").agg(
-        F.avg("value").alias("m")
-    )
-    lists = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("q"))
-    queries = {
-        f"label {row['label']}": [p["m"] for p in row["q"]] for row in lists.collect()
-    }  # one vector per label
+    means = similarity.class_means(df, "label", "v")
+    queries = {f"label {label}": mean for label, mean in means.items()}
     return similarity.nearest_vectors(df, "vec_id", "v", queries, k)
 
 

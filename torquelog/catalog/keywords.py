@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from torquelog.catalog import sql
 from torquelog.catalog.registry import register
-from torquelog.functions import ngrams, text
+from torquelog.functions import lexicons, ngrams, text
 from torquelog.operators import keywords, similarity
 from torquelog.plans import reports
 from torquelog.runtime import load
@@ -91,6 +91,25 @@ def _(spark, sf):
     return lists.select("doc_id", "n", F.array_join(words, ", ").alias("keywords"))
 
 
+@register(
+    "record_keywords_exact_case",
+    "K5 W6",
+    f"""WITH {RECORD_KEYWORDS},
+        x AS (SELECT doc_id, gram, count(*) AS cnt FROM
+              (SELECT doc_id, unnest(regexp_extract_all(text, {sql.quoted(text.WORD)})) AS gram FROM documents)
+              GROUP BY ALL),
+        f AS (SELECT r.doc_id, r.n, r.gram, CASE WHEN r.n = 1 THEN coalesce(x.cnt, 0) ELSE 0 END AS freq
+              FROM r LEFT JOIN x ON r.doc_id = x.doc_id AND r.gram = x.gram)
+        SELECT e.doc_id, e.n,
+          coalesce(string_agg(gram || ':' || CAST(freq AS VARCHAR), ', ' ORDER BY freq DESC, gram), '') AS keywords
+        FROM (SELECT doc_id, unnest([1, 2, 3]) AS n FROM d) e
+        LEFT JOIN f ON f.doc_id = e.doc_id AND f.n = e.n GROUP BY ALL""",
+)
+def _(spark, sf):
+    lists = keywords.exact_case_lists(load(spark, sf, "documents", "doc_id"), "doc_id", "text")
+    return lists.withColumn("keywords", shown("keywords"))
+
+
 @register(
     "record_ngrams_sorted",
     "K7 T17",
@@ -198,15 +217,15 @@ def _(spark, sf):
     )
 
 
-def assigned_sql(span: bool = False) -> str:
+def assigned_sql(span: bool = False, records: str = "documents", other: str = "src0") -> str:
     known = f"""k AS (SELECT doc_id, source, {sql.keyword_tokens(sql.clean_asset("text"))} AS w
-                 FROM documents WHERE source <> 'src0')"""
+                 FROM {records} WHERE source <> '{other}')"""
     grams = sql.gram_rows("k", "source", "w")
     if span:
         grams = sql.spanning_gram_rows("k", "source", "doc_id", "w")
     return f"""{known}, gg AS (SELECT * FROM ({grams}) WHERE gram IS NOT NULL), {VECTORS},
       o AS (SELECT doc_id, {sql.keyword_tokens(sql.one_line("text"))} AS w
-            FROM documents WHERE source = 'src0'),
+            FROM {records} WHERE source = '{other}'),
       og AS ({sql.gram_rows("o", "doc_id", "w")}),
       oc AS (SELECT doc_id, n, gram, count(*) AS cnt FROM og GROUP BY ALL),
       ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY cnt DESC, gram) AS rank
@@ -273,6 +292,37 @@ def _(spark, sf):
     return done.select("doc_id", F.col("source").alias("category"))
 
 
+@register(
+    "asset_report",
+    "K16 J1 P17 K8 K9 K10 J8",
+    f"""WITH recs AS (SELECT doc_id, text, CASE WHEN source = 'src0' THEN coalesce(p_type, 'Other')
+            ELSE source END AS source
+          FROM documents LEFT JOIN part ON lang = 'fr' AND doc_id = p_partkey),
+        {assigned_sql(records="recs", other="Other")}
+        SELECT doc_id, CASE WHEN source = 'Other' THEN a.assigned ELSE source END AS category
+        FROM recs LEFT JOIN (SELECT * FROM assigned WHERE n = 1) a USING (doc_id)""",
+)
+def _(spark, sf):
+    df = load(spark, sf, "documents", "doc_id")
+    serial = F.lpad(F.col("doc_id").cast("string"), 13, "0")
+    category = F.when(F.col("source") == "src0", "Other").otherwise(F.col("source"))
+    orders = df.select(
+        "doc_id",
+        serial.alias("asset_name"),
+        F.concat_ws(":", serial, category, F.col("text")).alias("work_description"),
+        F.when(F.col("lang") == "fr", F.col("doc_id").cast("string")).alias("part_name"),
+        F.col("n_chars").alias("quantity"),
+    )
+    parts = load(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("part_name"), F.col("p_type").alias("system"),
+        F.col("p_size").alias("pos"),
+    )
+    done = reports.asset_report(
+        orders, "doc_id", parts, "pos", ["quantity"], ["asset_name", "work_description"]
+    )
+    return done.select("doc_id", "category")
+
+
 @register(
     "keyword_matrix",
     "K11 A6 J5",
@@ -348,3 +398,55 @@ def _(spark, sf):
     cases = reports.phone_cases(rows, "note", PHRASES)
     left = reports.notes_without_part(rows, cases, "part_name", "doc_id")
     return left.select("doc_id", "source", F.md5("note").alias("note"))
+
+
+def _pos(column: str, own: list[str], suffix: str) -> str:
+    known = sql.listed([*lexicons.VERBS, *lexicons.NOUNS])
+    return (
+        f"array_to_string(list_filter({column}, lambda t: t IN {sql.listed(own)} OR "
+        f"(t NOT IN {known} AND regexp_matches(t, {sql.quoted(suffix)}))), ' ')"
+    )
+
+
+@register(
+    "incident_report",
+    "K1b K2 K3 K7 K14 W1 P20 F1 F5",
+    f"""WITH c AS (SELECT doc_id, source, text, {sql.tokens("lower(" + sql.clean_incident("text") + ")")} AS w
+                   FROM documents),
+        v AS (SELECT word FROM (SELECT unnest(w) AS word FROM c) GROUP BY word
+              HAVING (length(word) >= 3 OR count(*) >= 5) AND word NOT IN {sql.listed(lexicons.STOP_ENGLISH)}),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM c),
+        k AS (SELECT doc_id, list(word ORDER BY pos) AS w FROM p WHERE word IN (SELECT word FROM v) GROUP BY doc_id),
+        j AS (SELECT c.doc_id, c.source, c.text, coalesce(k.w, []) AS w FROM c LEFT JOIN k USING (doc_id)),
+        g AS (SELECT *, {sql.keyword_tokens("array_to_string(w, ' ')")} AS kw,
+                {sql.keyword_tokens("text")} AS raw FROM j),
+        b AS (SELECT doc_id, gram, count(*) AS cnt FROM (SELECT doc_id, unnest({sql.grams("raw", 2)}) AS gram FROM g)
+              GROUP BY ALL),
+        br AS (SELECT *, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)) AS weight,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, gram) AS rank FROM b),
+        bs AS (SELECT doc_id, string_agg(gram, ', ' ORDER BY rank) AS grams,
+                 round(sum(round(weight, 6)), 6) AS weight FROM br WHERE rank <= 10 GROUP BY doc_id)
+        SELECT g.doc_id, source, md5(array_to_string(w, ' ')) AS cleaned,
+          md5({_pos("w", lexicons.VERBS, text.VERB_SUFFIX)}) AS actions,
+          md5({_pos("w", lexicons.NOUNS, text.NOUN_SUFFIX)}) AS observations,
+          """
+    + ", ".join(
+        f"md5(array_to_string(list_sort(list_distinct({sql.grams('kw', n)})), ', ')) AS keywords_{n}"
+        for n in (1, 2, 3)
+    )
+    + """, coalesce(grams, '') AS significant, coalesce(weight, 0) AS weight
+        FROM g LEFT JOIN bs USING (doc_id)""",
+)
+def _(spark, sf):
+    df = load(spark, sf, "documents", "doc_id")
+    report = reports.incident_report(df, "doc_id", "text", ["source"])
+    total = F.aggregate("significant", F.lit(0.0), lambda s, x: s + x["weight"])
+    return report.select(
+        "doc_id",
+        "source",
+        F.md5("cleaned").alias("cleaned"),
+        *[F.md5(F.array_join(c, " ")).alias(c) for c in ("actions", "observations")],
+        *[F.md5(f"keywords_{n}").alias(f"keywords_{n}") for n in (1, 2, 3)],
+        F.array_join(F.transform("significant", lambda x: x["word"]), ", ").alias("significant"),
+        F.round(total, 6).alias("weight"),
+    )

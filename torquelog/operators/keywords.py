@@ -84,10 +84,7 @@ def record_keyword_lists(
     """Top ``k`` n-grams per record and n: (key, n, keywords) as structs (word, freq). Map-only."""
     counts = record_counts(df, [key], tokens, sizes)
     best = F.slice(F.sort_array("counts"), 1, k)
-    named = F.transform(
-        best, lambda x: F.struct(x["gram"].alias("word"), (-x["neg"]).alias("freq"))
-    )
-    return counts.select(key, "n", named.alias("keywords"))
+    return counts.select(key, "n", _named(best).alias("keywords"))
 
 
 def record_keywords(
@@ -107,23 +104,64 @@ def words_only(keywords: str) -> Column:
     return F.transform(keywords, lambda x: x["word"])
 
 
-def record_top_grams(df: DataFrame, key: str, tokens: str, n: int = 2, k: int = 10) -> DataFrame:
+def exact_case_lists(
+    df: DataFrame, key: str, value: str, sizes: tuple[int, ...] = SIZES, k: int = FEATURES
+) -> DataFrame:
+    """Keyword lists with the counts of the published outputs: (key, n, keywords).
+
+    The n-grams are the top ``k`` of the lower-cased text as ever. Their count is how often the text
+    holds them as single words in exactly that case, so a word written with a capital and every
+    longer n-gram count 0; the order is by that count, then by n-gram.
+    """
+    raw = F.regexp_extract_all(F.col(value), F.lit(text.WORD), F.lit(0))
+    rows = df.select(
+        key, raw.alias("raw"), ngrams.keyword_tokens(F.col(value)).alias("tokens")
+    )
+    counts = record_counts(rows, [key, "raw"], "tokens", sizes)
+    counts = once(counts, "best", F.slice(F.sort_array("counts"), 1, k))
+    exact = F.transform(
+        "best",
+        lambda x: F.struct(
+            F.when(F.col("n") == 1, -F.size(F.filter("raw", lambda t: t == x["gram"])))
+            .otherwise(0).cast("long").alias("neg"),
+            x["gram"].alias("gram"),
+        ),
+    )
+    return counts.select(key, "n", _named(F.sort_array(exact)).alias("keywords"))
+
+
+def _named(counts: Column) -> Column:
+    return F.transform(
+        counts, lambda x: F.struct(x["gram"].alias("word"), (-x["neg"]).alias("freq"))
+    )
+
+
+def top_gram_lists(
+    df: DataFrame, keep: list[str], tokens: str, n: int = 2, k: int = 10
+) -> DataFrame:
     """Top n-grams of each record with their weight in the record's unit-length vector.
 
     A record is its own corpus here, so every n-gram has the same inverse frequency and the weight
-    is ``count / sqrt(sum of squared counts)``. Map-only.
+    is ``count / sqrt(sum of squared counts)``. (keep..., top) with structs (word, weight). Map-only.
     """
-    counts = once(
-        record_counts(df, [key], tokens, (n,)), "counts", F.sort_array("counts")
-    )
+    counts = record_counts(df, keep, tokens, (n,))
+    counts = once(counts, "counts", F.sort_array("counts"))
     squares = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x["neg"] * x["neg"])
-    rows = counts.select(
-        key, F.sqrt(squares).alias("norm"), F.posexplode(F.slice("counts", 1, k)).alias("pos", "c")
+    sized = once(counts, "norm", F.sqrt(squares))
+    weighted = F.transform(
+        F.slice("counts", 1, k),
+        lambda x: F.struct(
+            x["gram"].alias("word"), F.round(-x["neg"] / F.col("norm"), 6).alias("weight")
+        ),
     )
+    return sized.select(*keep, weighted.alias("top"))
+
+
+def record_top_grams(df: DataFrame, key: str, tokens: str, n: int = 2, k: int = 10) -> DataFrame:
+    """``top_gram_lists`` as rows (key, gram, weight, rank)."""
+    rows = top_gram_lists(df, [key], tokens, n, k).select(key, F.posexplode("top").alias("pos", "t"))
     return rows.select(
-        key,
-        F.col("c.gram").alias("gram"),
-        F.round(-F.col("c.neg") / F.col("norm"), 6).alias("weight"),
+        key, F.col("t.word").alias("gram"), F.col("t.weight").alias("weight"),
         (F.col("pos") + 1).alias("rank"),
     )
 

@@ -42,19 +42,18 @@ def closest_category(
     shared word to ``unknown`` with score 0. Partition ``keywords`` by key before (``by_key``): the
     word counts, the lengths and the scores of a record then need no further exchange.
     """
-    entries = vectors.groupBy("word").agg(
-        F.first("idf").alias("idf"),
-        F.collect_list(F.struct(group, F.col("n").alias("m"), "weight")).alias("entries"),
-    )
+    vectors = materialize(vectors)
     asked = F.flatten(F.transform("keywords", lambda x: text.words(x["word"])))
     query = keywords.select(key, "n", F.explode(asked).alias("word"))
     query = query.groupBy(key, "n", "word").agg(F.count(F.lit(1)).alias("tf"))
-    hits = lookup_join(query, entries, ["word"], salt_all=True)
+    idf = vectors.select("word", "idf").distinct()
+    hits = lookup_join(query, idf, ["word"], ready=True, salt_all=True)
     hits = hits.withColumn("q", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy(key, "n")))
-    hits = hits.withColumn("q", F.col("q") / length)
+    hits = hits.select(key, "n", "word", (F.col("q") / length).alias("q"))
+    held = vectors.select("word", group, F.col("n").alias("m"), "weight")
     dots = (
-        hits.select(key, "n", "q", F.inline("entries"))
+        lookup_join(hits, held, ["word"], ready=True, salt_all=True)
         .groupBy(key, "n", group, "m")
         .agg(F.round(F.sum(F.col("q") * F.col("weight")), 9).alias("score"))
     )
@@ -70,6 +69,17 @@ def closest_category(
     )
 
 
+def class_means(df: DataFrame, label: str, vector: str, most: int = 1000) -> dict:
+    """Mean vector per class on the driver; refuses more than ``most`` classes."""
+    cells = df.select(label, F.posexplode(vector).alias("pos", "value"))
+    means = cells.groupBy(label, "pos").agg(F.avg("value").alias("mean"))
+    lists = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"))
+    rows = lists.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} classes in {label}")
+    return {row[label]: [cell["mean"] for cell in row["v"]] for row in rows}
+
+
 def nearest_vectors(
     df: DataFrame, key: str, vector: str, queries: dict[str, list[float]], k: int
 ) -> DataFrame:
