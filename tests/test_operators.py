@@ -300,11 +300,15 @@ def test_record_keywords(spark):
             assert [(k["word"], k["freq"]) for k in got[i, n]] == best
 
 
-def test_exact_case_counts(spark):
-    note = "Download the error log, Log in to USB and log out. The USB error"
+def test_published_counts(spark):
+    note = "Download the error log, Log in to USB and log out 6/09/21. The USB error"
     df = spark.createDataFrame([(1, note)], "id int, x string")
-    got = {r["n"]: r["keywords"] for r in keywords.exact_case_lists(df, "id", "x").collect()}
-    assert [tuple(k) for k in got[1]] == [("error", 2), ("log", 2), ("download", 0), ("usb", 0)]
+    got = {r["n"]: r["keywords"] for r in keywords.published_lists(df, "id", "x").collect()}
+    assert [tuple(k) for k in got[1]] == [
+        ("error", 2), ("log", 2), ("09", 0), ("21", 0), ("download", 0), ("usb", 0),
+    ]
+    low = keywords.published_lists(df, "id", "x", sizes=(1,), lower=True).first()["keywords"]
+    assert [tuple(k) for k in low][:4] == [("log", 3), ("error", 2), ("usb", 2), ("download", 1)]
     assert {k["freq"] for k in got[2]} == {0}
     assert [k["word"] for k in got[2]] == sorted(k["word"] for k in got[2])
 

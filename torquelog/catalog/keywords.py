@@ -92,11 +92,11 @@ def _(spark, sf):
 
 
 @register(
-    "record_keywords_exact_case",
+    "record_keywords_published_counts",
     "K5 W6",
     f"""WITH {RECORD_KEYWORDS},
         x AS (SELECT doc_id, gram, count(*) AS cnt FROM
-              (SELECT doc_id, unnest(regexp_extract_all(text, {sql.quoted(text.WORD)})) AS gram FROM documents)
+              (SELECT doc_id, unnest({sql.running_words("text")}) AS gram FROM documents)
               GROUP BY ALL),
         f AS (SELECT r.doc_id, r.n, r.gram, CASE WHEN r.n = 1 THEN coalesce(x.cnt, 0) ELSE 0 END AS freq
               FROM r LEFT JOIN x ON r.doc_id = x.doc_id AND r.gram = x.gram)
@@ -106,7 +106,7 @@ def _(spark, sf):
         LEFT JOIN f ON f.doc_id = e.doc_id AND f.n = e.n GROUP BY ALL""",
 )
 def _(spark, sf):
-    lists = keywords.exact_case_lists(load(spark, sf, "documents", "doc_id"), "doc_id", "text")
+    lists = keywords.published_lists(load(spark, sf, "documents", "doc_id"), "doc_id", "text")
     return lists.withColumn("keywords", shown("keywords"))
 
 

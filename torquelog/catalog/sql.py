@@ -69,6 +69,13 @@ def words(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), {quoted(text.WORD)})"
 
 
+def running_words(expr: str) -> str:
+    for pattern, replacement in text.WORD_BREAKS:
+        back = replacement.replace("$", "\\")
+        expr = f"regexp_replace({expr}, {quoted(pattern)}, {quoted(back)}, 'g')"
+    return tokens(expr)
+
+
 def drop(expr: str, stop: Iterable[str]) -> str:
     return f"list_filter({expr}, lambda t: lower(t) NOT IN {listed(stop)})"
 

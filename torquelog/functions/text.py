@@ -22,6 +22,18 @@ SPACE_CHARS = "".join(
 )
 WORD = r"[\p{L}\p{N}_]{2,}"
 PIECE = rf"[\p{{L}}\p{{N}}_]+|[{SPACE}]+|[^\p{{L}}\p{{N}}_{SPACE}]"
+# What separates words in running text, in order: (pattern, replacement). Marks inside a word stay,
+# as in 6/09/21, 10:30pm or follow-up; endings like 's and n't become words of their own.
+WORD_BREAKS = (
+    (r"\.{2,}", " "),
+    (r'[;@#$%&?!*()\[\]{}<>"`«»“”‘’„]|--', " "),
+    (r"[:,]+([^\d:,])", " $1"),
+    (r"[:,]+$", " "),
+    (rf"\.([{SPACE}]|$)", " $1"),
+    (r"([Nn]'[Tt])([^\p{L}\p{N}_]|$)", " $1$2"),
+    (r"('[SsMmDd]|'ll|'re|'ve)([^\p{L}\p{N}_]|$)", " $1$2"),
+    (rf"'([{SPACE}]|$)", " $1"),
+)
 BRACKETS = r"\[[^\n]*?\]"
 MENTION = rf"@[^{SPACE}]*"
 TAG = rf"#[^{SPACE}]*"
@@ -121,6 +133,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def running_words(text: Column) -> Column:
+    """Words as a sentence tokenizer leaves them, case kept, without lone punctuation."""
+    for pattern, replacement in WORD_BREAKS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return split_space(text)
+
+
 def pieces(text: Column) -> Column:
     """Words, white space and single marks, in order; joined they give the text back."""
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))

@@ -104,18 +104,20 @@ def words_only(keywords: str) -> Column:
     return F.transform(keywords, lambda x: x["word"])
 
 
-def exact_case_lists(
-    df: DataFrame, key: str, value: str, sizes: tuple[int, ...] = SIZES, k: int = FEATURES
+def published_lists(
+    df: DataFrame, key: str, value: str, sizes: tuple[int, ...] = SIZES, k: int = FEATURES,
+    lower: bool = False,
 ) -> DataFrame:
     """Keyword lists with the counts of the published outputs: (key, n, keywords).
 
     The n-grams are the top ``k`` of the lower-cased text as ever. Their count is how often the text
-    holds them as single words in exactly that case, so a word written with a capital and every
-    longer n-gram count 0; the order is by that count, then by n-gram.
+    (``lower``: the lower-cased text) holds them as whole words in exactly that form, inner marks
+    included. So a word written with a capital, a part of ``6/09/21`` and every longer n-gram count
+    0. The order is by that count, then by n-gram.
     """
-    raw = F.regexp_extract_all(F.col(value), F.lit(text.WORD), F.lit(0))
+    source = F.lower(F.col(value)) if lower else F.col(value)
     rows = df.select(
-        key, raw.alias("raw"), ngrams.keyword_tokens(F.col(value)).alias("tokens")
+        key, text.running_words(source).alias("raw"), ngrams.keyword_tokens(F.col(value)).alias("tokens")
     )
     counts = record_counts(rows, [key, "raw"], "tokens", sizes)
     counts = once(counts, "best", F.slice(F.sort_array("counts"), 1, k))
