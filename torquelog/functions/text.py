@@ -29,7 +29,8 @@ WORD_BREAKS = (
     (r'[;@#$%&?!*()\[\]{}<>"`«»“”‘’„]|--', " "),
     (r"[:,]+([^\d:,])", " $1"),
     (r"[:,]+$", " "),
-    (rf"\.([{SPACE}]|$)", " $1"),
+    (rf"([^\d])\.([{SPACE}]|$)", "$1 $2"),
+    (rf"(\d)\.([{SPACE}]+[^\p{{Ll}}{SPACE}]|[{SPACE}]*$)", "$1 $2"),  # "3." may be an ordinal
     (r"([Nn]'[Tt])([^\p{L}\p{N}_]|$)", " $1$2"),
     (r"('[SsMmDd]|'ll|'re|'ve)([^\p{L}\p{N}_]|$)", " $1$2"),
     (rf"'([{SPACE}]|$)", " $1"),
