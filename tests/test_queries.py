@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from torquelog import runtime
 
 DIRECTORY = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -47,6 +48,26 @@ def test_query(spark, database, name):
         assert len(got)
 
 
+BEYOND = """assign_categories set_keywords keyword_part_lift enrich_with_pages entities_in_documents
+notes_without_part orders_without_returns stratified_split merge_rare_classes category_from_part
+parts_with_solutions dictionary_file_expansion group_keywords_spanning_rows upsample_minority
+class_neighbours smote_balanced error_code_pairs similar_words records_of_large_classes""".split()
+
+
+@pytest.mark.parametrize("name", BEYOND)
+def test_query_beyond_the_broadcast_bound(spark, database, monkeypatch, name):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, DIRECTORY)
+        assert "BroadcastHashJoin" not in plan(df)
+        got = df.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = database.execute(ORACLES[name]).fetchdf()
+    assert check.rows_of(got) == check.rows_of(want)
+
+
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 

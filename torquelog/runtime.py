@@ -74,9 +74,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits(df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` is proven small enough to broadcast. Counts first, sizes only if few."""
-    if df.count() > max_rows:
+    if df.count() > (BROADCAST_ROWS if max_rows is None else max_rows):
         return False
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
     return (size or 0) <= max_bytes
@@ -88,7 +88,7 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     ready: bool = False,
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
     salt_all: bool = False,
 ) -> DataFrame:
     """Equi-join a large ``left`` to a side that is usually small.
