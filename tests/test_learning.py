@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter
 
 import pytest
+from pyspark.ml import Pipeline
 
 from torquelog.operators import learning
 
@@ -46,6 +49,29 @@ def test_two_stages(spark, reports):
     assert all(r["part"].startswith(r["system"]) for r in got)
 
 
+def test_features_follow_the_formula(spark):
+    docs = ["oven door door", "oven fan the", "fan blade of", ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, note string")
+    model = Pipeline(stages=learning.feature_stages("note")).fit(df)
+    names = model.stages[2].vocabulary
+    assert sorted(names) == ["blade", "door", "fan", "oven"]  # no stop words
+    weight = {"oven": 2, "fan": 2, "door": 1, "blade": 1}
+    weight = {w: math.log(5 / (n + 1)) for w, n in weight.items()}
+    for row in model.transform(df).collect():
+        counts = Counter(w for w in docs[row["id"]].split() if w in weight)
+        raw = {w: c * weight[w] for w, c in counts.items()}
+        size = math.sqrt(sum(x * x for x in raw.values())) or 1
+        got = dict(zip(names, row["features"].toArray()))
+        assert got == pytest.approx({w: raw.get(w, 0) / size for w in names})
+
+
+def test_weights_reach_the_classifier(spark, reports):
+    few = reports.where("system <> 'fan' or id % 10 = 0")
+    model = learning.train(few, "note", "system", "logistic", weighted=True, maxIter=20)
+    assert model.stages[-2].getWeightCol() == "_weight"
+    assert learning.predict_one(spark, model, "blade noise", "note") == "fan"
+
+
 def test_unknown_classifier(spark, reports):
     with pytest.raises(ValueError):
         learning.train(reports, "note", "system", "network")
