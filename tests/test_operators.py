@@ -480,17 +480,26 @@ def test_neighbours_against_brute_force(spark, block):
     assert rows(got, "id", "neighbour", "rank") == sorted(want, key=repr)
 
 
-def test_smote_balances_between_neighbours(spark):
+@pytest.mark.parametrize("k", [None, 1, 5, 50])
+def test_smote_balances_between_neighbours(spark, k):
     data, df = _points(spark)
     points = {i: v for i, _, v in data}
-    made = classes.smote(df, "id", "l", "v").collect()
+    made = classes.smote(df, "id", "l", "v", k=k).collect()
     assert Counter(r["l"] for r in made) == {"b": 28, "c": 37}
+    assert sorted(r["draw"] for r in made if r["l"] == "b") == list(range(1, 29))
     for r in made:
+        assert r["id"] != r["neighbour"]
         a, b = points[r["id"]], points[r["neighbour"]]
         assert all(min(x, y) - 1e-9 <= m <= max(x, y) + 1e-9 for x, y, m in zip(a, b, r["v"]))
         assert data[r["id"]][1] == data[r["neighbour"]][1] == r["l"]
 
 
+def test_smote_without_need(spark):
+    _, df = _points(spark)
+    assert classes.smote(df.where("l = 'd'"), "id", "l", "v").count() == 0
+    assert classes.smote(df.where("l = 'a'"), "id", "l", "v").count() == 0
+
+
 # ------------------------------------------------------------------------------------------ metrics
 
 

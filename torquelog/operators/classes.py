@@ -140,49 +140,62 @@ def neighbour_pairs(
 def smote(
     df: DataFrame, key: str, label: str, vector: str, seed: int = 42, k: int | None = None
 ) -> DataFrame:
-    """Synthetic rows that raise every class to the size of the largest: (label, draw, vector).
+    """Synthetic rows that raise every class to the size of the largest.
 
-    Each draw takes a row of the class, one of its ``k`` nearest rows of the class, and a point
-    between them; ``k`` defaults to the smallest class size less one. Draws are hashes, not random
-    numbers. Classes of one row have no neighbour and are left as they are. The largest class, the
-    hot one, needs no draws, so its rows are never compared.
+    (label, draw, key, neighbour, vector): each draw takes a row of the class, one of its ``k``
+    nearest rows of the class, and a point between them; ``k`` defaults to the smallest class size
+    less one. Draws are hashes, not random numbers. Classes of one row have no neighbour and are left
+    as they are. The largest class, the hot one, needs no draws, so its rows are never compared, and
+    neither are those of a class where ``k`` takes in every other row: there any other row will do.
     """
     sizes = materialize(class_counts(df.where(F.col(label).isNotNull()), label))
     sizes = sizes.where(F.col("rows") > 1)
     limits = sizes.agg(F.max("rows"), F.min("rows")).first()
-    if limits[0] is None:
-        return df.select(label, F.lit(0).alias("draw"), vector).limit(0)
-    largest, least = limits
+    largest, least = limits[0] or 0, limits[1] or 0
     k = k or max(1, least - 1)
     needed = sizes.withColumn("missing", F.lit(largest) - F.col("rows")).where("missing > 0")
-    members = only(df.select(key, label, vector), needed, [label])
-    pairs = materialize(neighbour_pairs(members, key, label, vector, k))
-    # base rows take turns: floor(missing / rows) draws each, one more for the first ones by hash
-    numbered = row_numbers(members, label, hash_share(key, seed), key)
-    turns = lookup_join(numbered, needed.select(label, "rows", "missing"), [label])
-    count = F.floor(F.col("missing") / F.col("rows")) + F.when(
-        F.col("row_number") <= F.col("missing") % F.col("rows"), 1
-    ).otherwise(0)
-    draws = (
-        turns.withColumn("_n", count.cast("int"))
-        .where("_n > 0")
-        .select(
-            key, label, vector, "row_number", "rows",
-            F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("turn"),
-        )
-        .withColumn("draw", F.col("row_number") + (F.col("turn") - 1) * F.col("rows"))
-        .withColumn("_d", F.concat_ws("-", F.col(key).cast("string"), F.col("turn").cast("string")))
-    )
-    available = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_have"))
-    chosen = draws.join(available, key).withColumn(
-        "rank", (F.pmod(hash_share("_d", seed), F.col("_have")) + 1).cast("int")
+    members = lookup_join(df.select(key, label, vector), needed, [label])
+    members = materialize(row_numbers(members, label, hash_share(key, seed), key))
+    to = F.col(vector).alias("_to")
+    draws = _draws(members, key)
+    compared = F.col("rows") > k + 1
+
+    pairs = neighbour_pairs(members.where(compared), key, label, vector, k)
+    nearest = pairs.join(members.select(F.col(key).alias("neighbour"), to), "neighbour")
+    nearest = nearest.select(key, "rank", "neighbour", "_to")
+    rank = (F.pmod(hash_share("_d", seed), F.lit(k)) + 1).cast("int")
+    near = lookup_join(draws.where(compared).withColumn("rank", rank), nearest, [key, "rank"])
+
+    anyone = members.select(
+        label, F.col("row_number").alias("_other"), F.col(key).alias("neighbour"), to
     )
-    with_pair = chosen.join(pairs.select(key, "rank", "neighbour"), [key, "rank"])
-    target = members.select(F.col(key).alias("neighbour"), F.col(vector).alias("_to"))
+    steps = F.col("row_number") + F.pmod(hash_share("_d", seed), F.col("rows") - 1)  # never itself
+    others = draws.where(~compared).withColumn("_other", steps % F.col("rows") + 1)
+    free = lookup_join(others, anyone, [label, "_other"], ready=True)
+
+    both = near.drop("rank").unionByName(free.drop("_other"))
     share = hash_share("_d", seed + 1) / F.lit(float(2**32))
     between = F.zip_with(vector, "_to", lambda a, b: a + (b - a) * F.col("_share"))
-    return (
-        with_pair.withColumn("_share", share)
-        .join(target, "neighbour")
-        .select(label, "draw", key, "neighbour", between.alias(vector))
+    return both.withColumn("_share", share).select(
+        label, "draw", key, "neighbour", between.alias(vector)
     )
+
+
+def _draws(members: DataFrame, key: str, chunk: int = 10_000) -> DataFrame:
+    """One row per synthetic row wanted: the rows of a class take turns, in hash order.
+
+    A row of a tiny class may be drawn very often, so its turns are made in chunks that spread over
+    the partitions.
+    """
+    rows, missing = F.col("rows"), F.col("missing")
+    extra = F.when(F.col("row_number") <= missing % rows, 1).otherwise(0)
+    wanted = members.withColumn("_n", F.floor(missing / rows) + extra).where("_n > 0")
+    chunks = wanted.withColumn(
+        "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk)))
+    ).repartition(key, "_c")
+    first, last = F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, F.col("_n"))
+    turns = chunks.withColumn("turn", F.explode(F.sequence(first, last)))
+    name = F.concat_ws("-", F.col(key).cast("string"), F.col("turn").cast("string"))
+    return turns.withColumns(
+        {"draw": F.col("row_number") + (F.col("turn") - 1) * rows, "_d": name}
+    ).drop("_n", "_c", "turn", "missing", "group_rows")
