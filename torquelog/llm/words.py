@@ -94,13 +94,15 @@ def spans(data: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, at)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word."""
+def hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each word; with more than one array of ends, a row for each of them."""
     powers, back = _power_tables(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * back[starts])
+        begin, shift = sums[starts], back[starts]
+        rows = [mix((sums[e] - begin) * shift) for e in ends]
+    return rows[0] if len(rows) == 1 else np.stack(rows)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
