@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from torquelog.llm import decontaminate, sharding
+from torquelog.llm import decontaminate, language_id, packing, quality, sharding
 
 QUERIES = {
+    "op4_quality_classifier": quality.query,
     "op5_rendezvous_sharding": sharding.query,
+    "op6_best_fit_packing": packing.query,
+    "op7_language_id": language_id.query,
     "op8_benchmark_decontamination": decontaminate.query,
 }
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,7 @@ from torquelog.llm.language_id import fold
 
 BUCKETS = 1 << 18
 MAX_ROWS = 20_000  # labelled rows to fit on, at most
+FEATURES = 4096  # buckets that have a weight, at most
 MIN_TEXTS = 5  # a feature of fewer fitted texts has no weight
 STEPS = 200
 RATE = 0.1
@@ -93,6 +94,23 @@ class Model:
             return 1 / (1 + np.exp(self.thresholds - score[:, None]))
 
 
+def informative(buckets: np.ndarray, grade: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Marks the buckets whose share of texts differs most between grades, by chi-square.
+
+    A bucket of fewer than ``MIN_TEXTS`` texts is never marked.
+    """
+    grades = len(texts)
+    seen = np.bincount(grade * BUCKETS + buckets, minlength=grades * BUCKETS).reshape(grades, -1)
+    total = seen.sum(axis=0)
+    expected = np.outer(texts / max(texts.sum(), 1), total)
+    chi = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0)
+    chi[total < MIN_TEXTS] = -1
+    marked = np.zeros(BUCKETS, bool)
+    best = np.argsort(-chi, kind="stable")[:FEATURES]
+    marked[best[chi[best] > 0]] = True
+    return marked
+
+
 def fit(
     buckets: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, steps: int = STEPS
 ) -> Model:
@@ -101,9 +119,9 @@ def fit(
     Threshold gaps are exponentials of free parameters, which keeps the thresholds in order.
     """
     texts = len(grade)
-    kept = np.bincount(buckets, minlength=BUCKETS) >= min(MIN_TEXTS, max(1, texts // 20))
-    inside = kept[buckets]
-    owner = np.repeat(np.arange(texts), np.diff(first))[inside]
+    owner = np.repeat(np.arange(texts), np.diff(first))
+    inside = informative(buckets, grade[owner], np.bincount(grade, minlength=grades))[buckets]
+    owner = owner[inside]
     used, column = np.unique(buckets[inside], return_inverse=True)
     share = np.cumsum(np.bincount(grade, minlength=grades)[::-1])[::-1][1:] / max(texts, 1)
     share = np.clip(share, 0.01, 0.99)
