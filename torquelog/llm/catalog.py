@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from torquelog.llm import decontaminate, language_id, packing, quality, sharding
+from torquelog.llm import decontaminate, fingerprints, language_id, packing, quality, sharding
 
 QUERIES = {
     "op4_quality_classifier": quality.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_language_id": language_id.query,
     "op8_benchmark_decontamination": decontaminate.query,
+    "op9_weighted_fingerprints": fingerprints.query,
 }
 ORACLES: dict[str, str] = {}

@@ -20,11 +20,11 @@ from torquelog.llm.language_id import fold
 
 BUCKETS = 1 << 18
 MAX_ROWS = 20_000  # labelled rows to fit on, at most
-FEATURES = 4096  # buckets that have a weight, at most
+FEATURES = 1024  # buckets that have a weight, at most
 MIN_TEXTS = 5  # a feature of fewer fitted texts has no weight
-STEPS = 200
+STEPS = 300
 RATE = 0.1
-DECAY = 2e-4
+DECAY = 1e-4
 TAIL = 0.5
 PREFIXES = (4, 5, 6, 7, 8, 10)  # bytes
 
