@@ -54,18 +54,17 @@ def least(ln_w: Column) -> Column:
     return F.min(F.shiftleft(order, 32).bitwiseOR(name))
 
 
+def _low_bits(values: Column) -> Column:
+    return F.transform(values, lambda x: x.bitwiseAND(F.lit(_LOW)))
+
+
 def signatures(counted: DataFrame, by: list[str], weights: list[str], samples: int) -> DataFrame:
     """(by, one array of samples per weight column) from rows (by, term, weights)."""
     drawn = draws(counted, weights, samples)
     found = drawn.groupBy(*by, "k").agg(*[least(F.col(w)).alias(w) for w in weights])
     rows = found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", *weights))).alias("all"))
-    return rows.select(
-        *by,
-        *[
-            F.transform("all", lambda x, w=w: x[w].bitwiseAND(F.lit(_LOW))).alias(w)
-            for w in weights
-        ],
-    )
+    names = [_low_bits(F.col("all")[w]).alias(w) for w in weights]
+    return rows.select(*by, *names)
 
 
 def printed(samples: Column) -> Column:
