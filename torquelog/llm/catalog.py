@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from torquelog.llm import decontaminate, fingerprints, language_id, packing, quality, sharding
+from torquelog.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    language_id,
+    line_dedup,
+    packing,
+    quality,
+    sharding,
+)
 
 QUERIES = {
+    "op2_chat_preferences": chat.query,
     "op4_quality_classifier": quality.query,
     "op5_rendezvous_sharding": sharding.query,
     "op6_best_fit_packing": packing.query,
     "op7_language_id": language_id.query,
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_weighted_fingerprints": fingerprints.query,
+    "op10_line_winnowing": line_dedup.query,
+}
+ORACLES = {
+    "op2_chat_preferences": chat.SQL,
+    "op10_line_winnowing": line_dedup.SQL,
 }
-ORACLES: dict[str, str] = {}
