@@ -10,10 +10,12 @@ from torquelog.llm import (
     line_dedup,
     packing,
     quality,
+    secrets,
     sharding,
 )
 
 QUERIES = {
+    "op1_secret_links": secrets.query,
     "op2_chat_preferences": chat.query,
     "op4_quality_classifier": quality.query,
     "op5_rendezvous_sharding": sharding.query,
