@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torquelog.llm import words
+from torquelog.llm import common, words
 from torquelog.llm.language_id import fold
 
 BUCKETS = 1 << 18
@@ -94,13 +94,12 @@ class Model:
             return 1 / (1 + np.exp(self.thresholds - score[:, None]))
 
 
-def informative(buckets: np.ndarray, grade: np.ndarray, texts: np.ndarray) -> np.ndarray:
+def informative(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Marks the buckets whose share of texts differs most between grades, by chi-square.
 
-    A bucket of fewer than ``MIN_TEXTS`` texts is never marked.
+    ``seen`` has the number of texts of each grade that have the bucket, ``texts`` that of all. A
+    bucket of fewer than ``MIN_TEXTS`` texts is never marked.
     """
-    grades = len(texts)
-    seen = np.bincount(grade * BUCKETS + buckets, minlength=grades * BUCKETS).reshape(grades, -1)
     total = seen.sum(axis=0)
     expected = np.outer(texts / max(texts.sum(), 1), total)
     chi = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0)
@@ -120,9 +119,7 @@ def fit(
     """
     texts = len(grade)
     owner = np.repeat(np.arange(texts), np.diff(first))
-    inside = informative(buckets, grade[owner], np.bincount(grade, minlength=grades))[buckets]
-    owner = owner[inside]
-    used, column = np.unique(buckets[inside], return_inverse=True)
+    used, column = np.unique(buckets, return_inverse=True)
     share = np.cumsum(np.bincount(grade, minlength=grades)[::-1])[::-1][1:] / max(texts, 1)
     share = np.clip(share, 0.01, 0.99)
     start = -np.log(share / (1 - share))
@@ -164,6 +161,51 @@ def graded(labels: DataFrame) -> DataFrame:
 GRADES = 3
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(buckets, grade) of (text, grade)."""
+    for batch in batches:
+        for row, end, data, at in words.chunks(batch.column(0)):
+            buckets, first = features(data, at)
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [lists, batch.column(1).slice(row, end - row)], ["buckets", "grade"]
+            )
+
+
+def _counted(levels: int):
+    """Number of texts by grade and bucket, over a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(levels * BUCKETS, np.int64)
+        for batch in batches:
+            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            grade = np.repeat(batch.column(1).to_numpy().astype(np.int64), sizes)
+            seen += np.bincount(grade * BUCKETS + batch.column(0).flatten().to_numpy(), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at // BUCKETS, pa.int32()), pa.array(at % BUCKETS, pa.int32()), pa.array(seen[at])],
+            ["grade", "bucket", "n"],
+        )
+
+    return run
+
+
+def _only(marked):
+    """The rows with the marked buckets alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = batch.column(0).flatten().to_numpy()
+            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            inside = marked.value[buckets]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[inside]
+            first = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets[inside], pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["buckets", "grade"])
+
+    return run
+
+
 def train(
     docs: DataFrame,
     grades: DataFrame,
@@ -172,29 +214,31 @@ def train(
     text: str = "text",
     max_rows: int = MAX_ROWS,
 ) -> Model:
-    """Fit on at most ``max_rows`` graded keys, chosen by hash; rows without text are left out."""
+    """Fit on at most ``max_rows`` graded keys, chosen by hash; rows without text are left out.
+
+    The features are made, counted and chosen in the tasks; the driver gets a count per bucket and
+    grade and of each fitted text the chosen features alone.
+    """
     chosen = grades.select(F.col("doc_id").alias("_key"), "grade")
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
     rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_key"))
     rows = rows.select(F.col(text).alias("text"), "grade").where(F.col(text).isNotNull())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, at in words.chunks(batch.column(0)):
-                buckets, first = features(data, at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets, pa.int32())),
-                        batch.column(1).slice(row, end - row),
-                    ],
-                    ["buckets", "grade"],
-                )
-
-    found = rows.mapInArrow(run, "buckets array<int>, grade int").toArrow()
-    lists = found.column("buckets").combine_chunks()
+    found = common.stored(rows.mapInArrow(_featured, "buckets array<int>, grade int"), "quality_features")
+    texts = np.zeros(levels, np.int64)
+    for row in found.groupBy("grade").agg(F.count("*").alias("n")).collect():
+        texts[row["grade"]] = row["n"]
+    counted = found.mapInArrow(_counted(levels), "grade int, bucket int, n bigint")
+    counted = counted.groupBy("grade", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((levels, BUCKETS))
+    seen[counted["grade"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    marked = docs.sparkSession.sparkContext.broadcast(informative(seen, texts))
+    left = found.mapInArrow(_only(marked), found.schema).toArrow()
+    lists = left.column("buckets").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return fit(lists.flatten().to_numpy().astype(np.int64), first, found.column("grade").to_numpy(), levels)
+    buckets = lists.flatten().to_numpy().astype(np.int64)
+    return fit(buckets, first, left.column("grade").to_numpy(), levels)
 
 
 def scorer(model, text_at: int, wanted: list[int] | None, keep: float | None):
