@@ -8,6 +8,7 @@ from torquelog.llm import (
     fingerprints,
     language_id,
     line_dedup,
+    ngram_join,
     packing,
     quality,
     secrets,
@@ -17,6 +18,7 @@ from torquelog.llm import (
 QUERIES = {
     "op1_secret_links": secrets.query,
     "op2_chat_preferences": chat.query,
+    "op3_ngram_jaccard_join": ngram_join.query,
     "op4_quality_classifier": quality.query,
     "op5_rendezvous_sharding": sharding.query,
     "op6_best_fit_packing": packing.query,
