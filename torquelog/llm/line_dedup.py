@@ -114,20 +114,18 @@ def dedup_lines(
     lines = F.split(content, "\n")
     changed = F.col("_places").isNotNull()
     kept = F.when(changed, F.array_join(_without(lines, F.col("_places")), "\n")).otherwise(F.col(text))
+    joined = joined.withColumn("_kept", kept).withColumn("_lines", F.size(lines).cast("long"))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(kept.alias(c))
+            columns.append(F.col("_kept").alias(c))
         elif c == "n_chars":
-            size = F.char_length(kept).cast(docs.schema[c].dataType)
+            size = F.char_length("_kept").cast(docs.schema[c].dataType)
             columns.append(F.when(changed, size).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
-    counts = [
-        F.size(lines).cast("long").alias("_lines"),
-        F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("_gone"),
-    ]
-    return joined.select(*columns, *counts)
+    count = F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("_gone")
+    return joined.select(*columns, "_lines", count)
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:
