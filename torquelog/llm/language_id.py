@@ -34,7 +34,8 @@ def character_table() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets by order and place, first place of each text, whether a text has a letter).
 
-    Texts are two blanks apart, so that no n-gram reaches from one into the next.
+    Texts are two blanks apart, so that no n-gram of a text's characters reaches into the next; the
+    places of those blanks have the number ``BUCKETS``, which counts for nothing.
     """
     pad = " " * (max(ORDERS) - 1)
     code = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le", "replace"), np.uint32)
@@ -50,6 +51,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (h << np.uint32(13)) | (h >> np.uint32(19))
         h *= np.uint32(0x9E3779B1)
         out[row] = h >> np.uint32(32 - (BUCKETS - 1).bit_length())
+    out[:, ((first + sizes)[:, None] - np.arange(1, len(pad) + 1)).ravel()] = BUCKETS
     return out, first, letters
 
 
@@ -74,10 +76,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets, first, _ = grams(texts[start:end])
             names = sorted(set(langs[start:end]))
             number = np.array([names.index(x) for x in langs[start:end]])
-            of = np.repeat(number * BUCKETS, np.diff(np.append(first, buckets.shape[1])))
-            total = sum(np.bincount(of + b, minlength=len(names) * BUCKETS) for b in buckets)
+            row = BUCKETS + 1
+            of = np.repeat(number * row, np.diff(np.append(first, buckets.shape[1])))
+            total = sum(np.bincount(of + b, minlength=len(names) * row) for b in buckets)
             for i, name in enumerate(names):
-                part = total[i * BUCKETS : (i + 1) * BUCKETS]
+                part = total[i * row : i * row + BUCKETS]
                 counts[name] = counts[name] + part if name in counts else part.copy()
     for name, total in counts.items():
         at = np.flatnonzero(total)
@@ -122,6 +125,7 @@ def posterior(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
         buckets, first, letters = grams(texts[start:end])
         scores = np.zeros((end - start, len(model.languages)))
         for i, row in enumerate(model.log_probability):
+            row = np.append(row, 0.0)
             total = sum(row[b] for b in buckets)
             scores[:, i] = np.add.reduceat(total, first) + model.log_prior[i]
         top = scores.argmax(axis=1)

@@ -115,19 +115,22 @@ def fit(
 ) -> Model:
     """Maximum likelihood with weight decay by Adam over all given rows at each step.
 
-    Threshold gaps are exponentials of free parameters, which keeps the thresholds in order.
+    Threshold gaps are exponentials of free parameters, which keeps the thresholds in order. Without
+    rows every text has the highest grade.
     """
     texts = len(grade)
+    if not texts:
+        return Model(np.zeros(BUCKETS), np.arange(grades - 1) - 40.0)
     owner = np.repeat(np.arange(texts), np.diff(first))
     used, column = np.unique(buckets, return_inverse=True)
-    share = np.cumsum(np.bincount(grade, minlength=grades)[::-1])[::-1][1:] / max(texts, 1)
+    share = np.cumsum(np.bincount(grade, minlength=grades)[::-1])[::-1][1:] / texts
     share = np.clip(share, 0.01, 0.99)
     start = -np.log(share / (1 - share))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     value = np.concatenate([np.zeros(len(used)), free])
     mean, square = np.zeros_like(value), np.zeros_like(value)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for step in range(1, steps + 1 if texts else 1):
+    for step in range(1, steps + 1):
         w, t = value[: len(used)], value[len(used) :]
         cut = np.concatenate([[-np.inf], np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), [np.inf]])
         score = np.bincount(owner, w[column], minlength=texts)
