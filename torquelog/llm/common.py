@@ -53,7 +53,8 @@ def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: st
     ``right`` is a stored table; its column ``weight`` is the number of left rows of the key. Keys
     above ``HOT_SHARE`` of all rows (by that bound at most 1 / HOT_SHARE keys, so they are
     broadcast) get as many salts as they have shares; their right row is repeated once per salt.
-    The column ``weight`` is dropped.
+    The column ``weight`` is dropped. The join is a shuffle at every size, as the right side grows
+    with the data: a plan that turns from broadcast to shuffle somewhere cannot be tried out small.
     """
     total = F.broadcast(right.agg(F.sum(weight).alias("_total")))
     share = F.greatest(F.lit(1.0), F.col("_total") * HOT_SHARE)
@@ -75,7 +76,7 @@ def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: st
         .withColumn("_salt", every)
         .drop("_hot", "_salts")
     )
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def unsigned_unit(h: Column) -> Column:

@@ -110,7 +110,8 @@ def dedup_lines(
     )
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_md5", F.md5(content))
-    joined = rows.join(gone, (rows["_md5"] == gone["_digest"]) & rows[key].eqNullSafe(gone["_id"]), "left")
+    same = (rows["_md5"] == gone["_digest"]) & rows[key].eqNullSafe(gone["_id"])
+    joined = rows.join(gone.hint("merge"), same, "left")
     lines = F.split(content, "\n")
     changed = F.col("_places").isNotNull()
     kept = F.when(changed, F.array_join(_without(lines, F.col("_places")), "\n")).otherwise(F.col(text))
