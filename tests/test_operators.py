@@ -86,6 +86,13 @@ def test_unknown_part_leaves_other(spark):
     assert rows(got, "id", "category") == [(1, "new"), (2, "Other"), (3, "Door"), (4, "Other")]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_takes_map_columns(spark, how):
+    left = spark.createDataFrame([(i % 3, {"a": i}) for i in range(30)], "k int, m map<string,int>")
+    right = spark.createDataFrame([(1,), (2,)], "k int")
+    assert salted_join(left, right, ["k"], how).count() == left.join(right, ["k"], how).count()
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "i int, k string")
@@ -139,24 +146,35 @@ def test_write_back(spark):
     assert rows(joins.write_back(df, found, "id", "c"), "id", "c") == [(1, "Fan"), (2, "Door")]
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_word_tables_of_any_size(spark, bound):
-    df = spark.createDataFrame(
-        [(1, ["a", "b", "a", "x"]), (2, ["x"]), (3, [])], "id int, t array<string>"
-    )
-    vocab = spark.createDataFrame([("a",), ("b",), ("b",)], "word string")
-    kept = joins.keep_words(df, "id", "t", vocab, max_rows=bound)
-    assert rows(kept, "id", "t") == [(1, ["a", "b", "a"]), (2, []), (3, [])]
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_word_tables_of_any_size(spark, threshold):
+    """Broadcast or shuffled, null and repeated keys, null lists and map columns: one answer."""
+    data = [
+        (1, ["a", "b", "a", "x"], {"k": 1}), (2, ["x"], None), (3, [], {}), (None, ["a", "x"], {}),
+        (None, ["x", "b"], {}), (1, ["x", "a"], {}), (4, None, {}),
+    ]
+    df = spark.createDataFrame(data, "id int, t array<string>, m map<string,int>")
+    vocab = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "word string")
     table = spark.createDataFrame([("a", "alpha one"), ("", "no")], "word string, expansion string")
-    done = joins.expand_words(df, "id", "t", table, max_rows=bound)
-    assert rows(done, "id", "t") == [(1, ["alpha one", "b", "alpha one", "x"]), (2, ["x"]), (3, [])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        kept = joins.keep_words(df, "id", "t", vocab)
+        done = joins.expand_words(df, "id", "t", table)
+        got = rows(kept, "id", "t"), rows(done, "id", "t")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def want(change):
+        return sorted(((i, None if t is None else change(t)) for i, t, _ in data), key=repr)
+
+    assert got[0] == want(lambda t: [w for w in t if w in "ab"])
+    assert got[1] == want(lambda t: ["alpha one" if w == "a" else w for w in t])
 
 
 # --------------------------------------------------------------------------------------- vocabulary
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_own_vocabulary_equals_join(spark, bound):
+def test_own_vocabulary_equals_join(spark):
     rng = random.Random(1)
     pool = ["ab", "cd", "e9", "door", "oven", "the", "x", "if", "zz"]
     data = [(i, [rng.choice(pool) for _ in range(rng.randrange(6))]) for i in range(30)]
@@ -164,7 +182,7 @@ def test_own_vocabulary_equals_join(spark, bound):
     df = spark.createDataFrame(data, "id int, t array<string>")
     counts = Counter(w for _, t in data for w in t)
     vocab = {w for w, c in counts.items() if len(w) >= 3 or c >= 5} - {"the", "if"}
-    got = vocabulary.keep_own_vocabulary(df, "id", "t", max_rows=bound)
+    got = vocabulary.keep_own_vocabulary(df, "id", "t")
     assert rows(got, "id", "t") == sorted(
         ((i, [w for w in t if w in vocab]) for i, t in data), key=repr
     )
@@ -334,6 +352,31 @@ def test_asset_report(spark):
         ]
 
 
+def test_asset_report_leaves_no_record_without_a_category(spark):
+    serial = "1234567890123"
+    recs = spark.createDataFrame(
+        [
+            ("w1", serial, f"{serial}:Door:door hinge broken", None, 1),
+            ("w2", serial, "fan noise without colons", None, 1),
+            ("w3", serial, f"{serial}:Other:hinge of the door", "nowhere", 1),
+            ("w4", serial, f"{serial}:Other:zzz", "P", 1),
+            ("w5", serial, None, None, 1),
+        ],
+        "wo string, asset_name string, work_description string, part_name string, quantity int",
+    )
+    parts = spark.createDataFrame([("P", "Fan", 1)], "part_name string, system string, pos int")
+    words = spark.createDataFrame([("door",), ("hinge",), ("12",)], "word string")
+    bare = spark.createDataFrame([("12",)], "word string")
+    done = reports.asset_report(
+        recs, "wo", parts, "pos", ["quantity"], ["asset_name", "work_description"], words, bare
+    )
+    got = {r["wo"]: r["category"] for r in done.collect()}
+    assert len(got) == done.count() and None not in got.values()
+    assert (got["w1"], got["w3"], got["w4"]) == ("Door", "Door", "Fan")
+    if "w2" in got:
+        assert got["w2"] == "Unknown"
+
+
 def test_incident_report(spark):
     df = spark.createDataFrame(
         [(1, "P1", "Replaced the door, door hinge on 10/10/23 ab"), (2, None, None)],
@@ -341,13 +384,23 @@ def test_incident_report(spark):
     )
     got = {r["id"]: r for r in reports.incident_report(df, "id", "summary", ["part"]).collect()}
     one = got[1]
-    assert one["cleaned"] == "replac door door hinge"  # "ab" is short and rare
+    assert one["cleaned"] == "replace door door hinge"  # "ab" is short and rare
+    assert one["actions"] == ["replace"]
     assert one["observations"] == ["door", "door"]
-    assert one["keywords_2"] == "door door, door hinge, replac door"
+    assert one["keywords_2"] == "door door, door hinge, replace door"
     assert [x["word"] for x in one["significant"]][:2] == ["10 10", "10 23"]
     assert got[2]["keywords_1"] in (None, "")
 
 
+def test_actions_of_an_incident(spark):
+    df = spark.createDataFrame(
+        [(1, "P", "Replaced the magnetron and closed the door")], "id int, part string, summary string"
+    )
+    got = reports.incident_report(df, "id", "summary", ["part"]).first()
+    assert got["actions"] == ["replace", "close"]
+    assert got["observations"] == ["magnetron", "door"]
+
+
 def test_null_text_keeps_its_row(spark):
     df = spark.createDataFrame([(1, None), (2, "oven door")], "id int, x string")
     tokens = df.select("id", text.words(F.col("x")).alias("t"))
@@ -449,6 +502,9 @@ def test_label_index(spark):
     df = spark.createDataFrame([(3, "door"), (1, "tool"), (2, "door"), (4, None)], "id int, l string")
     assert rows(classes.label_index(df, "l"), "l", "index") == [("door", 0), ("tool", 1)]
     assert rows(classes.label_index(df, "l", "id"), "l", "index") == [("door", 1), ("tool", 0)]
+    numbers = spark.createDataFrame([(10, 1), (2, None), (1, 5), (2, None), (None, 0)], "l int, id int")
+    assert rows(classes.label_index(numbers, "l"), "l", "index") == [(1, 0), (10, 2), (2, 1)]
+    assert rows(classes.label_index(numbers, "l", "id"), "l", "index") == [(1, 1), (10, 0), (2, 2)]
 
 
 def test_upsample(spark):

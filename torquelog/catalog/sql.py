@@ -91,13 +91,33 @@ def joined(expr: str) -> str:
     return f"array_to_string({expr}, ' ')"
 
 
+# The lemma rules once more, as tests on the stem alone; RE2 has no look-ahead.
+VOWEL_STEM = "[aeiouy]"
+DROP_LAST = "([bdgmnprt])"
+LOST_E = (
+    "^[^aeiouy]*[aeiouy][^aeiouywx]$|[cvu]$|[^z]z$|[aeioulnrp]s$|(ch|r)ang$|[rld]g$|[^aeiou]ag$|"
+    "[bcdfgkptz]l$|[iu]at$|creat$|[^aeiou](at|in|id|ad|il)$|(qu|sp)ir$|[wfth]ir$|[^aeo]ur$|let$|"
+    "[pcb]ut$|par$|clar$|plor$|gnor$|stor$|com$|sum$|(cl|tr)ud$|mot$"
+)
+
+
 def lemma(token: str) -> str:
-    cases = [f"WHEN {token} IN {listed(lexicons.LEMMAS)} THEN {mapped(lexicons.LEMMAS)}[{token}]"]
-    for _, pattern, replacement in text.LEMMA_RULES:
-        back = replacement.replace("$", "\\")
+    cases = [
+        f"WHEN {token} IN {listed(lexicons.LEMMAS)} THEN {mapped(lexicons.LEMMAS)}[{token}]",
+        f"WHEN {token} IN {listed(lexicons.UNCHANGED)} THEN {token}",
+        f"WHEN regexp_matches({token}, '^\\p{{L}}+(ss|x|ch|sh)es$') THEN left({token}, -2)",
+        f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}ies$') THEN left({token}, -3) || 'y'",
+        f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}[^sui]s$') THEN left({token}, -1)",
+        f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}ied$') THEN left({token}, -3) || 'y'",
+    ]
+    for ending, n in (("ing", 3), ("ed", 2)):
+        stem = f"left({token}, -{n})"
+        last, before = f"right({stem}, 1)", f"right({stem}, 2)"
         cases.append(
-            f"WHEN regexp_matches({token}, {quoted(pattern)}) "
-            f"THEN regexp_replace({token}, {quoted(pattern)}, {quoted(back)})"
+            f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}{ending}$') AND right({token}, 3) <> 'eed' "
+            f"AND regexp_matches({stem}, '{VOWEL_STEM}') THEN CASE "
+            f"WHEN {before} = {last} || {last} AND regexp_matches({last}, '{DROP_LAST}') THEN left({stem}, -1) "
+            f"WHEN regexp_matches({stem}, '{LOST_E}') THEN {stem} || 'e' ELSE {stem} END"
         )
     return "CASE " + " ".join(cases) + f" ELSE {token} END"
 

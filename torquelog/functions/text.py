@@ -184,29 +184,50 @@ def remove_stopwords(text: Column, stop: Iterable[str] = lexicons.STOP_ENGLISH)
     return _join(drop_words(split_space(text), stop))
 
 
-# Suffix rules, first match wins: (ending, pattern of the whole token, replacement).
+# Plural and past endings, first match wins: (ending, pattern of the whole token, replacement).
 LEMMA_RULES = (
     ("es", r"^(\p{L}+)(ss|x|ch|sh)es$", "$1$2"),
     ("ies", r"^(\p{L}{2,})ies$", "$1y"),
     ("s", r"^(\p{L}{2,}[^sui])s$", "$1"),
     ("ied", r"^(\p{L}{2,})ied$", "$1y"),
-    ("ing", r"^(\p{L}+[aeiou]\p{L}+)ing$", "$1"),
-    ("ed", r"^(\p{L}+[aeiou]\p{L}+)ed$", "$1"),
 )
+# -ing and -ed come off a stem of two letters or more that has a vowel.
+STEM = r"^(?=\p{L}{2,}(ing|ed)$)\p{L}*[aeiouy]\p{L}*(ing|ed)$"
+# A consonant doubled before the ending is single in the lemma ...
+DOUBLED = r"(bb|dd|gg|mm|nn|pp|rr|tt)$"
+# ... and these stems have lost an e: one short syllable, or an ending that only occurs with it.
+SILENT_E = (
+    r"^[^aeiouy]*[aeiouy][^aeiouywx]$|(c|v|[^z]z|u|[aeioulnrp]s|chang|rang|[rld]g|[^aeiou]ag|"
+    r"[bcdfgkptz]l|[iu]at|creat|[^aeiou](at|in|id|ad|il)|quir|spir|[wfth]ir|[^aeo]ur|let|[pcb]ut|par|"
+    r"clar|plor|gnor|stor|com|sum|clud|trud|mot)$"
+)
+
+
+def _stem(token: str, ending: str) -> str:
+    stem = f"left({token}, length({token}) - {len(ending)})"
+    return (
+        f"CASE WHEN {stem} RLIKE {literal(DOUBLED)} THEN left({token}, length({token}) - {len(ending) + 1}) "
+        f"WHEN {stem} RLIKE {literal(SILENT_E)} THEN concat({stem}, 'e') ELSE {stem} END"
+    )
 
 
 def _lemma(token: str, table: Mapping[str, str]) -> str:
-    cases = [_swap(table, token)]
+    cases = [_swap(table, token), f"WHEN {token} IN {literals(lexicons.UNCHANGED)} THEN {token}"]
     for ending, pattern, replacement in LEMMA_RULES:  # the cheap test spares the pattern
         cases.append(
             f"WHEN endswith({token}, {literal(ending)}) AND {token} RLIKE {literal(pattern)} "
             f"THEN regexp_replace({token}, {literal(pattern)}, {literal(replacement)})"
         )
+    for ending in ("ing", "ed"):
+        cases.append(
+            f"WHEN endswith({token}, {literal(ending)}) AND NOT endswith({token}, 'eed') "
+            f"AND {token} RLIKE {literal(STEM)} THEN {_stem(token, ending)}"
+        )
     return f"CASE {' '.join(cases)} ELSE {token} END"
 
 
 def lemmas(tokens: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Column:
-    """Dictionary lemma of each lower-case token, else the first suffix rule that fits."""
+    """Dictionary lemma of each lower-case token, else the first rule that fits."""
     return each("transform", tokens, _lemma("t", table))
 
 
@@ -214,7 +235,7 @@ def lemmatize(text: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Colum
     return _join(lemmas(split_space(text), table))
 
 
-VERB_SUFFIX = r"^\p{L}{2,}(ing|ed|ize|ify)$"
+VERB_SUFFIX = r"^\p{L}{2,}(ing|ed|ize|ify|ate)$"
 NOUN_SUFFIX = r"^\p{L}{2,}(tion|ment|ness|ure|age)$"
 
 

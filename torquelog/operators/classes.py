@@ -11,8 +11,6 @@ from torquelog.operators.joins import only
 from torquelog.operators.ranking import hash_share, row_numbers
 from torquelog.runtime import lookup_join, materialize
 
-MAX_LABELS = 100_000
-
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
@@ -38,19 +36,27 @@ def merge_rare(df: DataFrame, label: str, least: int = 3, other: str = "Other")
 
 
 def label_index(df: DataFrame, label: str, first_seen_by: str | None = None) -> DataFrame:
-    """(label, index): alphabetical, or by first appearance in the order of a column.
+    """(label, index): in the order of the label's own type, or by first appearance.
 
-    Works on one row per class, at most ``MAX_LABELS``; more cannot be a classifier's classes.
+    Numbers are in numeric order, strings in that of their bytes. A class whose order column is
+    always null comes last. Numbers a table of one row per class, in ranges, so no class passes
+    through the driver and the number of classes is not limited.
     """
+    rows = df.where(F.col(label).isNotNull())
     seen = F.min(first_seen_by) if first_seen_by else F.lit(0)
-    classes = df.where(F.col(label).isNotNull()).groupBy(label).agg(seen.alias("_first"))
-    listed = classes.limit(MAX_LABELS + 1).collect()
-    if len(listed) > MAX_LABELS:
-        raise ValueError(f"{label} has more than {MAX_LABELS} classes")
-    ordered = sorted(listed, key=lambda r: (r["_first"], str(r[label]).encode()))
-    schema = df.select(label).schema.add("index", "long")
-    return df.sparkSession.createDataFrame(
-        [(r[label], i) for i, r in enumerate(ordered)], schema
+    classes = materialize(rows.groupBy(label).agg(seen.alias("_first")))
+    order = [F.col("_first").asc_nulls_last(), F.col(label)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = classes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = materialize(ranges.withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
+    )
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_place")) - 1
+    return placed.withColumn("_within", within).join(starts, "_range").select(
+        label, (F.col("_start") + F.col("_within")).cast("long").alias("index")
     )
 
 
