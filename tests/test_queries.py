@@ -8,10 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 import check
-from torquelog import runtime
+from torquelog import catalog, runtime
 
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,12 @@ def test_query_beyond_the_broadcast_bound(spark, database, monkeypatch, name):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_relabelling_moves_open_records_only(spark):
+    text = plan(QUERIES["relabel_records"](spark, DIRECTORY))
+    assert ") Union" in text  # the known records pass beside the join
 
 
 def test_entry(spark):

@@ -288,7 +288,7 @@ def _(spark, sf):
         FROM documents LEFT JOIN (SELECT * FROM assigned WHERE n = 1) a USING (doc_id)""",
 )
 def _(spark, sf):
-    done = reports.relabel(records(spark, sf), assigned(spark, sf), "doc_id", "source")
+    done = reports.relabel(records(spark, sf), assigned(spark, sf), "doc_id", "source", other="src0")
     return done.select("doc_id", F.col("source").alias("category"))
 
 

@@ -46,7 +46,7 @@ def matched_phrases(tokens: Column, phrases: list[str], scan: int = 200) -> Colu
     A short phrase list is searched in the joined text; a long one is intersected with the n-grams,
     whose cost does not depend on the number of phrases.
     """
-    ordered = sorted(set(phrases))
+    ordered = sorted({p for p in phrases if p})  # an empty phrase is in no text
     if len(ordered) <= scan:
         wanted = F.split(F.lit("\n".join(ordered)), "\n")
 
