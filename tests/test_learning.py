@@ -3,7 +3,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.ml import Pipeline
 
 from torquelog.operators import learning
 
@@ -52,7 +51,7 @@ def test_two_stages(spark, reports):
 def test_features_follow_the_formula(spark):
     docs = ["oven door door", "oven fan the", "fan blade of", ""]
     df = spark.createDataFrame(list(enumerate(docs)), "id int, note string")
-    model = Pipeline(stages=learning.feature_stages("note")).fit(df)
+    model = learning.fit_features(df, "note")
     names = model.stages[2].vocabulary
     assert sorted(names) == ["blade", "door", "fan", "oven"]  # no stop words
     weight = {"oven": 2, "fan": 2, "door": 1, "blade": 1}

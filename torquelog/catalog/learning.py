@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from torquelog.catalog import sql
 from torquelog.catalog.registry import register
 from torquelog.functions import ngrams
 from torquelog.operators import classes, learning, metrics
@@ -23,22 +23,33 @@ def rows_of(df, split: str):
     return df.where(F.col("split") == split).drop("split")
 
 
-@register("text_features", "M1")
+@register(
+    "text_features",
+    "M1",
+    f"""WITH w AS (SELECT doc_id, unnest({sql.keyword_tokens("text")}) AS word FROM documents),
+        v AS (SELECT word, count(DISTINCT doc_id) AS df FROM w GROUP BY word
+              ORDER BY count(*) DESC, word LIMIT 1000),
+        t AS (SELECT doc_id, word, count(*) * ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) AS weight
+              FROM w JOIN v USING (word) GROUP BY doc_id, word, df),
+        s AS (SELECT doc_id, count(*) FILTER (weight > 0) AS terms, max(weight) / sqrt(sum(weight * weight)) AS top
+              FROM t GROUP BY doc_id)
+        SELECT doc_id, coalesce(terms, 0)::INTEGER AS terms, round(coalesce(top, 0), 6) AS top
+        FROM documents LEFT JOIN s USING (doc_id)""",
+)
 def _(spark, sf):
-    df = load(spark, sf, "documents", "doc_id").select("doc_id", "text")
-    model = Pipeline(stages=learning.feature_stages("text")).fit(df)
+    df = load(spark, sf, "documents", "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     weights = vector_to_array("features")
-    return model.transform(df).select(
+    return learning.fit_features(df, "text").transform(df).select(
         "doc_id",
         F.size(F.filter(weights, lambda w: w > 0)).alias("terms"),
-        F.round(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w * w), 6).alias("length"),
+        F.round(F.array_max(weights), 6).alias("top"),
     )
 
 
 @register("forest_report", "M1 M2 M3 M8 A10 A11 W9")
 def _(spark, sf):
     df = training_set(spark, sf)
-    model = learning.train(rows_of(df, "train"), "text", "lang", "forest", numTrees=30, maxDepth=8)
+    model = learning.train(rows_of(df, "train"), "text", "lang", "forest")
     scored = learning.score(rows_of(df, "test"), model, "text")
     return metrics.class_report(scored, "lang", "predicted", df.select("lang").distinct())
 
@@ -49,18 +60,14 @@ def _(spark, sf):
     df = load(spark, sf, "documents", "doc_id").select("doc_id", "lang", tokens.alias("tokens"))
     df = df.select("doc_id", "lang", F.array_join("tokens", " ").alias("keywords"))
     df = stratified_split(df, "doc_id", "lang")
-    model = learning.train(
-        rows_of(df, "train"), "keywords", "lang", "logistic", stop=False, maxIter=50
-    )
+    model = learning.train(rows_of(df, "train"), "keywords", "lang", "logistic", stop=False)
     return metrics.summary(learning.score(rows_of(df, "test"), model, "keywords"), "lang", "predicted")
 
 
 @register("weighted_classifier_report", "M12 M7 M4 M8")
 def _(spark, sf):
     df = training_set(spark, sf)
-    model = learning.train(
-        rows_of(df, "train"), "text", "lang", "logistic", weighted=True, maxIter=50
-    )
+    model = learning.train(rows_of(df, "train"), "text", "lang", "logistic", weighted=True)
     scored = learning.score(rows_of(df, "test"), model, "text")
     return metrics.class_report(scored, "lang", "predicted", df.select("lang").distinct())
 
@@ -69,7 +76,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = training_set(spark, sf)
     path = scratch_path(spark, "model")
-    trained = learning.train(rows_of(df, "train"), "text", "lang", "logistic", maxIter=30)
+    trained = learning.train(rows_of(df, "train"), "text", "lang", "logistic")
     learning.save(trained, path)
     scored = learning.score(df.drop("split"), learning.load_model(path), "text")
     return scored.select(
@@ -85,7 +92,7 @@ def _(spark, sf):
     df = training_set(spark, sf)
     quality = load(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("part"))
     rows = rows_of(df, "train").join(quality, "doc_id")
-    models = learning.train_two_stage(rows, "text", "lang", "part", maxIter=20)
+    models = learning.train_two_stage(rows, "text", "lang", "part")
     scored = learning.score_two_stage(rows_of(df, "test").select("doc_id", "text"), models, "text")
     return scored.select("doc_id", "system", "part")
 

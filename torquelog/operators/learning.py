@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     IndexToString,
     Normalizer,
     RegexTokenizer,
@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 from torquelog.functions import lexicons, text
 from torquelog.operators.classes import class_weights
 from torquelog.operators.ranking import top_labels
-from torquelog.runtime import lookup_join
+from torquelog.runtime import lookup_join, scratch_path
 
 SEED = 42
 MAX_FEATURES = 1000
 
 
-def feature_stages(column: str, max_features: int = MAX_FEATURES, stop: bool = True) -> list:
-    """TF-IDF stages for a text column; fit them on the training rows only.
+def fit_features(
+    df: DataFrame, column: str, max_features: int = MAX_FEATURES, stop: bool = True
+) -> PipelineModel:
+    """TF-IDF stages for a text column, fitted on ``df``: give it the training rows only.
 
-    Spark's IDF is ``ln((rows + 1) / (df + 1))`` without an added 1, so a word of every row weighs 0.
+    The features are the most frequent words; of equally frequent ones the alphabetically first, so
+    the same rows always give the same features. Spark's IDF is ``ln((rows + 1) / (df + 1))`` without
+    an added 1, so a word of every row weighs 0.
     """
     words = RegexTokenizer(
         inputCol=column, outputCol="_words", pattern=text.WORD, gaps=False, toLowercase=True
@@ -37,13 +41,15 @@ def feature_stages(column: str, max_features: int = MAX_FEATURES, stop: bool = T
     remover = StopWordsRemover(
         inputCol="_words", outputCol="_kept", stopWords=lexicons.STOP_KEYWORDS if stop else []
     )
-    return [
-        words,
-        remover,
-        CountVectorizer(inputCol="_kept", outputCol="_counts", vocabSize=max_features),
-        IDF(inputCol="_counts", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="features"),
-    ]
+    tokens = remover.transform(words.transform(df))
+    counts = tokens.select(F.explode("_kept").alias("word")).groupBy("word").count()
+    top = counts.orderBy(F.desc("count"), "word").limit(max_features).collect()
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["word"] for r in top] or [""], inputCol="_kept", outputCol="_counts"
+    )
+    rest = [IDF(inputCol="_counts", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
+    fitted = Pipeline(stages=rest).fit(counter.transform(tokens))
+    return PipelineModel([words, remover, counter, *fitted.stages])
 
 
 def _labelled(df: DataFrame, label: str) -> StringIndexer:
@@ -73,10 +79,10 @@ def train(
         weights = class_weights(rows, label).select(label, F.col("weight").alias("_weight"))
         rows = lookup_join(rows, weights, [label])
     labels = _labelled(rows, label).fit(rows)
-    stages = [*feature_stages(column, stop=stop), _classifier(kind, weighted, **options)]
-    fitted = Pipeline(stages=stages).fit(labels.transform(rows))
+    features = fit_features(rows, column, stop=stop)
+    fitted = _classifier(kind, weighted, **options).fit(features.transform(labels.transform(rows)))
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
-    return PipelineModel([*fitted.stages, names])
+    return PipelineModel([*features.stages, fitted, names])
 
 
 def label_names(model: PipelineModel) -> list[str]:
@@ -133,15 +139,22 @@ def train_two_stage(
 def score_two_stage(
     df: DataFrame, models: tuple[PipelineModel, dict[str, PipelineModel]], column: str
 ) -> DataFrame:
-    """Predicted system and, inside it, the predicted part (null for systems of one part)."""
+    """Predicted system and, inside it, the predicted part (null for systems of one part).
+
+    The first model reads the rows once; its result is stored by system, so each second model reads
+    the rows of its own system only.
+    """
     first, second = models
     staged = score(df, first, column).withColumnRenamed("predicted", "system")
     staged = staged.drop("top_predictions")
-    rest = staged.where(F.col("system").isNull() | ~F.col("system").isin(list(second)))
-    result = rest.withColumn("part", F.lit(None).cast("string"))
+    path = scratch_path(df.sparkSession, "systems")
+    staged.withColumn("_system", F.col("system")).write.partitionBy("_system").parquet(path)
+    staged = df.sparkSession.read.schema(staged.schema.add("_system", "string")).parquet(path)
+    named = F.col("_system").isin(list(second))
+    result = staged.where(F.col("_system").isNull() | ~named).withColumn("part", F.lit(None).cast("string"))
     for name, model in second.items():
-        chosen = score(staged.where(F.col("system") == name), model, column)
+        chosen = score(staged.where(F.col("_system") == name), model, column)
         result = result.unionByName(
             chosen.withColumnRenamed("predicted", "part").drop("top_predictions")
         )
-    return result
+    return result.drop("_system")
