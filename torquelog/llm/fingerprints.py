@@ -189,13 +189,13 @@ def compare_with_edits(
         F.sum((F.col("pos") < F.col("b")).cast("long")).alias("w"),
         F.sum(((F.col("pos") < F.col("a")) | (F.col("pos") >= F.col("b"))).cast("long")).alias("v"),
     )
-    signed = common.stored(signatures(counted, ["k1", "k2"], ["w", "v"], samples), "signatures")
+    signed = digests.join(signatures(counted, ["k1", "k2"], ["w", "v"], samples), ["k1", "k2"], "left")
+    signed = common.stored(signed, "signatures")  # in one job, so that the texts travel once
     following = signed.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("w").alias("x"))
     nothing = F.array(*[F.lit(None).cast("long")] * samples)
     s, e, x = (F.coalesce(F.col(c), nothing) for c in "wvx")
     return (
-        links.join(digests, ["k1", "k2"])
-        .join(signed, ["k1", "k2"], "left")
+        links.join(signed, ["k1", "k2"])
         .join(following, ["n1", "n2"], "left")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
         .select(
