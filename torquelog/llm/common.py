@@ -50,33 +50,29 @@ def numbered(df: DataFrame, group: list[str], number: str, name: str) -> DataFra
 def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """Join many rows per ``key`` on the left to one row per key on the right.
 
-    ``right`` is a stored table; its column ``weight`` is the number of left rows of the key. Keys
-    above ``HOT_SHARE`` of all rows (by that bound at most 1 / HOT_SHARE keys, so they are
-    broadcast) get as many salts as they have shares; their right row is repeated once per salt.
-    The column ``weight`` is dropped. The join is a shuffle at every size, as the right side grows
-    with the data: a plan that turns from broadcast to shuffle somewhere cannot be tried out small.
+    ``right`` is a stored table; its column ``weight`` is the number of left rows of the key and is
+    dropped. Keys above ``HOT_SHARE`` of all rows (there can be no more than 1 / HOT_SHARE of them)
+    get as many salts as they have shares, and their right row is repeated once per salt. The join is
+    a shuffle at every size, as the right side grows with the data: a plan that turns from broadcast
+    to shuffle somewhere cannot be tried out small.
     """
-    total = F.broadcast(right.agg(F.sum(weight).alias("_total")))
-    share = F.greatest(F.lit(1.0), F.col("_total") * HOT_SHARE)
-    hot = (
-        right.select(F.col(key).alias("_hot"), F.col(weight).alias("_w"))
-        .join(total)
-        .where(F.col("_w") > share)
-        .select("_hot", F.ceil(F.col("_w") / share).cast("int").alias("_salts"))
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    share = max(1.0, total * HOT_SHARE)
+    hot = right.where(F.col(weight) > share).select(
+        F.col(key).alias("_hot"), F.ceil(F.col(weight) / share).cast("int").alias("_salts")
     )
-    hot = stored(hot, "hot_keys")
-    few = F.broadcast(hot)
+    listed = hot.collect()
+    right = right.drop(weight)
+    if not listed:
+        return left.join(right.hint("merge"), key, how)
+    few = F.broadcast(left.sparkSession.createDataFrame(listed, hot.schema))
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"), F.lit(0))
     salted = left.join(few, left[key] == F.col("_hot"), "left").withColumn("_salt", salt)
     salted = salted.drop("_hot", "_salts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    repeated = (
-        right.drop(weight)
-        .join(few, right[key] == F.col("_hot"), "left")
-        .withColumn("_salt", every)
-        .drop("_hot", "_salts")
-    )
-    return salted.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
+    repeated = right.join(few, right[key] == F.col("_hot"), "left").withColumn("_salt", every)
+    repeated = repeated.drop("_hot", "_salts").hint("merge")
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def unsigned_unit(h: Column) -> Column:

@@ -237,13 +237,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     light = lambda s: sets.select(
         F.col("d").alias(s), F.col("n").alias(f"n{s}"), F.col("second").alias(f"p{s}"), F.col("third").alias(f"q{s}")
     )
-    met = pairs.join(light("x"), "x").join(light("y"), "y")
+    met = pairs.join(light("x").hint("merge"), "x").join(light("y").hint("merge"), "y")
     close = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (
         F.arrays_overlap("px", "py") & F.arrays_overlap("qx", "qy")
     )
     left = common.stored(met.where(close).select("x", "y"), "join_candidates")
     whole = lambda s: sets.select(F.col("d").alias(s), F.col("members").alias(f"m{s}"))
-    both = left.join(whole("x"), "x").join(whole("y"), "y").select("x", "y", "mx", "my")
+    both = left.join(whole("x").hint("merge"), "x").join(whole("y").hint("merge"), "y")
+    both = both.select("x", "y", "mx", "my")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,21 +265,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(d, label) for every node of ``edges`` (x, y): the least node it is connected to.
 
     In turn each node's greater neighbours, then its lesser ones, are linked to its least neighbour,
-    until nothing changes; that takes about the logarithm of the longest path in rounds. A node that
-    is the least of many has only one row in any group, that of its own neighbours, so the groups
-    are aggregated before the shuffle.
+    until nothing changes; that takes about the logarithm of the longest path in rounds. A node with
+    very many neighbours is split over partitions.
     """
     edges = common.stored(edges.where("x <> y").distinct(), "join_edges")
     before = None
     while True:
         ways = edges.union(edges.select("y", "x")).toDF("u", "v")
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = common.stored(large.where("u <> v").distinct(), "join_large_star")
+        least = ways.groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("weight")
+        )
+        large = common.split_join(ways, common.stored(least, "join_least"), "u", "weight")
+        large = large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.stored(large.distinct(), "join_large_star")
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.where("u <> v").union(least.select("u", "m")).distinct()
+        least = low.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        least = common.stored(least, "join_least")
+        small = common.split_join(low, least, "u", "weight").where("v <> m")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(least.select("u", "m")).distinct()
         edges = common.stored(small.toDF("x", "y"), "join_small_star")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state == before:
