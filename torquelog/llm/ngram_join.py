@@ -387,7 +387,8 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """
     groups = similar_groups(docs, key=key, **options)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(common.stored(gone, "join_gone"), docs[key] == F.col("_gone"), "left_anti")
+    gone = common.stored(gone, "join_gone").hint("merge")
+    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:
