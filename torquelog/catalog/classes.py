@@ -58,16 +58,17 @@ def _(spark, sf):
 @register(
     "merge_rare_classes",
     "A9",
-    """WITH d AS (SELECT doc_id, source || '-' || lang AS system FROM documents),
+    """WITH d AS (SELECT doc_id, source || '-' || lang || '-' || CAST(n_chars // 1000 AS VARCHAR) AS system
+         FROM documents),
        c AS (SELECT system, count(*) AS n FROM d GROUP BY system)
-       SELECT doc_id, CASE WHEN n < 6 THEN 'Other' ELSE system END AS system
+       SELECT doc_id, CASE WHEN n < 3 THEN 'Other' ELSE system END AS system
        FROM d JOIN c USING (system)""",
 )
 def _(spark, sf):
     df = load(spark, sf, "documents").select(
-        "doc_id", F.concat_ws("-", "source", "lang").alias("system")
+        "doc_id", F.concat_ws("-", "source", "lang", F.floor(F.col("n_chars") / 1000).cast("string")).alias("system")
     )
-    return classes.merge_rare(df, "system", 6)
+    return classes.merge_rare(df, "system")
 
 
 @register(
@@ -114,19 +115,24 @@ def _(spark, sf):
 @register(
     "upsample_minority",
     "M5 U2 J4 F3",
-    f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-        d AS (SELECT doc_id, lang, n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
-              FROM documents JOIN c USING (lang)),
-        p AS (SELECT lang, n, unnest(generate_series(1, 200)) AS draw FROM c WHERE n < 200),
-        q AS (SELECT lang, draw, {HASH.format(key="(lang || '-' || CAST(draw AS VARCHAR))", seed=42)} % n AS pos
+    f"""WITH r AS (SELECT doc_id, source || '-' || lang AS system FROM documents
+           UNION ALL SELECT doc_id, lang FROM documents),
+        c AS (SELECT system, count(*) AS n FROM r GROUP BY system),
+        d AS (SELECT doc_id, system, n, row_number() OVER (PARTITION BY system ORDER BY doc_id) - 1 AS pos
+              FROM r JOIN c USING (system)),
+        p AS (SELECT system, n, unnest(generate_series(1, 500)) AS draw FROM c WHERE n < 500),
+        q AS (SELECT system, draw, {HASH.format(key="(system || '-' || CAST(draw AS VARCHAR))", seed=42)} % n AS pos
               FROM p)
-        SELECT doc_id, lang, 0 AS draw FROM d WHERE n >= 200
+        SELECT doc_id, system, 0 AS draw FROM d WHERE n >= 500
         UNION ALL
-        SELECT doc_id, q.lang, CAST(q.draw AS INTEGER) FROM q JOIN d ON q.lang = d.lang AND q.pos = d.pos""",
+        SELECT doc_id, q.system, CAST(q.draw AS INTEGER) FROM q JOIN d ON q.system = d.system AND q.pos = d.pos""",
 )
 def _(spark, sf):
-    df = load(spark, sf, "documents").select("doc_id", "lang")
-    return classes.upsample(df, "doc_id", "lang", 200)
+    """Classes large and small at every table size: languages, and languages within a source."""
+    df = load(spark, sf, "documents")
+    within = df.select("doc_id", F.concat_ws("-", "source", "lang").alias("system"))
+    both = within.unionByName(df.select("doc_id", F.col("lang").alias("system")))
+    return classes.upsample(both, "doc_id", "system")
 
 
 SCORED_SQL = """scored AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from torquelog.catalog import sql
 from torquelog.catalog.registry import register
 from torquelog.functions import ngrams, text
-from torquelog.operators import association, keywords, similarity
+from torquelog.operators import association, similarity
 from torquelog.runtime import load, scratch_path
 from torquelog.streaming import counts
 
@@ -34,9 +34,7 @@ def tokens(spark, sf, table="documents", key="doc_id", column="text", *keep):
     "enrich_with_pages",
     "D2",
     f"""WITH d AS (SELECT doc_id, {sql.keyword_tokens("text")} AS w FROM documents),
-        c AS (SELECT doc_id, gram, count(*) AS cnt FROM (SELECT doc_id, unnest(w) AS gram FROM d) GROUP BY ALL),
-        k AS (SELECT doc_id, gram FROM c
-              QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, gram) <= 5),
+        k AS (SELECT DISTINCT doc_id, unnest(w) AS gram FROM d),
         p AS (SELECT page_id, unnest({sql.keyword_tokens(sql.html("html"))}) AS gram FROM pages),
         u AS (SELECT page_id, gram, count(*) AS uses FROM p GROUP BY ALL),
         i AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY uses DESC, page_id) AS rank FROM u
@@ -44,7 +42,8 @@ def tokens(spark, sf, table="documents", key="doc_id", column="text", *keep):
         SELECT doc_id, gram, page_id, uses, CAST(rank AS INTEGER) AS rank FROM k JOIN i USING (gram)""",
 )
 def _(spark, sf):
-    found = keywords.record_keywords(tokens(spark, sf), "doc_id", "tokens", (1,), 5)
+    words = F.explode(F.array_distinct("tokens")).alias("gram")
+    found = tokens(spark, sf).select("doc_id", words)
     pages = load(spark, sf, "pages", "page_id").select(
         "page_id", ngrams.keyword_tokens(text.remove_html(F.col("html"))).alias("tokens")
     )
@@ -55,19 +54,21 @@ def _(spark, sf):
     "entities_in_documents",
     "D3",
     f"""WITH b AS (SELECT {sql.words("text")} AS w FROM benchmark),
-        e AS (SELECT DISTINCT unnest({sql.grams("w", 2)}) AS entity FROM b),
+        e AS (SELECT DISTINCT gram AS entity FROM ({sql.gram_rows("b", "0 AS one", "w")})),
         d AS (SELECT doc_id, {sql.words("text")} AS w FROM documents),
-        g AS (SELECT doc_id, unnest({sql.grams("w", 2)}) AS entity FROM d)
+        g AS (SELECT doc_id, gram AS entity FROM ({sql.gram_rows("d", "doc_id", "w")}))
         SELECT doc_id, entity, 'step' AS kind, count(*) AS mentions FROM g JOIN e USING (entity) GROUP BY ALL""",
 )
 def _(spark, sf):
     def split(table, key):
         return load(spark, sf, table, key).select(key, text.words(F.col("text")).alias("tokens"))
 
+    sizes = (1, 2, 3)
+    grams = F.flatten(F.array(*[ngrams.ngrams(F.col("tokens"), n) for n in sizes]))
     entries = split("benchmark", "item_id").select(
-        F.explode(ngrams.ngrams(F.col("tokens"), 2)).alias("entity"), F.lit("step").alias("kind")
+        F.explode(F.array_distinct(grams)).alias("entity"), F.lit("step").alias("kind")
     )
-    return association.gazetteer(split("documents", "doc_id"), "doc_id", "tokens", entries, (2,))
+    return association.gazetteer(split("documents", "doc_id"), "doc_id", "tokens", entries, sizes)
 
 
 PHRASE_RULES = {"of the": "wear", "thtion": "heat", "und der": "noise", "de la": "dust"}
