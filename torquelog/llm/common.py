@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from torquelog import runtime
 
+LEAST_HOT = 1000  # rows of a key that one task may well have
 HOT_SHARE = 0.001  # keys above this share of the rows are split; there are at most 1 / share of them
 
 
@@ -56,16 +57,15 @@ def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: st
     a shuffle at every size, as the right side grows with the data: a plan that turns from broadcast
     to shuffle somewhere cannot be tried out small.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    share = max(1.0, total * HOT_SHARE)
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    share = max(1.0, (total or 0) * HOT_SHARE)
     hot = right.where(F.col(weight) > share).select(
         F.col(key).alias("_hot"), F.ceil(F.col(weight) / share).cast("int").alias("_salts")
     )
-    listed = hot.collect()
     right = right.drop(weight)
-    if not listed:
+    if (most or 0) <= max(share, LEAST_HOT):
         return left.join(right.hint("merge"), key, how)
-    few = F.broadcast(left.sparkSession.createDataFrame(listed, hot.schema))
+    few = F.broadcast(left.sparkSession.createDataFrame(hot.collect(), hot.schema))
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"), F.lit(0))
     salted = left.join(few, left[key] == F.col("_hot"), "left").withColumn("_salt", salt)
     salted = salted.drop("_hot", "_salts")

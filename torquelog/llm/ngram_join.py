@@ -261,37 +261,40 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "x bigint, y bigint")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every x has one y and no y is an x."""
+    ends = edges.select(F.col("x").alias("u"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(
+        edges.select("y", F.lit(0), F.lit(1))
+    )
+    sums = ends.groupBy("u").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return sums.where("child + root > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(d, label) for every node of ``edges`` (x, y): the least node it is connected to.
 
     In turn each node's greater neighbours, then its lesser ones, are linked to its least neighbour,
-    until nothing changes; that takes about the logarithm of the longest path in rounds. A node with
-    very many neighbours is split over partitions.
+    until every node hangs on the least of its component; that takes about the logarithm of the
+    longest path in rounds. A node with very many neighbours is split over partitions.
     """
-    edges = common.stored(edges.where("x <> y").distinct(), "join_edges")
-    before = None
-    while True:
+    edges = edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    edges = common.stored(edges.distinct(), "join_edges")
+    while not _are_stars(edges):
         ways = edges.union(edges.select("y", "x")).toDF("u", "v")
         least = ways.groupBy("u").agg(
             F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("weight")
         )
         large = common.split_join(ways, common.stored(least, "join_least"), "u", "weight")
-        large = large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = common.stored(large.distinct(), "join_large_star")
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = low.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
         least = common.stored(least, "join_least")
-        small = common.split_join(low, least, "u", "weight").where("v <> m")
+        small = common.split_join(large, least, "u", "weight").where("v <> m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", "m")).distinct()
         edges = common.stored(small.toDF("x", "y"), "join_small_star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     labels = edges.select(F.col("x").alias("d"), F.col("y").alias("label"))
-    roots = labels.select(F.col("label").alias("d"), "label").distinct()
-    return labels.union(roots).distinct()
+    return labels.union(labels.select("label", "label").distinct())
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
