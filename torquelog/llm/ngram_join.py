@@ -3,7 +3,8 @@
 Under any order of all shingles two documents that are similar enough share one among the first few
 of each (the prefix). One order makes the candidates: rare shingles first, as a shingle that is rare
 everywhere brings few documents together. A candidate pair must also share a prefix shingle under
-two further orders, and its sizes must be close; only then are the sets compared.
+two further orders, its sizes must be close, and the counts of its shingles by hash part must leave
+room for enough common ones; only then are the sets compared.
 
 Equal sets are one node. Within a group of nodes that share a prefix shingle not all pairs are made:
 each node is compared to the group's pivot, rounds with new pivots join what is similar to them, and
@@ -30,6 +31,7 @@ COMMON = 1 << 16  # shingles that are known to be common, at most; concerns spee
 LOCAL = 3  # texts of a partition that a common shingle is in, at least
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 6  # pivots per group, at most
+PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
 
 def sets_of(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,18 +172,47 @@ def common_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataFrame:
-    """(shingle, d): the first order's prefix of each set, a set once per partition."""
+    """(shingle, d, n, parts): the first order's prefix of each set, a set once per partition.
+
+    ``parts`` are the sizes of the set's parts by hash. Without a filter ``n`` and ``parts`` are null.
+    """
 
     def emit(batch, h, first, names, seen):
-        h, of = prefixes(h, first, levels(h, shared.value), SEEDS[0], percent)
+        p, of = prefixes(h, first, levels(h, shared.value), SEEDS[0], percent)
         fresh = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)
         kept = fresh[of]
         if filter_ is not None:
-            kept &= _in_filter(filter_.value, h.view(np.int64))
+            kept &= _in_filter(filter_.value, p.view(np.int64))
+        p, of = p[kept], of[kept]
         d = np.array([x or 0 for x in names], np.int64)
-        yield pa.RecordBatch.from_arrays([_signed(h[kept]), pa.array(d[of[kept]])], ["shingle", "d"])
+        if filter_ is None:
+            sizes, parts = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.list_(pa.int32()))
+        else:
+            owner = np.repeat(np.arange(len(names)), np.diff(first))
+            counts = np.bincount(
+                owner * PARTS + (h >> np.uint64(7)).astype(np.int64) % PARTS, minlength=len(names) * PARTS
+            ).reshape(-1, PARTS)
+            sizes = pa.array(np.diff(first)[of])
+            edges = pa.array(np.arange(len(p) + 1) * PARTS, pa.int32())
+            parts = pa.ListArray.from_arrays(edges, pa.array(counts[of].ravel(), pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [_signed(p), pa.array(d[of]), sizes, parts], ["shingle", "d", "n", "parts"]
+        )
+
+    schema = "shingle bigint, d bigint, n bigint, parts array<int>"
+    return docs.mapInArrow(_over_sets(1, n, emit), schema)
 
-    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint")
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar enough, by their sizes and those of their parts.
+
+    ``a`` and ``b`` are the endings of the columns n and parts.
+    """
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    close = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    common_ = F.zip_with(f"parts{a}", f"parts{b}", lambda p, q: F.least(p, q))
+    most = F.aggregate(common_, F.lit(0).cast("long"), lambda total, x: total + x)
+    return close & ((100 + percent) * most >= percent * (na + nb))
 
 
 def _slot(h: Column) -> Column:
@@ -206,7 +237,7 @@ def _in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, n: int, percent: int, shared, wanted) -> DataFrame:
-    """(d, n, second, third, members): for the sets that the filter lets through, two prefixes and all."""
+    """(d, second, third, members): for the sets that the filter lets through, two prefixes and all."""
 
     def emit(batch, h, first, names, seen):
         d = np.array([x or 0 for x in names], np.int64)
@@ -220,27 +251,25 @@ def set_rows(docs: DataFrame, n: int, percent: int, shared, wanted) -> DataFrame
         if not take:
             return
         level = levels(h, shared.value)
-        lists = [pa.array(d[take]), pa.array(np.diff(first)[take])]
+        lists = [pa.array(d[take])]
         for seed in SEEDS[1:]:
             p, of = prefixes(h, first, level, seed, percent)
             edge = np.searchsorted(of, np.arange(len(names) + 1))
             lists.append(pa.array([p[edge[t] : edge[t + 1]].view(np.int64) for t in take], pa.list_(pa.int64())))
         lists.append(pa.array([h[first[t] : first[t + 1]].tobytes() for t in take], pa.binary()))
-        yield pa.RecordBatch.from_arrays(lists, ["d", "n", "second", "third", "members"])
+        yield pa.RecordBatch.from_arrays(lists, ["d", "second", "third", "members"])
 
-    schema = "d bigint, n bigint, second array<bigint>, third array<bigint>, members binary"
+    schema = "d bigint, second array<bigint>, third array<bigint>, members binary"
     return docs.mapInArrow(_over_sets(1, n, emit), schema)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that are links: filters of size and of the other orders, then the sets."""
+    """The pairs (x, y) that are links: filters of the other orders, then the sets."""
     light = lambda s: sets.select(
-        F.col("d").alias(s), F.col("n").alias(f"n{s}"), F.col("second").alias(f"p{s}"), F.col("third").alias(f"q{s}")
+        F.col("d").alias(s), F.col("second").alias(f"p{s}"), F.col("third").alias(f"q{s}")
     )
     met = pairs.join(light("x").hint("merge"), "x").join(light("y").hint("merge"), "y")
-    close = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (
-        F.arrays_overlap("px", "py") & F.arrays_overlap("qx", "qy")
-    )
+    close = F.arrays_overlap("px", "py") & F.arrays_overlap("qx", "qy")
     left = common.stored(met.where(close).select("x", "y"), "join_candidates")
     whole = lambda s: sets.select(F.col("d").alias(s), F.col("members").alias(f"m{s}"))
     both = left.join(whole("x").hint("merge"), "x").join(whole("y").hint("merge"), "y")
@@ -303,11 +332,16 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
 
 
-def link(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
-    """(d, label) of the nodes that have a link, from ``groups`` (shingle, d) of prefix shingles."""
-    edges = labels = None
-    last = None
-    sizes = sets.select("d", "n")
+def link(
+    groups: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS
+) -> DataFrame | None:
+    """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, parts).
+
+    ``fetch`` gives the sets of the nodes of some pairs. Each round compares the nodes of a group to
+    one of them, by another hash each time, as long as that leaves clearly fewer pairs in different
+    components; the last round compares all such pairs.
+    """
+    edges = labels = last = None
     for turn in range(rounds + 1):
         rows = common.stored(_labelled(groups, labels), "join_groups")
         by_label = rows.groupBy("shingle", "label").agg(F.count("*").alias("m"))
@@ -319,23 +353,23 @@ def link(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS)
         if not left:
             break
         rows = rows.join(open_.select("shingle"), "shingle", "left_semi")
-        if turn == rounds or left <= 2 * nodes or (last is not None and left > 0.7 * last):
-            a = rows.join(sizes, "d").select("shingle", F.col("d").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-            b = a.toDF("shingle", "y", "ly", "ny")
-            close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-            pairs = a.join(b, "shingle").where((F.col("lx") != F.col("ly")) & (F.col("x") < F.col("y")) & close)
-            final = True
+        final = turn == rounds or left <= 2 * nodes or (last is not None and left > 0.7 * last)
+        columns = ["d", "label", "n", "parts"]
+        if final:
+            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
+            b = rows.select("shingle", *[F.col(c).alias(f"{c}y") for c in columns])
+            met = a.hint("merge").join(b, "shingle").where("dx < dy")
         else:
-            mark = F.xxhash64("d", F.lit(turn))
-            pivots = rows.groupBy("shingle").agg(F.count("*").alias("weight"), F.min(F.struct(mark.alias("h"), "d", "label")).alias("p"))
-            pivots = pivots.select("shingle", "weight", F.col("p.d").alias("y"), F.col("p.label").alias("ly"))
-            met = common.split_join(rows, common.stored(pivots, "join_pivots"), "shingle", "weight")
-            pairs = met.where("label <> ly").select(F.col("d").alias("x"), "y")
-            final = False
-        pairs = common.stored(pairs.select("x", "y").distinct(), "join_pairs")
-        found = verify(pairs, sets, percent)
-        edges = found if edges is None else edges.union(found)
-        edges = common.stored(edges, "join_links")
+            mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), *columns)
+            pivots = rows.groupBy("shingle").agg(F.count("*").alias("weight"), F.min(mark).alias("p"))
+            pivots = pivots.select("shingle", "weight", *[F.col(f"p.{c}").alias(f"{c}y") for c in columns])
+            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
+            met = common.split_join(a, common.stored(pivots, "join_pivots"), "shingle", "weight")
+        met = met.where((F.col("labelx") != F.col("labely")) & may_link("x", "y", percent))
+        pairs = met.select(F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
+        pairs = common.stored(pairs, "join_pairs")
+        found = verify(pairs, fetch(pairs), percent)
+        edges = common.stored(found if edges is None else edges.union(found), "join_links")
         labels = common.stored(components(edges), "join_labels")
         if final:
             break
@@ -367,10 +401,14 @@ def similar_groups(
     groups = common.stored(groups.where("a <> b").select("shingle", "weight"), "join_shingles")
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
     members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
-    members = common.stored(members.distinct(), "join_members")
-    wanted = spark.sparkContext.broadcast(bit_filter(members, "d"))
-    sets = set_rows(texts, n, percent, shared, wanted).dropDuplicates(["d"])
-    labels = link(members, common.stored(sets, "join_sets"), percent)
+    members = members.groupBy("shingle", "d").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+
+    def fetch(pairs: DataFrame) -> DataFrame:
+        wanted = bit_filter(pairs.select(F.explode(F.array("x", "y")).alias("d")), "d")
+        found = set_rows(texts, n, percent, shared, spark.sparkContext.broadcast(wanted))
+        return common.stored(found.dropDuplicates(["d"]), "join_sets")
+
+    labels = link(common.stored(members, "join_members"), fetch, percent)
 
     nodes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"))
     nodes = common.stored(_labelled(nodes, labels), "join_nodes")
