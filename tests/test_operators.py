@@ -377,6 +377,31 @@ def test_asset_report_leaves_no_record_without_a_category(spark):
         assert got["w2"] == "Unknown"
 
 
+@pytest.mark.parametrize("block", [1, 500])
+def test_nearest_vectors_for_a_table_of_queries(spark, block):
+    rng = random.Random(2)
+    data = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(99, [0.0] * 4), (98, None)]
+    asked = [(f"q{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(7)] + [("none", None)]
+    df = spark.createDataFrame(data, "id int, v array<double>")
+    table = spark.createDataFrame(asked, "query string, vector array<double>")
+    got = similarity.nearest_vectors(df, "id", "v", table, 3, block=block).collect()
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.dist(a, [0] * 4) / math.dist(b, [0] * 4)
+
+    want = set()
+    for name, q in asked[:-1]:
+        best = sorted(((-round(cosine(q, v), 6), i) for i, v in data[:40]))[:3]
+        want |= {(name, i, rank + 1) for rank, (_, i) in enumerate(best)}
+    assert {(r["query"], r["id"], r["rank"]) for r in got} == want and len(got) == 21
+
+
+def test_class_means(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [5.0, 5.0])], "l string, v array<double>")
+    got = similarity.class_means(df, "l", "v").collect()
+    assert {r["l"]: r["mean"] for r in got} == {"a": [2.0, 4.0], "b": [5.0, 5.0]}
+
+
 def test_incident_report(spark):
     df = spark.createDataFrame(
         [(1, "P1", "Replaced the door, door hinge on 10/10/23 ab"), (2, None, None)],

@@ -114,7 +114,8 @@ def nearest(spark, sf, k=5):
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
     means = similarity.class_means(df, "label", "v")
-    queries = {f"label {label}": mean for label, mean in means.items()}
+    name = F.concat(F.lit("label "), F.col("label").cast("string")).alias("query")
+    queries = means.select(name, F.col("mean").alias("vector"))
     return similarity.nearest_vectors(df, "vec_id", "v", queries, k)
 
 

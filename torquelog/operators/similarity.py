@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,36 +67,45 @@ def closest_category(
     )
 
 
-def class_means(df: DataFrame, label: str, vector: str, most: int = 1000) -> dict:
-    """Mean vector per class on the driver; refuses more than ``most`` classes."""
+def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """(label, mean): the mean vector of each class, for any number of classes."""
     cells = df.select(label, F.posexplode(vector).alias("pos", "value"))
     means = cells.groupBy(label, "pos").agg(F.avg("value").alias("mean"))
     lists = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"))
-    rows = lists.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} classes in {label}")
-    return {row[label]: [cell["mean"] for cell in row["v"]] for row in rows}
+    return lists.select(label, F.transform("v", lambda cell: cell["mean"]).alias("mean"))
+
+
+def _unit(vector: Column) -> Column:
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(vector, lambda x: x / length))
 
 
 def nearest_vectors(
-    df: DataFrame, key: str, vector: str, queries: dict[str, list[float]], k: int
+    df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 500
 ) -> DataFrame:
-    """Top ``k`` rows per named query vector by cosine: (query, key, score, rank).
+    """Top ``k`` rows per query vector by cosine: (query, key, score, rank).
 
-    The few query vectors are constants of the projection; each row is read once.
+    ``queries`` is a stated set (query, vector) of any size. It is worked through in blocks of about
+    ``block`` queries, each of which travels to the rows as one small array; a block is cut to ``k``
+    rows per query before the next one is added. Null vectors and those of length 0 have no cosine
+    and are left out on both sides.
     """
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-
-    def score(query: list[float]) -> Column:
-        size = sum(x * x for x in query) ** 0.5
-        unit = json.dumps([float(x) / (size or 1.0) for x in query])
-        values = F.from_json(F.lit(unit), "array<double>")  # folded to one constant
-        products = F.zip_with(vector, values, lambda a, b: a * b)
-        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / F.col("_len")
-
-    pairs = F.array(
-        *[F.struct(F.lit(q).alias("query"), score(v).alias("score")) for q, v in queries.items()]
-    )
-    rows = df.withColumn("_len", length).where("_len > 0").select(key, F.inline(pairs))
-    rows = rows.withColumn("score", F.round("score", 6))
-    return top_k(rows, ["query"], [F.desc("score"), F.col(key)], k)
+    units = queries.select("query", _unit(F.col("vector")).alias("unit")).where("unit is not null")
+    units = materialize(units)
+    rows = df.select(key, _unit(F.col(vector)).alias("_unit")).where("_unit is not null")
+    blocks = max(1, -(-units.count() // block))
+    found = None
+    for b in range(blocks):
+        part = units.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks))).where(F.col("_block") == b)
+        listed = part.groupBy("_block").agg(F.collect_list(F.struct("query", "unit")).alias("_queries"))
+
+        def score(q: Column) -> Column:
+            products = F.zip_with("_unit", q["unit"], lambda a, b: a * b)
+            return F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 6)
+
+        scores = F.transform("_queries", lambda q: F.struct(q["query"].alias("query"), score(q).alias("score")))
+        met = rows.withColumn("_block", F.lit(b).cast("long")).join(F.broadcast(listed), "_block")
+        pairs = met.select(key, F.inline(scores))
+        best = top_k(pairs, ["query"], [F.desc("score"), F.col(key)], k)
+        found = best if found is None else found.unionByName(best)
+    return found
