@@ -32,25 +32,39 @@ def group_keywords(
 
     Counts combine before the shuffle on (group, n, gram); no group text is ever built. With
     ``span_rows`` the rows of a group are read as one text in key order, so n-grams also cross from
-    a row into the next ones.
+    a row into the next ones; only the few words at the ends of the rows are put in order for that.
     """
-    longest = max(sizes)
-    if span_rows and longest > 1:
-        rows = following_heads(df.select(group, key, tokens), group, key, tokens, longest - 1)
-
-        def made(n: int) -> Column:
-            read_on = F.concat(F.col(tokens), F.slice("_tail", 1, n - 1)) if n > 1 else F.col(tokens)
-            grams = text.let(read_on, lambda t: ngrams.ngrams(t, n))
-            return F.struct(F.lit(n).alias("n"), grams.alias("grams"))
-
-        rows = rows.select(group, F.inline(F.array(*[made(n) for n in sizes])))
-        grams = rows.select(group, "n", F.explode("grams").alias("gram"))
-    else:
-        grams = gram_rows(df, [group], tokens, sizes)
+    grams = gram_rows(df, [group], tokens, sizes)
+    if span_rows and max(sizes) > 1:
+        grams = grams.unionByName(_crossing_grams(df, group, key, tokens, sizes))
     counts = grams.groupBy(group, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     return top_k(counts, [group, "n"], [F.desc("cnt"), F.col("gram")], k)
 
 
+def _crossing_grams(
+    df: DataFrame, group: str, key: str, tokens: str, sizes: tuple[int, ...]
+) -> DataFrame:
+    """(group, n, gram) of the n-grams that start in a row and end in a later one of its group.
+
+    They hold at most n - 1 words of the row's end and as many of what follows, so no other n-gram
+    is in those two parts together.
+    """
+    most = max(sizes) - 1
+    inner = F.concat(F.slice(tokens, 1, most), F.slice(tokens, -most, most))
+    ends = df.select(
+        group, key, F.when(F.size(tokens) <= 2 * most, F.col(tokens)).otherwise(inner).alias("_ends")
+    )
+    rows = following_heads(ends, group, key, "_ends", most)
+
+    def made(n: int) -> Column:
+        last = F.slice("_ends", F.greatest(F.size("_ends") - n + 2, F.lit(1)), n - 1)
+        both = F.concat(last, F.slice("_tail", 1, n - 1))
+        return F.struct(F.lit(n).alias("n"), text.let(both, lambda t: ngrams.ngrams(t, n)).alias("grams"))
+
+    sized = rows.select(group, F.inline(F.array(*[made(n) for n in sizes if n > 1])))
+    return sized.select(group, "n", F.explode("grams").alias("gram"))
+
+
 def record_counts(
     df: DataFrame, keep: list[str], tokens: str, sizes: tuple[int, ...] = SIZES
 ) -> DataFrame:
