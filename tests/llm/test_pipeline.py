@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests_llm_brute import decontaminated, first_of_groups, packed, winnowed
+from plain_stages import decontaminated, first_of_groups, packed, winnowed
 from torquelog.llm import common
 
 
