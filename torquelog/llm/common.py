@@ -48,23 +48,26 @@ def numbered(df: DataFrame, group: list[str], number: str, name: str) -> DataFra
     )
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def split_join(
+    left: DataFrame, right: DataFrame, key: str, weight: str, counts: DataFrame | None = None
+) -> DataFrame:
     """Join many rows per ``key`` on the left to one row per key on the right.
 
-    ``right`` is a stored table; its column ``weight`` is the number of left rows of the key and is
-    dropped. Keys above ``HOT_SHARE`` of all rows (there can be no more than 1 / HOT_SHARE of them)
+    The column ``weight`` of the stored table ``counts`` is the number of left rows of each key; by
+    default it is in ``right`` itself and is dropped. Keys above ``HOT_SHARE`` of all rows (there can be no more than 1 / HOT_SHARE of them)
     get as many salts as they have shares, and their right row is repeated once per salt. The join is
     a shuffle at every size, as the right side grows with the data: a plan that turns from broadcast
     to shuffle somewhere cannot be tried out small.
     """
-    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    if counts is None:
+        counts, right = right, right.drop(weight)
+    total, most = counts.agg(F.sum(weight), F.max(weight)).first()
     share = max(1.0, (total or 0) * HOT_SHARE)
-    hot = right.where(F.col(weight) > share).select(
+    hot = counts.where(F.col(weight) > share).select(
         F.col(key).alias("_hot"), F.ceil(F.col(weight) / share).cast("int").alias("_salts")
     )
-    right = right.drop(weight)
     if (most or 0) <= max(share, LEAST_HOT):
-        return left.join(right.hint("merge"), key, how)
+        return left.join(right.hint("merge"), key)
     few = F.broadcast(left.sparkSession.createDataFrame(hot.collect(), hot.schema))
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"), F.lit(0))
     salted = left.join(few, left[key] == F.col("_hot"), "left").withColumn("_salt", salt)
@@ -72,7 +75,7 @@ def split_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: st
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     repeated = right.join(few, right[key] == F.col("_hot"), "left").withColumn("_salt", every)
     repeated = repeated.drop("_hot", "_salts").hint("merge")
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
 def unsigned_unit(h: Column) -> Column:

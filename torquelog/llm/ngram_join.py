@@ -31,6 +31,7 @@ COMMON = 1 << 16  # shingles that are known to be common, at most; concerns spee
 LOCAL = 3  # texts of a partition that a common shingle is in, at least
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 6  # pivots per group, at most
+FEW = 50  # pairs left per node of a group that are compared without another pivot
 PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
 
@@ -236,50 +237,56 @@ def _in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def set_rows(docs: DataFrame, n: int, percent: int, shared, wanted) -> DataFrame:
-    """(d, second, third, members): for the sets that the filter lets through, two prefixes and all."""
+def set_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
+    """(d, members): the sets that the filter lets through, once per partition."""
 
     def emit(batch, h, first, names, seen):
-        d = np.array([x or 0 for x in names], np.int64)
-        fresh = np.array([x is not None and x not in seen for x in names], bool)
-        fresh &= _in_filter(wanted.value, d)
+        inside = _in_filter(wanted.value, np.array([x or 0 for x in names], np.int64))
         take = []
-        for t in np.flatnonzero(fresh):
-            if names[t] not in seen:
+        for t in np.flatnonzero(inside):
+            if names[t] is not None and names[t] not in seen:
                 seen.add(names[t])
                 take.append(t)
-        if not take:
-            return
-        level = levels(h, shared.value)
-        lists = [pa.array(d[take])]
-        for seed in SEEDS[1:]:
-            p, of = prefixes(h, first, level, seed, percent)
-            edge = np.searchsorted(of, np.arange(len(names) + 1))
-            lists.append(pa.array([p[edge[t] : edge[t + 1]].view(np.int64) for t in take], pa.list_(pa.int64())))
-        lists.append(pa.array([h[first[t] : first[t + 1]].tobytes() for t in take], pa.binary()))
-        yield pa.RecordBatch.from_arrays(lists, ["d", "second", "third", "members"])
-
-    schema = "d bigint, second array<bigint>, third array<bigint>, members binary"
-    return docs.mapInArrow(_over_sets(1, n, emit), schema)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([names[t] for t in take], pa.int64()),
+                pa.array([h[first[t] : first[t + 1]].tobytes() for t in take], pa.binary()),
+            ],
+            ["d", "members"],
+        )
 
+    return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, members binary")
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that are links: filters of the other orders, then the sets."""
-    light = lambda s: sets.select(
-        F.col("d").alias(s), F.col("second").alias(f"p{s}"), F.col("third").alias(f"q{s}")
-    )
-    met = pairs.join(light("x").hint("merge"), "x").join(light("y").hint("merge"), "y")
-    close = F.arrays_overlap("px", "py") & F.arrays_overlap("qx", "qy")
-    left = common.stored(met.where(close).select("x", "y"), "join_candidates")
+
+def _share_prefixes(a: np.ndarray, b: np.ndarray, common_, percent: int) -> bool:
+    """Whether two sets share a prefix shingle under each of the further orders."""
+    for seed in SEEDS[1:]:
+        sides = []
+        for h in (a, b):
+            edge = np.array([0, len(h)])
+            sides.append(prefixes(h, edge, levels(h, common_), seed, percent)[0])
+        if not np.isin(sides[0], sides[1]).any():
+            return False
+    return True
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, shared) -> DataFrame:
+    """The pairs (x, y) that are links: the filters of the other orders, then the sets.
+
+    The sets of all nodes are shuffled once for both sides; a node in very many pairs is split.
+    """
     whole = lambda s: sets.select(F.col("d").alias(s), F.col("members").alias(f"m{s}"))
-    both = left.join(whole("x").hint("merge"), "x").join(whole("y").hint("merge"), "y")
-    both = both.select("x", "y", "mx", "my")
+    counts = common.stored(pairs.groupBy("y").agg(F.count("*").alias("weight")), "join_pivot_counts")
+    first = pairs.join(whole("x").hint("merge"), "x")
+    both = common.split_join(first, whole("y"), "y", "weight", counts).select("x", "y", "mx", "my")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
                 a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+                if not _share_prefixes(a, b, shared.value, percent):
+                    continue
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -333,11 +340,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(
-    groups: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS
+    groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS
 ) -> DataFrame | None:
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, parts).
 
-    ``fetch`` gives the sets of the nodes of some pairs. Each round compares the nodes of a group to
+    ``check`` gives the links among some pairs. Each round compares the nodes of a group to
     one of them, by another hash each time, as long as that leaves clearly fewer pairs in different
     components; the last round compares all such pairs.
     """
@@ -353,7 +360,7 @@ def link(
         if not left:
             break
         rows = rows.join(open_.select("shingle"), "shingle", "left_semi")
-        final = turn == rounds or left <= 2 * nodes or (last is not None and left > 0.7 * last)
+        final = turn == rounds or left <= FEW * nodes or (last is not None and left > 0.7 * last)
         columns = ["d", "label", "n", "parts"]
         if final:
             a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
@@ -368,7 +375,7 @@ def link(
         met = met.where((F.col("labelx") != F.col("labely")) & may_link("x", "y", percent))
         pairs = met.select(F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
         pairs = common.stored(pairs, "join_pairs")
-        found = verify(pairs, fetch(pairs), percent)
+        found = check(pairs)
         edges = common.stored(found if edges is None else edges.union(found), "join_links")
         labels = common.stored(components(edges), "join_labels")
         if final:
@@ -403,12 +410,12 @@ def similar_groups(
     members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
     members = members.groupBy("shingle", "d").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
 
-    def fetch(pairs: DataFrame) -> DataFrame:
+    def check(pairs: DataFrame) -> DataFrame:
         wanted = bit_filter(pairs.select(F.explode(F.array("x", "y")).alias("d")), "d")
-        found = set_rows(texts, n, percent, shared, spark.sparkContext.broadcast(wanted))
-        return common.stored(found.dropDuplicates(["d"]), "join_sets")
+        sets = set_rows(texts, n, spark.sparkContext.broadcast(wanted)).dropDuplicates(["d"])
+        return verify(pairs, sets, percent, shared)
 
-    labels = link(common.stored(members, "join_members"), fetch, percent)
+    labels = link(common.stored(members, "join_members"), check, percent)
 
     nodes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"))
     nodes = common.stored(_labelled(nodes, labels), "join_nodes")
