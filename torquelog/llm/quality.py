@@ -222,10 +222,10 @@ def train(
     The features are made, counted and chosen in the tasks; the driver gets a count per bucket and
     grade and of each fitted text the chosen features alone.
     """
-    chosen = grades.select(F.col("doc_id").alias("_key"), "grade")
+    chosen = grades.select(F.col("doc_id").alias("_key"), F.col("grade").alias("_grade"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
     rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_key"))
-    rows = rows.select(F.col(text).alias("text"), "grade").where(F.col(text).isNotNull())
+    rows = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col("_grade").alias("grade"))
 
     found = common.stored(rows.mapInArrow(_featured, "buckets array<int>, grade int"), "quality_features")
     texts = np.zeros(levels, np.int64)
