@@ -31,7 +31,7 @@ COMMON = 1 << 16  # shingles that are known to be common, at most; concerns spee
 LOCAL = 3  # texts of a partition that a common shingle is in, at least
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 6  # pivots per group, at most
-FEW = 50  # pairs left per node of a group that are compared without another pivot
+FEW = 2  # pairs left per node of a group that are compared without another pivot
 PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
 
@@ -344,9 +344,9 @@ def link(
 ) -> DataFrame | None:
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, parts).
 
-    ``check`` gives the links among some pairs. Each round compares the nodes of a group to
-    one of them, by another hash each time, as long as that leaves clearly fewer pairs in different
-    components; the last round compares all such pairs.
+    ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
+    time, and compares every node to the pivot that most of its groups have, as long as that leaves
+    clearly fewer pairs in different components; the last round compares all such pairs.
     """
     edges = labels = last = None
     for turn in range(rounds + 1):
@@ -373,8 +373,11 @@ def link(
             a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
             met = common.split_join(a, common.stored(pivots, "join_pivots"), "shingle", "weight")
         met = met.where((F.col("labelx") != F.col("labely")) & may_link("x", "y", percent))
-        pairs = met.select(F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
-        pairs = common.stored(pairs, "join_pairs")
+        pairs = met.groupBy(F.col("dx").alias("x"), F.col("dy").alias("y")).agg(F.count("*").alias("m"))
+        if not final:  # the pivot it shares most with; the last round sees to all others
+            best = pairs.groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
+            pairs = best.select("x", F.col("best.y").alias("y"))
+        pairs = common.stored(pairs.select("x", "y"), "join_pairs")
         found = check(pairs)
         edges = common.stored(found if edges is None else edges.union(found), "join_links")
         labels = common.stored(components(edges), "join_labels")
