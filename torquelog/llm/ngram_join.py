@@ -31,6 +31,7 @@ COMMON = 1 << 16  # shingles that are known to be common, at most; concerns spee
 LOCAL = 3  # texts of a partition that a common shingle is in, at least
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 6  # pivots per group, at most
+PAYS = 0.2  # share of a round's pairs that are links for another round to pay
 FEW = 2  # pairs left per node of a group that are compared without another pivot
 PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
@@ -345,10 +346,11 @@ def link(
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, parts).
 
     ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
-    time, and compares every node to the pivot that most of its groups have, as long as that leaves
-    clearly fewer pairs in different components; the last round compares all such pairs.
+    time, and compares every node to the pivot that most of its groups have, as long as enough of
+    them turn out as links; the last round compares all pairs in different components.
     """
-    edges = labels = last = None
+    edges = labels = None
+    linked = compared = 1
     for turn in range(rounds + 1):
         rows = common.stored(_labelled(groups, labels), "join_groups")
         by_label = rows.groupBy("shingle", "label").agg(F.count("*").alias("m"))
@@ -360,7 +362,7 @@ def link(
         if not left:
             break
         rows = rows.join(open_.select("shingle"), "shingle", "left_semi")
-        final = turn == rounds or left <= FEW * nodes or (last is not None and left > 0.7 * last)
+        final = turn == rounds or left <= FEW * nodes or linked < PAYS * compared
         columns = ["d", "label", "n", "parts"]
         if final:
             a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
@@ -378,12 +380,12 @@ def link(
             best = pairs.groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
             pairs = best.select("x", F.col("best.y").alias("y"))
         pairs = common.stored(pairs.select("x", "y"), "join_pairs")
-        found = check(pairs)
-        edges = common.stored(found if edges is None else edges.union(found), "join_links")
+        found = common.stored(check(pairs), "join_links")
+        linked, compared = found.count(), pairs.count()
+        edges = found if edges is None else edges.union(found)
         labels = common.stored(components(edges), "join_labels")
         if final:
             break
-        last = left
     return labels
 
 
