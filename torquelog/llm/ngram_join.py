@@ -259,6 +259,35 @@ def set_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
     return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, members binary")
 
 
+def light_rows(docs: DataFrame, n: int, percent: int, shared, wanted) -> DataFrame:
+    """(d, second, third): the prefixes under the further orders, as 32 bits of each shingle."""
+
+    def emit(batch, h, first, names, seen):
+        inside = _in_filter(wanted.value, np.array([x or 0 for x in names], np.int64))
+        fresh = [t for t in np.flatnonzero(inside) if names[t] is not None and names[t] not in seen]
+        seen.update(names[t] for t in fresh)
+        columns = [pa.array([names[t] for t in fresh], pa.int64())]
+        level = levels(h, shared.value) if fresh else None
+        for seed in SEEDS[1:] if fresh else ():
+            p, of = prefixes(h, first, level, seed, percent)
+            edge = np.searchsorted(of, np.arange(len(names) + 1))
+            short = (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in fresh], pa.list_(pa.int32())))
+        if fresh:
+            yield pa.RecordBatch.from_arrays(columns, ["d", "second", "third"])
+
+    return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, second array<int>, third array<int>")
+
+
+def share_prefixes(pairs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (x, y) that can share a prefix shingle under each of the further orders."""
+    side = lambda s: light.select(
+        F.col("d").alias(s), F.col("second").alias(f"p{s}"), F.col("third").alias(f"q{s}")
+    )
+    met = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
+    return met.where(F.arrays_overlap("px", "py") & F.arrays_overlap("qx", "qy")).select("x", "y")
+
+
 def _share_prefixes(a: np.ndarray, b: np.ndarray, common_, percent: int) -> bool:
     """Whether two sets share a prefix shingle under each of the further orders."""
     for seed in SEEDS[1:]:
@@ -341,11 +370,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(
-    groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS
+    groups: DataFrame, check: Callable[[DataFrame, bool], DataFrame], percent: int, rounds: int = ROUNDS
 ) -> DataFrame | None:
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, parts).
 
-    ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
+    ``check`` gives the links among some pairs and is told when they are the last and may be many. Each round has a pivot per group, by another hash each
     time, and compares every node to the pivot that most of its groups have, as long as enough of
     them turn out as links; the last round compares all pairs in different components.
     """
@@ -380,7 +409,7 @@ def link(
             best = pairs.groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
             pairs = best.select("x", F.col("best.y").alias("y"))
         pairs = common.stored(pairs.select("x", "y"), "join_pairs")
-        found = common.stored(check(pairs), "join_links")
+        found = common.stored(check(pairs, final), "join_links")
         linked, compared = found.count(), pairs.count()
         edges = found if edges is None else edges.union(found)
         labels = common.stored(components(edges), "join_labels")
@@ -415,9 +444,17 @@ def similar_groups(
     members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
     members = members.groupBy("shingle", "d").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        wanted = bit_filter(pairs.select(F.explode(F.array("x", "y")).alias("d")), "d")
-        sets = set_rows(texts, n, spark.sparkContext.broadcast(wanted)).dropDuplicates(["d"])
+    def nodes_of(pairs: DataFrame):
+        bits = bit_filter(pairs.select(F.explode(F.array("x", "y")).alias("d")), "d")
+        return spark.sparkContext.broadcast(bits)
+
+    def check(pairs: DataFrame, many: bool) -> DataFrame:
+        """Of many pairs the small prefixes are compared before any whole set is fetched."""
+        if many:
+            light = light_rows(texts, n, percent, shared, nodes_of(pairs)).dropDuplicates(["d"])
+            light = common.stored(light, "join_prefixes")
+            pairs = common.stored(share_prefixes(pairs, light), "join_candidates")
+        sets = set_rows(texts, n, nodes_of(pairs)).dropDuplicates(["d"])
         return verify(pairs, sets, percent, shared)
 
     labels = link(common.stored(members, "join_members"), check, percent)
