@@ -104,7 +104,9 @@ def nearest_vectors(
             return F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 6)
 
         scores = F.transform("_queries", lambda q: F.struct(q["query"].alias("query"), score(q).alias("score")))
-        met = rows.withColumn("_block", F.lit(b).cast("long")).join(F.broadcast(listed), "_block")
+        # the number of the block, but not as a constant, which would turn the join into a nested loop
+        mine = (F.size("_unit") * 0 + b).cast("long")
+        met = rows.withColumn("_block", mine).join(F.broadcast(listed), "_block")
         pairs = met.select(key, F.inline(scores))
         best = top_k(pairs, ["query"], [F.desc("score"), F.col(key)], k)
         found = best if found is None else found.unionByName(best)
