@@ -19,7 +19,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so a lost executor costs the running stage only.
     """
     path = runtime.scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
