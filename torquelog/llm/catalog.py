@@ -26,8 +26,10 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_weighted_fingerprints": fingerprints.query,
     "op10_line_winnowing": line_dedup.query,
+    "op10_long_line_winnowing": line_dedup.long_query,
 }
 ORACLES = {
     "op2_chat_preferences": chat.SQL,
     "op10_line_winnowing": line_dedup.SQL,
+    "op10_long_line_winnowing": line_dedup.LONG_SQL,
 }
