@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from torquelog.catalog import sql
+from torquelog.catalog.records import ASSET_VOCABULARY, CODES, asset_vocabulary, bare_codes
 from torquelog.catalog.registry import register
 from torquelog.functions import lexicons, ngrams, text
 from torquelog.operators import keywords, similarity
@@ -217,9 +218,21 @@ def _(spark, sf):
     )
 
 
-def assigned_sql(span: bool = False, records: str = "documents", other: str = "src0") -> str:
+def with_codes(word: str) -> str:
+    return f"CASE WHEN {word} IN (SELECT substr(code, 2) FROM codes) THEN 'E' || {word} ELSE {word} END"
+
+
+def assigned_sql(
+    span: bool = False, records: str = "documents", other: str = "src0", vocabulary: bool = False
+) -> str:
     known = f"""k AS (SELECT doc_id, source, {sql.keyword_tokens(sql.clean_asset("text"))} AS w
                  FROM {records} WHERE source <> '{other}')"""
+    if vocabulary:
+        known = f"""{ASSET_VOCABULARY}, every_{known},
+          kp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM every_k),
+          kv AS (SELECT doc_id, list({with_codes("word")} ORDER BY pos) AS w
+                 FROM kp WHERE word IN (SELECT word FROM vocab) GROUP BY doc_id),
+          k AS (SELECT doc_id, source, coalesce(kv.w, []) AS w FROM every_k LEFT JOIN kv USING (doc_id))"""
     grams = sql.gram_rows("k", "source", "w")
     if span:
         grams = sql.spanning_gram_rows("k", "source", "doc_id", "w")
@@ -292,17 +305,16 @@ def _(spark, sf):
     return done.select("doc_id", F.col("source").alias("category"))
 
 
-@register(
-    "asset_report",
-    "K16 J1 P17 K8 K9 K10 J8",
-    f"""WITH recs AS (SELECT doc_id, text, CASE WHEN source = 'src0' THEN coalesce(p_type, 'Other')
+def asset_sql(vocabulary: bool = False) -> str:
+    return f"""WITH recs AS (SELECT doc_id, text, CASE WHEN source = 'src0' THEN coalesce(p_type, 'Other')
             ELSE source END AS source
           FROM documents LEFT JOIN part ON lang = 'fr' AND doc_id = p_partkey),
-        {assigned_sql(records="recs", other="Other")}
+        {assigned_sql(records="recs", other="Other", vocabulary=vocabulary)}
         SELECT doc_id, CASE WHEN source = 'Other' THEN a.assigned ELSE source END AS category
-        FROM recs LEFT JOIN (SELECT * FROM assigned WHERE n = 1) a USING (doc_id)""",
-)
-def _(spark, sf):
+        FROM recs LEFT JOIN (SELECT * FROM assigned WHERE n = 1) a USING (doc_id)"""
+
+
+def asset_report(spark, sf, **options):
     df = load(spark, sf, "documents", "doc_id")
     serial = F.lpad(F.col("doc_id").cast("string"), 13, "0")
     category = F.when(F.col("source") == "src0", "Other").otherwise(F.col("source"))
@@ -318,11 +330,22 @@ def _(spark, sf):
         F.col("p_size").alias("pos"),
     )
     done = reports.asset_report(
-        orders, "doc_id", parts, "pos", ["quantity"], ["asset_name", "work_description"]
+        orders, "doc_id", parts, "pos", ["quantity"], ["asset_name", "work_description"], **options
     )
     return done.select("doc_id", "category")
 
 
+@register("asset_report", "K16 J1 P17 K8 K9 K10 J8", asset_sql())
+def _(spark, sf):
+    return asset_report(spark, sf)
+
+
+@register("asset_report_whole", "K16 J1 P17 K2 K3 T16 K8 K9 K10 J8", asset_sql(vocabulary=True))
+def _(spark, sf):
+    words, codes = asset_vocabulary(spark, sf), bare_codes(spark, sf)
+    return asset_report(spark, sf, vocabulary=words, bare_codes=codes)
+
+
 @register(
     "keyword_matrix",
     "K11 A6 J5",
@@ -408,15 +431,15 @@ def _pos(column: str, own: list[str], suffix: str) -> str:
     )
 
 
-@register(
-    "incident_report",
-    "K1b K2 K3 K7 K14 W1 P20 F1 F5",
-    f"""WITH c AS (SELECT doc_id, source, text, {sql.tokens("lower(" + sql.clean_incident("text") + ")")} AS w
+def incident_sql(codes: bool = False) -> str:
+    known = " OR word IN (SELECT substr(code, 2) FROM codes)" if codes else ""
+    return (
+        f"""WITH {f"{CODES}, " if codes else ""}c AS (SELECT doc_id, source, text, {sql.tokens("lower(" + sql.clean_incident("text") + ")")} AS w
                    FROM documents),
         v AS (SELECT word FROM (SELECT unnest(w) AS word FROM c) GROUP BY word
-              HAVING (length(word) >= 3 OR count(*) >= 5) AND word NOT IN {sql.listed(lexicons.STOP_ENGLISH)}),
+              HAVING (length(word) >= 3 OR count(*) >= 5{known}) AND word NOT IN {sql.listed(lexicons.STOP_ENGLISH)}),
         p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM c),
-        k AS (SELECT doc_id, list(word ORDER BY pos) AS w FROM p WHERE word IN (SELECT word FROM v) GROUP BY doc_id),
+        k AS (SELECT doc_id, list({with_codes("word") if codes else "word"} ORDER BY pos) AS w FROM p WHERE word IN (SELECT word FROM v) GROUP BY doc_id),
         j AS (SELECT c.doc_id, c.source, c.text, coalesce(k.w, []) AS w FROM c LEFT JOIN k USING (doc_id)),
         g AS (SELECT *, {sql.keyword_tokens("array_to_string(w, ' ')")} AS kw,
                 {sql.keyword_tokens("text")} AS raw FROM j),
@@ -435,11 +458,13 @@ def _pos(column: str, own: list[str], suffix: str) -> str:
         for n in (1, 2, 3)
     )
     + """, coalesce(grams, '') AS significant, coalesce(weight, 0) AS weight
-        FROM g LEFT JOIN bs USING (doc_id)""",
-)
-def _(spark, sf):
+        FROM g LEFT JOIN bs USING (doc_id)"""
+    )
+
+
+def incident_report(spark, sf, **options):
     df = load(spark, sf, "documents", "doc_id")
-    report = reports.incident_report(df, "doc_id", "text", ["source"])
+    report = reports.incident_report(df, "doc_id", "text", ["source"], **options)
     total = F.aggregate("significant", F.lit(0.0), lambda s, x: s + x["weight"])
     return report.select(
         "doc_id",
@@ -450,3 +475,13 @@ def _(spark, sf):
         F.array_join(F.transform("significant", lambda x: x["word"]), ", ").alias("significant"),
         F.round(total, 6).alias("weight"),
     )
+
+
+@register("incident_report", "K1b K2 K3 K7 K14 W1 P20 F1 F5", incident_sql())
+def _(spark, sf):
+    return incident_report(spark, sf)
+
+
+@register("incident_report_whole", "K1b K2 K3 T16 K7 K14 W1 P20 F1 F5", incident_sql(codes=True))
+def _(spark, sf):
+    return incident_report(spark, sf, bare_codes=bare_codes(spark, sf))

@@ -164,6 +164,38 @@ def _(spark, sf):
     return kept.select("l_orderkey", "l_linenumber", "p_partkey", "p_name")
 
 
+@register(
+    "claims_head_whole",
+    "K17 P6 P7 P8 P9 P10 P11",
+    f"""WITH c AS (
+          SELECT l_orderkey, l_linenumber, p_partkey, p_name, text, CASE WHEN l_linenumber = 1
+            THEN CAST(l_orderkey AS VARCHAR) WHEN l_linenumber = 2 THEN 'S' || lpad(CAST(l_orderkey AS VARCHAR), 13, '0')
+            WHEN l_linenumber > 2 THEN lpad(CAST(l_orderkey AS VARCHAR), 10 + l_linenumber, '0') END AS serial
+          FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN documents ON doc_id = l_orderkey % 200
+          WHERE upper(p_brand) = 'BRAND#13' AND l_returnflag = 'N' AND p_type IS NOT NULL
+            AND starts_with(p_type, 'S') AND NOT starts_with(p_name, 'hot ')
+            AND NOT starts_with(p_name, 'small '))
+        SELECT l_orderkey, l_linenumber, p_partkey, p_name FROM c
+        WHERE regexp_full_match(serial, '[0-9]{{13,}}') AND {sql.language("text")} = 'en'""",
+)
+def _(spark, sf):
+    parts = load(spark, sf, "part").select(
+        "p_partkey", "p_name", F.col("p_brand").alias("brand"), F.col("p_type").alias("model"),
+        F.col("p_name").alias("part_number"), F.col("p_name").alias("part_description"),
+    )
+    order, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    serial = F.when(line == 1, order).when(line == 2, F.concat(F.lit("S"), F.lpad(order, 13, "0")))
+    lines = load(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("service_line_type"),
+        serial.when(line > 2, F.lpad(order, 10 + line, F.lit("0"))).alias("serial_number"),
+    )
+    texts = load(spark, sf, "documents", "doc_id").select("doc_id", F.col("text").alias("summary"))
+    claims = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    claims = claims.join(texts, F.col("l_orderkey") % 200 == F.col("doc_id"), "left")
+    kept = records.claims_head(claims, "Brand#13", "N", "S", ("hot ", "small "))
+    return kept.select("l_orderkey", "l_linenumber", "p_partkey", "p_name")
+
+
 @register(
     "english_claims",
     "K17 P11 P12 P13",
@@ -233,6 +265,10 @@ def error_lists(spark, sf):
     return [events.where(F.col("event_type") == t).select(code) for t in ("error", "purchase")]
 
 
+def bare_codes(spark, sf):
+    return vocabulary.bare_error_codes(vocabulary.error_codes(error_lists(spark, sf), "Error Code"))
+
+
 CODES = """codes AS (
   SELECT DISTINCT 'e' || json_extract_string(props, '$.k') AS code FROM events
   WHERE event_type IN ('error', 'purchase') AND json_extract_string(props, '$.k') IS NOT NULL)"""
