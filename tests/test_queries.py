@@ -119,3 +119,11 @@ def test_claims_of_short_serials_and_other_languages_go(spark):
     lang = {r["doc_id"]: r["lang"] for r in docs}
     assert whole < cut and all(line > 2 for _, line in whole)
     assert any(line > 2 and lang[order % 200] != "en" for order, line in cut - whole)
+
+
+def test_streamed_windows_end_with_the_watermark(spark):
+    rows = QUERIES["streamed_event_windows"](spark, DIRECTORY).collect()
+    events = spark.read.parquet(f"{DIRECTORY}/events.parquet")
+    last = events.selectExpr("date_format(max(ts) - INTERVAL 2 HOURS, 'yyyy-MM-dd HH:mm:ss')").first()[0]
+    assert rows and all(r["window_start"] <= last for r in rows)
+    assert sum(r["records"] for r in rows) < events.count()

@@ -212,6 +212,24 @@ def _(spark, sf):
     return counts.running_counts(spark, table, list(keys))
 
 
+@register(
+    "streamed_event_windows",
+    "D12",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS category, CAST(count(*) AS BIGINT) AS records
+       FROM (SELECT *, date_trunc('hour', ts) AS w FROM events WHERE ts IS NOT NULL)
+       WHERE w + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL""",
+)
+def _(spark, sf):
+    schema = load(spark, sf, "events").schema
+    stream = counts.read_stream(spark, f"{sf}/event[s].parquet", schema)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time zone
+    windows = counts.windowed_counts(stream, "ts", "event_type")
+    table = scratch_path(spark, "event-windows")
+    counts.closed_windows(windows, table, scratch_path(spark, "ingest")).awaitTermination()
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return spark.read.schema(windows.schema).parquet(table).select(start, "category", "records")
+
+
 @register(
     "streamed_keyword_counts",
     "D12 A3",
