@@ -119,3 +119,34 @@ def test_suffix_array_is_sorted_and_search_finds_all_places():
         window = index.table[r, :need].tolist()
         want = [p for p in range(len(numbers) - need + 1) if numbers[p : p + need].tolist() == window]
         assert sorted(places[low[r] : high[r]].tolist()) == want
+
+
+def longest_match(text, items, window):
+    """(words, place, item) by all places of all items; only whole items may be below a window."""
+    w, best = words_of(text), []
+    for item, t in items:
+        v = words_of(t)
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n and (n >= window or n == len(v)):
+                    best.append((-n, i, item or ""))
+    return (-min(best)[0], *min(best)[1:]) if best else None
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_longest_match_along_every_place_of_a_window(spark, block):
+    head = " ".join(f"h{i}" for i in range(4))
+    items = [("a", f"{head} x"), ("b", f"{head} y z {head} q r s"), ("c", f"{head} y z {head} q t"), ("d", "h0 h1")]
+    rng = random.Random(3)
+    items += [(f"r{i}", " ".join(rng.choice("uvw") for _ in range(rng.randrange(2, 15)))) for i in range(12)]
+    docs = [(0, f"{head} y z {head} q r k"), (1, f"k {head} q t t"), (2, f"{head} q r s h0 h1"), (3, "h0 h1 h2")]
+    docs += [(10 + i, " ".join(rng.choice("uvw") for _ in range(rng.randrange(1, 40)))) for i in range(30)]
+    tests = spark.createDataFrame(items, "item_id string, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["_longest"] for r in dec.find_matches(frame, tests, window=4, block_bytes=block).collect()}
+    for key, text in docs:
+        want = longest_match(text, items, 4)
+        assert (tuple(got[key]) if got[key] else None) == want

@@ -33,6 +33,9 @@ class Suffixes:
 
     ``table`` has a row for each distinct suffix start and ``depth`` columns of word numbers (0: past
     the end). Windows shorter than ``window`` are whole items; ``needs`` is the length to match.
+    ``order`` are all places of ``flat``, sorted by the words up to the end of their item; ``at`` is
+    the range of it that starts with each window, ``ends`` and ``owner`` are the end and the item (in
+    the sorted ``names``) of each place.
     """
 
     vocabulary: np.ndarray
@@ -43,6 +46,27 @@ class Suffixes:
     items: list[list[str]]
     flat: np.ndarray
     at: np.ndarray
+    order: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+    names: list[str]
+
+
+def sorted_places(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places, sorted by the words from there to the end of the item (by doubling)."""
+    places, longest = np.arange(len(ends)), int((ends - np.arange(len(ends))).max())
+    rank, k = flat[: len(ends)].copy(), 1
+    order = np.argsort(rank, kind="stable")
+    while k < longest:
+        ahead = np.where(places + k < ends, rank[np.minimum(places + k, len(ends) - 1)], 0)
+        order = np.lexsort((ahead, rank))
+        new = (np.diff(rank[order]) != 0) | (np.diff(ahead[order]) != 0)
+        rank = np.empty(len(ends), np.int64)
+        rank[order] = np.concatenate([[1], 1 + np.cumsum(new)])
+        if new.all():
+            break
+        k *= 2
+    return order
 
 
 def index_items(items: list[tuple[str, str]], window: int = WINDOW) -> Suffixes | None:
@@ -56,6 +80,9 @@ def index_items(items: list[tuple[str, str]], window: int = WINDOW) -> Suffixes
     owners: dict[bytes, set[str]] = {}
     place: dict[bytes, int] = {}
     flat = np.concatenate([n for _, n in numbers] + [np.zeros(window, np.int64)])
+    names = sorted({i for i, _ in numbers})
+    number_of = {i: k for k, i in enumerate(names)}
+    owner = np.repeat([number_of[i] for i, _ in numbers], [len(n) for _, n in numbers])
     start = 0
     for item, n in numbers:
         long = min(window, len(n))
@@ -74,7 +101,16 @@ def index_items(items: list[tuple[str, str]], window: int = WINDOW) -> Suffixes
     table = np.zeros((len(keys), window), np.int64)
     for r, k in enumerate(keys):
         table[r, : needs[r]] = np.frombuffer(k, np.int64)
-    at = np.array([[place[k], end_of[place[k]]] for k in keys])
+    order = sorted_places(flat, end_of)
+    differs = np.zeros(len(order), bool)  # from the place before it, within a window
+    for d in range(window):
+        word = np.where(order + d < end_of[order], flat[order + d], 0)
+        differs[1:] |= word[1:] != word[:-1]
+    heads = np.flatnonzero(differs | (np.arange(len(order)) == 0))
+    found_at = np.empty(len(order), np.int64)
+    found_at[order] = np.arange(len(order))
+    group = np.searchsorted(heads, found_at[[place[k] for k in keys]], "right") - 1
+    at = np.stack([heads[group], np.append(heads[1:], len(order))[group]], axis=1)
     two = needs > 1
     return Suffixes(
         vocabulary,
@@ -85,6 +121,10 @@ def index_items(items: list[tuple[str, str]], window: int = WINDOW) -> Suffixes
         [sorted(owners[k]) for k in keys],
         flat,
         at,
+        order,
+        end_of,
+        owner,
+        names,
     )
 
 
@@ -139,6 +179,40 @@ def search(columns: np.ndarray, index: Suffixes) -> tuple[np.ndarray, np.ndarray
     return ranges[0], ranges[1]
 
 
+def extend(
+    p: np.ndarray, which: np.ndarray, numbers: np.ndarray, end: np.ndarray, index: Suffixes
+) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match at each place ``p`` with window ``which``: its words and its range of ``order``.
+
+    Word by word, each range is cut to the places that go on like the text, until none does.
+    """
+    length, span = index.needs[which].copy(), index.at[which].copy()
+
+    def next_word(at: np.ndarray, deep: np.ndarray) -> np.ndarray:
+        place = index.order[np.minimum(at, len(index.order) - 1)]
+        return np.where(place + deep < index.ends[place], index.flat[np.minimum(place + deep, len(index.flat) - 1)], 0)
+
+    live = np.arange(len(p))
+    while len(live):
+        live = live[p[live] + length[live] < end[p[live]]]
+        deep, want = length[live], numbers[p[live] + length[live]]
+        live, deep, want = live[want > 0], deep[want > 0], want[want > 0]
+        bounds = []
+        for last in (want - 1, want):  # the first place beyond each of them
+            low, high = span[live, 0], span[live, 1]
+            while (open_ := low < high).any():
+                middle = (low + high) // 2
+                right = next_word(middle, deep) <= last
+                low = np.where(open_ & right, middle + 1, low)
+                high = np.where(open_ & ~right, middle, high)
+            bounds.append(low)
+        on = bounds[0] < bounds[1]
+        live = live[on]
+        span[live] = np.stack(bounds, axis=1)[on]
+        length[live] += 1
+    return length, span
+
+
 def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Union of intervals."""
     out: list[list[int]] = []
@@ -174,16 +248,7 @@ def _shard(data: np.ndarray, at: np.ndarray, index: Suffixes | None):
     which = np.repeat(hit, sizes)
     offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     p = places[np.repeat(low[hit], sizes) + offsets]
-    length = index.needs[which].copy()
-    # extend the matches word by word, as far as both sides go on
-    live = np.arange(len(p))
-    while len(live):
-        a, b = p[live] + length[live], index.at[which[live], 0] + length[live]
-        on = (a < end[p[live]]) & (b < index.at[which[live], 1])
-        live, a, b = live[on], a[on], b[on]
-        on = numbers[a] == index.flat[b]
-        live = live[on]
-        length[live] += 1
+    length, span = extend(p, which, numbers, end, index)
     order = np.argsort(owner[p], kind="stable")
     cut = np.flatnonzero(np.diff(owner[p][order])) + 1
     for part in np.split(order, cut):
@@ -194,7 +259,13 @@ def _shard(data: np.ndarray, at: np.ndarray, index: Suffixes | None):
         found[t] = (
             _merged(begin, begin + index.needs[which[part]]),
             items,
-            (int(length[best]), int(p[best] - first[t]), index.items[which[best]][0]),
+            (
+                int(length[best]),
+                int(p[best] - first[t]),
+                index.items[which[best]][0]  # below a window only whole items count
+                if index.needs[which[best]] < index.table.shape[1]
+                else index.names[int(index.owner[index.order[slice(*span[best])]].min())],
+            ),
         )
     return counts, found
 
@@ -226,8 +297,9 @@ def _searcher(index, text: int, extra: list[str]):
                         )
                     other = old["_longest"][t] if extra else None
                     best = dict(zip(("words", "place", "item"), best)) if best else None
-                    if other and (best is None or other["words"] >= best["words"]):
-                        best = other
+                    if other and best:  # the longest, then the first place, then the first item
+                        best = min(other, best, key=lambda m: (-m["words"], m["place"], m["item"]))
+                    best = best or other
                     out["_n"].append(int(counts[t]))
                     out["_runs"].append([{"start": s, "end": e} for s, e in runs])
                     out["_items"].append(sorted({*items, *(old["_items"][t] if extra else [])}))
