@@ -151,3 +151,10 @@ def test_bit_filter_lets_all_members_through(spark):
     assert nj._in_filter(bits, inside).all()
     other = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 10000)
     assert nj._in_filter(bits, other).mean() < 0.01
+
+
+def test_a_copy_takes_no_other_text_of_its_key_along(spark):
+    base = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (2, "a text of its own"), (None, base + " y"), (None, "no key"), (None, None)]
+    left = nj.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)

@@ -470,15 +470,18 @@ def similar_groups(
     return placed.select("doc_id", "n", "component_id").unionByName(empty).withColumnRenamed("n", "n_shingles")
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose key is the least of its component, with all their columns.
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The first document of each component by key (null last) and a hash of the text, with all columns.
 
-    Rows that repeat that key stay together; rows without a key stay.
+    Rows equal in key and text are one document and stay together; another text of that key is not
+    touched by it.
     """
-    groups = similar_groups(docs, key=key, **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = common.stored(gone, "join_gone").hint("merge")
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    groups = similar_groups(docs.select(name.alias("doc_id"), F.col(text).alias("text")), **options)
+    gone = groups.where("doc_id <> component_id").select("doc_id.*").distinct()
+    gone = common.stored(gone.select(F.col("key").alias("_gone"), F.col("hash").alias("_hash")), "join_gone")
+    same = docs[key].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:
