@@ -6,13 +6,16 @@ from torquelog.llm import (
     chat,
     decontaminate,
     fingerprints,
+    hard_negatives,
     language_id,
     line_dedup,
+    merkle,
     ngram_join,
     packing,
     quality,
     secrets,
     sharding,
+    warc,
 )
 
 QUERIES = {
@@ -27,9 +30,15 @@ QUERIES = {
     "op9_weighted_fingerprints": fingerprints.query,
     "op10_line_winnowing": line_dedup.query,
     "op10_long_line_winnowing": line_dedup.long_query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_warc_revisits": warc.query,
+    "op13_merkle_manifest": merkle.query,
 }
 ORACLES = {
     "op2_chat_preferences": chat.SQL,
     "op10_line_winnowing": line_dedup.SQL,
     "op10_long_line_winnowing": line_dedup.LONG_SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_warc_revisits": warc.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }

@@ -49,9 +49,14 @@ def numbered(df: DataFrame, group: list[str], number: str, name: str) -> DataFra
 
 
 def split_join(
-    left: DataFrame, right: DataFrame, key: str, weight: str, counts: DataFrame | None = None
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    weight: str,
+    counts: DataFrame | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Join many rows per ``key`` on the left to one row per key on the right.
+    """Join many rows per ``key`` on the left to one row per key on the right; ``how`` is inner or left.
 
     The column ``weight`` of the stored table ``counts`` is the number of left rows of each key; by
     default it is in ``right`` itself and is dropped. Keys above ``HOT_SHARE`` of all rows (there can be no more than 1 / HOT_SHARE of them)
@@ -67,7 +72,7 @@ def split_join(
         F.col(key).alias("_hot"), F.ceil(F.col(weight) / share).cast("int").alias("_salts")
     )
     if (most or 0) <= max(share, LEAST_HOT):
-        return left.join(right.hint("merge"), key)
+        return left.join(right.hint("merge"), key, how)
     few = F.broadcast(left.sparkSession.createDataFrame(hot.collect(), hot.schema))
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"), F.lit(0))
     salted = left.join(few, left[key] == F.col("_hot"), "left").withColumn("_salt", salt)
@@ -75,7 +80,7 @@ def split_join(
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     repeated = right.join(few, right[key] == F.col("_hot"), "left").withColumn("_salt", every)
     repeated = repeated.drop("_hot", "_salts").hint("merge")
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def unsigned_unit(h: Column) -> Column:
