@@ -411,7 +411,7 @@ def test_incident_report(spark):
     one = got[1]
     assert one["cleaned"] == "replace door door hinge"  # "ab" is short and rare
     assert one["actions"] == ["replace"]
-    assert one["observations"] == ["door", "door"]
+    assert one["observations"] == ["door", "door", "hinge", "ab"]
     assert one["keywords_2"] == "door door, door hinge, replace door"
     assert [x["word"] for x in one["significant"]][:2] == ["10 10", "10 23"]
     assert got[2]["keywords_1"] in (None, "")

@@ -1,10 +1,13 @@
+import hashlib
+import itertools
+import math
 import re
 import string
 
 import pytest
 from pyspark.sql import functions as F
 
-from torquelog.functions import lexicons, ngrams, text
+from torquelog.functions import lemmas, lexicons, ngrams, tagging, text
 
 
 def run(spark, make, *values):
@@ -135,10 +138,96 @@ def test_language(spark):
     assert got == ["en", "fr", "de", None, None]
 
 
+#: Written by hand: a note, its verbs and its nouns.
+TAGGED = [
+    (
+        "Replaced the wiring and the bearing, checked housing and the plate at low speed, hundred hours, the fuse broke",
+        "replaced checked broke", "wiring bearing housing plate speed hours fuse",
+    ),
+    ("replace the door, resetting ventilation", "replace resetting", "door ventilation"),
+    (
+        "Customer called to report that the oven is not heating. Tested the heating element; it was burnt",
+        "called report heating tested burnt", "customer oven heating element",
+    ),
+    ("Unit does not heat. Need to check the seal and order a new switch", "heat need check order", "unit seal switch"),
+    ("plug the check valve and test the control board", "plug test", "check valve control board"),
+    ("The damaged board was replaced.\nCleaned the filters", "replaced cleaned", "board filters"),
+    ("wiring", "", "wiring"),
+    ("", "", ""),
+]
+
+
 def test_parts_of_speech(spark):
-    got = run(spark, lambda c: text.part_of_speech(text.words(c)), "replace the door, resetting ventilation")[0]
-    assert got["actions"] == ["replace", "resetting"]
-    assert got["observations"] == ["door", "ventilation"]
+    got = run(spark, tagging.part_of_speech, *[note for note, _, _ in TAGGED])
+    for r, (_, actions, observations) in zip(got, TAGGED):
+        assert r["actions"] == actions.split() and r["observations"] == observations.split()
+    assert run(spark, tagging.tagged, None) == [None]
+
+
+def test_long_sentences_are_tagged_in_pieces(spark):
+    words = run(spark, tagging.tagged, "replaced the wiring " * 100)[0]
+    assert [w["word"] for w in words] == ["replaced", "the", "wiring"] * 100
+    assert [w["tag"] for w in words[:99]] == ["V", "D", "N"] * 33
+
+
+def plain_tags(words):
+    """The best path over all paths."""
+    kinds = {w: k for k, ws in tagging.word_kinds().items() for w in ws}
+    ends = [(k, re.compile(p.replace(r"\p{L}", "[^\\W\\d_]"))) for k, p in tagging.ENDINGS.items()]
+
+    def kind(word):
+        return kinds.get(word) or next((k for k, p in ends if p.search(word)), "other")
+
+    best = -math.inf
+    for path in itertools.product(tagging.TAGS, repeat=len(words)):
+        total, last = 0, tagging.START
+        for word, tag in zip(words, path):
+            row = tagging.KINDS[kind(word)]
+            total += tagging.score(tagging.FOLLOWS[last][tag]) + (tagging.score(row[tag]) if tag in row else -99999)
+            last = tag
+        best = max(best, total)
+        if total == best:
+            out = path
+    return best, out
+
+
+@pytest.mark.parametrize("note", ["check valve test order", "the heating switch fails", "plug loosely wired 24v cable"])
+def test_tags_are_the_best_path(spark, note):
+    got = "".join(w["tag"] for w in run(spark, tagging.tagged, note)[0])
+    assert tuple(got) == plain_tags(note.split())[1]
+
+
+def test_lemmas_equal_the_rules_word_by_word(spark):
+    words = [*lemmas.default_table(), *"wasted tasted lens buses lost burnt sling x12ed flibbed grokking é Wasted".split()]
+    got = run(spark, text.lemmatize, " ".join(words))[0].split()
+    assert got == [lemmas.lemma(w, lemmas.RULES) for w in words]
+    hand = {"wasted": "waste", "tasted": "taste", "lens": "lens", "buses": "bus", "lost": "lose", "burnt": "burn"}
+    assert all(lemmas.lemma(f, lemmas.RULES) == w for f, w in hand.items())
+
+
+def test_listed_forms_have_their_lemma():
+    table = lemmas.default_table() | lexicons.LEMMAS
+    assert all(lemmas.lemma(form, lemmas.RULES) == word for form, word in table.items())
+
+
+def test_lemmas_of_words_not_learned():
+    """Five-fold: the forms of a fifth of the base words by rules learned from the others."""
+    table, right, total = lemmas.default_table(), 0, 0
+
+    def fold(word):
+        return int(hashlib.md5(word.encode()).hexdigest(), 16) % 5
+
+    for part in range(5):
+        rules = lemmas.learn({f: w for f, w in table.items() if fold(w) != part}, lexicons.LEMMAS)
+        held = [(f, w) for f, w in table.items() if fold(w) == part and f != w and f not in lexicons.LEMMAS]
+        right += sum(lemmas.lemma(f, rules) == w for f, w in held)
+        total += len(held)
+    assert total > 1400 and right / total > 0.88
+
+
+def test_rules_of_one_s_own(spark):
+    rules = lemmas.learn({"katten": "kat", "ratten": "rat", "matten": "mat"}, {"koeien": "koe"})
+    assert run(spark, lambda c: text.lemmatize(c, rules), "latten koeien deur") == ["lat koe deur"]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3])

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from torquelog.catalog import sql
 from torquelog.catalog.registry import register
-from torquelog.functions import lexicons, text
-from torquelog.runtime import load
+from torquelog.functions import lexicons, tagging, text
+from torquelog.runtime import load, once
 
 STEPS = {
     "stripped": (text.strip, sql.strip),
@@ -143,27 +143,21 @@ def _(spark, sf):
     return df.select("doc_id", "lang", text.language(F.col("text")).alias("detected"))
 
 
-def _pos_sql(column: str, own: list[str], suffix: str) -> str:
-    known = sql.listed([*lexicons.VERBS, *lexicons.NOUNS])
-    return (
-        f"array_to_string(list_filter({column}, lambda t: t IN {sql.listed(own)} OR "
-        f"(t NOT IN {known} AND regexp_matches(t, {sql.quoted(suffix)}))), ' ')"
-    )
-
-
 @register(
     "actions_and_observations",
     "K14",
-    f"""WITH t AS (SELECT conv_id, turn, {sql.words("text")} AS w FROM conversations)
-        SELECT conv_id, turn, {_pos_sql("w", lexicons.VERBS, text.VERB_SUFFIX)} AS actions,
-        {_pos_sql("w", lexicons.NOUNS, text.NOUN_SUFFIX)} AS observations FROM t""",
+    f"""WITH RECURSIVE {sql.tagging_ctes("conversations", "conv_id, turn", "text")},
+        words AS (SELECT conv_id, turn,
+            string_agg(word, ' ' ORDER BY sentence, nr) FILTER (WHERE tag = 'V') AS actions,
+            string_agg(word, ' ' ORDER BY sentence, nr) FILTER (WHERE tag = 'N') AS observations
+          FROM tagged GROUP BY conv_id, turn)
+        SELECT conv_id, turn, coalesce(actions, '') AS actions, coalesce(observations, '') AS observations
+        FROM conversations LEFT JOIN words USING (conv_id, turn)""",
 )
 def _(spark, sf):
     df = load(spark, sf, "conversations", "conv_id")
-    tagged = df.select("conv_id", "turn", text.words(F.col("text")).alias("w")).select(
-        "conv_id", "turn", text.part_of_speech(F.col("w")).alias("pos")
-    )
-    return tagged.select(
+    rows = once(df.select("conv_id", "turn", "text"), "pos", tagging.part_of_speech(F.col("text")))
+    return rows.select(
         "conv_id",
         "turn",
         F.array_join("pos.actions", " ").alias("actions"),

@@ -335,12 +335,7 @@ def asset_report(spark, sf, **options):
     return done.select("doc_id", "category")
 
 
-@register("asset_report", "K16 J1 P17 K8 K9 K10 J8", asset_sql())
-def _(spark, sf):
-    return asset_report(spark, sf)
-
-
-@register("asset_report_whole", "K16 J1 P17 K2 K3 T16 K8 K9 K10 J8", asset_sql(vocabulary=True))
+@register("asset_report", "K16 J1 P17 K2 K3 T16 K8 K9 K10 J8", asset_sql(vocabulary=True))
 def _(spark, sf):
     words, codes = asset_vocabulary(spark, sf), bare_codes(spark, sf)
     return asset_report(spark, sf, vocabulary=words, bare_codes=codes)
@@ -423,18 +418,15 @@ def _(spark, sf):
     return left.select("doc_id", "source", F.md5("note").alias("note"))
 
 
-def _pos(column: str, own: list[str], suffix: str) -> str:
-    known = sql.listed([*lexicons.VERBS, *lexicons.NOUNS])
-    return (
-        f"array_to_string(list_filter({column}, lambda t: t IN {sql.listed(own)} OR "
-        f"(t NOT IN {known} AND regexp_matches(t, {sql.quoted(suffix)}))), ' ')"
-    )
-
-
 def incident_sql(codes: bool = False) -> str:
     known = " OR word IN (SELECT substr(code, 2) FROM codes)" if codes else ""
     return (
-        f"""WITH {f"{CODES}, " if codes else ""}c AS (SELECT doc_id, source, text, {sql.tokens("lower(" + sql.clean_incident("text") + ")")} AS w
+        f"""WITH RECURSIVE {f"{CODES}, " if codes else ""}{sql.tagging_ctes("documents", "doc_id", "text")},
+        s AS (SELECT doc_id,
+            string_agg({sql.lemma("word")}, ' ' ORDER BY sentence, nr) FILTER (WHERE tag = 'V') AS actions,
+            string_agg({sql.lemma("word")}, ' ' ORDER BY sentence, nr) FILTER (WHERE tag = 'N') AS observations
+          FROM tagged GROUP BY doc_id),
+        c AS (SELECT doc_id, source, text, {sql.tokens("lower(" + sql.clean_incident("text") + ")")} AS w
                    FROM documents),
         v AS (SELECT word FROM (SELECT unnest(w) AS word FROM c) GROUP BY word
               HAVING (length(word) >= 3 OR count(*) >= 5{known}) AND word NOT IN {sql.listed(lexicons.STOP_ENGLISH)}),
@@ -450,15 +442,14 @@ def incident_sql(codes: bool = False) -> str:
         bs AS (SELECT doc_id, string_agg(gram, ', ' ORDER BY rank) AS grams,
                  round(sum(round(weight, 6)), 6) AS weight FROM br WHERE rank <= 10 GROUP BY doc_id)
         SELECT g.doc_id, source, md5(array_to_string(w, ' ')) AS cleaned,
-          md5({_pos("w", lexicons.VERBS, text.VERB_SUFFIX)}) AS actions,
-          md5({_pos("w", lexicons.NOUNS, text.NOUN_SUFFIX)}) AS observations,
+          md5(coalesce(actions, '')) AS actions, md5(coalesce(observations, '')) AS observations,
           """
     + ", ".join(
         f"md5(array_to_string(list_sort(list_distinct({sql.grams('kw', n)})), ', ')) AS keywords_{n}"
         for n in (1, 2, 3)
     )
     + """, coalesce(grams, '') AS significant, coalesce(weight, 0) AS weight
-        FROM g LEFT JOIN bs USING (doc_id)"""
+        FROM g LEFT JOIN bs USING (doc_id) LEFT JOIN s USING (doc_id)"""
     )
 
 
@@ -477,11 +468,6 @@ def incident_report(spark, sf, **options):
     )
 
 
-@register("incident_report", "K1b K2 K3 K7 K14 W1 P20 F1 F5", incident_sql())
-def _(spark, sf):
-    return incident_report(spark, sf)
-
-
-@register("incident_report_whole", "K1b K2 K3 T16 K7 K14 W1 P20 F1 F5", incident_sql(codes=True))
+@register("incident_report", "K1b K2 K3 T16 K7 K14 W1 P20 F1 F5", incident_sql(codes=True))
 def _(spark, sf):
     return incident_report(spark, sf, bare_codes=bare_codes(spark, sf))

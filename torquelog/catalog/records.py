@@ -143,29 +143,6 @@ def _(spark, sf):
 
 @register(
     "claims_head",
-    "K17 P6 P7 P8 P9 P10",
-    """SELECT l_orderkey, l_linenumber, p_partkey, p_name
-       FROM lineitem JOIN part ON l_partkey = p_partkey
-       WHERE upper(p_brand) = 'BRAND#13' AND l_returnflag = 'N' AND p_type IS NOT NULL
-         AND starts_with(p_type, 'S') AND NOT starts_with(p_name, 'hot ')
-         AND NOT starts_with(p_name, 'small ')""",
-)
-def _(spark, sf):
-    parts = load(spark, sf, "part").select(
-        "p_partkey", "p_name", F.col("p_brand").alias("brand"), F.col("p_type").alias("model"),
-        F.col("p_name").alias("part_number"), F.col("p_name").alias("part_description"),
-    )
-    lines = load(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("service_line_type"),
-        F.lpad(F.col("l_orderkey").cast("string"), 13, "0").alias("serial_number"),
-    )
-    claims = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    kept = records.claims_head(claims, "Brand#13", "N", "S", ("hot ", "small "), lang=None)
-    return kept.select("l_orderkey", "l_linenumber", "p_partkey", "p_name")
-
-
-@register(
-    "claims_head_whole",
     "K17 P6 P7 P8 P9 P10 P11",
     f"""WITH c AS (
           SELECT l_orderkey, l_linenumber, p_partkey, p_name, text, CASE WHEN l_linenumber = 1

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from torquelog.functions import lexicons, text
+from torquelog.functions import lemmas as lemma_rules
+from torquelog.functions import lexicons, tagging, text
 
 
 def quoted(value: str) -> str:
@@ -91,35 +92,35 @@ def joined(expr: str) -> str:
     return f"array_to_string({expr}, ' ')"
 
 
-# The lemma rules once more, as tests on the stem alone; RE2 has no look-ahead.
-VOWEL_STEM = "[aeiouy]"
-DROP_LAST = "([bdgmnprt])"
-LOST_E = (
-    "^[^aeiouy]*[aeiouy][^aeiouywx]$|[cvu]$|[^z]z$|[aeioulnrp]s$|(ch|r)ang$|[rld]g$|[^aeiou]ag$|"
-    "[bcdfgkptz]l$|[iu]at$|creat$|[^aeiou](at|in|id|ad|il)$|(qu|sp)ir$|[wfth]ir$|[^aeo]ur$|let$|"
-    "[pcb]ut$|par$|clar$|plor$|gnor$|stor$|com$|sum$|(cl|tr)ud$|mot$"
-)
+def _rule_cases(token: str, tail: str) -> str:
+    """The rules of an ending as one CASE; the classes of letters are found by patterns here."""
+    before = f"right('^' || left({token}, -{len(tail) + 1}), 3)"
+    classes = f"regexp_replace(regexp_replace({before}, '[aeiouy]', 'V', 'g'), '[b-df-hj-np-tv-xz]', 'C', 'g')"
+    last = f"left(right({token}, {len(tail) + 1}), 1)"
+    twice = f"CASE WHEN right({before}, 1) = {last} THEN '2' ELSE '' END"
+    cases = []
+    for kind, n, (cut, add), keys in lemma_rules.branches(lemma_rules.RULES, tail):
+        if kind == "shape":
+            test = f"length({token}) >= {len(tail) + 3} AND {classes} || {twice} || {last} IN {listed(keys)}"
+        else:
+            test = f"right({token}, {n}) IN {listed(keys)}" if n else "true"
+        stem = f"left({token}, -{cut})" if cut else token
+        if tail and cut:
+            test_vowel = f"regexp_matches({stem}, '[aeiouy]')"
+            cases.append(f"WHEN {test} AND {test_vowel} THEN {stem} || {quoted(add)} WHEN {test} THEN {token}")
+        else:
+            cases.append(f"WHEN {test} THEN {stem} || {quoted(add)}")
+    return "CASE " + " ".join(cases) + f" ELSE {token} END" if cases else token
 
 
 def lemma(token: str) -> str:
-    cases = [
-        f"WHEN {token} IN {listed(lexicons.LEMMAS)} THEN {mapped(lexicons.LEMMAS)}[{token}]",
-        f"WHEN {token} IN {listed(lexicons.UNCHANGED)} THEN {token}",
-        f"WHEN regexp_matches({token}, '^\\p{{L}}+(ss|x|ch|sh)es$') THEN left({token}, -2)",
-        f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}ies$') THEN left({token}, -3) || 'y'",
-        f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}[^sui]s$') THEN left({token}, -1)",
-        f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}ied$') THEN left({token}, -3) || 'y'",
-    ]
-    for ending, n in (("ing", 3), ("ed", 2)):
-        stem = f"left({token}, -{n})"
-        last, before = f"right({stem}, 1)", f"right({stem}, 2)"
-        cases.append(
-            f"WHEN regexp_matches({token}, '^\\p{{L}}{{2,}}{ending}$') AND right({token}, 3) <> 'eed' "
-            f"AND regexp_matches({stem}, '{VOWEL_STEM}') THEN CASE "
-            f"WHEN {before} = {last} || {last} AND regexp_matches({last}, '{DROP_LAST}') THEN left({stem}, -1) "
-            f"WHEN regexp_matches({stem}, '{LOST_E}') THEN {stem} || 'e' ELSE {stem} END"
-        )
-    return "CASE " + " ".join(cases) + f" ELSE {token} END"
+    whole = {k[1:]: k[1 : len(k) - cut] + add for k, (cut, add) in lemma_rules.RULES.items() if k[:1] == "^"}
+    return (
+        f"CASE WHEN {token} IN {listed(whole)} THEN {mapped(whole)}[{token}] "
+        f"WHEN NOT regexp_matches({token}, '^\\p{{L}}{{4,}}$') THEN {token} "
+        f"WHEN right({token}, 3) = 'ing' THEN {_rule_cases(token, 'ing')} "
+        f"WHEN right({token}, 2) = 'ed' THEN {_rule_cases(token, 'ed')} ELSE {_rule_cases(token, '')} END"
+    )
 
 
 def lemmas(expr: str) -> str:
@@ -182,3 +183,48 @@ def language(expr: str) -> str:
     top = "greatest(" + ", ".join(counts[n] for n in names) + ")"
     cases = " ".join(f"WHEN {counts[n]} = {top} THEN '{n}'" for n in names)
     return f"CASE WHEN {top} = 0 THEN NULL {cases} END"
+
+
+def tagging_ctes(relation: str, key: str, column: str) -> str:
+    """CTEs that end in ``tagged`` (key, sentence, nr, word, tag): the best path by recursion over the words.
+
+    ``key`` may be several columns. The query has to begin WITH RECURSIVE.
+    """
+    kinds = " ".join(
+        f"WHEN word IN {listed(words_)} THEN {quoted(kind)}" for kind, words_ in tagging.word_kinds().items()
+    )
+    ends = " ".join(
+        f"WHEN regexp_matches(word, {quoted(pattern)}) THEN {quoted(kind)}" for kind, pattern in tagging.ENDINGS.items()
+    )
+    emissions = ", ".join(
+        f"('{kind}', '{tag}', {tagging.score(p)})" for kind, row in tagging.KINDS.items() for tag, p in row.items()
+    )
+    follows = ", ".join(
+        f"('{a}', '{b}', {tagging.score(p)})" for a, row in tagging.FOLLOWS.items() for b, p in row.items()
+    )
+    on = f"{key}, sentence, piece"
+    long = tagging.LONGEST
+    return f"""
+      sentences AS (SELECT {key}, unnest(parts) AS part, generate_subscripts(parts, 1) AS sentence
+        FROM (SELECT {key}, string_split_regex(lower({column}), {quoted(tagging.SENTENCE_END)}) AS parts FROM {relation})),
+      tag_words AS (SELECT {key}, sentence, unnest(found) AS word, generate_subscripts(found, 1) AS nr
+        FROM (SELECT *, regexp_extract_all(part, {quoted(tagging.WORD)}) AS found FROM sentences)),
+      kinded AS (SELECT *, (nr - 1) // {long} AS piece, (nr - 1) % {long} AS step,
+          CASE {kinds} {ends} ELSE 'other' END AS kind FROM tag_words),
+      emissions(kind, tag, emit) AS (VALUES {emissions}),
+      follows(source, target, go) AS (VALUES {follows}),
+      paths AS (
+        SELECT {on}, 0::BIGINT AS step, tag, tag AS path, (go + emit)::BIGINT AS score
+        FROM kinded JOIN emissions USING (kind) JOIN follows ON source = '{tagging.START}' AND target = tag WHERE step = 0
+        UNION ALL
+        SELECT {on}, step, tag, best.path || tag, best.score + emit FROM (
+          SELECT {", ".join(f"k.{c.strip()}" for c in on.split(","))}, k.step, e.tag, any_value(e.emit) AS emit,
+                 max(struct_pack(score := p.score + f.go, tag := strpos('{tagging.TAGS}', p.tag), path := p.path)) AS best
+          FROM paths p JOIN kinded k ON {" AND ".join(f"k.{c.strip()} = p.{c.strip()}" for c in on.split(","))} AND k.step = p.step + 1
+          JOIN emissions e ON e.kind = k.kind JOIN follows f ON f.source = p.tag AND f.target = e.tag
+          GROUP BY ALL)),
+      ends AS (SELECT {on}, max(step) AS step FROM paths GROUP BY ALL),
+      best_paths AS (SELECT {on}, max(struct_pack(score := score, tag := strpos('{tagging.TAGS}', tag), path := path)).path AS path
+        FROM paths JOIN ends USING ({on}, step) GROUP BY {on}),
+      tagged AS (SELECT {key}, sentence, nr, word, substr(path, step + 1, 1) AS tag
+        FROM kinded JOIN best_paths USING ({on}))"""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from torquelog.functions import lemmas as lemma_rules
 from torquelog.functions import lexicons
 
 # The patterns below say what each cleaning step deletes or keeps.
@@ -184,77 +185,52 @@ def remove_stopwords(text: Column, stop: Iterable[str] = lexicons.STOP_ENGLISH)
     return _join(drop_words(split_space(text), stop))
 
 
-# Plural and past endings, first match wins: (ending, pattern of the whole token, replacement).
-LEMMA_RULES = (
-    ("es", r"^(\p{L}+)(ss|x|ch|sh)es$", "$1$2"),
-    ("ies", r"^(\p{L}{2,})ies$", "$1y"),
-    ("s", r"^(\p{L}{2,}[^sui])s$", "$1"),
-    ("ied", r"^(\p{L}{2,})ied$", "$1y"),
-)
-# -ing and -ed come off a stem of two letters or more that has a vowel.
-STEM = r"^(?=\p{L}{2,}(ing|ed)$)\p{L}*[aeiouy]\p{L}*(ing|ed)$"
-# A consonant doubled before the ending is single in the lemma ...
-DOUBLED = r"(bb|dd|gg|mm|nn|pp|rr|tt)$"
-# ... and these stems have lost an e: one short syllable, or an ending that only occurs with it.
-SILENT_E = (
-    r"^[^aeiouy]*[aeiouy][^aeiouywx]$|(c|v|[^z]z|u|[aeioulnrp]s|chang|rang|[rld]g|[^aeiou]ag|"
-    r"[bcdfgkptz]l|[iu]at|creat|[^aeiou](at|in|id|ad|il)|quir|spir|[wfth]ir|[^aeo]ur|let|[pcb]ut|par|"
-    r"clar|plor|gnor|stor|com|sum|clud|trud|mot)$"
-)
+def _edited(token: str, change: tuple[int, str]) -> str:
+    cut, add = change
+    stem = f"left({token}, length({token}) - {cut})" if cut else token
+    return f"concat({stem}, {literal(add)})" if add else stem
 
 
-def _stem(token: str, ending: str) -> str:
-    stem = f"left({token}, length({token}) - {len(ending)})"
-    return (
-        f"CASE WHEN {stem} RLIKE {literal(DOUBLED)} THEN left({token}, length({token}) - {len(ending) + 1}) "
-        f"WHEN {stem} RLIKE {literal(SILENT_E)} THEN concat({stem}, 'e') ELSE {stem} END"
+def _by_rules(token: str, rules: Mapping, tail: str) -> str:
+    """SQL: the first rule of ``lemmas.branches`` that fits; the token where what is left has no vowel."""
+    stem = f"left({token}, length({token}) - {len(tail) + 1})"
+    last = f"substring({token}, length({token}) - {len(tail)}, 1)"
+    plain, classes = "aeiouybcdfghjklmnpqrstvwxz", "V" * 6 + "C" * 20
+    shape = (
+        f"concat(translate(right(concat('^', {stem}), 3), '{plain}', '{classes}'), "
+        f"IF(right({stem}, 1) = {last}, '2', ''), {last})"
     )
+    cases = []
+    for kind, n, change, keys in lemma_rules.branches(rules, tail):
+        if kind == "shape":
+            test = f"length({token}) >= {len(tail) + 3} AND {shape} IN {literals(keys)}"
+        else:
+            test = f"right({token}, {n}) IN {literals(keys)}" if n else "true"
+        out = _edited(token, change)
+        if tail and change[0]:
+            out = f"IF(left({token}, length({token}) - {change[0]}) RLIKE '{lemma_rules.VOWEL}', {out}, {token})"
+        cases.append(f"WHEN {test} THEN {out}")
+    return f"CASE {' '.join(cases)} ELSE {token} END" if cases else token
 
 
-def _lemma(token: str, table: Mapping[str, str]) -> str:
-    cases = [_swap(table, token), f"WHEN {token} IN {literals(lexicons.UNCHANGED)} THEN {token}"]
-    for ending, pattern, replacement in LEMMA_RULES:  # the cheap test spares the pattern
-        cases.append(
-            f"WHEN endswith({token}, {literal(ending)}) AND {token} RLIKE {literal(pattern)} "
-            f"THEN regexp_replace({token}, {literal(pattern)}, {literal(replacement)})"
-        )
-    for ending in ("ing", "ed"):
-        cases.append(
-            f"WHEN endswith({token}, {literal(ending)}) AND NOT endswith({token}, 'eed') "
-            f"AND {token} RLIKE {literal(STEM)} THEN {_stem(token, ending)}"
-        )
-    return f"CASE {' '.join(cases)} ELSE {token} END"
-
-
-def lemmas(tokens: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Column:
-    """Dictionary lemma of each lower-case token, else the first rule that fits."""
-    return each("transform", tokens, _lemma("t", table))
-
+def _lemma(token: str, rules: Mapping[str, tuple[int, str]] = lemma_rules.RULES) -> str:
+    words = {k[1:]: k[1 : len(k) - cut] + add for k, (cut, add) in rules.items() if k.startswith(lemma_rules.WHOLE)}
+    others = {k[-1] for k in rules if k and not k.startswith(lemma_rules.WHOLE) and not lemma_rules.ending(k)}
+    letters = f"length({token}) > 3 AND {token} RLIKE '^\\\\p{{L}}+$'"
+    cases = [_swap(words, token)] if words else []
+    # the cheap test of the last letter spares most tokens the rules
+    cases.append(f"WHEN right({token}, 1) NOT IN {literals(sorted(others | {'g', 'd'}))} OR NOT ({letters}) THEN {token}")
+    cases += [f"WHEN endswith({token}, '{tail}') THEN {_by_rules(token, rules, tail)}" for tail in ("ing", "ed")]
+    return f"CASE {' '.join(cases)} ELSE {_by_rules(token, rules, '')} END"
 
-def lemmatize(text: Column, table: Mapping[str, str] = lexicons.LEMMAS) -> Column:
-    return _join(lemmas(split_space(text), table))
 
+def lemmas(tokens: Column, rules: Mapping[str, tuple[int, str]] = lemma_rules.RULES) -> Column:
+    """The lemma of each lower-case token by learned rules; see ``lemmas.learn`` for rules of one's own."""
+    return each("transform", tokens, _lemma("t", rules))
 
-VERB_SUFFIX = r"^\p{L}{2,}(ing|ed|ize|ify|ate)$"
-NOUN_SUFFIX = r"^\p{L}{2,}(tion|ment|ness|ure|age)$"
 
-
-def part_of_speech(
-    tokens: Column,
-    verbs: Iterable[str] = lexicons.VERBS,
-    nouns: Iterable[str] = lexicons.NOUNS,
-) -> Column:
-    """Struct of ``actions`` (verbs) and ``observations`` (nouns), by lexicon, then by suffix."""
-    verbs, nouns = list(verbs), list(nouns)
-    known = literals(verbs + nouns)
-
-    def pick(listed: list[str], suffix: str) -> Column:
-        guess = f"t NOT IN {known} AND t RLIKE {literal(suffix)}"
-        return each("filter", tokens, f"t IN {literals(listed)} OR ({guess})")
-
-    return F.struct(
-        pick(verbs, VERB_SUFFIX).alias("actions"), pick(nouns, NOUN_SUFFIX).alias("observations")
-    )
+def lemmatize(text: Column, rules: Mapping[str, tuple[int, str]] = lemma_rules.RULES) -> Column:
+    return _join(lemmas(split_space(text), rules))
 
 
 def clean_asset(text: Column, lemmas: bool = True) -> Column:
@@ -292,7 +268,7 @@ def _finish(tokens: Column, stop: Iterable[str], lemmas: bool) -> Column:
     if not lemmas:
         return _join(kept)
     # an expansion of several words is one element so far; its words are lemmatised one by one
-    single, inner = _lemma("t", lexicons.LEMMAS), _lemma("w", lexicons.LEMMAS)
+    single, inner = _lemma("t"), _lemma("w")
     several = f"array_join(transform(split(t, ' '), w -> {inner}), ' ')"
     return _join(each("transform", kept, f"IF(contains(t, ' '), {several}, {single})"))
 
