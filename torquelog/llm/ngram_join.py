@@ -1,10 +1,11 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles, to components.
 
 Under any order of all shingles two documents that are similar enough share one among the first few
-of each (the prefix). One order makes the candidates: rare shingles first, as a shingle that is rare
-everywhere brings few documents together. A candidate pair must also share a prefix shingle under
-two further orders, its sizes must be close, and the counts of its shingles by hash part must leave
-room for enough common ones; only then are the sets compared.
+of each (the prefix). One order makes the candidates: shingles by hash, but those that turned out to be
+in many prefixes go to the end, the most common last. A few turns find them: what a text's prefix takes
+in for a shingle that went to the end may be common itself. A candidate pair must also have close
+sizes, counts of its shingles by hash part that leave room for enough common ones, and a prefix
+shingle in common under two further orders; only then are the sets fetched and compared.
 
 Equal sets are one node. Within a group of nodes that share a prefix shingle not all pairs are made:
 each node is compared to the group's pivot, rounds with new pivots join what is similar to them, and
@@ -27,8 +28,9 @@ from torquelog.llm import common, words
 SHINGLE = 4
 PERCENT = 85  # similarity of a link
 SEEDS = (0x243F6A88, 0x85A308D3, 0x13198A2E)  # of the orders
-COMMON = 1 << 16  # shingles that are known to be common, at most; concerns speed only
-LOCAL = 3  # texts of a partition that a common shingle is in, at least
+HEAVY = 8  # prefixes that a shingle may be in before it goes to the end of the first order
+TURNS = 4  # of looking for such shingles
+COMMON = 1 << 22  # of them, the most common first; what is beyond concerns speed only
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 6  # pivots per group, at most
 PAYS = 0.2  # share of a round's pairs that are links for another round to pay
@@ -107,77 +109,62 @@ def _over_sets(text_at: int, n: int, emit: Callable) -> Callable:
     return run
 
 
-def describe(docs: DataFrame, n: int, local: int) -> DataFrame:
-    """(doc_id, d, n) of every text, and in further rows (shingle, many) the common ones of a partition."""
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, d, n) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        waiting: list[np.ndarray] = []
-        names_ = ["doc_id", "d", "n", "shingle", "many"]
-        kind = None
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            tokens = np.concatenate([counts[0], *waiting])
-            many = np.concatenate([counts[1], *[np.ones(len(w), np.int64) for w in waiting]])
-            unique, inverse = np.unique(tokens, return_inverse=True)
-            total = np.bincount(inverse, many, len(unique)).astype(np.int64)
-            if len(unique) > 4 << 20:  # forget what was rare so far
-                unique, total = unique[total > 1], total[total > 1]
-            return unique, total
-
         for batch in batches:
-            kind = batch.schema.field(0).type
             for row, end, data, at in words.chunks(batch.column(1)):
                 h, first = sets_of(data, at, n)
-                waiting.append(h)
-                if sum(map(len, waiting)) > 2 << 20:
-                    counts = merged()
-                    waiting.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, end - row),
-                        pa.array(digests(h, first), pa.int64()),
-                        pa.array(np.diff(first)),
-                        pa.nulls(end - row, pa.int64()),
-                        pa.nulls(end - row, pa.int64()),
-                    ],
-                    names_,
-                )
-        if waiting:
-            counts = merged()
-        often = counts[1] >= local
-        if often.any():
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(k, kind),
-                    pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.int64()),
-                    _signed(counts[0][often]),
-                    pa.array(counts[1][often]),
-                ],
-                names_,
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, d bigint, n bigint, shingle bigint, many bigint")
-
-
-def common_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles in order and the logarithms of their counts."""
-    rows = described.where("shingle is not null").groupBy("shingle").agg(F.sum("many").alias("many"))
-    top = rows.orderBy(F.desc("many"), "shingle").limit(COMMON).toPandas()
-    known = top["shingle"].to_numpy(np.int64).view(np.uint64)
+                columns = [batch.column(0).slice(row, end - row), pa.array(digests(h, first), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first))], ["doc_id", "d", "n"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d bigint, n bigint")
+
+
+def _with_known(known: tuple[np.ndarray, np.ndarray], rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``known`` and the shingles of ``rows`` (shingle, many) in order, with the logarithms of their counts."""
+    top = rows.orderBy(F.desc("many"), "shingle").limit(COMMON - len(known[0])).toPandas()
     level = np.minimum(np.log2(np.maximum(top["many"].to_numpy(float), 1)).astype(np.int64), 63)
-    order = np.argsort(known)
-    return known[order], level[order]
+    h = np.concatenate([known[0], top["shingle"].to_numpy(np.int64).view(np.uint64)])
+    level = np.concatenate([known[1], level])
+    order = np.argsort(h)
+    return h[order], level[order]
 
 
-def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataFrame:
-    """(shingle, d, n, parts): the first order's prefix of each set, a set once per partition.
+def common_shingles(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are in more than ``HEAVY`` prefixes, in order, and the logarithms of their counts.
 
-    ``parts`` are the sizes of the set's parts by hash. Without a filter ``n`` and ``parts`` are null.
+    In the first turn all prefix shingles are counted, by hash alone; in the others those that come into
+    a prefix because shingles of the turn before go to the end. Any outcome is a valid order.
     """
+    context = docs.sparkSession.sparkContext
+    known = before = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for turn in range(TURNS):
+        shared = context.broadcast((before, known))
+        first = turn == 0
+
+        def emit(batch, h, edges, names, seen, shared=shared, first=first):
+            before, known = shared.value
+            p, of = prefixes(h, edges, levels(h, known), SEEDS[0], percent)
+            kept = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)[of]
+            if not first:  # a prefix changes only where a shingle has been moved
+                q, owner = prefixes(h, edges, levels(h, before), SEEDS[0], percent)
+                old = words.mix(q ^ words.mix(owner.astype(np.uint64)))
+                kept &= ~np.isin(words.mix(p ^ words.mix(of.astype(np.uint64))), old)
+            yield pa.RecordBatch.from_arrays([_signed(p[kept])], ["shingle"])
+
+        rows = docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint")
+        counted = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
+        before, known = known, _with_known(known, counted.where(F.col("many") > HEAVY))
+        shared.unpersist()
+        if len(known[0]) in (len(before[0]), COMMON):
+            break
+    return known
+
+
+def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataFrame:
+    """(shingle, d, n): the first order's prefix of each set and its size, a set once per partition."""
 
     def emit(batch, h, first, names, seen):
         p, of = prefixes(h, first, levels(h, shared.value), SEEDS[0], percent)
@@ -187,34 +174,63 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataF
             kept &= _in_filter(filter_.value, p.view(np.int64))
         p, of = p[kept], of[kept]
         d = np.array([x or 0 for x in names], np.int64)
-        if filter_ is None:
-            sizes, parts = pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.list_(pa.int32()))
-        else:
-            owner = np.repeat(np.arange(len(names)), np.diff(first))
-            counts = np.bincount(
-                owner * PARTS + (h >> np.uint64(7)).astype(np.int64) % PARTS, minlength=len(names) * PARTS
-            ).reshape(-1, PARTS)
-            sizes = pa.array(np.diff(first)[of])
-            edges = pa.array(np.arange(len(p) + 1) * PARTS, pa.int32())
-            parts = pa.ListArray.from_arrays(edges, pa.array(counts[of].ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            [_signed(p), pa.array(d[of]), sizes, parts], ["shingle", "d", "n", "parts"]
-        )
+        sizes = pa.array(np.diff(first)[of])
+        yield pa.RecordBatch.from_arrays([_signed(p), pa.array(d[of]), sizes], ["shingle", "d", "n"])
 
-    schema = "shingle bigint, d bigint, n bigint, parts array<int>"
-    return docs.mapInArrow(_over_sets(1, n, emit), schema)
+    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint, n bigint")
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether two sets can be similar enough, by their sizes and those of their parts.
+def _wanted(names: list, seen: set, bits: np.ndarray) -> list[int]:
+    """The texts whose set the filter lets through, a set once."""
+    inside = _in_filter(bits, np.array([x or 0 for x in names], np.int64))
+    out = []
+    for t in np.flatnonzero(inside):
+        if names[t] is not None and names[t] not in seen:
+            seen.add(names[t])
+            out.append(t)
+    return out
 
-    ``a`` and ``b`` are the endings of the columns n and parts.
-    """
+
+def part_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
+    """(d, parts): the sizes of the parts of each set by hash, a set once per partition."""
+
+    def emit(batch, h, first, names, seen):
+        take = _wanted(names, seen, wanted.value)
+        owner = np.repeat(np.arange(len(names)), np.diff(first))
+        slot = owner * PARTS + (h >> np.uint64(7)).astype(np.int64) % PARTS
+        counts = np.bincount(slot, minlength=len(names) * PARTS).reshape(-1, PARTS)[take]
+        edges = pa.array(np.arange(len(take) + 1) * PARTS, pa.int32())
+        parts = pa.ListArray.from_arrays(edges, pa.array(counts.ravel(), pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([names[t] for t in take], pa.int64()), parts], ["d", "parts"])
+
+    return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, parts array<int>")
+
+
+def close_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar enough, by their sizes; ``a`` and ``b`` are the columns' endings."""
     na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-    close = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    common_ = F.zip_with(f"parts{a}", f"parts{b}", lambda p, q: F.least(p, q))
-    most = F.aggregate(common_, F.lit(0).cast("long"), lambda total, x: total + x)
-    return close & ((100 + percent) * most >= percent * (na + nb))
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def both_sides(pairs: DataFrame, table: DataFrame, column: str, short: str) -> DataFrame:
+    """``pairs`` (x, y) with a column of ``table`` (d, column) for either node, as shortx and shorty.
+
+    A node that is in very many pairs is split over partitions.
+    """
+    for side in "xy":
+        counts = common.stored(pairs.groupBy(side).agg(F.count("*").alias("weight")), "join_pair_counts")
+        one = table.select(F.col("d").alias(side), F.col(column).alias(f"{short}{side}"))
+        pairs = common.split_join(pairs, one, side, "weight", counts)
+    return pairs
+
+
+def may_link(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets can have enough in common, by the sizes of their parts."""
+    met = both_sides(pairs, parts, "parts", "p")
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda total, v: total + v)
+    most = size(F.zip_with("px", "py", lambda p, q: F.least(p, q)))
+    needed = percent * (size(F.col("px")) + size(F.col("py")))
+    return met.where((100 + percent) * most >= needed).select("x", "y")
 
 
 def _slot(h: Column) -> Column:
@@ -242,12 +258,7 @@ def set_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
     """(d, members): the sets that the filter lets through, once per partition."""
 
     def emit(batch, h, first, names, seen):
-        inside = _in_filter(wanted.value, np.array([x or 0 for x in names], np.int64))
-        take = []
-        for t in np.flatnonzero(inside):
-            if names[t] is not None and names[t] not in seen:
-                seen.add(names[t])
-                take.append(t)
+        take = _wanted(names, seen, wanted.value)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([names[t] for t in take], pa.int64()),
@@ -259,64 +270,40 @@ def set_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
     return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, members binary")
 
 
-def light_rows(docs: DataFrame, n: int, percent: int, shared, wanted) -> DataFrame:
+def light_rows(docs: DataFrame, n: int, percent: int, wanted) -> DataFrame:
     """(d, second, third): the prefixes under the further orders, as 32 bits of each shingle."""
 
     def emit(batch, h, first, names, seen):
-        inside = _in_filter(wanted.value, np.array([x or 0 for x in names], np.int64))
-        fresh = [t for t in np.flatnonzero(inside) if names[t] is not None and names[t] not in seen]
-        seen.update(names[t] for t in fresh)
-        columns = [pa.array([names[t] for t in fresh], pa.int64())]
-        level = levels(h, shared.value) if fresh else None
-        for seed in SEEDS[1:] if fresh else ():
-            p, of = prefixes(h, first, level, seed, percent)
+        take = _wanted(names, seen, wanted.value)
+        columns = [pa.array([names[t] for t in take], pa.int64())]
+        for seed in SEEDS[1:] if take else ():
+            p, of = prefixes(h, first, np.zeros(len(h), np.uint64), seed, percent)
             edge = np.searchsorted(of, np.arange(len(names) + 1))
             short = (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in fresh], pa.list_(pa.int32())))
-        if fresh:
+            columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in take], pa.list_(pa.int32())))
+        if take:
             yield pa.RecordBatch.from_arrays(columns, ["d", "second", "third"])
 
     return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, second array<int>, third array<int>")
 
 
 def share_prefixes(pairs: DataFrame, light: DataFrame) -> DataFrame:
-    """The pairs (x, y) that can share a prefix shingle under each of the further orders."""
-    side = lambda s: light.select(
-        F.col("d").alias(s), F.col("second").alias(f"p{s}"), F.col("third").alias(f"q{s}")
-    )
-    met = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
-    return met.where(F.arrays_overlap("px", "py") & F.arrays_overlap("qx", "qy")).select("x", "y")
-
-
-def _share_prefixes(a: np.ndarray, b: np.ndarray, common_, percent: int) -> bool:
-    """Whether two sets share a prefix shingle under each of the further orders."""
-    for seed in SEEDS[1:]:
-        sides = []
-        for h in (a, b):
-            edge = np.array([0, len(h)])
-            sides.append(prefixes(h, edge, levels(h, common_), seed, percent)[0])
-        if not np.isin(sides[0], sides[1]).any():
-            return False
-    return True
+    """The pairs (x, y) that share a prefix shingle under each of the further orders."""
+    both = light.select("d", F.struct("second", "third").alias("orders"))
+    met = both_sides(pairs, both, "orders", "o")
+    shared = [F.arrays_overlap(f"ox.{order}", f"oy.{order}") for order in ("second", "third")]
+    return met.where(shared[0] & shared[1]).select("x", "y")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, shared) -> DataFrame:
-    """The pairs (x, y) that are links: the filters of the other orders, then the sets.
-
-    The sets of all nodes are shuffled once for both sides; a node in very many pairs is split.
-    """
-    whole = lambda s: sets.select(F.col("d").alias(s), F.col("members").alias(f"m{s}"))
-    counts = common.stored(pairs.groupBy("y").agg(F.count("*").alias("weight")), "join_pivot_counts")
-    first = pairs.join(whole("x").hint("merge"), "x")
-    both = common.split_join(first, whole("y"), "y", "weight", counts).select("x", "y", "mx", "my")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets are similar enough; a node in very many pairs is split on either side."""
+    both = both_sides(pairs, sets, "members", "m").select("x", "y", "mx", "my")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
                 a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                if not _share_prefixes(a, b, shared.value, percent):
-                    continue
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -369,12 +356,27 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
 
 
-def link(
-    groups: DataFrame, check: Callable[[DataFrame, bool], DataFrame], percent: int, rounds: int = ROUNDS
-) -> DataFrame | None:
-    """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, parts).
+def pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of nodes in one group but in different components, of ``rows`` (shingle, d, label, n).
+
+    The labels of a group meet first and their nodes then, so that no two nodes of one component ever
+    meet.
+    """
+    labels = rows.select("shingle", "label").distinct()
+    a = labels.select("shingle", F.col("label").alias("labelx"))
+    b = labels.select("shingle", F.col("label").alias("labely"))
+    met = a.hint("merge").join(b, "shingle").where("labelx < labely")
+    for s in "xy":
+        side = rows.select("shingle", F.col("label").alias(f"label{s}"), F.col("d").alias(f"d{s}"), F.col("n").alias(f"n{s}"))
+        met = met.join(side.hint("merge"), ["shingle", f"label{s}"])
+    met = met.where(close_sizes("x", "y", percent))
+    return met.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")).distinct()
+
 
-    ``check`` gives the links among some pairs and is told when they are the last and may be many. Each round has a pivot per group, by another hash each
+def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS) -> DataFrame | None:
+    """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n).
+
+    ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
     time, and compares every node to the pivot that most of its groups have, as long as enough of
     them turn out as links; the last round compares all pairs in different components.
     """
@@ -392,24 +394,21 @@ def link(
             break
         rows = rows.join(open_.select("shingle"), "shingle", "left_semi")
         final = turn == rounds or left <= FEW * nodes or linked < PAYS * compared
-        columns = ["d", "label", "n", "parts"]
         if final:
-            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
-            b = rows.select("shingle", *[F.col(c).alias(f"{c}y") for c in columns])
-            met = a.hint("merge").join(b, "shingle").where("dx < dy")
+            pairs = pairs_across(rows, percent)
         else:
-            mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), *columns)
+            mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), "d", "label", "n")
             pivots = rows.groupBy("shingle").agg(F.count("*").alias("weight"), F.min(mark).alias("p"))
-            pivots = pivots.select("shingle", "weight", *[F.col(f"p.{c}").alias(f"{c}y") for c in columns])
-            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in columns])
+            pivots = pivots.select("shingle", "weight", *[F.col(f"p.{c}").alias(f"{c}y") for c in ("d", "label", "n")])
+            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in ("d", "label", "n")])
             met = common.split_join(a, common.stored(pivots, "join_pivots"), "shingle", "weight")
-        met = met.where((F.col("labelx") != F.col("labely")) & may_link("x", "y", percent))
-        pairs = met.groupBy(F.col("dx").alias("x"), F.col("dy").alias("y")).agg(F.count("*").alias("m"))
-        if not final:  # the pivot it shares most with; the last round sees to all others
+            met = met.where((F.col("labelx") != F.col("labely")) & close_sizes("x", "y", percent))
+            pairs = met.groupBy(F.col("dx").alias("x"), F.col("dy").alias("y")).agg(F.count("*").alias("m"))
+            # the pivot it shares most with; the last round sees to all others
             best = pairs.groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
             pairs = best.select("x", F.col("best.y").alias("y"))
         pairs = common.stored(pairs.select("x", "y"), "join_pairs")
-        found = common.stored(check(pairs, final), "join_links")
+        found = common.stored(check(pairs), "join_links")
         linked, compared = found.count(), pairs.count()
         edges = found if edges is None else edges.union(found)
         labels = common.stored(components(edges), "join_labels")
@@ -434,30 +433,33 @@ def similar_groups(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    described = common.stored(describe(texts, n, LOCAL), "join_texts")
-    rows = described.where("n is not null")
-    shared = spark.sparkContext.broadcast(common_shingles(described))
-    prefix = prefix_rows(texts, n, percent, shared, None)
+    rows = common.stored(describe(texts, n), "join_texts")
+    shared = spark.sparkContext.broadcast(common_shingles(texts, n, percent))
+    prefix = prefix_rows(texts, n, percent, shared, None).select("shingle", "d")
     groups = prefix.groupBy("shingle").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("weight"))
     groups = common.stored(groups.where("a <> b").select("shingle", "weight"), "join_shingles")
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
     members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
-    members = members.groupBy("shingle", "d").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    members = common.stored(members.groupBy("shingle", "d").agg(F.first("n").alias("n")), "join_members")
+
+    def filter_of(nodes: DataFrame):
+        return spark.sparkContext.broadcast(bit_filter(nodes, "d"))
 
     def nodes_of(pairs: DataFrame):
-        bits = bit_filter(pairs.select(F.explode(F.array("x", "y")).alias("d")), "d")
-        return spark.sparkContext.broadcast(bits)
-
-    def check(pairs: DataFrame, many: bool) -> DataFrame:
-        """Of many pairs the small prefixes are compared before any whole set is fetched."""
-        if many:
-            light = light_rows(texts, n, percent, shared, nodes_of(pairs)).dropDuplicates(["d"])
-            light = common.stored(light, "join_prefixes")
-            pairs = common.stored(share_prefixes(pairs, light), "join_candidates")
+        return filter_of(pairs.select(F.explode(F.array("x", "y")).alias("d")))
+
+    parts = part_rows(texts, n, filter_of(members.select("d"))).dropDuplicates(["d"])
+    parts = common.stored(parts, "join_parts")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """Sizes of parts first, then the prefixes under the further orders, then the sets."""
+        pairs = common.stored(may_link(pairs, parts, percent), "join_possible")
+        light = light_rows(texts, n, percent, nodes_of(pairs)).dropDuplicates(["d"])
+        pairs = common.stored(share_prefixes(pairs, common.stored(light, "join_prefixes")), "join_candidates")
         sets = set_rows(texts, n, nodes_of(pairs)).dropDuplicates(["d"])
-        return verify(pairs, sets, percent, shared)
+        return verify(pairs, sets, percent)
 
-    labels = link(common.stored(members, "join_members"), check, percent)
+    labels = link(members, check, percent)
 
     nodes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"))
     nodes = common.stored(_labelled(nodes, labels), "join_nodes")
