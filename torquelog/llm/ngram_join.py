@@ -29,7 +29,7 @@ SHINGLE = 4
 PERCENT = 85  # similarity of a link
 SEEDS = (0x243F6A88, 0x85A308D3, 0x13198A2E)  # of the orders
 HEAVY = 8  # prefixes that a shingle may be in before it goes to the end of the first order
-TURNS = 4  # of looking for such shingles
+FURTHER = 4  # shingles looked at beyond a prefix for each one of the text that goes to the end
 COMMON = 1 << 22  # of them, the most common first; what is beyond concerns speed only
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 6  # pivots per group, at most
@@ -77,20 +77,25 @@ def levels(h: np.ndarray, common_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def prefixes(
-    h: np.ndarray, first: np.ndarray, level: np.ndarray, seed: int, percent: int
+    h: np.ndarray, first: np.ndarray, level: np.ndarray, seed: int, percent: int, further: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix shingles of each set under one order, and the text each is of."""
+    """The prefix shingles of each set under one order, and the text each is of.
+
+    With ``further`` a prefix is longer by so many shingles for each of the set's that has a level.
+    """
     sizes = np.diff(first)
     of = np.repeat(np.arange(len(sizes)), sizes)
     rank = (level << np.uint64(58)) | (words.mix(h ^ np.uint64(seed)) >> np.uint64(6))
     order = np.argsort(rank)
     order = order[np.argsort(of[order].astype(np.uint16 if len(sizes) < 65536 else np.int64), kind="stable")]
     place = np.arange(len(h)) - first[:-1][of]
-    kept = place < prefix_sizes(sizes, percent)[of]
+    most = prefix_sizes(sizes, percent)
+    if further:
+        most = most + further * np.bincount(of[level > 0], minlength=len(sizes))
+    kept = place < most[of]
     return h[order][kept], of[kept]
 
 
-
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -109,20 +114,26 @@ def _over_sets(text_at: int, n: int, emit: Callable) -> Callable:
     return run
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, d, n) of every text."""
+def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, d, n, prefix) of every text; the prefix is by hash alone, of a set once per partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, at in words.chunks(batch.column(1)):
-                h, first = sets_of(data, at, n)
-                columns = [batch.column(0).slice(row, end - row), pa.array(digests(h, first), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first))], ["doc_id", "d", "n"])
+    def emit(batch, h, first, names, seen):
+        p, of = prefixes(h, first, np.zeros(len(h), np.uint64), SEEDS[0], percent)
+        edge, p = np.searchsorted(of, np.arange(len(names) + 1)), p.view(np.int64)
+        fresh = [x is not None and x not in seen and not seen.add(x) for x in names]
+        prefix = [p[edge[t] : edge[t + 1]] if fresh[t] else None for t in range(len(names))]
+        columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(np.diff(first))]
+        prefix = pa.array(prefix, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*columns, prefix], ["doc_id", "d", "n", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_over_sets(1, n, emit), f"doc_id {kind}, d bigint, n bigint, prefix array<bigint>")
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d bigint, n bigint")
 
+Known = tuple[np.ndarray, np.ndarray]
 
-def _with_known(known: tuple[np.ndarray, np.ndarray], rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+
+def _with_known(known: Known, rows: DataFrame) -> Known:
     """``known`` and the shingles of ``rows`` (shingle, many) in order, with the logarithms of their counts."""
     top = rows.orderBy(F.desc("many"), "shingle").limit(COMMON - len(known[0])).toPandas()
     level = np.minimum(np.log2(np.maximum(top["many"].to_numpy(float), 1)).astype(np.int64), 63)
@@ -132,46 +143,59 @@ def _with_known(known: tuple[np.ndarray, np.ndarray], rows: DataFrame) -> tuple[
     return h[order], level[order]
 
 
-def common_shingles(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are in more than ``HEAVY`` prefixes, in order, and the logarithms of their counts.
+def _news(docs: DataFrame, n: int, percent: int, seen_by: list[tuple[Known, int]], known: Known, further: int) -> DataFrame:
+    """(shingle, d): what the prefixes take in under ``known`` beside those of the orders ``seen_by``."""
+    shared = docs.sparkSession.sparkContext.broadcast((seen_by, known))
 
-    In the first turn all prefix shingles are counted, by hash alone; in the others those that come into
-    a prefix because shingles of the turn before go to the end. Any outcome is a valid order.
+    def emit(batch, h, first, names, seen):
+        seen_by, known = shared.value
+
+        def of_order(known, further):
+            p, of = prefixes(h, first, levels(h, known), SEEDS[0], percent, further)
+            return p, of, words.mix(p ^ words.mix(of.astype(np.uint64)))  # a shingle of a text as one number
+
+        p, of, mark = of_order(known, further)
+        kept = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)[of]
+        for order in seen_by:
+            kept &= ~np.isin(mark, of_order(*order)[2])
+        d = np.array([x or 0 for x in names], np.int64)
+        yield pa.RecordBatch.from_arrays([_signed(p[kept]), pa.array(d[of[kept]])], ["shingle", "d"])
+
+    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint")
+
+
+def first_order(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[Known, DataFrame]:
+    """The shingles that go to the end of the first order, and (shingle, weight) of those in several prefixes.
+
+    Shingles in more than ``HEAVY`` prefixes by hash go there, in order of the logarithm of their count;
+    then those that are as common among what comes into the prefixes, and some way beyond, in their
+    place. Any outcome is a valid order. The weights are of all shingles that were looked at.
     """
-    context = docs.sparkSession.sparkContext
-    known = before = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for turn in range(TURNS):
-        shared = context.broadcast((before, known))
-        first = turn == 0
-
-        def emit(batch, h, edges, names, seen, shared=shared, first=first):
-            before, known = shared.value
-            p, of = prefixes(h, edges, levels(h, known), SEEDS[0], percent)
-            kept = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)[of]
-            if not first:  # a prefix changes only where a shingle has been moved
-                q, owner = prefixes(h, edges, levels(h, before), SEEDS[0], percent)
-                old = words.mix(q ^ words.mix(owner.astype(np.uint64)))
-                kept &= ~np.isin(words.mix(p ^ words.mix(of.astype(np.uint64))), old)
-            yield pa.RecordBatch.from_arrays([_signed(p[kept])], ["shingle"])
-
-        rows = docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint")
-        counted = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"))
-        before, known = known, _with_known(known, counted.where(F.col("many") > HEAVY))
-        shared.unpersist()
-        if len(known[0]) in (len(before[0]), COMMON):
-            break
-    return known
+    nothing: Known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    start = rows.select(F.explode("prefix").alias("shingle"), "d")
+    often = lambda frame: frame.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HEAVY)
+    one = _with_known(nothing, often(start))
+    more = common.stored(_news(docs, n, percent, [(nothing, 0)], one, FURTHER), "join_second_look")
+    two = _with_known(one, often(more).join(_known_rows(docs, one), "shingle", "left_anti"))
+    last = common.stored(_news(docs, n, percent, [(nothing, 0), (one, FURTHER)], two, 0), "join_last_look")
+    looked = start.unionByName(more).unionByName(last)
+    groups = looked.groupBy("shingle").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("weight"))
+    return two, common.stored(groups.where("a <> b").select("shingle", "weight"), "join_shingles")
+
+
+def _known_rows(docs: DataFrame, known: Known) -> DataFrame:
+    """The known shingles as a table; there are at most ``COMMON``."""
+    table = pa.table({"shingle": pa.array(known[0].view(np.int64), pa.int64())})
+    return docs.sparkSession.createDataFrame(table)
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataFrame:
-    """(shingle, d, n): the first order's prefix of each set and its size, a set once per partition."""
+    """(shingle, d, n): of the first order's prefix of each set what the filter lets through, and the set's size."""
 
     def emit(batch, h, first, names, seen):
         p, of = prefixes(h, first, levels(h, shared.value), SEEDS[0], percent)
         fresh = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)
-        kept = fresh[of]
-        if filter_ is not None:
-            kept &= _in_filter(filter_.value, p.view(np.int64))
+        kept = fresh[of] & _in_filter(filter_.value, p.view(np.int64))
         p, of = p[kept], of[kept]
         d = np.array([x or 0 for x in names], np.int64)
         sizes = pa.array(np.diff(first)[of])
@@ -191,19 +215,29 @@ def _wanted(names: list, seen: set, bits: np.ndarray) -> list[int]:
     return out
 
 
-def part_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
-    """(d, parts): the sizes of the parts of each set by hash, a set once per partition."""
+def profile_rows(docs: DataFrame, n: int, percent: int, wanted) -> DataFrame:
+    """(d, parts, second, third) of each set, once per partition: the sizes of its parts by hash, and its
+    prefixes under the further orders as 32 bits of each shingle."""
 
     def emit(batch, h, first, names, seen):
         take = _wanted(names, seen, wanted.value)
+        if not take:
+            return
         owner = np.repeat(np.arange(len(names)), np.diff(first))
         slot = owner * PARTS + (h >> np.uint64(7)).astype(np.int64) % PARTS
         counts = np.bincount(slot, minlength=len(names) * PARTS).reshape(-1, PARTS)[take]
         edges = pa.array(np.arange(len(take) + 1) * PARTS, pa.int32())
-        parts = pa.ListArray.from_arrays(edges, pa.array(counts.ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([names[t] for t in take], pa.int64()), parts], ["d", "parts"])
+        columns = [pa.array([names[t] for t in take], pa.int64())]
+        columns.append(pa.ListArray.from_arrays(edges, pa.array(counts.ravel(), pa.int32())))
+        for seed in SEEDS[1:]:
+            p, of = prefixes(h, first, np.zeros(len(h), np.uint64), seed, percent)
+            edge = np.searchsorted(of, np.arange(len(names) + 1))
+            short = (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in take], pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays(columns, ["d", "parts", "second", "third"])
 
-    return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, parts array<int>")
+    schema = "d bigint, parts array<int>, second array<int>, third array<int>"
+    return docs.mapInArrow(_over_sets(1, n, emit), schema)
 
 
 def close_sizes(a: str, b: str, percent: int) -> Column:
@@ -270,26 +304,9 @@ def set_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
     return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, members binary")
 
 
-def light_rows(docs: DataFrame, n: int, percent: int, wanted) -> DataFrame:
-    """(d, second, third): the prefixes under the further orders, as 32 bits of each shingle."""
-
-    def emit(batch, h, first, names, seen):
-        take = _wanted(names, seen, wanted.value)
-        columns = [pa.array([names[t] for t in take], pa.int64())]
-        for seed in SEEDS[1:] if take else ():
-            p, of = prefixes(h, first, np.zeros(len(h), np.uint64), seed, percent)
-            edge = np.searchsorted(of, np.arange(len(names) + 1))
-            short = (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in take], pa.list_(pa.int32())))
-        if take:
-            yield pa.RecordBatch.from_arrays(columns, ["d", "second", "third"])
-
-    return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, second array<int>, third array<int>")
-
-
-def share_prefixes(pairs: DataFrame, light: DataFrame) -> DataFrame:
+def share_prefixes(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs (x, y) that share a prefix shingle under each of the further orders."""
-    both = light.select("d", F.struct("second", "third").alias("orders"))
+    both = profiles.select("d", F.struct("second", "third").alias("orders"))
     met = both_sides(pairs, both, "orders", "o")
     shared = [F.arrays_overlap(f"ox.{order}", f"oy.{order}") for order in ("second", "third")]
     return met.where(shared[0] & shared[1]).select("x", "y")
@@ -433,11 +450,10 @@ def similar_groups(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    rows = common.stored(describe(texts, n), "join_texts")
-    shared = spark.sparkContext.broadcast(common_shingles(texts, n, percent))
-    prefix = prefix_rows(texts, n, percent, shared, None).select("shingle", "d")
-    groups = prefix.groupBy("shingle").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("weight"))
-    groups = common.stored(groups.where("a <> b").select("shingle", "weight"), "join_shingles")
+    described = common.stored(describe(texts, n, percent), "join_texts")
+    rows = described.select("doc_id", "d", "n")
+    known, groups = first_order(described, texts, n, percent)
+    shared = spark.sparkContext.broadcast(known)
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
     members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
     members = common.stored(members.groupBy("shingle", "d").agg(F.first("n").alias("n")), "join_members")
@@ -445,19 +461,15 @@ def similar_groups(
     def filter_of(nodes: DataFrame):
         return spark.sparkContext.broadcast(bit_filter(nodes, "d"))
 
-    def nodes_of(pairs: DataFrame):
-        return filter_of(pairs.select(F.explode(F.array("x", "y")).alias("d")))
-
-    parts = part_rows(texts, n, filter_of(members.select("d"))).dropDuplicates(["d"])
-    parts = common.stored(parts, "join_parts")
+    profiles = profile_rows(texts, n, percent, filter_of(members.select("d"))).dropDuplicates(["d"])
+    profiles = common.stored(profiles, "join_profiles")
 
     def check(pairs: DataFrame) -> DataFrame:
         """Sizes of parts first, then the prefixes under the further orders, then the sets."""
-        pairs = common.stored(may_link(pairs, parts, percent), "join_possible")
-        light = light_rows(texts, n, percent, nodes_of(pairs)).dropDuplicates(["d"])
-        pairs = common.stored(share_prefixes(pairs, common.stored(light, "join_prefixes")), "join_candidates")
-        sets = set_rows(texts, n, nodes_of(pairs)).dropDuplicates(["d"])
-        return verify(pairs, sets, percent)
+        pairs = common.stored(may_link(pairs, profiles, percent), "join_possible")
+        pairs = common.stored(share_prefixes(pairs, profiles), "join_candidates")
+        wanted = filter_of(pairs.select(F.col("x").alias("d")).union(pairs.select("y")))
+        return verify(pairs, set_rows(texts, n, wanted).dropDuplicates(["d"]), percent)
 
     labels = link(members, check, percent)
 
