@@ -14,6 +14,7 @@ from torquelog.operators import (
     metrics,
     ranking,
     records,
+    rules,
     similarity,
     vocabulary,
 )
@@ -630,3 +631,53 @@ def test_one_hot_and_trend(spark):
     assert rows(association.trend(times, "ts", "c"), "period", "records", "change") == [
         ("2024-01-01", 1, 1), ("2024-02-01", 2, 1),
     ]
+
+
+def closed(facts, rule_rows):
+    """All facts that follow, round by round."""
+    out = {(k, f): 0 for k, f in facts if k is not None and f is not None}
+    turn = 0
+    while True:
+        turn += 1
+        new = {
+            (k, conclusion)
+            for k in {k for k, _ in out}
+            for _, premises, conclusion in rule_rows
+            if all((k, p) in out for p in premises) and (k, conclusion) not in out
+        }
+        if not new:
+            return out
+        out |= {pair: turn for pair in new}
+
+
+RULE_SETS = {
+    "chain": [(f"r{i}", [f"f{i}"], f"f{i + 1}") for i in range(5)],
+    "cycle": [("a", ["x"], "y"), ("b", ["y"], "z"), ("c", ["z"], "x")],
+    "premises": [("a", ["x", "y"], "z"), ("b", ["z", "w"], "v"), ("c", ["x"], "w"), ("d", ["v", "x", "y"], "u")],
+    "none": [],
+}
+
+
+@pytest.mark.parametrize("name", RULE_SETS)
+def test_rules_follow_to_the_end(spark, name):
+    facts = [(1, "f0"), (1, "x"), (2, "x"), (2, "y"), (2, "y"), (3, "y"), (4, "f3"), (None, "x"), (5, None), (6, "other")]
+    table = rules.rule_table(spark, RULE_SETS[name])
+    got = rules.derive(spark.createDataFrame(facts, "key int, fact string"), table).collect()
+    want = closed(facts, RULE_SETS[name])
+    assert {(r["key"], r["fact"]): r["round"] for r in got} == want and len(got) == len(want)
+
+
+def test_rules_on_no_facts(spark):
+    table = rules.rule_table(spark, RULE_SETS["cycle"])
+    assert rules.derive(spark.createDataFrame([], "key int, fact string"), table).count() == 0
+
+
+def test_a_round_joins_the_new_facts_only(spark, monkeypatch):
+    """The rows that meet the rules are the facts, each once, however many rounds there are."""
+    seen = []
+    plain = rules.materialize
+    monkeypatch.setattr(rules, "materialize", lambda df: (out := plain(df), seen.append(out))[0])
+    table = rules.rule_table(spark, RULE_SETS["chain"])
+    facts = spark.createDataFrame([(k, "f0") for k in range(20)], "key int, fact string")
+    assert rules.derive(facts, table).count() == 120
+    assert sum(df.count() for df in seen if "met" in df.columns) == 100  # f5 is no premise

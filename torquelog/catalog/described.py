@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from torquelog.catalog import sql
 from torquelog.catalog.registry import register
 from torquelog.functions import ngrams, text
-from torquelog.operators import association, similarity
+from torquelog.operators import association, rules, similarity
 from torquelog.runtime import load, scratch_path
 from torquelog.streaming import counts
 
@@ -71,6 +71,47 @@ def _(spark, sf):
     return association.gazetteer(split("documents", "doc_id"), "doc_id", "tokens", entries, sizes)
 
 
+#: (rule, premises, conclusion): two premises, a chain of five, two cycles.
+RULES = [
+    ("r1", ["of", "the"], "english"),
+    ("r2", ["english", "and"], "prose"),
+    ("r3", ["prose"], "page"),
+    ("r4", ["page"], "chapter"),
+    ("r5", ["chapter"], "book"),
+    ("r6", ["book"], "english"),
+    ("r7", ["der", "und"], "german"),
+    ("r8", ["german", "die"], "prose"),
+    ("r9", ["la"], "romance"),
+    ("r10", ["romance", "el", "los"], "spanish"),
+    ("r11", ["romance", "des"], "french"),
+    ("r12", ["spanish", "french"], "mixed"),
+    ("r13", ["mixed"], "romance"),
+]
+PREMISES = sorted({p for _, premises, _ in RULES for p in premises})
+RULES_SQL = ", ".join(f"{{'p': {premises}, 'c': '{conclusion}'}}" for _, premises, conclusion in RULES)
+
+
+@register(
+    "facts_by_rule_table",
+    "D4",
+    f"""WITH RECURSIVE f AS (
+          SELECT doc_id, list_sort(list_distinct(list_filter({sql.words("text")}, lambda w: w IN {sql.listed(PREMISES)}))) AS facts,
+            0 AS round FROM documents
+          UNION ALL
+          SELECT doc_id, grown, round + 1 FROM (
+            SELECT doc_id, round, facts, list_sort(list_distinct(facts || list_transform(
+                list_filter([{RULES_SQL}], lambda r: list_has_all(facts, r.p)), lambda r: r.c))) AS grown FROM f)
+          WHERE len(grown) > len(facts)),
+        u AS (SELECT doc_id, unnest(facts) AS fact, round FROM f)
+        SELECT doc_id, fact, CAST(min(round) AS INTEGER) AS round FROM u GROUP BY doc_id, fact""",
+)
+def _(spark, sf):
+    df = load(spark, sf, "documents", "doc_id").select("doc_id", text.words(F.col("text")).alias("w"))
+    table = rules.rule_table(spark, RULES)
+    found = rules.derive(rules.word_facts(df, "doc_id", "w", table), table)
+    return found.withColumnRenamed("key", "doc_id")
+
+
 PHRASE_RULES = {"of the": "wear", "thtion": "heat", "und der": "noise", "de la": "dust"}
 FACT_RULES = {"heat": "fan", "fan": "cooling", "wear": "door", "dust": "fan"}
 CLOSED = {
