@@ -1,13 +1,13 @@
 """Plain versions of the pipeline's stages, from those of the operators' own tests."""
 
 from test_decontaminate import brute as search
-from test_line_dedup import brute as lines
+from test_line_dedup import brute_words as lines
 from test_ngram_join import brute as groups
 from test_packing import expected_pieces
 
 
 def winnowed(texts):
-    kept = lines(list(texts.items()), 3)
+    kept = lines(list(texts.items()), 3, 50)
     return {k: kept[k, t] for k, t in texts.items()}
 
 

@@ -147,11 +147,3 @@ def test_passages_of_over_50_words_stay_once(spark):
     kept = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs, words=50).collect()}
     assert kept[601] == "own\nmore" and kept[603] == "own d\n"
     assert kept[604] == LONG_LINES[4][1] and kept[606] == LONG_LINES[6][1]
-
-
-def test_long_query_equals_sql(spark, directory):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{directory}/documents.parquet'")
-    got, want = ld.long_query(spark, directory).toPandas(), con.execute(ld.LONG_SQL).fetchdf()
-    assert check.rows_of(got) == check.rows_of(want)
-    assert got["n_removed"].sum() > ld.query(spark, directory).toPandas()["n_removed"].sum()

@@ -5,7 +5,6 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from plain_stages import decontaminated, first_of_groups, packed, winnowed
-from test_line_dedup import brute_words
 from torquelog.llm import common
 
 
@@ -67,12 +66,3 @@ def test_run_applies_all_stages(spark, directory, stages):
 def test_stages_take_an_empty_table(spark, directory, k):
     none = spark.read.parquet(f"{directory}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, none, directory).count() == 0
-
-
-def test_long_lines(spark, directory, stages):
-    before = texts(stages[1])
-    after = texts(corpus_pipeline.LONG_STAGES[1][1](spark, stages[1], directory))
-    want = brute_words(list(before.items()), 3, 50)
-    assert after == {k: want[k, t] for k, t in before.items()}
-    assert after != winnowed(before)
-    assert entry.queries()["pipeline_long_lines"] is corpus_pipeline.run_long

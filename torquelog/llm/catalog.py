@@ -29,7 +29,6 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_weighted_fingerprints": fingerprints.query,
     "op10_line_winnowing": line_dedup.query,
-    "op10_long_line_winnowing": line_dedup.long_query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_warc_revisits": warc.query,
     "op13_merkle_manifest": merkle.query,
@@ -37,7 +36,6 @@ QUERIES = {
 ORACLES = {
     "op2_chat_preferences": chat.SQL,
     "op10_line_winnowing": line_dedup.SQL,
-    "op10_long_line_winnowing": line_dedup.LONG_SQL,
     "op11_hard_negatives": hard_negatives.SQL,
     "op12_warc_revisits": warc.SQL,
     "op13_merkle_manifest": merkle.SQL,

@@ -174,10 +174,11 @@ def dedup_lines(
     return joined.select(*columns, "_lines", count)
 
 
-def query(spark: SparkSession, directory: str, words: int | None = None) -> DataFrame:
+def query(spark: SparkSession, directory: str) -> DataFrame:
+    """Runs of three lines or of over ``WORDS`` words go."""
     docs = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text")
     kept = F.coalesce(F.col("text"), F.lit(""))
-    return dedup_lines(docs, words=words).select(
+    return dedup_lines(docs, words=WORDS).select(
         "doc_id",
         F.col("_lines").alias("n_lines"),
         F.col("_gone").alias("n_removed"),
@@ -186,41 +187,7 @@ def query(spark: SparkSession, directory: str, words: int | None = None) -> Data
     )
 
 
-def long_query(spark: SparkSession, directory: str) -> DataFrame:
-    """As ``query``, but runs of fewer lines go too when they have more than ``WORDS`` words."""
-    return query(spark, directory, WORDS)
-
-
-SQL = """
-WITH docs AS (
-  SELECT doc_id, md5(coalesce(text, '')) AS digest, string_split(coalesce(text, ''), chr(10)) AS l
-  FROM documents),
-lines AS (
-  SELECT doc_id, digest, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT DISTINCT * FROM docs)),
-full_lines AS (
-  SELECT doc_id, digest, i, trim(line, ' ' || chr(9) || chr(13)) AS x FROM lines
-  WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
-runs AS (
-  SELECT doc_id, digest, i, lead(i, 1) OVER o AS j, lead(i, 2) OVER o AS k, row_number() OVER o - 1 AS place,
-    x || chr(10) || lead(x, 1) OVER o || chr(10) || lead(x, 2) OVER o AS run
-  FROM full_lines WINDOW o AS (PARTITION BY doc_id, digest ORDER BY i)),
-firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, digest, place) AS r
-  FROM runs WHERE run IS NOT NULL),
-gone AS (
-  SELECT DISTINCT b.doc_id, b.digest, unnest([b.i, b.j, b.k]) AS i
-  FROM firsts b JOIN firsts a ON a.run = b.run AND a.r = 1 AND b.r > 1
-  WHERE a.doc_id IS DISTINCT FROM b.doc_id OR a.digest <> b.digest OR b.place >= a.place + 3),
-kept AS (
-  SELECT l.doc_id, l.digest, count(*) AS n_lines, count(g.i) AS n_removed,
-    coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS text
-  FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.digest = g.digest AND l.i = g.i
-  GROUP BY ALL)
-SELECT d.doc_id, n_lines, n_removed, length(kept.text) AS kept_chars, sha256(kept.text) AS kept_sha256
-FROM docs d JOIN kept ON d.doc_id IS NOT DISTINCT FROM kept.doc_id AND d.digest = kept.digest
-"""
-
-LONG_SQL = f"""
+SQL = f"""
 WITH docs AS (
   SELECT doc_id, md5(coalesce(text, '')) AS digest, string_split(coalesce(text, ''), chr(10)) AS l
   FROM documents),
