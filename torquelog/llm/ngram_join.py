@@ -32,9 +32,7 @@ HEAVY = 8  # prefixes that a shingle may be in before it goes to the end of the
 FURTHER = 4  # shingles looked at beyond a prefix for each one of the text that goes to the end
 COMMON = 1 << 22  # of them, the most common first; what is beyond concerns speed only
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
-ROUNDS = 6  # pivots per group, at most
-PAYS = 0.2  # share of a round's pairs that are links for another round to pay
-FEW = 2  # pairs left per node of a group that are compared without another pivot
+ROUNDS = 2  # of pivots before all pairs in different components are compared
 PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
 
@@ -394,23 +392,18 @@ def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: in
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n).
 
     ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
-    time, and compares every node to the pivot that most of its groups have, as long as enough of
-    them turn out as links; the last round compares all pairs in different components.
+    time, and compares every node to the pivot that most of its groups have; after ``rounds`` of them,
+    at every size of the data, the last one compares all pairs in different components.
     """
     edges = labels = None
-    linked = compared = 1
     for turn in range(rounds + 1):
         rows = common.stored(_labelled(groups, labels), "join_groups")
-        by_label = rows.groupBy("shingle", "label").agg(F.count("*").alias("m"))
-        per = by_label.groupBy("shingle").agg(
-            F.count("*").alias("labels"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")
-        )
-        open_ = common.stored(per.where("labels > 1"), "join_open_groups")
-        left, nodes = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
-        if not left:
+        per = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        open_ = common.stored(per.where("a <> b").select("shingle"), "join_open_groups")
+        if open_.isEmpty():
             break
-        rows = rows.join(open_.select("shingle"), "shingle", "left_semi")
-        final = turn == rounds or left <= FEW * nodes or linked < PAYS * compared
+        rows = rows.join(open_, "shingle", "left_semi")
+        final = turn == rounds
         if final:
             pairs = pairs_across(rows, percent)
         else:
@@ -426,7 +419,6 @@ def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: in
             pairs = best.select("x", F.col("best.y").alias("y"))
         pairs = common.stored(pairs.select("x", "y"), "join_pairs")
         found = common.stored(check(pairs), "join_links")
-        linked, compared = found.count(), pairs.count()
         edges = found if edges is None else edges.union(found)
         labels = common.stored(components(edges), "join_labels")
         if final:
