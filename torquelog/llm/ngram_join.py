@@ -4,12 +4,13 @@ Under any order of all shingles two documents that are similar enough share one
 of each (the prefix). One order makes the candidates: shingles by hash, but those that turned out to be
 in many prefixes go to the end, the most common last. A few turns find them: what a text's prefix takes
 in for a shingle that went to the end may be common itself. A candidate pair must also have close
-sizes, counts of its shingles by hash part that leave room for enough common ones, and a prefix
-shingle in common under two further orders; only then are the sets fetched and compared.
+sizes, enough shingles from the first one in common on (its place bounds what they can share), counts
+of its shingles by hash part that leave room for enough common ones, and a prefix shingle in common
+under two further orders; only then are the sets fetched and compared.
 
 Equal sets are one node. Within a group of nodes that share a prefix shingle not all pairs are made:
 each node is compared to the group's pivot, rounds with new pivots join what is similar to them, and
-at the end the pairs that are still in different components are all compared. So no link between
+at the end the pairs that are still in different components, and not ruled out as above, are all compared. So no link between
 components is lost, while a group of copies costs a few comparisons per member.
 """
 
@@ -188,18 +189,20 @@ def _known_rows(docs: DataFrame, known: Known) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataFrame:
-    """(shingle, d, n): of the first order's prefix of each set what the filter lets through, and the set's size."""
+    """(shingle, d, n, rest): of the first order's prefix of each set what the filter lets through, the set's
+    size and how many of its shingles come from that one on."""
 
     def emit(batch, h, first, names, seen):
         p, of = prefixes(h, first, levels(h, shared.value), SEEDS[0], percent)
+        rest = np.diff(first)[of] - (np.arange(len(of)) - np.searchsorted(of, of))
         fresh = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)
         kept = fresh[of] & _in_filter(filter_.value, p.view(np.int64))
         p, of = p[kept], of[kept]
         d = np.array([x or 0 for x in names], np.int64)
-        sizes = pa.array(np.diff(first)[of])
-        yield pa.RecordBatch.from_arrays([_signed(p), pa.array(d[of]), sizes], ["shingle", "d", "n"])
+        columns = [_signed(p), pa.array(d[of]), pa.array(np.diff(first)[of]), pa.array(rest[kept])]
+        yield pa.RecordBatch.from_arrays(columns, ["shingle", "d", "n", "rest"])
 
-    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint, n bigint")
+    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint, n bigint, rest bigint")
 
 
 def _wanted(names: list, seen: set, bits: np.ndarray) -> list[int]:
@@ -244,6 +247,16 @@ def close_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def enough_left(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar enough, if the shingle they meet at is the first they share.
+
+    All they share then comes from it on, so the smaller rest bounds it. A pair that is similar enough
+    passes at its first shared shingle, whatever it does at later ones.
+    """
+    rest = F.least(F.col(f"rest{a}"), F.col(f"rest{b}"))
+    return (100 + percent) * rest >= percent * (F.col(f"n{a}") + F.col(f"n{b}"))
+
+
 def both_sides(pairs: DataFrame, table: DataFrame, column: str, short: str) -> DataFrame:
     """``pairs`` (x, y) with a column of ``table`` (d, column) for either node, as shortx and shorty.
 
@@ -372,30 +385,48 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def pairs_across(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs (x, y) of nodes in one group but in different components, of ``rows`` (shingle, d, label, n).
+    """All pairs (x, y) of nodes in one group but in different components that can be similar enough by
+    their sizes and places, of ``rows`` (shingle, d, label, n, rest).
 
-    The labels of a group meet first and their nodes then, so that no two nodes of one component ever
-    meet.
+    Of two such nodes the smaller one has so much left from their first shared shingle on that an equal
+    one could be similar; only such nodes open a group, the others just answer. The labels of a group
+    meet first and their nodes then, so that no two nodes of one component ever meet; labels meet by
+    the bounds of their nodes.
     """
-    labels = rows.select("shingle", "label").distinct()
-    a = labels.select("shingle", F.col("label").alias("labelx"))
-    b = labels.select("shingle", F.col("label").alias("labely"))
-    met = a.hint("merge").join(b, "shingle").where("labelx < labely")
-    for s in "xy":
-        side = rows.select("shingle", F.col("label").alias(f"label{s}"), F.col("d").alias(f"d{s}"), F.col("n").alias(f"n{s}"))
-        met = met.join(side.hint("merge"), ["shingle", f"label{s}"])
-    met = met.where(close_sizes("x", "y", percent))
+    opens = rows.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n"))
+
+    def labels(nodes: DataFrame, side: str) -> DataFrame:
+        bounds = [F.max("rest").alias(f"rest{side}"), F.min("n").alias(f"n{side}"), F.max("n").alias(f"most{side}")]
+        return nodes.groupBy("shingle", F.col("label").alias(f"label{side}")).agg(*bounds)
+
+    # the opening node is not the larger one
+    near = (F.col("labelx") != F.col("labely")) & (F.col("nx") <= F.col("mosty"))
+    near &= (100 * F.col("mostx") >= percent * F.col("ny")) & enough_left("x", "y", percent)
+    a, b = labels(opens, "x").hint("merge"), labels(rows, "y").withColumnRenamed("shingle", "at")
+    met = a.join(b, (F.col("shingle") == F.col("at")) & near).select("shingle", "labelx", "labely")
+
+    def nodes(of: DataFrame, side: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}{side}") for c in ("d", "n", "rest")]
+        return of.select(F.col("shingle").alias("at"), F.col("label").alias("of"), *columns).hint("merge")
+
+    def here(side: str) -> Column:
+        return (F.col("shingle") == F.col("at")) & (F.col(f"label{side}") == F.col("of"))
+
+    met = met.join(nodes(opens, "x"), here("x")).drop("at", "of")
+    fits = (F.col("nx") <= F.col("ny")) & close_sizes("x", "y", percent) & enough_left("x", "y", percent)
+    met = met.join(nodes(rows, "y"), here("y") & fits)
     return met.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")).distinct()
 
 
 def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS) -> DataFrame | None:
-    """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n).
+    """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, rest).
 
     ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
     time, and compares every node to the pivot that most of its groups have; after ``rounds`` of them,
     at every size of the data, the last one compares all pairs in different components.
     """
     edges = labels = None
+    fields = ("d", "label", "n", "rest")
     for turn in range(rounds + 1):
         rows = common.stored(_labelled(groups, labels), "join_groups")
         per = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"))
@@ -407,13 +438,15 @@ def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: in
         if final:
             pairs = pairs_across(rows, percent)
         else:
-            mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), "d", "label", "n")
+            mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), "d", "label", "n", "rest")
             pivots = rows.groupBy("shingle").agg(F.count("*").alias("weight"), F.min(mark).alias("p"))
-            pivots = pivots.select("shingle", "weight", *[F.col(f"p.{c}").alias(f"{c}y") for c in ("d", "label", "n")])
-            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in ("d", "label", "n")])
+            pivots = pivots.select("shingle", "weight", *[F.col(f"p.{c}").alias(f"{c}y") for c in fields])
+            a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in fields])
             met = common.split_join(a, common.stored(pivots, "join_pivots"), "shingle", "weight")
             met = met.where((F.col("labelx") != F.col("labely")) & close_sizes("x", "y", percent))
-            pairs = met.groupBy(F.col("dx").alias("x"), F.col("dy").alias("y")).agg(F.count("*").alias("m"))
+            pairs = met.groupBy(F.col("dx").alias("x"), F.col("dy").alias("y")).agg(
+                F.count("*").alias("m"), F.max(enough_left("x", "y", percent)).alias("can")
+            ).where("can")
             # the pivot it shares most with; the last round sees to all others
             best = pairs.groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
             pairs = best.select("x", F.col("best.y").alias("y"))
@@ -448,7 +481,8 @@ def similar_groups(
     shared = spark.sparkContext.broadcast(known)
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
     members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
-    members = common.stored(members.groupBy("shingle", "d").agg(F.first("n").alias("n")), "join_members")
+    once = [F.first(c).alias(c) for c in ("n", "rest")]  # equal in all copies of a set
+    members = common.stored(members.groupBy("shingle", "d").agg(*once), "join_members")
 
     def filter_of(nodes: DataFrame):
         return spark.sparkContext.broadcast(bit_filter(nodes, "d"))
