@@ -75,7 +75,7 @@ def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
     return lists.select(label, F.transform("v", lambda cell: cell["mean"]).alias("mean"))
 
 
-def _unit(vector: Column) -> Column:
+def unit(vector: Column) -> Column:
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(length > 0, F.transform(vector, lambda x: x / length))
 
@@ -90,9 +90,9 @@ def nearest_vectors(
     rows per query before the next one is added. Null vectors and those of length 0 have no cosine
     and are left out on both sides.
     """
-    units = queries.select("query", _unit(F.col("vector")).alias("unit")).where("unit is not null")
+    units = queries.select("query", unit(F.col("vector")).alias("unit")).where("unit is not null")
     units = materialize(units)
-    rows = df.select(key, _unit(F.col(vector)).alias("_unit")).where("_unit is not null")
+    rows = df.select(key, unit(F.col(vector)).alias("_unit")).where("_unit is not null")
     blocks = max(1, -(-units.count() // block))
     found = None
     for b in range(blocks):
