@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from torquelog.catalog import sql
 from torquelog.catalog.registry import register
 from torquelog.functions import ngrams, text
-from torquelog.operators import association, rules, similarity
+from torquelog.operators import association, rules, search, similarity
 from torquelog.runtime import load, scratch_path
 from torquelog.streaming import counts
 
@@ -169,6 +169,15 @@ def _(spark, sf):
     return nearest(spark, sf)
 
 
+@register("semantic_search_indexed", "D6")
+def _(spark, sf):
+    """Rows nearest to every fiftieth row, found through the index; the tests hold its recall on a fixture."""
+    df = load(spark, sf, "embeddings")
+    queries = df.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = search.search(search.hyperplane_index(df, "vec_id", "embedding"), queries, 5)
+    return found.withColumnRenamed("key", "vec_id")
+
+
 @register(
     "recommend_pages",
     "D7",
