@@ -23,6 +23,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores after them as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...; not all names can go through ``mapInArrow``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def numbered(df: DataFrame, group: list[str], number: str, name: str) -> DataFrame:
     """Number the rows 0, 1, ... without gaps within each ``group``.
 

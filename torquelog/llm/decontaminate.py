@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from torquelog.llm import words
+from torquelog.llm import common, words
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20  # benchmark text broadcast at a time
+BLOCK_BYTES = 8 << 20  # benchmark text in a broadcast
+HELD = 8  # broadcasts that the tasks hold at a time
 _BITS = 31  # bits of a word number in a sort key; two words to a key
 
 
@@ -313,10 +315,12 @@ def _searcher(index, text: int, extra: list[str]):
     return run
 
 
-ADDED = (
-    "_n bigint, _runs array<struct<start:int,end:int>>, _items array<string>, "
-    "_longest struct<words:int,place:int,item:string>"
-)
+FOUND = {
+    "_n": "bigint",
+    "_runs": "array<struct<start:int,end:int>>",
+    "_items": "array<string>",
+    "_longest": "struct<words:int,place:int,item:string>",
+}
 
 
 def blocks(tests: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
@@ -344,24 +348,32 @@ def find_matches(
     Words are runs of ASCII letters and digits and of all other characters above U+007F, after A-Z
     is made lower case. A window is ``window`` consecutive words of an item; an item of fewer words
     is one window. Each block of the benchmark has a bounded size and is one pass over rows already
-    in memory. Null and empty texts have no words; a null item id counts as the empty one; repeated
-    items count once per id; an empty benchmark finds nothing. All columns of ``docs`` are kept.
+    in memory; after ``HELD`` blocks the rows are stored and the blocks let go, so what the tasks hold
+    does not grow with the benchmark. Null and empty texts have no words; a null item id counts as the empty one; repeated
+    items count once per id; an empty benchmark finds nothing. All columns of ``docs`` are kept; where
+    it has one of the new names, the new column's ends in one underscore more.
     """
     context = docs.sparkSession.sparkContext
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
+    out = common.by_place(docs)
+    added = T.StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in FOUND.items()))
+    schema = T.StructType(out.schema.fields + added.fields)
     place = docs.columns.index(text)
     extra: list[str] = []
+    held: list = []
     for block in blocks(tests, item, item_text, block_bytes):
-        index = context.broadcast(index_items(block, window))
-        out = out.mapInArrow(_searcher(index, place, extra), f"{base}, {ADDED}")
-        extra = ["_n", "_runs", "_items", "_longest"]
-    return out
+        if len(held) == HELD:
+            out = common.stored(out, "searched")
+            while held:
+                held.pop().destroy()
+        held.append(context.broadcast(index_items(block, window)))
+        out = out.mapInArrow(_searcher(held[-1], place, extra), schema)
+        extra = list(FOUND)
+    return out.toDF(*docs.columns, *common.unused(docs, *FOUND))
 
 
 def report(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated, longest) for every document."""
-    found = find_matches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), tests)
+    found = find_matches(docs.select(common.named(key).alias("doc_id"), common.named(text).alias("text")), tests)
     hit = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))
     return found.select(
         "doc_id",
@@ -379,7 +391,8 @@ def report(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "
 def decontaminate(docs: DataFrame, tests: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents without any benchmark window, with their columns."""
     found = find_matches(docs, tests, text=text, **options)
-    return found.where(F.size("_runs") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    runs = found.columns[len(docs.columns) + list(FOUND).index("_runs")]
+    return found.where(F.size(runs) == 0).select(*[common.named(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:

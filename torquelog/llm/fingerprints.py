@@ -18,6 +18,10 @@ SAMPLES = 32
 _SCALE, _SHIFT = float(1 << 23), 80.0  # ln a as a whole number of 31 bits
 _LOW = (1 << 32) - 1
 SPACES = "\n\t\r\f\v"
+BLANK_KEYS = {  # by type of the key; what stands for a null one, which is told apart by a flag
+    "string": "", "binary": "", "boolean": "false", "date": "1970-01-01",
+    "timestamp": "1970-01-01 00:00:00", "timestamp_ntz": "1970-01-01 00:00:00",
+}
 
 
 def words_of(text: Column) -> Column:
@@ -88,9 +92,9 @@ def fingerprint(
 ) -> DataFrame:
     """(doc_id, fingerprint) for every row of ``docs``; a null text is an empty one."""
     rows = docs.select(
-        F.col(key).alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
-        F.coalesce(F.col(text), F.lit("")).alias("t"),
+        common.named(key).alias("doc_id"),
+        F.xxhash64(F.coalesce(common.named(text), F.lit(""))).alias("h"),
+        F.coalesce(common.named(text), F.lit("")).alias("t"),
     )
     terms = rows.groupBy("h").agg(F.first("t").alias("t"))
     terms = terms.select("h", F.explode(words_of(F.col("t"))).alias("word")).where("word <> ''")
@@ -139,15 +143,19 @@ def compare_with_edits(
     """Fingerprints of every text and of its edit, and how alike they are.
 
     The edit replaces the last third of a text by the start of the next document's text (descending
-    key, null keys last, equal keys by a hash of their texts, after the last the first). Rows equal in
+    key, null keys last, equal keys by a hash of their texts, after the last the first). Keys have any
+    type that can be put in order and made from a string; no other column is read. Rows equal in
     key and text are one document that is returned as often as it occurs. A text travels once, to its
     key; the start of it that the previous document needs travels to that one.
     """
-    content = F.coalesce(F.col(text), F.lit(""))
+    content = F.coalesce(common.named(text), F.lit(""))
+    id_ = common.named(key)
+    blank = F.lit(BLANK_KEYS.get(docs.select(id_).schema[0].dataType.typeName(), "0"))
+    blank = blank.cast(docs.select(id_).schema[0].dataType)
     rows = docs.select(
-        F.coalesce(F.col(key), F.lit(0)).cast("long").alias("k1"),
-        F.xxhash64(content, F.col(key).isNull()).alias("k2"),
-        F.col(key).isNull().alias("none"),
+        F.coalesce(id_, blank).alias("k1"),
+        F.xxhash64(content, id_.isNull()).alias("k2"),
+        id_.isNull().alias("none"),
         content.alias("t"),
         F.char_length(content).cast("long").alias("n_chars"),
     )

@@ -66,12 +66,12 @@ def windows(
     places among all its lines; at, mark: place and hash of the window's fingerprint; same: a digest
     of its lines)
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    lines = F.split(F.coalesce(common.named(text), F.lit("")), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(_trimmed(x).alias("x"), i.alias("i")))
     rows = docs.select(
-        F.col(key).isNull().alias("none"),
-        F.col(key).alias("id"),
-        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+        common.named(key).isNull().alias("none"),
+        common.named(key).alias("id"),
+        F.md5(F.coalesce(common.named(text), F.lit(""))).alias("digest"),
         F.filter(numbered, lambda line: line["x"] != "").alias("l"),
     ).where(F.size("l") >= (window if words is None else 1))
     hashed = rows.withColumn("h", F.transform("l", lambda line: F.xxhash64(line["x"])))
@@ -145,33 +145,37 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``, and ``_lines`` and ``_gone`` lines counted.
 
+    The two counts are the last columns; where ``docs`` has columns of these names, theirs end in one
+    underscore more.
+
     A run has ``window`` lines or more or, where ``words`` is given, more words than that.
     Lines are compared without blanks and carriage returns around them; blank lines take no part
     and stay. Every row stays, if need be with an empty text; null texts stay null. All columns are
     kept; ``n_chars``, where there is one, becomes the length of the new text.
     """
+    names = ("_lines", "_gone", "_md5", "_id", "_digest", "_places", "_kept")
+    count, removed, md5, id_, digest, places, new = common.unused(docs, *names)
     gone = common.stored(repeated_lines(docs, window, key, text, words), "repeated_lines").select(
-        F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("gone").alias("_places")
+        F.col("id").alias(id_), F.col("digest").alias(digest), F.col("gone").alias(places)
     )
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_md5", F.md5(content))
-    same = (rows["_md5"] == gone["_digest"]) & rows[key].eqNullSafe(gone["_id"])
+    content = F.coalesce(common.named(text), F.lit(""))
+    rows = docs.withColumn(md5, F.md5(content))
+    same = (F.col(md5) == F.col(digest)) & common.named(key).eqNullSafe(F.col(id_))
     joined = rows.join(gone.hint("merge"), same, "left")
     lines = F.split(content, "\n")
-    changed = F.col("_places").isNotNull()
-    kept = F.when(changed, F.array_join(_without(lines, F.col("_places")), "\n")).otherwise(F.col(text))
-    joined = joined.withColumn("_kept", kept).withColumn("_lines", F.size(lines).cast("long"))
+    changed = F.col(places).isNotNull()
+    kept = F.when(changed, F.array_join(_without(lines, F.col(places)), "\n")).otherwise(common.named(text))
+    joined = joined.withColumn(new, kept).withColumn(count, F.size(lines).cast("long"))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.col("_kept").alias(c))
+            columns.append(F.col(new).alias(c))
         elif c == "n_chars":
-            size = F.char_length("_kept").cast(docs.schema[c].dataType)
+            size = F.char_length(new).cast(docs.schema[c].dataType)
             columns.append(F.when(changed, size).otherwise(F.col(c)).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
-    count = F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("_gone")
-    return joined.select(*columns, "_lines", count)
+            columns.append(common.named(c))
+    return joined.select(*columns, count, F.coalesce(F.size(places), F.lit(0)).cast("long").alias(removed))
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:

@@ -474,7 +474,7 @@ def similar_groups(
     hashes of their shingles. Repeated rows are equal sets. Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
+    texts = docs.select(common.named(key).alias("doc_id"), common.named(text).alias("t"))
     described = common.stored(describe(texts, n, percent), "join_texts")
     rows = described.select("doc_id", "d", "n")
     known, groups = first_order(described, texts, n, percent)
@@ -516,11 +516,13 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     Rows equal in key and text are one document and stay together; another text of that key is not
     touched by it.
     """
-    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
-    groups = similar_groups(docs.select(name.alias("doc_id"), F.col(text).alias("text")), **options)
+    id_, content = common.named(key), common.named(text)
+    name = F.struct(id_.isNull().alias("none"), id_.alias("key"), F.xxhash64(content).alias("hash"))
+    groups = similar_groups(docs.select(name.alias("doc_id"), content.alias("text")), **options)
     gone = groups.where("doc_id <> component_id").select("doc_id.*").distinct()
-    gone = common.stored(gone.select(F.col("key").alias("_gone"), F.col("hash").alias("_hash")), "join_gone")
-    same = docs[key].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+    left, digest = common.unused(docs, "_gone", "_hash")
+    gone = common.stored(gone.select(F.col("key").alias(left), F.col("hash").alias(digest)), "join_gone")
+    same = id_.eqNullSafe(F.col(left)) & (F.xxhash64(content) == F.col(digest))
     return docs.join(gone.hint("merge"), same, "left_anti")
 
 

@@ -219,13 +219,16 @@ def train(
 ) -> Model:
     """Fit on at most ``max_rows`` graded keys, chosen by hash; rows without text are left out.
 
+    Of the rows of a key the least text counts, so no more rows are fitted than that.
+
     The features are made, counted and chosen in the tasks; the driver gets a count per bucket and
     grade and of each fitted text the chosen features alone.
     """
-    chosen = grades.select(F.col("doc_id").alias("_key"), F.col("grade").alias("_grade"))
-    chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
-    rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_key"))
-    rows = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col("_grade").alias("grade"))
+    chosen = grades.select(F.col("doc_id").alias("graded"), "grade")
+    chosen = chosen.orderBy(F.xxhash64("graded"), "graded").limit(max_rows)
+    rows = docs.select(common.named(key).alias("key"), common.named(text).alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(chosen), F.col("key") == F.col("graded"))
+    rows = rows.groupBy("key", "grade").agg(F.min("text").alias("text")).select("text", "grade")
 
     found = common.stored(rows.mapInArrow(_featured, "buckets array<int>, grade int"), "quality_features")
     texts = np.zeros(levels, np.int64)
@@ -271,7 +274,7 @@ def scorer(model, text_at: int, wanted: list[int] | None, keep: float | None):
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, expected_grade, tail_1, tail_2, ...) for every row; a null text is an empty one."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(common.named(key).alias("doc_id"), common.named(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
     tails = "".join(f", tail_{k + 1} double" for k in range(len(model.thresholds)))
@@ -283,7 +286,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def select(docs: DataFrame, model: Model, text: str = "text", tail: float = TAIL) -> DataFrame:
     """The rows whose chance of the highest grade is at least ``tail``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(scorer(shared, docs.columns.index(text), None, tail), docs.schema)
+    rows = common.by_place(docs)
+    kept = rows.mapInArrow(scorer(shared, docs.columns.index(text), None, tail), rows.schema)
+    return kept.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:

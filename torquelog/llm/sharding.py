@@ -63,8 +63,8 @@ def write_shards(
     docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * SHARDS, key: str = "doc_id"
 ) -> None:
     """Write the rows as Parquet in one folder per shard; no shuffle, as a shard has many files."""
-    column = "shard" if "shard" not in docs.columns else "_shard"
-    docs.withColumn(column, rendezvous(F.col(key), weights)).write.partitionBy(column).parquet(path)
+    (column,) = common.unused(docs, "shard")
+    docs.withColumn(column, rendezvous(common.named(key), weights)).write.partitionBy(column).parquet(path)
 
 
 def query(spark: SparkSession, directory: str) -> DataFrame:
