@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_winnowing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete the runs of three lines or of over 50 words that occurred before; every document stays."""
-    return line_dedup.dedup_lines(docs, words=line_dedup.WORDS).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, words=line_dedup.WORDS).select(*[common.named(c) for c in docs.columns])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
