@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from torquelog.catalog import sql
 from torquelog.catalog.registry import register
 from torquelog.functions import ngrams, text
-from torquelog.operators import association, rules, search, similarity
+from torquelog.operators import association, entities, rules, search, similarity
 from torquelog.runtime import load, scratch_path
 from torquelog.streaming import counts
 
@@ -71,6 +71,37 @@ def _(spark, sf):
     return association.gazetteer(split("documents", "doc_id"), "doc_id", "tokens", entries, sizes)
 
 
+@register(
+    "longest_entities_in_documents",
+    "D3",
+    f"""WITH RECURSIVE b AS (SELECT {sql.words("text")} AS w FROM benchmark),
+        e AS (SELECT DISTINCT gram AS entity, n || ' words' AS kind
+              FROM ({sql.gram_rows("b", "0 AS one", "w", (2, 3, 4))})),
+        d AS (SELECT doc_id, {sql.words("text")} AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+        g AS (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS entity
+              FROM p, (VALUES (2), (3), (4)) s(n) WHERE pos + n - 1 <= len(w)),
+        m AS (SELECT doc_id, pos, max(n) AS n, arg_max(entity, n) AS entity, arg_max(kind, n) AS kind,
+                pos + max(n) AS until
+              FROM g JOIN e USING (entity) GROUP BY doc_id, pos),
+        f AS (SELECT m.*, x.pos AS following FROM m ASOF LEFT JOIN m x ON m.doc_id = x.doc_id AND m.until <= x.pos),
+        walk AS (
+          SELECT * FROM f WHERE (doc_id, pos) IN (SELECT (doc_id, min(pos)) FROM f GROUP BY doc_id)
+          UNION ALL SELECT f.* FROM walk JOIN f ON f.doc_id = walk.doc_id AND f.pos = walk.following)
+        SELECT doc_id, entity, kind, count(*) AS mentions FROM walk GROUP BY ALL""",
+)
+def _(spark, sf):
+    def split(table, key):
+        return load(spark, sf, table, key).select(key, text.words(F.col("text")).alias("tokens"))
+
+    phrases = F.array(
+        *[F.struct(ngrams.ngrams(F.col("tokens"), n).alias("grams"), F.lit(f"{n} words").alias("kind")) for n in (2, 3, 4)]
+    )
+    entries = split("benchmark", "item_id").select(F.inline(phrases)).select(F.explode("grams").alias("entity"), "kind")
+    found = entities.find_terms(split("documents", "doc_id"), "tokens", entries, longest=True)
+    return entities.mentions(found, "doc_id", "tokens")
+
+
 #: (rule, premises, conclusion): two premises, a chain of five, two cycles.
 RULES = [
     ("r1", ["of", "the"], "english"),

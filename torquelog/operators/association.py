@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from torquelog.functions import ngrams
-from torquelog.operators.keywords import gram_rows
+from torquelog.operators import entities
 from torquelog.operators.ranking import top_k
 from torquelog.runtime import lookup_join, materialize, once
 
@@ -149,10 +149,9 @@ def enrich(
 def gazetteer(
     df: DataFrame, key: str, tokens: str, entries: DataFrame, sizes: tuple[int, ...]
 ) -> DataFrame:
-    """Dictionary entities in text: (key, entity, kind, mentions)."""
-    grams = gram_rows(df.select(key, tokens), [key], tokens, sizes)
-    dim = entries.select(F.col("entity").alias("gram"), "kind").distinct()
-    found = lookup_join(grams, dim, ["gram"], salt_all=True)
-    return found.groupBy(key, F.col("gram").alias("entity"), "kind").agg(
-        F.count(F.lit(1)).alias("mentions")
-    )
+    """Dictionary entities of some numbers of words in text: (key, entity, kind, mentions).
+
+    All are counted, also those inside others; ``entities.find_terms`` has the longest ones, too.
+    """
+    wanted = entries.where(F.size(F.split("entity", " ")).isin(*sizes))
+    return entities.mentions(entities.find_terms(df.select(key, tokens), tokens, wanted), key, tokens)
