@@ -9,6 +9,7 @@ stored and the blocks let go, so the memory of a task does not grow with the dic
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -39,12 +40,15 @@ def blocks(entries: DataFrame, most: int) -> Iterator[list[tuple[str, list[str |
 
 
 def _automaton(terms: list[tuple[str, list[str | None]]]):
-    """The number of each word (from 1) and the automaton over them; its values are (words, kinds)."""
+    """The number of each word (from 1) and the automaton over them.
+
+    Its values are the number of words and the kinds, each as (none, kind), which can be put in order.
+    """
     numbers: dict[str, int] = {}
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for term, kinds in terms:
         key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in term.split(" "))
-        machine.add_word(key, (len(key), kinds))
+        machine.add_word(key, (len(key), [(k is None, k or "") for k in kinds]))
     machine.make_automaton()
     return numbers, machine
 
@@ -59,41 +63,48 @@ def _numbered(column: pa.ListArray, numbers: dict[str, int]) -> tuple[np.ndarray
 
 
 def leftmost_longest(places: list[tuple]) -> list[tuple]:
-    """Of the sorted (at, n, kind) those that a reader takes who always takes the longest term, then goes on."""
+    """Of the sorted (at, n, ...) those that a reader takes who always takes the longest term, then goes on."""
     kept: list[tuple] = []
-    longest: dict[int, int] = {}
-    for at, n, _ in places:
-        longest[at] = max(n, longest.get(at, 0))
+    longest = {at: n for at, n, *_ in places}  # the last one of a place
     free, taken = 0, -1
-    for at, n, kind in places:
+    for place in places:
+        at, n = place[:2]
         if n == longest[at] and (at >= free or at == taken):
-            kept.append((at, n, kind))
+            kept.append(place)
             free, taken = at + n, at
     return kept
 
 
+def _column(rows: list[list[tuple]]) -> pa.ListArray:
+    """The places of all rows as one column."""
+    ends = np.cumsum([0, *map(len, rows)])
+    at, n, bare, kind = zip(*chain.from_iterable(rows)) if ends[-1] else ((),) * 4
+    kinds = pa.array(kind, pa.string(), mask=np.array(bare, bool))
+    fields = [pa.array(at, pa.int32()), pa.array(n, pa.int32()), kinds]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["at", "n", "kind"]))
+
+
 def _searcher(shared, column: int, again: bool, resolve: bool):
     """A function over Arrow batches that adds the terms of a block to the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, machine = _automaton(shared.value)
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
             flat, ends = _numbered(batch.column(column), numbers)
             old = batch.column(batch.num_columns - 1).to_pylist() if again else None
             out, start = [], 0
             for row, end in enumerate(ends.tolist()):
-                found = [(p["at"], p["n"], p["kind"]) for p in old[row]] if again else []
+                found = [(p["at"], p["n"], p["kind"] is None, p["kind"] or "") for p in old[row]] if again else []
                 part = flat[start:end]
                 start = end
                 if numbers and part.any():
                     for last, (n, kinds) in machine.iter(tuple(part.tolist())):
-                        found += [(last - n + 1, n, k) for k in kinds]
-                found.sort(key=lambda p: (p[0], p[1], p[2] is None, p[2] or ""))
-                out.append([dict(zip(("at", "n", "kind"), p)) for p in (leftmost_longest(found) if resolve else found)])
+                        found += [(last - n + 1, n, *k) for k in kinds]
+                found.sort()
+                out.append(leftmost_longest(found) if resolve else found)
             kept = batch.columns[: batch.num_columns - again]
             names = [f"c{i}" for i in range(len(kept))] + ["places"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, kind)], names)
+            yield pa.RecordBatch.from_arrays([*kept, _column(out)], names)
 
     return run
 
