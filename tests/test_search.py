@@ -60,3 +60,18 @@ def test_empty_tables(spark, empty):
     queries = spark.createDataFrame([] if empty == "queries" else some, "query bigint, vector array<double>")
     found = search.search(search.hyperplane_index(df, "id", "v"), queries, 3)
     assert found.columns == ["query", "key", "score", "rank"] and found.collect() == []
+
+
+@pytest.mark.parametrize("part", [4096, 7])
+def test_a_bucket_hands_on_its_best_only(spark, monkeypatch, part):
+    monkeypatch.setattr(search, "PART", part)
+    rows = [(i, [1.0, i / 100]) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    queries = spark.createDataFrame([(7, [1.0, 0.5])], "query bigint, vector array<double>")
+    index = search.hyperplane_index(df, "id", "v", tables=2, per_bucket=200)
+    asked = search._units(queries, "query", "vector").withColumnRenamed("key", "query")
+    places = search._places(asked, "query", "query bigint", index.mean, 2, index.bits, index.seed, 3)
+    assert search._met(places, asked, index, 2, "query bigint").count() < 150
+    found = search.search(index, queries, 2).collect()
+    exact = similarity.nearest_vectors(df, "id", "v", queries, 2).collect()
+    assert sorted((r["key"], r["score"], r["rank"]) for r in found) == sorted((r["id"], r["score"], r["rank"]) for r in exact)

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from torquelog.operators.ranking import top_k
 from torquelog.operators.similarity import unit
-from torquelog.runtime import materialize
+from torquelog.runtime import lookup_join, materialize
 
 MOST_BITS = 40
+PART = 4096  # vectors of a bucket that one task compares at a time
+ROUNDED = 2e-6  # scores this near may be equal when rounded
 ID = "id struct<a:bigint,b:bigint>"
 
 
@@ -110,12 +112,56 @@ def hyperplane_index(
     return Index(vectors, units.select("id", "key"), buckets, mean, tables, bits, seed)
 
 
+def _met(places: DataFrame, asked: DataFrame, index: Index, k: int, kind: str) -> DataFrame:
+    """(query, id, low, score) of what the queries meet in their buckets, cut to about ``k`` a bucket.
+
+    A bucket of more than ``PART`` vectors is split, and its queries visit every part.
+    """
+    sizes = index.buckets.groupBy("table", "bucket").agg(
+        F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")
+    )
+    split = materialize(sizes.where("parts > 1"))
+    where = ["table", "bucket"]
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    held = lookup_join(index.buckets, split, where, "left", ready=True).select("id", *where, part)
+    wanted = lookup_join(places, split, where, "left", ready=True).select("query", *where, each)
+    held = held.join(index.vectors, "id").select(*where, "part", "id", "low", "unit")
+    wanted = wanted.join(asked.withColumnRenamed("unit", "wanted"), "query").select(*where, "part", "query", "wanted")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        of, at, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            units = _table_matrix(right, "unit")
+            for start in range(0, left.num_rows, 1024):
+                products = _table_matrix(left.slice(start, 1024), "wanted") @ units.T
+                last = np.full((len(products), 1), -np.inf)
+                if products.shape[1] > k:
+                    last = -np.partition(-products, k - 1, axis=1)[:, k - 1 : k] - ROUNDED
+                near = np.nonzero(~(products < last))
+                of, at, scores = [*of, near[0] + start], [*at, near[1]], [*scores, products[near]]
+        of, at = pa.array(np.concatenate(of)), pa.array(np.concatenate(at))
+        columns = [left["query"].take(of), right["id"].take(at), right["low"].take(at), pa.array(np.concatenate(scores))]
+        return pa.table(columns, names=["query", "id", "low", "score"])
+
+    low = index.vectors.schema["low"].dataType.simpleString()
+    groups = [*where, "part"]
+    met = wanted.groupBy(*groups).cogroup(held.groupBy(*groups)).applyInArrow(best, f"{kind}, {ID}, low {low}, score double")
+    return met.groupBy("query", "id").agg(F.first("low").alias("low"), F.round(F.max("score"), 6).alias("score"))
+
+
+def _table_matrix(table: pa.Table, column: str) -> np.ndarray:
+    return _matrix(table[column].combine_chunks())
+
+
 def search(index: Index, queries: DataFrame, k: int, flips: int = 3) -> DataFrame:
     """Top ``k`` rows per query vector by cosine among those found: (query, key, score, rank).
 
     ``queries`` is a table (query, vector) of any size, one row per query. In every table a query looks
     into its own bucket and those across its ``flips`` nearest hyperplanes, 2 ** ``flips`` in all. What
-    is found is scored exactly; ties go to the smaller key. Rows and queries meet by bucket only. A
+    is found is scored exactly where it lies, and of a bucket only what may be among the ``k`` best goes
+    on; ties go to the smaller key. Rows and queries meet by bucket only. A
     query with fewer than ``k`` rows in its buckets gets those. Queries without a direction, or with
     another number of components than the index, get none.
     """
@@ -123,11 +169,7 @@ def search(index: Index, queries: DataFrame, k: int, flips: int = 3) -> DataFram
     asked = materialize(asked.where(F.size("unit") == len(index.mean)))
     kind = f"query {asked.schema['query'].dataType.simpleString()}"
     places = _places(asked, "query", kind, index.mean, index.tables, index.bits, index.seed, flips)
-    met = places.join(index.buckets, ["table", "bucket"]).select("query", "id").distinct()
-    met = met.join(asked.withColumnRenamed("unit", "wanted"), "query").join(index.vectors, "id")
-    products = F.zip_with("unit", "wanted", lambda a, b: a * b)
-    score = F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 6)
-    scored = met.select("query", "id", "low", score.alias("score"))
+    scored = _met(places, asked, index, k, kind)
     # the k best vectors hold the k best rows, and of each the k least keys are enough
     best = materialize(top_k(scored, ["query"], [F.desc("score"), F.col("low")], k).drop("rank"))
     rows = index.copies.join(best.select("id").distinct(), "id", "left_semi")
