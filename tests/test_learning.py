@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from torquelog.operators import learning
 
@@ -74,3 +75,20 @@ def test_weights_reach_the_classifier(spark, reports):
 def test_unknown_classifier(spark, reports):
     with pytest.raises(ValueError):
         learning.train(reports, "note", "system", "network")
+
+
+@pytest.mark.parametrize("kind", ["logistic", "forest"])
+def test_the_fits_read_stored_counts(spark, kind):
+    """The text is made twice, for the words and for their counts, however many passes the fits take."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(value):
+        seen.add(1)
+        return value
+
+    data = [(i, "ab"[i % 2], f"word{i % 2} thing{i % 7}") for i in range(40)]
+    df = spark.createDataFrame(data, "id int, g string, t string")
+    df = df.withColumn("t", F.udf(read, "string")("t"))
+    options = {"numTrees": 3} if kind == "forest" else {"maxIter": 5}
+    learning.train(df, "t", "g", kind, **options)
+    assert seen.value <= 2 * len(data)

@@ -20,21 +20,14 @@ from pyspark.sql import functions as F
 from torquelog.functions import lexicons, text
 from torquelog.operators.classes import class_weights
 from torquelog.operators.ranking import top_labels
-from torquelog.runtime import lookup_join, scratch_path
+from torquelog.runtime import lookup_join, materialize, scratch_path
 
 SEED = 42
 MAX_FEATURES = 1000
 
 
-def fit_features(
-    df: DataFrame, column: str, max_features: int = MAX_FEATURES, stop: bool = True
-) -> PipelineModel:
-    """TF-IDF stages for a text column, fitted on ``df``: give it the training rows only.
-
-    The features are the most frequent words; of equally frequent ones the alphabetically first, so
-    the same rows always give the same features. Spark's IDF is ``ln((rows + 1) / (df + 1))`` without
-    an added 1, so a word of every row weighs 0.
-    """
+def _counting(df: DataFrame, column: str, max_features: int, stop: bool) -> list:
+    """The stages from a text column to the counts of its most frequent words."""
     words = RegexTokenizer(
         inputCol=column, outputCol="_words", pattern=text.WORD, gaps=False, toLowercase=True
     )
@@ -42,14 +35,33 @@ def fit_features(
         inputCol="_words", outputCol="_kept", stopWords=lexicons.STOP_KEYWORDS if stop else []
     )
     tokens = remover.transform(words.transform(df))
-    counts = tokens.select(F.explode("_kept").alias("word")).groupBy("word").count()
+    # the filter on its size that an inner explode infers would make the list a second time
+    found = tokens.select(F.explode_outer("_kept").alias("word")).where("word is not null")
+    counts = found.groupBy("word").count()
     top = counts.orderBy(F.desc("count"), "word").limit(max_features).collect()
     counter = CountVectorizerModel.from_vocabulary(
         [r["word"] for r in top] or [""], inputCol="_kept", outputCol="_counts"
     )
+    return [words, remover, counter]
+
+
+def _weighing(counted: DataFrame) -> PipelineModel:
+    """The stages from the counts to the features."""
     rest = [IDF(inputCol="_counts", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
-    fitted = Pipeline(stages=rest).fit(counter.transform(tokens))
-    return PipelineModel([words, remover, counter, *fitted.stages])
+    return Pipeline(stages=rest).fit(counted)
+
+
+def fit_features(
+    df: DataFrame, column: str, max_features: int = MAX_FEATURES, stop: bool = True
+) -> PipelineModel:
+    """TF-IDF stages for a text column, fitted on ``df``: give it the training rows only.
+
+    The features are the most frequent words; of equally frequent ones the alphabetically first, so
+    the same rows always give the same features. Spark's IDF is ``ln((rows + 1) / (df + 1))`` without
+    an added 1, so a word of every row weighs 0.
+    """
+    counting = _counting(df, column, max_features, stop)
+    return PipelineModel([*counting, *_weighing(PipelineModel(counting).transform(df)).stages])
 
 
 def _labelled(df: DataFrame, label: str) -> StringIndexer:
@@ -73,16 +85,23 @@ def train(
     df: DataFrame, column: str, label: str, kind: str = "forest", weighted: bool = False,
     stop: bool = True, **options,
 ) -> PipelineModel:
-    """Fit features, labels and a classifier. ``weighted`` uses balanced class weights."""
+    """Fit features, labels and a classifier. ``weighted`` uses balanced class weights.
+
+    The text is read twice, for the words and for their counts; the counts are stored, and every later
+    pass of the fits reads them instead of the text.
+    """
     rows = df.where(F.col(label).isNotNull()).withColumn(column, F.coalesce(F.col(column), F.lit("")))
     if weighted:
         weights = class_weights(rows, label).select(label, F.col("weight").alias("_weight"))
         rows = lookup_join(rows, weights, [label])
-    labels = _labelled(rows, label).fit(rows)
-    features = fit_features(rows, column, stop=stop)
-    fitted = _classifier(kind, weighted, **options).fit(features.transform(labels.transform(rows)))
+    counting = _counting(rows, column, MAX_FEATURES, stop)
+    kept = [label, "_weight"] if weighted else [label]
+    counted = materialize(PipelineModel(counting).transform(rows).select(*kept, "_counts"))
+    labels = _labelled(counted, label).fit(counted)
+    weighing = _weighing(counted)
+    fitted = _classifier(kind, weighted, **options).fit(weighing.transform(labels.transform(counted)))
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
-    return PipelineModel([*features.stages, fitted, names])
+    return PipelineModel([*counting, *weighing.stages, fitted, names])
 
 
 def label_names(model: PipelineModel) -> list[str]:
