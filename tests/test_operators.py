@@ -713,3 +713,18 @@ def test_record_counts_cut_and_counted_elsewhere(spark):
     assert got[2, 1] == got[3, 2] == []
     cut = keywords.record_counts(df, ["id"], "t", (1,), 2, among="raw")
     assert [tuple(x) for x in cut.where("id = 1").first()["counts"]] == [(-2, "a"), (0, "b")]
+
+
+def test_own_vocabulary_makes_the_tokens_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(value):
+        seen.add(1)
+        return value
+
+    df = spark.createDataFrame([(i, "ab door ab cd") for i in range(12)] + [(20, "xy door"), (21, None)], "id int, x string")
+    df = df.select("id", text.split_space(F.udf(read, "string")("x")).alias("t"))
+    codes = spark.createDataFrame([("cd",)], "word string")
+    got = {r["id"]: r["t"] for r in vocabulary.keep_own_vocabulary(df, "id", "t", bare_codes=codes).collect()}
+    assert got[0] == ["ab", "door", "ab", "Ecd"] and got[20] == ["door"] and got[21] is None
+    assert seen.value == 14
