@@ -96,6 +96,28 @@ def test_rounds_of_pivots_do_not_change_the_result(spark, monkeypatch, rounds):
     check(spark, list(enumerate(family(rng, 40, 80, 5) + family(rng, 20, 30, 3))))
 
 
+def test_texts_are_cut_into_words_once(spark):
+    docs = list(enumerate(family(random.Random(5), 30, 60, 4)))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = nj.similar_groups(frame.mapInArrow(counted, frame.schema)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(docs)
+    assert read.value == len(docs)
+
+
+def test_few_pairs_of_a_large_loose_group_are_left_to_the_last_round(spark, monkeypatch):
+    left, of = [], nj.pairs_across
+    monkeypatch.setattr(nj, "pairs_across", lambda *args: left.append(of(*args).count()) or of(*args))
+    check(spark, list(enumerate(family(random.Random(6), 250, 130, 3))))
+    assert sum(left) < 250 * 249 / 2 / 8
+
+
 def test_odd_rows(spark, odd, no_docs):
     rows = nj.similar_groups(odd).collect()
     assert len(rows) == odd.count()

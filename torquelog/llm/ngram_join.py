@@ -21,8 +21,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from torquelog.llm import common, words
 
@@ -34,6 +36,8 @@ FURTHER = 4  # shingles looked at beyond a prefix for each one of the text that
 COMMON = 1 << 22  # of them, the most common first; what is beyond concerns speed only
 BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
 ROUNDS = 2  # of pivots before all pairs in different components are compared
+PIVOTS = 16  # of a group at most, one for each ``PIVOTS`` nodes of it
+CHUNK = 1 << 19  # shingles that a task looks at together, a set at least
 PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
 
@@ -99,34 +103,51 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _over_sets(text_at: int, n: int, emit: Callable) -> Callable:
-    """A function over Arrow batches that calls ``emit`` with the sets of each chunk of texts."""
+def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, d, n, prefix, members) of every text; the prefix by hash alone and the members of a set
+    come once per partition.
+
+    What follows reads the stored sets, so that no text is cut into words and hashed again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for row, end, data, at in words.chunks(batch.column(text_at)):
+            for row, end, data, at in words.chunks(batch.column(1)):
                 h, first = sets_of(data, at, n)
                 names = digests(h, first)
-                yield from emit(batch.slice(row, end - row), h, first, names, seen)
+                p, of = prefixes(h, first, np.zeros(len(h), np.uint64), SEEDS[0], percent)
+                edge, p = np.searchsorted(of, np.arange(len(names) + 1)), p.view(np.int64)
+                fresh = [x is not None and x not in seen and not seen.add(x) for x in names]
+                prefix = [p[edge[t] : edge[t + 1]] if fresh[t] else None for t in range(len(names))]
+                members = [h[first[t] : first[t + 1]].tobytes() if fresh[t] else None for t in range(len(names))]
+                columns = [batch.column(0).slice(row, end - row), pa.array(names, pa.int64()), pa.array(np.diff(first))]
+                columns += [pa.array(prefix, pa.list_(pa.int64())), pa.array(members, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d", "n", "prefix", "members"])
 
-    return run
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, d bigint, n bigint, prefix array<bigint>, members binary")
 
 
-def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, d, n, prefix) of every text; the prefix is by hash alone, of a set once per partition."""
+def _over_sets(emit: Callable) -> Callable:
+    """A function over Arrow batches (d, members) that calls ``emit`` with their sets, some at a time:
+    all shingles, where each set starts, and the names; each set once."""
 
-    def emit(batch, h, first, names, seen):
-        p, of = prefixes(h, first, np.zeros(len(h), np.uint64), SEEDS[0], percent)
-        edge, p = np.searchsorted(of, np.arange(len(names) + 1)), p.view(np.int64)
-        fresh = [x is not None and x not in seen and not seen.add(x) for x in names]
-        prefix = [p[edge[t] : edge[t + 1]] if fresh[t] else None for t in range(len(names))]
-        columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(np.diff(first))]
-        prefix = pa.array(prefix, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*columns, prefix], ["doc_id", "d", "n", "prefix"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            new = np.array([x not in seen and not seen.add(x) for x in names.tolist()], bool)
+            names, members = names[new], batch.column(1).filter(pa.array(new))
+            sizes = pc.binary_length(members).to_numpy().astype(np.int64) // 8
+            run_of = np.cumsum(sizes) // CHUNK
+            edges = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(names)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    h = np.frombuffer(b"".join(v.as_buffer() for v in members[a:b]), np.uint64)
+                    yield from emit(h, np.concatenate([[0], np.cumsum(sizes[a:b])]), names[a:b])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_over_sets(1, n, emit), f"doc_id {kind}, d bigint, n bigint, prefix array<bigint>")
+    return run
 
 
 Known = tuple[np.ndarray, np.ndarray]
@@ -142,11 +163,11 @@ def _with_known(known: Known, rows: DataFrame) -> Known:
     return h[order], level[order]
 
 
-def _news(docs: DataFrame, n: int, percent: int, seen_by: list[tuple[Known, int]], known: Known, further: int) -> DataFrame:
+def _news(sets: DataFrame, percent: int, seen_by: list[tuple[Known, int]], known: Known, further: int) -> DataFrame:
     """(shingle, d): what the prefixes take in under ``known`` beside those of the orders ``seen_by``."""
-    shared = docs.sparkSession.sparkContext.broadcast((seen_by, known))
+    shared = sets.sparkSession.sparkContext.broadcast((seen_by, known))
 
-    def emit(batch, h, first, names, seen):
+    def emit(h, first, d):
         seen_by, known = shared.value
 
         def of_order(known, further):
@@ -154,16 +175,15 @@ def _news(docs: DataFrame, n: int, percent: int, seen_by: list[tuple[Known, int]
             return p, of, words.mix(p ^ words.mix(of.astype(np.uint64)))  # a shingle of a text as one number
 
         p, of, mark = of_order(known, further)
-        kept = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)[of]
+        kept = np.ones(len(of), bool)
         for order in seen_by:
             kept &= ~np.isin(mark, of_order(*order)[2])
-        d = np.array([x or 0 for x in names], np.int64)
         yield pa.RecordBatch.from_arrays([_signed(p[kept]), pa.array(d[of[kept]])], ["shingle", "d"])
 
-    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint")
+    return sets.mapInArrow(_over_sets(emit), "shingle bigint, d bigint")
 
 
-def first_order(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[Known, DataFrame]:
+def first_order(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[Known, DataFrame]:
     """The shingles that go to the end of the first order, and (shingle, weight) of those in several prefixes.
 
     Shingles in more than ``HEAVY`` prefixes by hash go there, in order of the logarithm of their count;
@@ -174,71 +194,58 @@ def first_order(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple
     start = rows.select(F.explode("prefix").alias("shingle"), "d")
     often = lambda frame: frame.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HEAVY)
     one = _with_known(nothing, often(start))
-    more = common.stored(_news(docs, n, percent, [(nothing, 0)], one, FURTHER), "join_second_look")
-    two = _with_known(one, often(more).join(_known_rows(docs, one), "shingle", "left_anti"))
-    last = common.stored(_news(docs, n, percent, [(nothing, 0), (one, FURTHER)], two, 0), "join_last_look")
+    more = common.stored(_news(sets, percent, [(nothing, 0)], one, FURTHER), "join_second_look")
+    two = _with_known(one, often(more).join(_known_rows(sets, one), "shingle", "left_anti"))
+    last = common.stored(_news(sets, percent, [(nothing, 0), (one, FURTHER)], two, 0), "join_last_look")
     looked = start.unionByName(more).unionByName(last)
     groups = looked.groupBy("shingle").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("weight"))
     return two, common.stored(groups.where("a <> b").select("shingle", "weight"), "join_shingles")
 
 
-def _known_rows(docs: DataFrame, known: Known) -> DataFrame:
+def _known_rows(sets: DataFrame, known: Known) -> DataFrame:
     """The known shingles as a table; there are at most ``COMMON``."""
     table = pa.table({"shingle": pa.array(known[0].view(np.int64), pa.int64())})
-    return docs.sparkSession.createDataFrame(table)
+    return sets.sparkSession.createDataFrame(table)
 
 
-def prefix_rows(docs: DataFrame, n: int, percent: int, shared, filter_) -> DataFrame:
+def prefix_rows(sets: DataFrame, percent: int, shared, filter_) -> DataFrame:
     """(shingle, d, n, rest): of the first order's prefix of each set what the filter lets through, the set's
     size and how many of its shingles come from that one on."""
 
-    def emit(batch, h, first, names, seen):
+    def emit(h, first, d):
         p, of = prefixes(h, first, levels(h, shared.value), SEEDS[0], percent)
         rest = np.diff(first)[of] - (np.arange(len(of)) - np.searchsorted(of, of))
-        fresh = np.array([x is not None and x not in seen and not seen.add(x) for x in names], bool)
-        kept = fresh[of] & _in_filter(filter_.value, p.view(np.int64))
+        kept = _in_filter(filter_.value, p.view(np.int64))
         p, of = p[kept], of[kept]
-        d = np.array([x or 0 for x in names], np.int64)
         columns = [_signed(p), pa.array(d[of]), pa.array(np.diff(first)[of]), pa.array(rest[kept])]
         yield pa.RecordBatch.from_arrays(columns, ["shingle", "d", "n", "rest"])
 
-    return docs.mapInArrow(_over_sets(1, n, emit), "shingle bigint, d bigint, n bigint, rest bigint")
+    return sets.mapInArrow(_over_sets(emit), "shingle bigint, d bigint, n bigint, rest bigint")
 
 
-def _wanted(names: list, seen: set, bits: np.ndarray) -> list[int]:
-    """The texts whose set the filter lets through, a set once."""
-    inside = _in_filter(bits, np.array([x or 0 for x in names], np.int64))
-    out = []
-    for t in np.flatnonzero(inside):
-        if names[t] is not None and names[t] not in seen:
-            seen.add(names[t])
-            out.append(t)
-    return out
-
-
-def profile_rows(docs: DataFrame, n: int, percent: int, wanted) -> DataFrame:
+def profile_rows(sets: DataFrame, percent: int, wanted) -> DataFrame:
     """(d, parts, second, third) of each set, once per partition: the sizes of its parts by hash, and its
     prefixes under the further orders as 32 bits of each shingle."""
 
-    def emit(batch, h, first, names, seen):
-        take = _wanted(names, seen, wanted.value)
-        if not take:
+    def emit(h, first, d):
+        take = np.flatnonzero(_in_filter(wanted.value, d))
+        if not len(take):
             return
-        owner = np.repeat(np.arange(len(names)), np.diff(first))
+        owner = np.repeat(np.arange(len(d)), np.diff(first))
         slot = owner * PARTS + (h >> np.uint64(7)).astype(np.int64) % PARTS
-        counts = np.bincount(slot, minlength=len(names) * PARTS).reshape(-1, PARTS)[take]
+        counts = np.bincount(slot, minlength=len(d) * PARTS).reshape(-1, PARTS)[take]
         edges = pa.array(np.arange(len(take) + 1) * PARTS, pa.int32())
-        columns = [pa.array([names[t] for t in take], pa.int64())]
+        columns = [pa.array(d[take])]
         columns.append(pa.ListArray.from_arrays(edges, pa.array(counts.ravel(), pa.int32())))
         for seed in SEEDS[1:]:
             p, of = prefixes(h, first, np.zeros(len(h), np.uint64), seed, percent)
-            edge = np.searchsorted(of, np.arange(len(names) + 1))
+            edge = np.searchsorted(of, np.arange(len(d) + 1))
             short = (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
             columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in take], pa.list_(pa.int32())))
         yield pa.RecordBatch.from_arrays(columns, ["d", "parts", "second", "third"])
 
     schema = "d bigint, parts array<int>, second array<int>, third array<int>"
-    return docs.mapInArrow(_over_sets(1, n, emit), schema)
+    return sets.mapInArrow(_over_sets(emit), schema)
 
 
 def close_sizes(a: str, b: str, percent: int) -> Column:
@@ -260,13 +267,15 @@ def enough_left(a: str, b: str, percent: int) -> Column:
 def both_sides(pairs: DataFrame, table: DataFrame, column: str, short: str) -> DataFrame:
     """``pairs`` (x, y) with a column of ``table`` (d, column) for either node, as shortx and shorty.
 
-    A node that is in very many pairs is split over partitions.
+    A node that is in very many pairs is split over partitions. Every node is in ``table``, so both
+    sides are counted before anything is joined.
     """
+    met = pairs
     for side in "xy":
         counts = common.stored(pairs.groupBy(side).agg(F.count("*").alias("weight")), "join_pair_counts")
         one = table.select(F.col("d").alias(side), F.col(column).alias(f"{short}{side}"))
-        pairs = common.split_join(pairs, one, side, "weight", counts)
-    return pairs
+        met = common.split_join(met, one, side, "weight", counts)
+    return met
 
 
 def may_link(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -299,20 +308,14 @@ def _in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def set_rows(docs: DataFrame, n: int, wanted) -> DataFrame:
-    """(d, members): the sets that the filter lets through, once per partition."""
+def set_rows(sets: DataFrame, wanted) -> DataFrame:
+    """(d, members): the sets that the filter lets through."""
 
-    def emit(batch, h, first, names, seen):
-        take = _wanted(names, seen, wanted.value)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([names[t] for t in take], pa.int64()),
-                pa.array([h[first[t] : first[t + 1]].tobytes() for t in take], pa.binary()),
-            ],
-            ["d", "members"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_filter(wanted.value, batch.column(0).to_numpy())))
 
-    return docs.mapInArrow(_over_sets(1, n, emit), "d bigint, members binary")
+    return sets.mapInArrow(run, "d bigint, members binary")
 
 
 def share_prefixes(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -418,11 +421,25 @@ def pairs_across(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")).distinct()
 
 
+def pivots_of(rows: DataFrame, turn: int) -> DataFrame:
+    """(shingle, weight, many, pivots) of each group of ``rows``: its size and the nodes all are compared to.
+
+    A large group has several, up to ``PIVOTS``: where few of its nodes are similar to any one of them,
+    one pivot would leave most of the group to the comparison of all pairs.
+    """
+    mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), "d", "label", "n", "rest")
+    slot = F.pmod(F.xxhash64("d", F.lit(turn)), F.lit(PIVOTS)).alias("slot")
+    least = rows.groupBy("shingle", slot).agg(F.count("*").alias("weight"), F.min(mark).alias("p"))
+    found = least.groupBy("shingle").agg(F.sum("weight").alias("weight"), F.sort_array(F.collect_list("p")).alias("pivots"))
+    many = F.least(F.greatest(F.floor(F.col("weight") / PIVOTS), F.lit(1)), F.lit(PIVOTS)).cast("int")
+    return found.withColumn("many", many).withColumn("pivots", F.slice("pivots", F.lit(1), F.col("many")))
+
+
 def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS) -> DataFrame | None:
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, rest).
 
-    ``check`` gives the links among some pairs. Each round has a pivot per group, by another hash each
-    time, and compares every node to the pivot that most of its groups have; after ``rounds`` of them,
+    ``check`` gives the links among some pairs. Each round has a pivot per group, or several of a large one,
+    by another hash each time, and compares every node to the pivots that most of its groups have; after ``rounds`` of them,
     at every size of the data, the last one compares all pairs in different components.
     """
     edges = labels = None
@@ -438,18 +455,18 @@ def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: in
         if final:
             pairs = pairs_across(rows, percent)
         else:
-            mark = F.struct(F.xxhash64("d", F.lit(turn)).alias("h"), "d", "label", "n", "rest")
-            pivots = rows.groupBy("shingle").agg(F.count("*").alias("weight"), F.min(mark).alias("p"))
-            pivots = pivots.select("shingle", "weight", *[F.col(f"p.{c}").alias(f"{c}y") for c in fields])
+            pivots = common.stored(pivots_of(rows, turn), "join_pivots")
             a = rows.select("shingle", *[F.col(c).alias(f"{c}x") for c in fields])
-            met = common.split_join(a, common.stored(pivots, "join_pivots"), "shingle", "weight")
+            met = common.split_join(a, pivots, "shingle", "weight")
+            met = met.withColumn("p", F.explode("pivots")).drop("pivots")
+            met = met.select("*", *[F.col(f"p.{c}").alias(f"{c}y") for c in fields])
             met = met.where((F.col("labelx") != F.col("labely")) & close_sizes("x", "y", percent))
             pairs = met.groupBy(F.col("dx").alias("x"), F.col("dy").alias("y")).agg(
-                F.count("*").alias("m"), F.max(enough_left("x", "y", percent)).alias("can")
+                F.count("*").alias("m"), F.max(enough_left("x", "y", percent)).alias("can"), F.max("many").alias("many")
             ).where("can")
-            # the pivot it shares most with; the last round sees to all others
-            best = pairs.groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
-            pairs = best.select("x", F.col("best.y").alias("y"))
+            # the pivots it shares most with; the last round sees to all others
+            best = Window.partitionBy("x").orderBy(F.desc("m"), F.desc("y"))
+            pairs = pairs.withColumn("place", F.row_number().over(best)).where("place <= many")
         pairs = common.stored(pairs.select("x", "y"), "join_pairs")
         found = common.stored(check(pairs), "join_links")
         edges = found if edges is None else edges.union(found)
@@ -477,17 +494,18 @@ def similar_groups(
     texts = docs.select(common.named(key).alias("doc_id"), common.named(text).alias("t"))
     described = common.stored(describe(texts, n, percent), "join_texts")
     rows = described.select("doc_id", "d", "n")
-    known, groups = first_order(described, texts, n, percent)
+    sets = described.where(F.col("members").isNotNull()).select("d", "members")
+    known, groups = first_order(described, sets, percent)
     shared = spark.sparkContext.broadcast(known)
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
-    members = common.split_join(prefix_rows(texts, n, percent, shared, in_groups), groups, "shingle", "weight")
+    members = common.split_join(prefix_rows(sets, percent, shared, in_groups), groups, "shingle", "weight")
     once = [F.first(c).alias(c) for c in ("n", "rest")]  # equal in all copies of a set
     members = common.stored(members.groupBy("shingle", "d").agg(*once), "join_members")
 
     def filter_of(nodes: DataFrame):
         return spark.sparkContext.broadcast(bit_filter(nodes, "d"))
 
-    profiles = profile_rows(texts, n, percent, filter_of(members.select("d"))).dropDuplicates(["d"])
+    profiles = profile_rows(sets, percent, filter_of(members.select("d"))).dropDuplicates(["d"])
     profiles = common.stored(profiles, "join_profiles")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -495,7 +513,7 @@ def similar_groups(
         pairs = common.stored(may_link(pairs, profiles, percent), "join_possible")
         pairs = common.stored(share_prefixes(pairs, profiles), "join_candidates")
         wanted = filter_of(pairs.select(F.col("x").alias("d")).union(pairs.select("y")))
-        return verify(pairs, set_rows(texts, n, wanted).dropDuplicates(["d"]), percent)
+        return verify(pairs, set_rows(sets, wanted).dropDuplicates(["d"]), percent)
 
     labels = link(members, check, percent)
 
