@@ -11,6 +11,9 @@ from torquelog.operators.joins import only
 from torquelog.operators.ranking import hash_share, row_numbers
 from torquelog.runtime import lookup_join, materialize
 
+TRAVEL = 4096  # rows of a block that are compared to another block in one task
+CELLS = 1 << 20  # of a matrix product
+
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
@@ -91,12 +94,13 @@ def neighbour_pairs(
 ) -> DataFrame:
     """The ``k`` nearest rows of the same class for every row: (key, neighbour, distance, rank).
 
-    Exact for any class size. Rows are hashed into blocks of about ``block_rows`` per class; each
-    task compares one pair of blocks with a matrix product and keeps ``k`` per row, and the partial
-    lists merge per row. No pair of rows is ever written out beyond those lists.
+    Exact for any class size. Rows are hashed into blocks of about ``TRAVEL`` (``block_rows``, if more)
+    per class and travel once per block of their class; each task compares one pair of blocks with
+    matrix products of at most ``CELLS`` cells and keeps ``k`` per row, and the partial lists merge per
+    row. No pair of rows is ever written out beyond those lists.
     """
     sizes = class_counts(df, label).select(label, "rows").withColumn(
-        "blocks", F.ceil(F.col("rows") / block_rows).cast("int")
+        "blocks", F.ceil(F.col("rows") / max(block_rows, TRAVEL)).cast("int")
     )
     rows = lookup_join(df.select(key, label, vector), sizes, [label]).withColumn(
         "block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
@@ -115,18 +119,17 @@ def neighbour_pairs(
         b = b.sort_values(f"_{key}")  # ties go to the smaller key
         x = np.vstack(a[vector].to_numpy()).astype("float64")
         y = np.vstack(b[f"_{vector}"].to_numpy()).astype("float64")
-        squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
         ids, others = a[key].to_numpy(), b[f"_{key}"].to_numpy()
-        squared[ids[:, None] == others[None, :]] = np.inf
-        take = min(k, squared.shape[1])
-        best = np.argsort(squared, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame(
-            {
-                "key": np.repeat(ids, take),
-                "neighbour": others[best.ravel()],
-                "distance": np.take_along_axis(squared, best, 1).ravel(),
-            }
-        )
+        take, step = min(k, len(y)), max(1, CELLS // len(y))
+        lengths, found = (y * y).sum(1)[None, :], []
+        for start in range(0, len(x), step):
+            part, mine = x[start : start + step], ids[start : start + step]
+            squared = (part * part).sum(1)[:, None] + lengths - 2 * part @ y.T
+            squared[mine[:, None] == others[None, :]] = np.inf
+            best = np.argsort(squared, axis=1, kind="stable")[:, :take]
+            found.append((best.ravel(), np.take_along_axis(squared, best, 1).ravel()))
+        best, squared = (np.concatenate(column) for column in zip(*found))
+        out = pd.DataFrame({"key": np.repeat(ids, take), "neighbour": others[best], "distance": squared})
         out = out[np.isfinite(out["distance"])]
         return out.assign(distance=np.sqrt(out["distance"].clip(lower=0)))
 
