@@ -448,6 +448,23 @@ def test_set_keywords(spark):
     assert got == pytest.approx(total, abs=2e-6)
 
 
+@pytest.mark.parametrize("held", [0, 3, 1000])
+def test_corpus_weights_of_held_and_other_words(spark, monkeypatch, held):
+    monkeypatch.setattr(keywords, "HELD", held)
+    data = [(1, ["a", "a", "b"]), (1, ["a", "c"]), (2, ["a", "b", "d"]), (None, ["a", "e"]), (None, ["b"]), (3, [])]
+    df_of = Counter(w for _, t in data for w in set(t))
+    idf = {w: math.log((1 + 4) / (1 + n)) + 1 for w, n in df_of.items()}
+    sizes, want = Counter(), []
+    for k, t in data:
+        for w, c in Counter(t).items():
+            sizes[k] += (c * idf[w]) ** 2
+    for k, t in data:
+        want += [(k, w, round(c * idf[w] / math.sqrt(sizes[k]), 6)) for w, c in Counter(t).items()]
+    df = spark.createDataFrame(data, "id int, t array<string>").repartition(3)
+    got = keywords.corpus_weights(df, "id", "t").withColumn("weight", F.round("weight", 6))
+    assert rows(got, "id", "gram", "weight") == sorted(want, key=repr)
+
+
 # --------------------------------------------------------------------------------------- categories
 
 
@@ -562,6 +579,14 @@ def test_neighbours_against_brute_force(spark, block):
     assert rows(got, "id", "neighbour", "rank") == sorted(want, key=repr)
 
 
+def test_neighbours_over_blocks_that_travel(spark, monkeypatch):
+    _, df = _points(spark)
+    whole = rows(classes.neighbour_pairs(df, "id", "l", "v", 3), "id", "neighbour", "rank")
+    monkeypatch.setattr(classes, "TRAVEL", 7)
+    monkeypatch.setattr(classes, "CELLS", 20)
+    assert rows(classes.neighbour_pairs(df, "id", "l", "v", 3, block_rows=4), "id", "neighbour", "rank") == whole
+
+
 @pytest.mark.parametrize("k", [None, 1, 5, 50])
 def test_smote_balances_between_neighbours(spark, k):
     data, df = _points(spark)
