@@ -180,3 +180,32 @@ def test_a_copy_takes_no_other_text_of_its_key_along(spark):
     rows = [(1, base), (2, base + " x"), (2, "a text of its own"), (None, base + " y"), (None, "no key"), (None, None)]
     left = nj.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+
+
+def test_a_pair_is_made_once_however_many_shingles_it_shares(spark, monkeypatch):
+    rows = [(s, d, 1 if d <= 30 else d, 10, 10 - s) for s in range(10) for d in range(1, 41)]
+    frame = spark.createDataFrame(rows, "shingle long, d long, label long, n long, rest long")
+    monkeypatch.setattr(type(frame), "distinct", lambda self: self)
+    got = [tuple(r) for r in nj.pairs_across(frame, 85).collect()]
+    want = {(x, y) for y in range(31, 41) for x in range(1, y)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_filters_and_tables_of_little_data_are_small(spark):
+    from torquelog.llm import words
+
+    few = spark.range(1000).selectExpr("xxhash64(id) AS v")
+    assert nj.bit_filter(few, "v").nbytes <= 1 << 18
+    words._powers.clear()
+    assert words._power_tables(1000)[0].size <= (1 << 16) + 1
+    before = [t.copy() for t in words._power_tables(1000)]
+    words._power_tables(words.CHUNK)
+    assert all((a == b[: len(a)]).all() for a, b in zip(before, words._power_tables(1000)))
+
+
+def test_tasks_get_few_sets_at_a_time(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, of = spark.conf.get(name), nj.verify
+    monkeypatch.setattr(nj, "verify", lambda *args: seen.append(spark.conf.get(name)) or of(*args))
+    check(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c")], percent=50)
+    assert seen and max(map(int, seen)) <= nj.BATCH and spark.conf.get(name) == before

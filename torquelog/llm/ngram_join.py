@@ -1,7 +1,7 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles, to components.
 
 Under any order of all shingles two documents that are similar enough share one among the first few
-of each (the prefix). One order makes the candidates: shingles by hash, but those that turned out to be
+of each (the prefix). One order makes the candidates: shingles by hash, as the sets are stored, but those that turned out to be
 in many prefixes go to the end, the most common last. A few turns find them: what a text's prefix takes
 in for a shingle that went to the end may be common itself. A candidate pair must also have close
 sizes, enough shingles from the first one in common on (its place bounds what they can share), counts
@@ -11,7 +11,8 @@ under two further orders; only then are the sets fetched and compared.
 Equal sets are one node. Within a group of nodes that share a prefix shingle not all pairs are made:
 each node is compared to the group's pivot, rounds with new pivots join what is similar to them, and
 at the end the pairs that are still in different components, and not ruled out as above, are all compared. So no link between
-components is lost, while a group of copies costs a few comparisons per member.
+components is lost, while a group of copies costs a few comparisons per member. A pair is made at the first shingle it
+shares, not once at each.
 """
 
 from __future__ import annotations
@@ -30,14 +31,18 @@ from torquelog.llm import common, words
 
 SHINGLE = 4
 PERCENT = 85  # similarity of a link
-SEEDS = (0x243F6A88, 0x85A308D3, 0x13198A2E)  # of the orders
+SEEDS = (0, 0x85A308D3, 0x13198A2E)  # of the orders; the first is that of the stored sets
 HEAVY = 8  # prefixes that a shingle may be in before it goes to the end of the first order
 FURTHER = 4  # shingles looked at beyond a prefix for each one of the text that goes to the end
 COMMON = 1 << 22  # of them, the most common first; what is beyond concerns speed only
-BITS = 27  # of the filter of shingles that are in several documents; concerns speed only
+BITS = 27  # of a filter of values at most, ``LEAST_BITS`` at least; concerns speed only
+LEAST_BITS = 20
+BEFORE = 8  # shingles before one that tell whether a pair has met already; concerns speed only
 ROUNDS = 2  # of pivots before all pairs in different components are compared
 PIVOTS = 16  # of a group at most, one for each ``PIVOTS`` nodes of it
-CHUNK = 1 << 19  # shingles that a task looks at together, a set at least
+CHUNK = 1 << 17  # shingles that a task looks at together, a set at least
+BATCH = 1000  # rows that a task holds as Arrow at a time; a set may be long
+TEXT = 1 << 19  # bytes of text that a task cuts together, a text at least
 PARTS = 32  # of a set, by hash, whose sizes bound the common part of two sets
 
 
@@ -88,24 +93,29 @@ def prefixes(
     """
     sizes = np.diff(first)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    rank = (level << np.uint64(58)) | (words.mix(h ^ np.uint64(seed)) >> np.uint64(6))
-    order = np.argsort(rank)
-    order = order[np.argsort(of[order].astype(np.uint16 if len(sizes) < 65536 else np.int64), kind="stable")]
+    order = None  # as stored
+    if seed:
+        order = np.argsort((level << np.uint64(58)) | (words.mix(h ^ np.uint64(seed)) >> np.uint64(6)))
+    elif level.any():
+        order = np.argsort(level.astype(np.uint8), kind="stable")
+    if order is not None:
+        order = order[np.argsort(of[order].astype(np.uint16 if len(sizes) < 65536 else np.int64), kind="stable")]
+        h = h[order]
     place = np.arange(len(h)) - first[:-1][of]
     most = prefix_sizes(sizes, percent)
     if further:
-        most = most + further * np.bincount(of[level > 0], minlength=len(sizes))
+        many = level > 0 if order is None else level[order] > 0
+        most = most + further * np.bincount(of[many], minlength=len(sizes))
     kept = place < most[of]
-    return h[order][kept], of[kept]
+    return h[kept], of[kept]
 
 
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, d, n, prefix, members) of every text; the prefix by hash alone and the members of a set
-    come once per partition.
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, d, n, members) of every text; the members of a set, in order, come once per partition.
 
     What follows reads the stored sets, so that no text is cut into words and hashed again.
     """
@@ -113,32 +123,32 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for row, end, data, at in words.chunks(batch.column(1)):
+            for row, end, data, at in words.chunks(batch.column(1), TEXT):
                 h, first = sets_of(data, at, n)
                 names = digests(h, first)
-                p, of = prefixes(h, first, np.zeros(len(h), np.uint64), SEEDS[0], percent)
-                edge, p = np.searchsorted(of, np.arange(len(names) + 1)), p.view(np.int64)
                 fresh = [x is not None and x not in seen and not seen.add(x) for x in names]
-                prefix = [p[edge[t] : edge[t + 1]] if fresh[t] else None for t in range(len(names))]
                 members = [h[first[t] : first[t + 1]].tobytes() if fresh[t] else None for t in range(len(names))]
                 columns = [batch.column(0).slice(row, end - row), pa.array(names, pa.int64()), pa.array(np.diff(first))]
-                columns += [pa.array(prefix, pa.list_(pa.int64())), pa.array(members, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d", "n", "prefix", "members"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(members, pa.binary())], ["doc_id", "d", "n", "members"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, d bigint, n bigint, prefix array<bigint>, members binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, d bigint, n bigint, members binary")
 
 
-def _over_sets(emit: Callable) -> Callable:
+def _over_sets(emit: Callable, wanted=None) -> Callable:
     """A function over Arrow batches (d, members) that calls ``emit`` with their sets, some at a time:
-    all shingles, where each set starts, and the names; each set once."""
+    all shingles, where each set starts, and the names; each set once, if the filter lets it through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             names = batch.column(0).to_numpy()
             new = np.array([x not in seen and not seen.add(x) for x in names.tolist()], bool)
-            names, members = names[new], batch.column(1).filter(pa.array(new))
+            if wanted is not None:
+                new &= _in_filter(wanted.value, names)
+            members = batch.column(1)
+            if not new.all():
+                names, members = names[new], members.filter(pa.array(new))
             sizes = pc.binary_length(members).to_numpy().astype(np.int64) // 8
             run_of = np.cumsum(sizes) // CHUNK
             edges = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(names)]
@@ -163,43 +173,66 @@ def _with_known(known: Known, rows: DataFrame) -> Known:
     return h[order], level[order]
 
 
-def _news(sets: DataFrame, percent: int, seen_by: list[tuple[Known, int]], known: Known, further: int) -> DataFrame:
-    """(shingle, d): what the prefixes take in under ``known`` beside those of the orders ``seen_by``."""
+def hash_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle) of the prefixes by hash alone."""
+
+    def emit(h, first, d):
+        p, _ = prefixes(h, first, np.zeros(len(h), np.uint64), SEEDS[0], percent)
+        yield pa.RecordBatch.from_arrays([_signed(p)], ["shingle"])
+
+    return sets.mapInArrow(_over_sets(emit), "shingle bigint")
+
+
+def _news(sets: DataFrame, percent: int, seen_by: list[tuple[Known, int]], known: Known, further: int, name: str) -> DataFrame:
+    """(shingle): what the prefixes take in under ``known`` beside those of the orders ``seen_by``, stored.
+
+    The prefix of a set without known shingles is that by hash, which was seen.
+    """
     shared = sets.sparkSession.sparkContext.broadcast((seen_by, known))
 
     def emit(h, first, d):
         seen_by, known = shared.value
+        level = levels(h, known)
+        sizes = np.diff(first)
+        has = np.add.reduceat(level > 0, first[:-1], dtype=np.int64) > 0
+        h, level = h[np.repeat(has, sizes)], level[np.repeat(has, sizes)]
+        first = np.concatenate([[0], np.cumsum(sizes[has])])
+        if not len(h):
+            return
 
-        def of_order(known, further):
-            p, of = prefixes(h, first, levels(h, known), SEEDS[0], percent, further)
-            return p, of, words.mix(p ^ words.mix(of.astype(np.uint64)))  # a shingle of a text as one number
+        def of_order(level, further):
+            p, of = prefixes(h, first, level, SEEDS[0], percent, further)
+            return p, words.mix(p ^ words.mix(of.astype(np.uint64)))  # a shingle of a text as one number
 
-        p, of, mark = of_order(known, further)
-        kept = np.ones(len(of), bool)
-        for order in seen_by:
-            kept &= ~np.isin(mark, of_order(*order)[2])
-        yield pa.RecordBatch.from_arrays([_signed(p[kept]), pa.array(d[of[kept]])], ["shingle", "d"])
+        p, mark = of_order(level, further)
+        kept = np.ones(len(p), bool)
+        for order, beyond in seen_by:
+            kept &= ~np.isin(mark, of_order(levels(h, order), beyond)[1])
+        yield pa.RecordBatch.from_arrays([_signed(p[kept])], ["shingle"])
 
-    return sets.mapInArrow(_over_sets(emit), "shingle bigint, d bigint")
+    out = common.stored(sets.mapInArrow(_over_sets(emit), "shingle bigint"), name)
+    shared.destroy()
+    return out
 
 
-def first_order(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[Known, DataFrame]:
+def first_order(sets: DataFrame, percent: int) -> tuple[Known, DataFrame]:
     """The shingles that go to the end of the first order, and (shingle, weight) of those in several prefixes.
 
     Shingles in more than ``HEAVY`` prefixes by hash go there, in order of the logarithm of their count;
     then those that are as common among what comes into the prefixes, and some way beyond, in their
-    place. Any outcome is a valid order. The weights are of all shingles that were looked at.
+    place. Any outcome is a valid order. The weights are of all shingles that were looked at; a set
+    that several partitions hold counts in each, which lets groups of one node through.
     """
     nothing: Known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    start = rows.select(F.explode("prefix").alias("shingle"), "d")
+    start = hash_prefixes(sets, percent)
     often = lambda frame: frame.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HEAVY)
     one = _with_known(nothing, often(start))
-    more = common.stored(_news(sets, percent, [(nothing, 0)], one, FURTHER), "join_second_look")
+    more = _news(sets, percent, [(nothing, 0)], one, FURTHER, "join_second_look")
     two = _with_known(one, often(more).join(_known_rows(sets, one), "shingle", "left_anti"))
-    last = common.stored(_news(sets, percent, [(nothing, 0), (one, FURTHER)], two, 0), "join_last_look")
+    last = _news(sets, percent, [(nothing, 0), (one, FURTHER)], two, 0, "join_last_look")
     looked = start.unionByName(more).unionByName(last)
-    groups = looked.groupBy("shingle").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("weight"))
-    return two, common.stored(groups.where("a <> b").select("shingle", "weight"), "join_shingles")
+    groups = looked.groupBy("shingle").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1")
+    return two, common.stored(groups, "join_shingles")
 
 
 def _known_rows(sets: DataFrame, known: Known) -> DataFrame:
@@ -223,29 +256,35 @@ def prefix_rows(sets: DataFrame, percent: int, shared, filter_) -> DataFrame:
     return sets.mapInArrow(_over_sets(emit), "shingle bigint, d bigint, n bigint, rest bigint")
 
 
-def profile_rows(sets: DataFrame, percent: int, wanted) -> DataFrame:
-    """(d, parts, second, third) of each set, once per partition: the sizes of its parts by hash, and its
-    prefixes under the further orders as 32 bits of each shingle."""
+def profile_rows(sets: DataFrame, wanted) -> DataFrame:
+    """(d, parts) of each set that the filter lets through, once per partition: the sizes of its parts by hash."""
 
     def emit(h, first, d):
-        take = np.flatnonzero(_in_filter(wanted.value, d))
-        if not len(take):
-            return
         owner = np.repeat(np.arange(len(d)), np.diff(first))
         slot = owner * PARTS + (h >> np.uint64(7)).astype(np.int64) % PARTS
-        counts = np.bincount(slot, minlength=len(d) * PARTS).reshape(-1, PARTS)[take]
-        edges = pa.array(np.arange(len(take) + 1) * PARTS, pa.int32())
-        columns = [pa.array(d[take])]
-        columns.append(pa.ListArray.from_arrays(edges, pa.array(counts.ravel(), pa.int32())))
+        counts = np.bincount(slot, minlength=len(d) * PARTS)
+        edges = pa.array(np.arange(len(d) + 1) * PARTS, pa.int32())
+        columns = [pa.array(d), pa.ListArray.from_arrays(edges, pa.array(counts, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["d", "parts"])
+
+    return sets.mapInArrow(_over_sets(emit, wanted), "d bigint, parts array<int>")
+
+
+def order_rows(sets: DataFrame, percent: int, wanted) -> DataFrame:
+    """(d, second, third) of each set that the filter lets through, once per partition: its prefixes under
+    the further orders as 32 bits of each shingle."""
+
+    def emit(h, first, d):
+        columns = [pa.array(d)]
         for seed in SEEDS[1:]:
             p, of = prefixes(h, first, np.zeros(len(h), np.uint64), seed, percent)
-            edge = np.searchsorted(of, np.arange(len(d) + 1))
+            edge = pa.array(np.searchsorted(of, np.arange(len(d) + 1)), pa.int32())
             short = (p >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            columns.append(pa.array([short[edge[t] : edge[t + 1]] for t in take], pa.list_(pa.int32())))
-        yield pa.RecordBatch.from_arrays(columns, ["d", "parts", "second", "third"])
+            columns.append(pa.ListArray.from_arrays(edge, pa.array(short)))
+        yield pa.RecordBatch.from_arrays(columns, ["d", "second", "third"])
 
-    schema = "d bigint, parts array<int>, second array<int>, third array<int>"
-    return sets.mapInArrow(_over_sets(emit), schema)
+    schema = "d bigint, second array<int>, third array<int>"
+    return sets.mapInArrow(_over_sets(emit, wanted), schema)
 
 
 def close_sizes(a: str, b: str, percent: int) -> Column:
@@ -287,24 +326,21 @@ def may_link(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return met.where((100 + percent) * most >= needed).select("x", "y")
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BITS)
-
-
 def bit_filter(rows: DataFrame, name: str) -> np.ndarray:
-    """A bit for the upper bits of every value: of a fixed size, whatever the number of values."""
-    slot = _slot(F.col(name))
+    """A bit for the lower bits of every value: 32 or more for each row, up to a fixed size."""
+    bits = max(LEAST_BITS, min(BITS, rows.count().bit_length() + 5))
+    slot = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
     parts = rows.groupBy(F.shiftright(slot, 15).alias("part")).agg(
         F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")
     )
-    out = np.zeros((1 << (BITS - 15), 4096), np.uint8)
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
     for row in parts.collect():
         out[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out.reshape(-1)
 
 
 def _in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values.view(np.uint64) >> np.uint64(64 - BITS)
+    slot = values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -391,33 +427,24 @@ def pairs_across(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (x, y) of nodes in one group but in different components that can be similar enough by
     their sizes and places, of ``rows`` (shingle, d, label, n, rest).
 
-    Of two such nodes the smaller one has so much left from their first shared shingle on that an equal
-    one could be similar; only such nodes open a group, the others just answer. The labels of a group
-    meet first and their nodes then, so that no two nodes of one component ever meet; labels meet by
-    the bounds of their nodes.
+    Of two such nodes one at least is not in the largest component of the group; those meet all others,
+    so that no two nodes of the largest component ever meet. A pair that shares one of the last
+    shingles before has met there, or was ruled out there.
     """
-    opens = rows.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n"))
-
-    def labels(nodes: DataFrame, side: str) -> DataFrame:
-        bounds = [F.max("rest").alias(f"rest{side}"), F.min("n").alias(f"n{side}"), F.max("n").alias(f"most{side}")]
-        return nodes.groupBy("shingle", F.col("label").alias(f"label{side}")).agg(*bounds)
-
-    # the opening node is not the larger one
-    near = (F.col("labelx") != F.col("labely")) & (F.col("nx") <= F.col("mosty"))
-    near &= (100 * F.col("mostx") >= percent * F.col("ny")) & enough_left("x", "y", percent)
-    a, b = labels(opens, "x").hint("merge"), labels(rows, "y").withColumnRenamed("shingle", "at")
-    met = a.join(b, (F.col("shingle") == F.col("at")) & near).select("shingle", "labelx", "labely")
-
-    def nodes(of: DataFrame, side: str) -> DataFrame:
-        columns = [F.col(c).alias(f"{c}{side}") for c in ("d", "n", "rest")]
-        return of.select(F.col("shingle").alias("at"), F.col("label").alias("of"), *columns).hint("merge")
-
-    def here(side: str) -> Column:
-        return (F.col("shingle") == F.col("at")) & (F.col(f"label{side}") == F.col("of"))
-
-    met = met.join(nodes(opens, "x"), here("x")).drop("at", "of")
-    fits = (F.col("nx") <= F.col("ny")) & close_sizes("x", "y", percent) & enough_left("x", "y", percent)
-    met = met.join(nodes(rows, "y"), here("y") & fits)
+    before = Window.partitionBy("d").orderBy(F.desc("rest")).rowsBetween(-BEFORE, -1)
+    counts = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("many"))
+    tops = counts.groupBy("shingle").agg(F.max(F.struct("many", "label"))["label"].alias("top"))
+    rows = rows.withColumn("before", F.collect_list("shingle").over(before)).join(tops.hint("merge"), "shingle")
+    rows = common.stored(rows.withColumn("top", F.col("label") == F.col("top")), "join_last_groups")
+
+    def side(of: DataFrame, end: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}{end}") for c in ("d", "label", "n", "rest", "top", "before")]
+        return of.select(F.col("shingle").alias(f"shingle{end}"), *columns).hint("merge")
+
+    here = (F.col("shinglex") == F.col("shingley")) & (F.col("labelx") != F.col("labely"))
+    here &= F.col("topy") | (F.col("dx") < F.col("dy"))
+    here &= close_sizes("x", "y", percent) & enough_left("x", "y", percent)
+    met = side(rows.where(~F.col("top")), "x").join(side(rows, "y"), here & ~F.arrays_overlap("beforex", "beforey"))
     return met.select(F.least("dx", "dy").alias("x"), F.greatest("dx", "dy").alias("y")).distinct()
 
 
@@ -438,19 +465,20 @@ def pivots_of(rows: DataFrame, turn: int) -> DataFrame:
 def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: int, rounds: int = ROUNDS) -> DataFrame | None:
     """(d, label) of the nodes that have a link, from ``groups`` (shingle, d, n, rest).
 
-    ``check`` gives the links among some pairs. Each round has a pivot per group, or several of a large one,
+    ``check`` gives the links among some pairs, stored. Each round has a pivot per group, or several of a large one,
     by another hash each time, and compares every node to the pivots that most of its groups have; after ``rounds`` of them,
     at every size of the data, the last one compares all pairs in different components.
     """
     edges = labels = None
     fields = ("d", "label", "n", "rest")
     for turn in range(rounds + 1):
-        rows = common.stored(_labelled(groups, labels), "join_groups")
+        rows = _labelled(groups, labels)
         per = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"))
         open_ = common.stored(per.where("a <> b").select("shingle"), "join_open_groups")
         if open_.isEmpty():
             break
-        rows = rows.join(open_, "shingle", "left_semi")
+        rows = common.stored(rows.join(open_.hint("merge"), "shingle", "left_semi"), "join_groups")
+        groups = rows.drop("label")  # a group of one component stays so
         final = turn == rounds
         if final:
             pairs = pairs_across(rows, percent)
@@ -468,7 +496,7 @@ def link(groups: DataFrame, check: Callable[[DataFrame], DataFrame], percent: in
             best = Window.partitionBy("x").orderBy(F.desc("m"), F.desc("y"))
             pairs = pairs.withColumn("place", F.row_number().over(best)).where("place <= many")
         pairs = common.stored(pairs.select("x", "y"), "join_pairs")
-        found = common.stored(check(pairs), "join_links")
+        found = check(pairs)
         edges = found if edges is None else edges.union(found)
         labels = common.stored(components(edges), "join_labels")
         if final:
@@ -490,30 +518,47 @@ def similar_groups(
     reachable by links, null where no row of the component has a key. Sets are known by 64-bit
     hashes of their shingles. Repeated rows are equal sets. Other columns are not read.
     """
+    with common.small_batches(docs.sparkSession, BATCH):
+        return _similar_groups(docs, n, percent, key, text)
+
+
+def _similar_groups(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(common.named(key).alias("doc_id"), common.named(text).alias("t"))
-    described = common.stored(describe(texts, n, percent), "join_texts")
+    described = common.stored(describe(texts, n), "join_texts")
     rows = described.select("doc_id", "d", "n")
     sets = described.where(F.col("members").isNotNull()).select("d", "members")
-    known, groups = first_order(described, sets, percent)
+    known, groups = first_order(sets, percent)
     shared = spark.sparkContext.broadcast(known)
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
     members = common.split_join(prefix_rows(sets, percent, shared, in_groups), groups, "shingle", "weight")
     once = [F.first(c).alias(c) for c in ("n", "rest")]  # equal in all copies of a set
     members = common.stored(members.groupBy("shingle", "d").agg(*once), "join_members")
+    shared.destroy()
+    in_groups.destroy()
+
+    def of_nodes(nodes: DataFrame, rows_of: Callable[..., DataFrame], name: str) -> DataFrame:
+        """What ``rows_of`` makes of the sets of ``nodes``, a row for each, stored."""
+        wanted = spark.sparkContext.broadcast(bit_filter(nodes, "d"))
+        out = common.stored(rows_of(wanted).dropDuplicates(["d"]), name)
+        wanted.destroy()
+        return out
 
-    def filter_of(nodes: DataFrame):
-        return spark.sparkContext.broadcast(bit_filter(nodes, "d"))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("d")).union(pairs.select("y"))
 
-    profiles = profile_rows(sets, percent, filter_of(members.select("d"))).dropDuplicates(["d"])
-    profiles = common.stored(profiles, "join_profiles")
+    profiles = of_nodes(members.select("d"), lambda wanted: profile_rows(sets, wanted), "join_profiles")
 
     def check(pairs: DataFrame) -> DataFrame:
         """Sizes of parts first, then the prefixes under the further orders, then the sets."""
         pairs = common.stored(may_link(pairs, profiles, percent), "join_possible")
-        pairs = common.stored(share_prefixes(pairs, profiles), "join_candidates")
-        wanted = filter_of(pairs.select(F.col("x").alias("d")).union(pairs.select("y")))
-        return verify(pairs, set_rows(sets, wanted).dropDuplicates(["d"]), percent)
+        orders = of_nodes(ends(pairs), lambda wanted: order_rows(sets, percent, wanted), "join_orders")
+        pairs = common.stored(share_prefixes(pairs, orders), "join_candidates")
+        wanted = spark.sparkContext.broadcast(bit_filter(ends(pairs), "d"))
+        met = verify(pairs, set_rows(sets, wanted).dropDuplicates(["d"]), percent)
+        found = common.stored(met, "join_links")
+        wanted.destroy()
+        return found
 
     labels = link(members, check, percent)
 

@@ -65,7 +65,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = CHUNK if n <= CHUNK else 1 << (n - 1).bit_length()
+    size = max(1 << 16, 1 << (n - 1).bit_length())
+    size = max([size, *(k for k in _powers if size < k <= CHUNK)])  # one table of a usual size, the largest needed so far
     if size not in _powers:
         with np.errstate(over="ignore"):
             tables = []
@@ -73,7 +74,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 steps = np.full(size + 1, base, np.uint64)
                 steps[0] = 1
                 tables.append(np.multiply.accumulate(steps))
-        for old in [k for k in _powers if k != CHUNK]:  # keep no table of an unusual size
+        for old in [k for k in _powers if k > CHUNK or size <= CHUNK]:  # keep no table of an unusual size
             del _powers[old]
         _powers[size] = (tables[0], tables[1])
     return _powers[size]
