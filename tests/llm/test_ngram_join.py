@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from torquelog.llm import ngram_join as nj
@@ -209,3 +211,18 @@ def test_tasks_get_few_sets_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(nj, "verify", lambda *args: seen.append(spark.conf.get(name)) or of(*args))
     check(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c")], percent=50)
     assert seen and max(map(int, seen)) <= nj.BATCH and spark.conf.get(name) == before
+
+
+def test_sets_are_stored_in_less_than_their_hashes():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 490, 500, 3000]
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in sizes]
+    sets[1] = np.array([0, (1 << 64) - 1], np.uint64)
+    h, first = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    with_empty = np.insert(first, 2, first[2])  # an empty set takes no place
+    high, low = nj.packed(h, with_empty)
+    assert np.array_equal(nj.unpacked(high, low, first), h)
+    for a, b in zip(first[:-1], first[1:]):  # each alone, as a pair is compared
+        assert np.array_equal(nj.unpacked(high[a:b], low[a:b], np.array([0, b - a])), h[a:b])
+    size = sum(len(pa.compress(x.tobytes(), "zstd", asbytes=True)) for x in (high, low))
+    assert size < 0.93 * h.nbytes < len(pa.compress(h.tobytes(), "zstd", asbytes=True))

@@ -110,12 +110,39 @@ def prefixes(
     return h[kept], of[kept]
 
 
+def packed(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps between a set's shingles, the first one whole: the highest byte of each, and the other seven.
+
+    The shingles of a set are in order, so the highest bytes are small numbers, which Parquet compresses.
+    """
+    step = h.copy()
+    step[1:] -= h[:-1]
+    start = first[:-1][np.diff(first) > 0]
+    step[start] = h[start]
+    parts = step.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return parts[:, 7].copy(), parts[:, :7].copy()
+
+
+def unpacked(high: np.ndarray, low: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The shingles of sets, none of them empty, from what ``packed`` made of them."""
+    parts = np.empty((len(high), 8), np.uint8)
+    parts[:, 7], parts[:, :7] = high, low.reshape(-1, 7)
+    step = parts.view("<u8").reshape(-1).astype(np.uint64, copy=False)
+    total = np.cumsum(step)  # modulo 2 ** 64, as are the differences
+    start = first[:-1]
+    return total - np.repeat(total[start] - step[start], np.diff(first))
+
+
+def _joined(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in column), np.uint8)
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, d, n, members) of every text; the members of a set, in order, come once per partition.
+    """(doc_id, d, n, high, low) of every text; the members of a set, packed, come once per partition.
 
     What follows reads the stored sets, so that no text is cut into words and hashed again.
     """
@@ -127,16 +154,18 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 h, first = sets_of(data, at, n)
                 names = digests(h, first)
                 fresh = [x is not None and x not in seen and not seen.add(x) for x in names]
-                members = [h[first[t] : first[t + 1]].tobytes() if fresh[t] else None for t in range(len(names))]
                 columns = [batch.column(0).slice(row, end - row), pa.array(names, pa.int64()), pa.array(np.diff(first))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(members, pa.binary())], ["doc_id", "d", "n", "members"])
+                for part in packed(h, first):
+                    members = [part[first[t] : first[t + 1]].tobytes() if fresh[t] else None for t in range(len(names))]
+                    columns.append(pa.array(members, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d", "n", "high", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, d bigint, n bigint, members binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, d bigint, n bigint, high binary, low binary")
 
 
 def _over_sets(emit: Callable, wanted=None) -> Callable:
-    """A function over Arrow batches (d, members) that calls ``emit`` with their sets, some at a time:
+    """A function over Arrow batches (d, high, low) that calls ``emit`` with their sets, some at a time:
     all shingles, where each set starts, and the names; each set once, if the filter lets it through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,16 +175,17 @@ def _over_sets(emit: Callable, wanted=None) -> Callable:
             new = np.array([x not in seen and not seen.add(x) for x in names.tolist()], bool)
             if wanted is not None:
                 new &= _in_filter(wanted.value, names)
-            members = batch.column(1)
+            high, low = batch.column(1), batch.column(2)
             if not new.all():
-                names, members = names[new], members.filter(pa.array(new))
-            sizes = pc.binary_length(members).to_numpy().astype(np.int64) // 8
+                names, high, low = names[new], high.filter(pa.array(new)), low.filter(pa.array(new))
+            sizes = pc.binary_length(high).to_numpy().astype(np.int64)
             run_of = np.cumsum(sizes) // CHUNK
             edges = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(names)]
             for a, b in zip(edges, edges[1:]):
                 if b > a:
-                    h = np.frombuffer(b"".join(v.as_buffer() for v in members[a:b]), np.uint64)
-                    yield from emit(h, np.concatenate([[0], np.cumsum(sizes[a:b])]), names[a:b])
+                    first = np.concatenate([[0], np.cumsum(sizes[a:b])])
+                    h = unpacked(_joined(high[a:b]), _joined(low[a:b]), first)
+                    yield from emit(h, first, names[a:b])
 
     return run
 
@@ -345,13 +375,13 @@ def _in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def set_rows(sets: DataFrame, wanted) -> DataFrame:
-    """(d, members): the sets that the filter lets through."""
+    """(d, high, low): the sets that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_in_filter(wanted.value, batch.column(0).to_numpy())))
 
-    return sets.mapInArrow(run, "d bigint, members binary")
+    return sets.mapInArrow(run, "d bigint, high binary, low binary")
 
 
 def share_prefixes(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -364,13 +394,19 @@ def share_prefixes(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough; a node in very many pairs is split on either side."""
-    both = both_sides(pairs, sets, "members", "m").select("x", "y", "mx", "my")
+    sets = sets.select("d", F.struct("high", "low").alias("members"))
+    both = both_sides(pairs, sets, "members", "m").select("x", "y", "mx.high", "mx.low", "my.high", "my.low")
+    both = both.toDF("x", "y", "highx", "lowx", "highy", "lowy")
+
+    def members(high: pa.BinaryScalar, low: pa.BinaryScalar) -> np.ndarray:
+        high, low = (np.frombuffer(v.as_buffer(), np.uint8) for v in (high, low))
+        return unpacked(high, low, np.array([0, len(high)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+            for i, (highx, lowx, highy, lowy) in enumerate(zip(*batch.columns[2:])):
+                a, b = members(highx, lowx), members(highy, lowy)
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -527,7 +563,7 @@ def _similar_groups(docs: DataFrame, n: int, percent: int, key: str, text: str)
     texts = docs.select(common.named(key).alias("doc_id"), common.named(text).alias("t"))
     described = common.stored(describe(texts, n), "join_texts")
     rows = described.select("doc_id", "d", "n")
-    sets = described.where(F.col("members").isNotNull()).select("d", "members")
+    sets = described.where(F.col("high").isNotNull()).select("d", "high", "low")
     known, groups = first_order(sets, percent)
     shared = spark.sparkContext.broadcast(known)
     in_groups = spark.sparkContext.broadcast(bit_filter(groups, "shingle"))
@@ -537,28 +573,30 @@ def _similar_groups(docs: DataFrame, n: int, percent: int, key: str, text: str)
     shared.destroy()
     in_groups.destroy()
 
-    def of_nodes(nodes: DataFrame, rows_of: Callable[..., DataFrame], name: str) -> DataFrame:
-        """What ``rows_of`` makes of the sets of ``nodes``, a row for each, stored."""
+    def with_nodes(nodes: DataFrame, rows_of: Callable[..., DataFrame], name: str) -> DataFrame:
+        """What ``rows_of`` makes of a filter that lets the sets of ``nodes`` through, stored."""
         wanted = spark.sparkContext.broadcast(bit_filter(nodes, "d"))
-        out = common.stored(rows_of(wanted).dropDuplicates(["d"]), name)
+        out = common.stored(rows_of(wanted), name)
         wanted.destroy()
         return out
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("x").alias("d")).union(pairs.select("y"))
-
-    profiles = of_nodes(members.select("d"), lambda wanted: profile_rows(sets, wanted), "join_profiles")
+    profiles = with_nodes(
+        members.select("d"), lambda wanted: profile_rows(sets, wanted).dropDuplicates(["d"]), "join_profiles"
+    )
 
     def check(pairs: DataFrame) -> DataFrame:
-        """Sizes of parts first, then the prefixes under the further orders, then the sets."""
+        """Sizes of parts first, then the prefixes under the further orders, then the sets; the last two
+        are made for the nodes of a pair, shuffled once for both its sides and not stored."""
+
+        def kept(pairs: DataFrame, of: Callable[..., DataFrame], holds: Callable[..., DataFrame], name: str) -> DataFrame:
+            nodes = pairs.select(F.col("x").alias("d")).union(pairs.select("y"))
+            return with_nodes(nodes, lambda wanted: holds(pairs, of(wanted).dropDuplicates(["d"])), name)
+
         pairs = common.stored(may_link(pairs, profiles, percent), "join_possible")
-        orders = of_nodes(ends(pairs), lambda wanted: order_rows(sets, percent, wanted), "join_orders")
-        pairs = common.stored(share_prefixes(pairs, orders), "join_candidates")
-        wanted = spark.sparkContext.broadcast(bit_filter(ends(pairs), "d"))
-        met = verify(pairs, set_rows(sets, wanted).dropDuplicates(["d"]), percent)
-        found = common.stored(met, "join_links")
-        wanted.destroy()
-        return found
+        pairs = kept(pairs, lambda wanted: order_rows(sets, percent, wanted), share_prefixes, "join_candidates")
+        return kept(
+            pairs, lambda wanted: set_rows(sets, wanted), lambda *both: verify(*both, percent), "join_links"
+        )
 
     labels = link(members, check, percent)
 
