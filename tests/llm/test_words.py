@@ -58,3 +58,11 @@ def test_a_slice_of_a_column_is_read_from_its_place():
     column = pa.array(["zero", "one two", "three"]).slice(1, 2)
     (_, _, data, at) = next(words.chunks(column))
     assert bytes(data) == b"one twothree" and at.tolist() == [0, 7, 12]
+
+
+def test_a_task_works_on_half_a_megabyte_of_text_at_once():
+    texts = pa.array(["ab " * 60_000] * 9)  # 1.6 MB
+    runs = list(words.chunks(texts))
+    assert max(len(data) for _, _, data, _ in runs) <= 1 << 19
+    assert sum(len(data) for _, _, data, _ in runs) == 9 * 180_000
+    assert [end for _, end, _, _ in runs][-1] == 9

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21  # bytes worked on at once; a longer text is worked on alone
+CHUNK = 1 << 19  # bytes worked on at once; a longer text is worked on alone
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
