@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from torquelog import runtime
 from torquelog.functions import text
 from torquelog.operators import (
     association,
@@ -753,3 +754,44 @@ def test_own_vocabulary_makes_the_tokens_once(spark):
     got = {r["id"]: r["t"] for r in vocabulary.keep_own_vocabulary(df, "id", "t", bare_codes=codes).collect()}
     assert got[0] == ["ab", "door", "ab", "Ecd"] and got[20] == ["door"] and got[21] is None
     assert seen.value == 14
+
+
+def test_incident_records_stay_where_they_are(spark):
+    """The report shuffles and joins no record while the tasks can hold the short words and the codes."""
+    df = spark.createDataFrame([(1, "P", "ab door 12 hinge 77")] * 5 + [(None, None, None)], "id int, part string, summary string")
+    codes = spark.createDataFrame([("77",), ("77",), (None,)], "word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = reports.incident_report(df, "id", "summary", ["part"], bare_codes=codes)
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        got = report.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r["cleaned"] for r in got if r["id"]] == ["ab door 12 hinge E77"] * 5 and len(got) == 6
+
+
+@pytest.mark.parametrize("bound", [1_000_000, -1])
+def test_own_vocabulary_held_or_joined(spark, monkeypatch, bound):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", bound)
+    data = [
+        (1, ["ab", "the", "7", "door", None, "éa"]), (None, ["ab", "ab", "x9", "200"]), (1, ["ab", "ab"]), (2, None),
+        (3, []), (4, ["x9", "yy", "7"]), (4, ["x9", "yy", "7"]),
+    ]
+    df = spark.createDataFrame(data, "id int, t array<string>")
+    codes = spark.createDataFrame([("7",), ("200",), ("none",), ("7",), (None,)], "word string")
+    got = vocabulary.keep_own_vocabulary(df, "id", "t", bare_codes=codes)
+    want = [
+        (1, ["ab", "E7", "door"]), (None, ["ab", "ab", "E200"]), (1, ["ab", "ab"]), (2, None), (3, []),
+        (4, ["E7"]), (4, ["E7"]),
+    ]
+    assert rows(got, "id", "t") == sorted(want, key=repr)
+
+
+def test_word_with_two_expansions_is_not_held(spark):
+    table = spark.createDataFrame([("a", "b"), ("a", "c"), ("d", None)], "word string, expansion string")
+    assert joins.held_words(table)[1] is None
+    df = spark.createDataFrame([(1, ["d", "e", None]), (2, ["d"])], "id int, t array<string>")
+    assert rows(joins.expand_words(df, "id", "t", table), "t") == [(["d", "e", None],), (["d"],)]
+    held = joins.expand_words(df, "id", "t", table.where("word = 'd'"))
+    assert rows(held, "t") == [(["d", "e", None],), (["d"],)]
