@@ -795,3 +795,54 @@ def test_word_with_two_expansions_is_not_held(spark):
     assert rows(joins.expand_words(df, "id", "t", table), "t") == [(["d", "e", None],), (["d"],)]
     held = joins.expand_words(df, "id", "t", table.where("word = 'd'"))
     assert rows(held, "t") == [(["d", "e", None],), (["d"],)]
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_long_part_list_is_cut_to_the_parts_asked_for(spark, monkeypatch, held):
+    recs = spark.createDataFrame(
+        [(1, "p", "Other"), (None, "q", "Other"), (3, "r", "Door"), (3, "p", "Other"), (4, None, "Other"), (5, "p", None)],
+        "id int, part string, category string",
+    )
+    parts = spark.createDataFrame(
+        [("p", "old", 1), ("p", "new", 2), ("r", "Fan", 1), ("s", "Fan", 1), ("t", "Fan", 1), (None, "Fan", 9), ("q", None, 1)],
+        "part string, system string, pos int",
+    )
+    seen = []
+    real = joins.last_per_key
+    monkeypatch.setattr(joins, "last_per_key", lambda df, *a: (seen.append(df.count()), real(df, *a))[1])
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 6 if held else -1)
+    got = joins.category_from_part(recs, parts, "part", "category", "system", "pos")
+    assert rows(got, "id", "category") == sorted(
+        [(1, "new"), (None, "Other"), (3, "Door"), (3, "new"), (4, "Other"), (5, None)], key=repr
+    )
+    assert seen == [3]  # the rows of p and q
+
+
+def test_lists_are_read_once_for_words_and_codes(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(value):
+        seen.add(1)
+        return value
+
+    df = spark.createDataFrame([(1, "oven door"), (2, "E7 7")], "id int, x string")
+    errors = spark.createDataFrame([("E7", 3), ("E7", 3), (" e8 ", None), (None, 4)], "code string, n int")
+    errors = errors.repartition(1).select(F.udf(read, "string")("code").alias("code"), "n")
+    parts = spark.createDataFrame([("fan belt",)], "p string")
+    got = vocabulary.asset_vocabulary(df, text.words(F.col("x")), parts, "p", [errors], "code", min_count=1)
+    assert {r["word"] for r in got.collect()} == {"oven", "door", "e7", "fan", "belt", "e8", "7", "8", "3", "4"}
+    assert seen.value == 4
+
+
+@pytest.mark.parametrize("bound", [1_000_000, -1])
+def test_asset_vocabulary_and_codes_held_or_joined(spark, monkeypatch, bound):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", bound)
+    data = [(1, ["error", "89", "noise"]), (None, ["noise", None]), (1, ["89", "89"]), (2, None)]
+    df = spark.createDataFrame(data, "id int, t array<string>")
+    words = spark.createDataFrame([("error",), ("89",), (None,)], "word string")
+    bare = spark.createDataFrame([("89",), ("89",), (None,)], "word string")
+    got = vocabulary.correct_codes(df, "id", "t", words, bare)
+    assert rows(got, "id", "t") == sorted([(1, ["error", "E89"]), (None, []), (1, ["E89", "E89"]), (2, None)], key=repr)
+    if bound > 0:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan

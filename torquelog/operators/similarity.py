@@ -37,8 +37,7 @@ def closest_category(
 
     ``keywords`` has one row (key, n, keywords) per list, empty lists included. Each query word meets
     only the categories that hold it. Ties go to the alphabetically first category, lists without any
-    shared word to ``unknown`` with score 0. Partition ``keywords`` by key before (``by_key``): the
-    word counts, the lengths and the scores of a record then need no further exchange.
+    shared word to ``unknown`` with score 0.
     """
     vectors = materialize(vectors)
     asked = F.flatten(F.transform("keywords", lambda x: text.words(x["word"])))
