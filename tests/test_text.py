@@ -1,13 +1,16 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import string
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from torquelog.functions import lemmas, lexicons, ngrams, tagging, text
+from torquelog.plans import reports
 
 
 def run(spark, make, *values):
@@ -247,3 +250,29 @@ def test_phrases_hold_stop_words(spark, scan):
         "Resolved by phone.", "phones by call", "a phone call",
     )
     assert got == [["by phone", "phone"], [], ["phone", "phone call"]]
+
+
+def test_parts_of_speech_of_a_batch_equal_those_of_a_text(spark, monkeypatch):
+    rng = random.Random(5)
+    pool = [w for words in tagging.word_kinds().values() for w in rng.sample(words, min(len(words), 8))]
+    pool += "7 12 x9 xying xyed xyly quxtion xyate xyous qqs zz Éa don't re-set déjà".split()
+    notes = [" ".join(rng.choice(pool) + rng.choice(["", "", "", ". ", "!", "\n"]) for _ in range(n)) for n in [*range(1, 40), 230]]
+    notes += ["", None, " . ! ", None, *[note for note, _, _ in TAGGED]]
+    df = spark.createDataFrame([(i % 7 if i % 5 else None, v) for i, v in enumerate(notes)], "i int, x string").repartition(2)
+    got = tagging.with_parts_of_speech(df, "x").select("i", "x", "actions", "observations")
+    assert got.columns[:2] == df.columns
+    want = df.select("i", "x", tagging.part_of_speech(F.col("x")).alias("p")).select("i", "x", "p.*")
+    want = sorted(map(repr, want.collect()))
+    assert sorted(map(repr, got.collect())) == want
+    monkeypatch.setattr(tagging, "AT_ONCE", 7)
+    batches = df.withColumn("_pieces", tagging.pieces(F.col("x"))).toArrow().to_batches()
+    parts = [*tagging._with_parts(iter(batches))]
+    assert len(parts) > len(batches)
+    assert sorted(repr(Row(**r)) for part in parts for r in part.to_pylist()) == want
+
+
+def test_incident_report_tags_whole_batches(spark):
+    """No fold over the words of a sentence: all sentences of a batch go on together."""
+    df = spark.createDataFrame([(1, "Replaced the door")], "id int, summary string")
+    plan = reports.incident_report(df, "id", "summary", [])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "shiftright" not in plan
