@@ -771,9 +771,10 @@ def test_incident_records_stay_where_they_are(spark):
     assert [r["cleaned"] for r in got if r["id"]] == ["ab door 12 hinge E77"] * 5 and len(got) == 6
 
 
-@pytest.mark.parametrize("bound", [1_000_000, -1])
-def test_own_vocabulary_held_or_joined(spark, monkeypatch, bound):
+@pytest.mark.parametrize(("bound", "listed"), [(1_000_000, 2048), (1_000_000, 0), (-1, 0)])
+def test_own_vocabulary_held_or_joined(spark, monkeypatch, bound, listed):
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(joins, "LISTED", listed)
     data = [
         (1, ["ab", "the", "7", "door", None, "éa"]), (None, ["ab", "ab", "x9", "200"]), (1, ["ab", "ab"]), (2, None),
         (3, []), (4, ["x9", "yy", "7"]), (4, ["x9", "yy", "7"]),
@@ -788,13 +789,17 @@ def test_own_vocabulary_held_or_joined(spark, monkeypatch, bound):
     assert rows(got, "id", "t") == sorted(want, key=repr)
 
 
-def test_word_with_two_expansions_is_not_held(spark):
+def test_word_with_two_expansions_is_not_held(spark, monkeypatch):
     table = spark.createDataFrame([("a", "b"), ("a", "c"), ("d", None)], "word string, expansion string")
     assert joins.held_words(table)[1] is None
     df = spark.createDataFrame([(1, ["d", "e", None]), (2, ["d"])], "id int, t array<string>")
     assert rows(joins.expand_words(df, "id", "t", table), "t") == [(["d", "e", None],), (["d"],)]
-    held = joins.expand_words(df, "id", "t", table.where("word = 'd'"))
-    assert rows(held, "t") == [(["d", "e", None],), (["d"],)]
+    for listed in (0, 2048):
+        monkeypatch.setattr(joins, "LISTED", listed)
+        held = joins.expand_words(df, "id", "t", table.where("word = 'd'"))
+        assert rows(held, "t") == [(["d", "e", None],), (["d"],)]
+        empty = joins.keep_words(df, "id", "t", spark.createDataFrame([(None,)], "word string"))
+        assert rows(empty, "id", "t") == [(1, []), (2, [])]
 
 
 @pytest.mark.parametrize("held", [True, False])
@@ -834,9 +839,10 @@ def test_lists_are_read_once_for_words_and_codes(spark):
     assert seen.value == 4
 
 
-@pytest.mark.parametrize("bound", [1_000_000, -1])
-def test_asset_vocabulary_and_codes_held_or_joined(spark, monkeypatch, bound):
+@pytest.mark.parametrize(("bound", "listed"), [(1_000_000, 2048), (1_000_000, 0), (-1, 0)])
+def test_asset_vocabulary_and_codes_held_or_joined(spark, monkeypatch, bound, listed):
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(joins, "LISTED", listed)
     data = [(1, ["error", "89", "noise"]), (None, ["noise", None]), (1, ["89", "89"]), (2, None)]
     df = spark.createDataFrame(data, "id int, t array<string>")
     words = spark.createDataFrame([("error",), ("89",), (None,)], "word string")

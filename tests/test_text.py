@@ -10,6 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from torquelog.functions import lemmas, lexicons, ngrams, tagging, text
+from torquelog.operators import vocabulary
 from torquelog.plans import reports
 
 
@@ -271,8 +272,20 @@ def test_parts_of_speech_of_a_batch_equal_those_of_a_text(spark, monkeypatch):
     assert sorted(repr(Row(**r)) for part in parts for r in part.to_pylist()) == want
 
 
-def test_incident_report_tags_whole_batches(spark):
-    """No fold over the words of a sentence: all sentences of a batch go on together."""
+def test_incident_report_tags_whole_batches(spark, monkeypatch):
+    """No fold over the words of a sentence: all sentences of a batch go on together, some records at a time."""
+    seen = []
+    real = vocabulary.staged
+
+    def staged(df, name):
+        seen.append((df._jdf.queryExecution().executedPlan().toString(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return real(df, name)
+
+    monkeypatch.setattr(vocabulary, "staged", staged)
     df = spark.createDataFrame([(1, "Replaced the door")], "id int, summary string")
-    plan = reports.incident_report(df, "id", "summary", [])._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "shiftright" not in plan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = reports.incident_report(df, "id", "summary", [])._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    ((first, rows),) = seen
+    assert first.count("MapInArrow") >= 2 and int(rows) == reports.FEW
+    assert "shiftright" not in first + last and "MapInArrow" not in last
